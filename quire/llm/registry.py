@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import quality
+from quire.llm import quality, sharding, simhash
 
-QUERIES = {"op7_quality_rules": quality.op7_quality_rules}
+QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op6_kd_sharding": sharding.op6_kd_sharding,
+    "op7_quality_rules": quality.op7_quality_rules,
+}
 ORACLES = {"op7_quality_rules": quality.OP7_SQL}
