@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import quality, sharding, simhash
+from quire.llm import quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_quality_rules": quality.op7_quality_rules,
