@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import quality, sharding, simhash, toxicity
+from quire.llm import bpe, packing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_packing": packing.op5_packing,
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_quality_rules": quality.op7_quality_rules,
 }
