@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, packing, quality, sharding, simhash, token_counts, toxicity
+from quire.llm import bpe, langid, ngram_trie, nn_descent, packing, quality, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_nn_descent": nn_descent.op8_nn_descent,
+    "op9_ngram_trie": ngram_trie.op9_ngram_trie,
     "op10_langid": langid.op10_langid,
 }
 ORACLES = {"op7_quality_rules": quality.OP7_SQL}
