@@ -1 +1,8 @@
+"""The registered queries, each beside the SQL that says the same."""
 
+from quire.plans import registry, serving
+
+
+def all_plans() -> tuple[dict, dict]:
+    """(queries, SQL) by name."""
+    return dict(registry.QUERIES), dict(registry.ORACLES)
