@@ -1,6 +1,6 @@
 """The registered queries, each beside the SQL that says the same."""
 
-from quire.plans import exporting, registry, serving
+from quire.plans import checking, exporting, registry, serving, texts
 
 
 def all_plans() -> tuple[dict, dict]:
