@@ -99,6 +99,12 @@ TABLE_RULE = r"^\|(?:\s*:?-{2,}:?\s*\|)+\s*$"
 PASSAGE = r"(?iu)^#*\s*(?:passage|paragraph)\s*(?:[-–—]?\s*[IVXivx0-9]{1,4})?\s*[:.]?\s*$"
 DIRECTIONS = r"(?iu)^#*\s*DIRECTIONS\b"
 DIRECTIONS_RANGE = r"(?iu)^#*\s*DIRECTIONS\s*\(\s*Qs?\b"
+SOLUTIONS = r"(?iu)^#*\s*SOLUTIONS\b\s*(?:<br\s*/?>)?\s*(?:[(\-–:]|Brief\b|$)"
+SOLUTION = r"(?iu)^(?:##\s+)?(?:SOLUTIO[NM]|SOL\.)\s*(?::\s*(.*))?$"
+ILLUSTRATION = r"(?iu)^(?:##\s+)?ILLUSTRATIO[NM]\s*:?\s*(.+)$"
+CHECK_KNOWLEDGE = r"(?iu)Check\s+Your\s+Knowledge"
+THEORY_RESUMES = r"^\(?(?:[a-z]|[ivx]{1,4})\)\s*[A-Z][^.?!]{2,80}:(?:\s|$)"
+H2 = r"^##\s+(.+?)\s*$"
 KEYED_ANSWER = r"(\d{1,3})\s*[.)]\s*\(([a-eA-E])\)"
 KEY_LINE = r"^\s*(\d{1,3})[.)]\s*\(?([a-eA-E])\)"
 KEY_RUN, KEY_WINDOW, KEY_GAP = 5, 60, 40
