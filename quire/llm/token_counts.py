@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from quire.llm.pretokens import SPACE, pieces, vocabulary
 
 FILE = "byte_bpe_50k.json"
 LIMIT = 512
-MEMORY = 250_000
+#: Pieces in one generation of a task's memory; four times as many pairs.
+MEMORY = 300_000
 #: A run of white space before other text: its last character belongs to what follows, unless the text ends there.
 _RUN = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
 
@@ -43,13 +45,17 @@ class Counter:
         back = byte_characters()
         raw = lambda t: bytes(back[c] for c in t)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.tokens = {raw(t) for t in spec["model"]["vocab"] if t not in self.special}
+        ids = [raw(t) for t in spec["model"]["vocab"] if t not in self.special]
+        self.tokens = {t: k for k, t in enumerate(ids)}
+        self.raw = ids
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.tokens))
         self.cutter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.valid: dict[tuple[bytes, bytes], bool] = {}
-        self.memory: dict[str, bytes] = {}
+        self.valid: dict[int, bool] = {}
+        # two generations: when the young one is full it becomes the old one, so that what is in use stays
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, raw: bytes) -> list[bytes]:
         """The plain encoding, for pairs of tokens."""
@@ -61,55 +67,63 @@ class Counter:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def follows(self, a: bytes, b: bytes) -> bool:
-        """Whether token b may stand after token a (after nothing, if a is empty)."""
-        if (found := self.valid.get((a, b))) is None:
-            if len(self.valid) >= 4 * MEMORY:
-                self.valid.clear()
-            found = self.valid[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+    def follows(self, a: int, b: int) -> bool:
+        """Whether token b may stand after token a (after nothing, if a is -1)."""
+        if len(self.valid) >= 4 * MEMORY:
+            self.valid.clear()
+        before, token = (self.raw[a] if a >= 0 else b""), self.raw[b]
+        found = self.valid[a << 32 | b] = self.merge(before + token) == ([before, token] if before else [token])
         return found
 
     def prefixes(self, raw: bytes) -> list[int]:
         """Counts at each byte of a piece."""
-        last, counts, tokens = [b""], [0], self.tokens
+        last, counts, find, valid = [-1], [0], self.tokens.get, self.valid.get
         for i in range(1, len(raw) + 1):
             for j in range(max(0, i - self.longest), i):
-                t = raw[j:i]
-                if t in tokens and (last[j] or not j) and self.follows(last[j], t):
-                    last.append(t)
-                    counts.append(counts[j] + 1)
-                    break
+                if (t := find(raw[j:i])) is not None:
+                    a = last[j]
+                    if (ok := valid(a << 32 | t)) is None:
+                        ok = self.follows(a, t)
+                    if ok:
+                        last.append(t)
+                        counts.append(counts[j] + 1)
+                        break
             else:
                 raise ValueError(f"no token ends at byte {i} of {raw!r}")
         return counts[1:]
 
     def piece(self, piece: str) -> bytes:
         """Counts at each character of a piece, as unsigned 32-bit integers."""
-        if (found := self.memory.get(piece)) is None:
+        if (found := self.young.get(piece)) is not None:
+            return found
+        if (found := self.old.get(piece)) is None:
             raw = piece.encode()
-            counts = np.array(self.prefixes(raw), dtype="<u4")
+            counts = self.prefixes(raw)
             if len(raw) != len(piece):
-                counts = counts[np.append(np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)[1:], len(raw)) - 1]
+                counts = [n for n, following in zip(counts, raw[1:] + b"a") if following & 0xC0 != 0x80]
             if piece in ("'re", "'ve", "'ll"):
                 counts[1] = 2  # half a contraction is an apostrophe and a letter
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            found = self.memory[piece] = counts.tobytes()
+            found = array("I", counts).tobytes()
+        if len(self.young) >= MEMORY:
+            self.old, self.young = self.young, {}
+        self.young[piece] = found
         return found
 
     def _ordinary(self, text: str) -> np.ndarray:
         cut = pieces(text)
         if not cut:
             return np.zeros(0, dtype=np.int64)
-        raw = [self.piece(p) for p in cut]
-        counts = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64)
+        raw = list(map(self.young.get, cut))
+        if None in raw:
+            raw = [self.piece(p) if r is None else r for r, p in zip(raw, cut)]
+        counts = np.frombuffer(b"".join(raw), dtype=np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         ends = np.cumsum(lengths)
         upto = np.cumsum(counts[ends - 1])
         counts += np.repeat(upto - counts[ends - 1], lengths)
         for m in _RUN.finditer(text):
             a, b = m.span()
-            counts[b - 1] = (counts[a - 1] if a else 0) + int.from_bytes(self.piece(m[0])[-4:], "little")
+            counts[b - 1] = (counts[a - 1] if a else 0) + int(np.frombuffer(self.piece(m[0])[-4:], dtype=np.uint32)[0])
         return counts
 
     def counts(self, text: str) -> np.ndarray:
