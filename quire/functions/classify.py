@@ -17,24 +17,24 @@ def _first(rules, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def looks_like_heading(line: Column) -> Column:
-    """Short, not numbered, no sentence end; of three long words or more most begin with a capital."""
-    s = T.clean_heading(line)
+def looks_like_heading(line: Column, clean: Column | None = None) -> Column:
+    """Short, not numbered, no sentence end; of three long words or more most begin with a capital. clean: the line's clean_heading, where it is there."""
+    s = T.clean_heading(line) if clean is None else clean
     end = F.regexp_replace(T.strip(T.text(line)), r"^#+\s*", "")
     words = F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 4)
     capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
     return (s != "") & (F.length(s) <= fixed.HEADING_CHARS) & ~s.rlike(fixed.NUMBERED) & ~end.rlike(r"[?.;,]$") & ((F.size(words) < 3) | (F.size(capital) >= 0.6 * F.size(words)))
 
 
-def subsection_kind(title: Column) -> Column:
+def subsection_kind(title: Column, clean: Column | None = None) -> Column:
     """The first of the kinds whose wording the title has, else empty."""
-    s = F.lower(T.clean_heading(title))
+    s = F.lower(T.clean_heading(title) if clean is None else clean)
     return _first(((s.rlike(pattern), kind) for pattern, kind in fixed.SUBSECTION_KINDS), F.lit(""))
 
 
-def exercise_key(title: Column) -> Column:
+def exercise_key(title: Column, clean: Column | None = None) -> Column:
     """The exercise's name, else its number's first digit; empty if the title is no exercise heading."""
-    s = T.clean_heading(title)
+    s = T.clean_heading(title) if clean is None else clean
     rest = F.lower(F.regexp_extract(s, fixed.EXERCISE_LINE, 3))
     digits = T.first_filled(F.regexp_extract(s, fixed.EXERCISE_LINE, 1), F.regexp_extract(s, fixed.EXERCISE_LINE, 2))
     named = [(rest.rlike(pattern), name) for pattern, name in fixed.EXERCISE_NAMES]

@@ -8,7 +8,8 @@ step over one chapter's flagged lines. A chapter is the unit of work throughout;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,23 +29,20 @@ def lines(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataF
 
 def flagged(rows: DataFrame) -> DataFrame:
     """What each line is. exercise, kind and number are empty where the line is none."""
-    s = T.strip(F.col("line"))
-    heading = K.looks_like_heading(s)
-    wide = T.strip(T.fold_width(F.col("line")))
+    s, clean = F.col("_s"), F.col("heading")
+    rows = rows.withColumn("_s", T.strip(F.col("line"))).withColumn("heading", T.clean_heading(s))
+    rows = rows.withColumn("is_heading", K.looks_like_heading(s, clean)).withColumn("directions", s.rlike(fixed.DIRECTIONS))
     return rows.select(
-        "*",
-        F.when(heading, K.exercise_key(s)).otherwise("").alias("exercise"),
-        F.when(heading, K.subsection_kind(s)).otherwise("").alias("kind"),
-        T.clean_heading(s).alias("heading"),
-        heading.alias("is_heading"),
-        s.rlike(fixed.DIRECTIONS).alias("directions"),
-        F.when(s.rlike(fixed.DIRECTIONS), K.subsection_kind(s)).otherwise("").alias("directions_kind"),
+        *(c for c in rows.columns if c != "_s"),
+        F.when(F.col("is_heading"), K.exercise_key(s, clean)).otherwise("").alias("exercise"),
+        F.when(F.col("is_heading"), K.subsection_kind(s, clean)).otherwise("").alias("kind"),
+        F.when(F.col("directions"), K.subsection_kind(s, clean)).otherwise("").alias("directions_kind"),
         s.rlike(fixed.DIRECTIONS_RANGE).alias("directions_range"),
         s.rlike(fixed.PASSAGE).alias("passage"),
         s.rlike(fixed.TABLE_RULE).alias("rule"),
         T.fold_digits(F.regexp_extract(s, fixed.NUMBERED, 1)).alias("number"),
         F.regexp_extract(s, fixed.NUMBERED, 2).alias("rest"),
-        wide.rlike(fixed.SOLUTIONS).alias("solutions"),
+        T.fold_width(s).rlike(fixed.SOLUTIONS).alias("solutions"),
         (s == "").alias("blank"),
     )
 
@@ -217,6 +215,23 @@ class _Blocks:
             self.item[1].append(r.line)
 
 
+def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list], Iterator[tuple]], schema: str) -> DataFrame:
+    """work over the rows of each group in order, which follow one another in a sorted partition; groups cost no call of their own."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = (r for f in frames for r in f.itertuples(index=False))
+        out = []
+        for _, group in groupby(stream, key=lambda r: tuple(getattr(r, k) for k in keys)):
+            out += work(list(group))
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def _types(rows: DataFrame, keys: list[str]) -> str:
     kinds = dict(rows.dtypes)
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
@@ -225,18 +240,17 @@ def _types(rows: DataFrame, keys: list[str]) -> str:
 def blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part, block, exercise, kind, title, number, line_no, passage, text): the items of the bank and of the solutions."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine = _Blocks(pdf["part"].iloc[0] == "solutions")
-        for r in pdf.sort_values("line_no").itertuples(index=False):
+    def work(group: list) -> Iterator[tuple]:
+        machine = _Blocks(group[0].part == "solutions")
+        for r in group:
             machine.take(r)
         machine.end_block()
-        out = pd.DataFrame(machine.out, columns=["block", "exercise", "kind", "title", "number", "line_no", "passage", "text"])
-        for k in reversed([*keys, "part"]):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        head = tuple(getattr(group[0], k) for k in [*keys, "part"])
+        return (head + x for x in machine.out)
 
     schema = f"{_types(rows, keys)}, part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string"
-    return rows.where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS).groupBy(*keys, "part").applyInPandas(run, schema)
+    kept = rows.where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS)
+    return _by_group(kept, [*keys, "part"], ["line_no"], work, schema)
 
 
 def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
@@ -269,27 +283,21 @@ def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
 def aligned(items: DataFrame, keys: list[str]) -> DataFrame:
     """Question items with their answers. Blocks pair in order within a chapter; in a pair the first answer of a number counts, and where no number agrees, the place does."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "line_no"], kind="stable")
-        halves = {part: [b for _, b in pdf[pdf["part"] == part].groupby("block", sort=True)] for part in ("bank", "solutions")}
-        shape = lambda bs: [(b["exercise"].iloc[0], b["kind"].iloc[0], set(b["number"])) for b in bs]
-        out = []
+    def work(group: list) -> Iterator[tuple]:
+        halves = {part: [list(b) for _, b in groupby((r for r in group if r.part == part), key=lambda r: r.block)] for part in ("bank", "solutions")}
+        shape = lambda bs: [(b[0].exercise, b[0].kind, {r.number for r in b}) for b in bs]
         for b, j in zip(halves["bank"], pair_blocks(shape(halves["bank"]), shape(halves["solutions"]))):
-            b = b.copy()
             answers = [""] * len(b)
             if j is not None:
                 solved = halves["solutions"][j]
-                first = dict(zip(solved["number"][::-1], solved["text"][::-1]))
-                if first.keys() & set(b["number"]):
-                    answers = [first.get(n, "") for n in b["number"]]
-                else:
-                    answers = [*solved["text"], *answers][: len(b)] if len(solved) < len(b) else list(solved["text"])[: len(b)]
-            b["answer"] = answers
-            out.append(b)
-        return pd.concat(out) if out else pdf.iloc[:0].assign(answer="")
+                first = {r.number: r.text for r in reversed(solved)}
+                by_number = any(r.number in first for r in b)
+                answers = [first.get(r.number, "") for r in b] if by_number else [r.text for r in solved][: len(b)] + [""] * (len(b) - len(solved))
+            yield from (tuple(r) + (a,) for r, a in zip(b, answers))
 
+    columns = ["part", "block", "exercise", "kind", "title", "number", "line_no", "passage", "text"]
     schema = f"{_types(items, keys)}, part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string, answer string"
-    return items.groupBy(*keys).applyInPandas(run, schema).drop("part")
+    return _by_group(items.select(*keys, *columns), keys, ["part", "block", "line_no"], work, schema).drop("part")
 
 
 def question_bank(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
