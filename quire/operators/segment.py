@@ -59,33 +59,40 @@ def sections(rows: DataFrame, keys: list[str], heading: str = fixed.H2) -> DataF
     return made.select(*keys, "section", title.alias("title"), T.compact(body).alias("body"), F.element_at("x", 1)["line_no"].alias("first_line"))
 
 
-def key_run_start(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start): where an answer key begins that no banner announces: five key lines within a window, their numbers never falling."""
+def _with_key_run(rows: DataFrame, keys: list[str], among_lines: Column | None = None) -> DataFrame:
+    """rows with ``run``: the line where an answer key begins that no banner announces, else null."""
     order = Window.partitionBy(*keys).orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("_prev", F.last(F.when(~F.col("blank"), F.struct("line_no", "is_heading")), ignorenulls=True).over(before))
-    found = marked.where(F.col("line").rlike(fixed.KEY_LINE)).withColumn("_n", F.regexp_extract("line", fixed.KEY_LINE, 1).cast("int"))
-    numbers = [F.lead("_n", k).over(order) for k in range(fixed.KEY_RUN)]
-    rising = numbers[0] <= numbers[1]
-    for a, b in zip(numbers[1:], numbers[2:]):
-        rising = rising & (a <= b)
-    near = F.lead("line_no", fixed.KEY_RUN - 1).over(order) < F.col("line_no") + fixed.KEY_WINDOW
+    among = Window.partitionBy(*keys, "_key").orderBy("line_no")
+    rows = rows.withColumn("_prev", F.last(F.when(~F.col("blank"), F.struct("line_no", "is_heading")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_key", F.col("line").rlike(fixed.KEY_LINE) & (F.lit(True) if among_lines is None else among_lines)).withColumn("_n", F.regexp_extract("line", fixed.KEY_LINE, 1).try_cast("int"))
+    numbers = [F.lead("_n", k).over(among) for k in range(fixed.KEY_RUN)]
+    good = F.col("_key") & (F.lead("line_no", fixed.KEY_RUN - 1).over(among) < F.col("line_no") + fixed.KEY_WINDOW)
+    for x, y in zip(numbers, numbers[1:]):
+        good = good & (x <= y)
     start = F.when(F.col("_prev.is_heading"), F.col("_prev.line_no")).otherwise(F.col("line_no"))
-    return found.withColumn("_ok", rising & near).withColumn("_start", start).where("_ok").groupBy(*keys).agg(F.min_by("_start", "line_no").alias("start"))
+    rows = rows.withColumn("_good", good).withColumn("_at", F.when(F.col("_good"), F.struct("line_no", start.alias("start"))))
+    return rows.withColumn("run", F.min("_at").over(Window.partitionBy(*keys))["start"]).drop("_prev", "_key", "_n", "_good", "_at")
+
+
+def key_run_start(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start): five key lines within a window, their numbers never falling; with the heading right above them."""
+    return _with_key_run(rows, keys).where("run is not null").groupBy(*keys).agg(F.first("run").alias("start"))
 
 
 def parts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Flagged lines with ``part``: theory, bank or solutions. The banner that announces solutions is left out."""
+    """Flagged lines with ``part``: theory, bank or solutions. The banner that announces solutions is left out.
+
+    All of it is windows over a chapter's lines, so the lines are flagged and dealt out once.
+    """
+    never = F.lit(2**31 - 1)
+    own = Window.partitionBy(*keys)
     opens = (F.col("exercise") != "") | F.col("directions_range") | F.col("kind").isin(*fixed.BANK_KINDS)
-    bank = rows.where(opens).groupBy(*keys).agg(F.min("line_no").alias("bank_line"))
-    marked = rows.join(bank, keys, "left").withColumn("bank_line", F.coalesce("bank_line", F.lit(2**31 - 1)))
-    banner = marked.where((F.col("line_no") >= F.col("bank_line")) & F.col("solutions")).groupBy(*keys).agg(F.min("line_no").alias("banner_line"))
-    run = key_run_start(marked.where(F.col("line_no") >= F.col("bank_line")), keys)
-    split = F.coalesce("banner_line", "start", F.lit(2**31 - 1))
-    out = marked.join(banner, keys, "left").join(run, keys, "left")
-    out = out.where(F.col("banner_line").isNull() | (F.col("line_no") != F.col("banner_line")))
-    part = F.when(F.col("line_no") < F.col("bank_line"), "theory").when(F.col("line_no") < split, "bank").otherwise("solutions")
-    return out.withColumn("part", part).drop("bank_line", "banner_line", "start")
+    rows = rows.withColumn("_bank", F.coalesce(F.min(F.when(opens, F.col("line_no"))).over(own), never))
+    rows = rows.withColumn("_banner", F.min(F.when((F.col("line_no") >= F.col("_bank")) & F.col("solutions"), F.col("line_no"))).over(own))
+    early = _with_key_run(rows, keys, F.col("line_no") >= F.col("_bank"))
+    split = F.coalesce("_banner", "run", never)
+    part = F.when(F.col("line_no") < F.col("_bank"), "theory").when(F.col("line_no") < split, "bank").otherwise("solutions")
+    return early.withColumn("part", part).where(F.col("_banner").isNull() | (F.col("line_no") != F.col("_banner"))).drop("_bank", "_banner", "run")
 
 
 def resumes(keys: list[str]) -> Column:
