@@ -78,9 +78,8 @@ def questions(books: DataFrame) -> DataFrame:
     rows = items(books).withColumn("question", problem_text(F.col("item"))).withColumn("answer", solution_text(F.col("item"))).where("question <> '' or answer <> ''")
     rows = rows.withColumn("key", T.dedupe_key(F.col("item.id"), F.col("question"))).withColumn("source_order", F.coalesce("item.source_order", F.lit(1_000_000_000)))
     rows = first_wins(rows, ["book_slug", "topic_pos", "key"], ["bucket", "item_order"])
-    rows = rows.withColumn("exam", exam_tags(F.col("question")))
-    kind = display_type(T.text(F.col("item.subsection_kind")), F.col("question"), T.text(F.col("item.subsection_title")))
-    rows = rows.withColumn("question_type", kind).withColumn("question", without_exam_tags(F.col("question"))).withColumn("answer", without_exam_tags(F.col("answer")))
+    rows = rows.withColumn("exam", exam_tags(F.col("question"))).withColumn("question", without_exam_tags(F.col("question"))).withColumn("answer", without_exam_tags(F.col("answer")))
+    rows = rows.withColumn("question_type", display_type(T.text(F.col("item.subsection_kind")), F.col("question"), T.text(F.col("item.subsection_title"))))
     display = F.create_map(*(F.lit(x) for kv in fixed.SECTION_DISPLAY.items() for x in kv))[F.col("section_key")]
     rows = renumber(rows, ["book_slug", "topic_pos"], [F.col("source_order"), F.col("bucket"), F.col("item_order")])
     return rows.select("book_slug", "topic_number", "chapter_name", "question_number", "question_type", display.alias("section"), T.text(F.col("item.subsection_title")).alias("heading"), "exam", "question", "answer", T.text(F.col("item.explanation")).alias("explanation"))
