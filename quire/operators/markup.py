@@ -1,0 +1,104 @@
+"""Formulas, tables and study notes as text, in built-in functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+
+# --- fixed values: symbols of formulas ---------------------------------------------------------------------------
+SYMBOLS = (
+    (r"\\circ", "°"), (r"\\theta", "θ"), (r"\\alpha", "α"), (r"\\beta", "β"), (r"\\pi", "π"), (r"\\mu", "μ"), (r"\\times", "×"), (r"\\cdot", "·"),
+    (r"\\leq", "≤"), (r"\\geq", "≥"), (r"\\neq", "≠"), (r"\\infty", "∞"), (r"\\rightarrow", "→"), (r"\\leftarrow", "←"), (r"\\Rightarrow", "⇒"), (r"\\quad", " "),
+)
+SUPERSCRIPT = ("0123456789+-n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ")
+BADGES = {"easy": "Easy", "medium": "Medium", "advanced": "Advanced"}
+
+
+def raised(c: Column) -> Column:
+    """An exponent in raised characters where all of it has them, else after a caret."""
+    return F.when(c.rlike(r"^[0-9+\-n]+$"), F.translate(c, *SUPERSCRIPT)).otherwise(F.concat(F.lit("^("), c, F.lit(")")))
+
+
+def readable(c: Column) -> Column:
+    """A LaTeX formula as text: fractions, exponents, symbols; other commands go."""
+    s = T.strip(T.text(c))
+    for command in ("text", "mathrm", "mathbf"):
+        s = F.regexp_replace(s, rf"\\{command}\{{([^{{}}]*)\}}", "$1")
+    s = F.regexp_replace(s, r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
+    s = F.regexp_replace(s, r"\\frac\{([^{}]+)\}", "($1)")
+    # exponents: text between them stays, each of them is raised
+    outside, inside = F.split(s, r"\^\{[^{}]+\}"), F.regexp_extract_all(s, F.lit(r"\^\{([^{}]+)\}"), F.lit(1))
+    s = F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.coalesce(raised(b), F.lit("")))), "")
+    s = F.regexp_replace(s, r"_\{([^{}]+)\}", "_$1")
+    for pattern, symbol in SYMBOLS:
+        s = F.regexp_replace(s, pattern, symbol)
+    s = F.replace(F.replace(s, F.lit("\\left("), F.lit("(")), F.lit("\\right)"), F.lit(")"))
+    return T.collapse(F.regexp_replace(F.regexp_replace(s, r"\\[a-zA-Z]+", ""), "[{}]", ""))
+
+
+def without_formulas(c: Column) -> Column:
+    """Text whose formulas between dollars are readable. Text without any stays as it is."""
+    s = T.text(c)
+    outside, inside = F.split(s, r"\$\$?[^$]+\$\$?"), F.regexp_extract_all(s, F.lit(r"\$\$?([^$]+)\$\$?"), F.lit(1))
+    return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.when(b.isNotNull(), readable(b)).otherwise(""))), "")
+
+
+def mathml_text(c: Column) -> Column:
+    """MathML's own text, without its tags; text without MathML stays as it is."""
+    s = T.text(c)
+    return F.when(s.contains("<math"), T.collapse(T.unescape(F.regexp_replace(F.regexp_replace(s, r"</?m(?:frac|row)[^>]*>", " "), r"</?m[a-z]*[^>]*>|</?math[^>]*>", "")))).otherwise(s)
+
+
+def table_html(lines: Column) -> Column:
+    """Rows of a pipe table, an array of lines, as an HTML table: the first is the head, rules go, cells are cut or filled to its width."""
+    cells = F.transform(F.filter(lines, lambda x: ~x.rlike(r"^\s*\|?\s*:?-{2,}")), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda y: F.trim(y)))
+    width = F.size(F.element_at(cells, 1))
+    escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def row(r: Column, tag: str) -> Column:
+        filled = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(F.lit(f"<{tag}>"), escape(F.coalesce(F.get(r, i), F.lit(""))), F.lit(f"</{tag}>")))
+        return F.concat(F.lit("<tr>"), F.array_join(filled, ""), F.lit("</tr>"))
+
+    body = F.array_join(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda r: row(r, "td")), "")
+    return F.when(F.size(cells) > 0, F.concat(F.lit("<table>"), row(F.element_at(cells, 1), "th"), body, F.lit("</table>"))).otherwise("")
+
+
+def stars(value: Column, most: int = 5) -> Column:
+    """A rating as stars, clamped, halves to the even side."""
+    n = F.least(F.lit(most), F.greatest(F.lit(0), F.bround(F.coalesce(value.try_cast("double"), F.lit(0.0))).cast("int")))
+    return F.concat(F.repeat(F.lit("★"), n), F.repeat(F.lit("☆"), F.lit(most) - n))
+
+
+def difficulty(value: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in BADGES.items() for x in kv))
+    return F.coalesce(known[F.lower(T.strip(T.text(value)))], F.lit(""))
+
+
+def chapter_html(chapter: Column, summary: Column, key_points: Column, theory: Column, rows: Column) -> Column:
+    """A chapter as one text. key_points is an array of texts, theory of (title, body), rows of (question, answer), all in order."""
+    part = lambda head, body: F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(f"<h2>{head}</h2>"), body))
+    points = F.array_join(F.transform(key_points, lambda p: F.concat(F.lit("<li>"), p, F.lit("</li>"))), "")
+    told = F.array_join(F.transform(theory, lambda t: F.concat(F.lit("<h3>"), T.text(t["title"]), F.lit("</h3><div>"), T.text(t["body"]), F.lit("</div>"))), "")
+    asked = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<p>"), T.text(r["question"]), F.lit("</p><p>"), T.text(r["answer"]), F.lit("</p>"))), "")
+    return F.concat(F.lit("<h1>"), T.text(chapter), F.lit("</h1>"), part("Summary", T.text(summary)), part("Key points", points), part("Theory", told), part("Questions", asked))
+
+
+def scoped(payload: DataFrame, scope: str) -> DataFrame:
+    """What a scope shows of (summary, key_points, ...): full, summary, or summary with key points."""
+    if scope == "full":
+        return payload
+    empty = F.array().cast("array<string>")
+    if scope == "summary":
+        return payload.withColumn("key_points", empty).withColumn("theory", F.lit(None)).withColumn("rows", F.lit(None))
+    if scope in ("summary_keypoints", "summary_key_points", "summary-keypoints"):
+        return payload.withColumn("theory", F.lit(None)).withColumn("rows", F.lit(None))
+    raise ValueError(f"unknown scope: {scope}")
+
+
+def first_paragraphs(c: Column, least: int = 40, most: int = 700) -> Column:
+    """The first paragraph fit for a summary: long enough, no picture, table, list or caption; cut."""
+    paragraphs = F.transform(F.split(T.text(c), r"\n\s*\n"), T.collapse)
+    fit = F.filter(paragraphs, lambda p: (F.length(p) >= least) & ~p.rlike(r"(?i)^(?:[-*•|]|\d+[.)]|!\[|<|fig|table)"))
+    return T.truncate(F.coalesce(F.get(fit, F.lit(0)), F.lit("")), most)
