@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +157,25 @@ def rename_repeats(rows: DataFrame, group: list[str], key: str, order: list[str]
     return rows.withColumn("_n", n).withColumn(key, F.when((F.col(key) == "") | (F.col("_n") == 1), F.col(key)).otherwise(F.concat_ws("_", key, "_n"))).drop("_n")
 
 
+def rename_all_repeats(rows: DataFrame, group: list[str], key: str, order: list[str]) -> DataFrame:
+    """As rename_repeats, for any ids: a repeat gets the smallest number that makes an id not seen before in its group, a topic."""
+    from quire.operators.segment import _by_group
+
+    at = rows.columns.index(key)
+
+    def work(items: list) -> Iterator[tuple]:
+        seen: set[str] = set()
+        for r in map(tuple, items):
+            name = r[at]
+            if name in seen:
+                name = next(x for n in count(2) if (x := f"{name}_{n}") not in seen)
+            if name:
+                seen.add(name)
+            yield (*r[:at], name, *r[at + 1 :])
+
+    return _by_group(rows, group, order, work, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+
+
 def align_by_rank(asked: DataFrame, answered: DataFrame, coordinates: list[str], order: str) -> DataFrame:
     """Pairs the n-th block of a coordinate with its n-th answer block; unmatched questions keep no answer."""
     place = F.row_number().over(Window.partitionBy(*coordinates).orderBy(order))

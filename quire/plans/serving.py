@@ -43,8 +43,8 @@ def chapters_child_counts(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderkey LIMIT 5 OFFSET 2")
 def chapter_page(spark, sf_dir):
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_custkey")
-    first = orders.agg(F.min("o_custkey").alias("o_custkey"))
-    return S.page(orders.join(F.broadcast(first), "o_custkey").drop("o_custkey"), [F.col("o_orderkey")], 2, 5)  # broadcast: one row
+    first = orders.agg(F.min("o_custkey")).scalar()
+    return S.page(orders.where(F.col("o_custkey") == first).drop("o_custkey"), [F.col("o_orderkey")], 2, 5)
 
 
 @query("SELECT o_custkey, count(*) AS total, greatest(1, ceil(count(*) / 5.0))::BIGINT AS pages FROM orders GROUP BY 1")
@@ -89,8 +89,7 @@ def facet_counts(spark, sf_dir):
 @query("SELECT coalesce(nullif(p_type, ''), '—') AS value, count(*) AS n FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY 1")
 def facet_scoped(spark, sf_dir):
     part = read(spark, sf_dir, "part", "p_brand", "p_type")
-    first = part.agg(F.min("p_brand").alias("p_brand"))
-    return S.facet(part.join(F.broadcast(first), "p_brand"), F.col("p_type"))  # broadcast: one row
+    return S.facet(part.where(F.col("p_brand") == part.agg(F.min("p_brand")).scalar()), F.col("p_type"))
 
 
 @query("""
@@ -204,8 +203,8 @@ SELECT u.user_id, strftime(days.day, '%Y-%m-%d') AS day, coalesce(n.n, 0)::BIGIN
 def weekly_progress(spark, sf_dir):
     """Answers on each of the last seven days; days without any count 0."""
     daily = read(spark, sf_dir, "events", "user_id", "ts").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    last = daily.agg(F.max("day").alias("last"))
-    week = daily.select("user_id").distinct().join(F.broadcast(last)).select("user_id", F.explode(F.sequence(F.date_sub("last", 6), F.col("last"))).alias("day"))  # broadcast: one row
+    last = daily.agg(F.max("day")).scalar()
+    week = daily.select("user_id").distinct().withColumn("last", last).select("user_id", F.explode(F.sequence(F.date_sub("last", 6), F.col("last"))).alias("day"))
     return week.join(daily, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("answered"))
 
 

@@ -74,6 +74,13 @@ def test_tables(books):
     assert n == {"topics": 2, "theory_sections": 3, "illustration_problems": 1, "illustration_solutions": 1, "check_your_knowledge": 1, "exercise_sections": 4, "questions": 4, "key_points": 1, "image_assets": 1}
 
 
+def test_renamed_repeats(spark):
+    ids = ["a", "a", "a_2", "", "a", "", "b"]
+    df = spark.createDataFrame([("t", k, v) for k, v in enumerate(ids)], "topic string, pos int, id string")
+    got = [r.id for r in sorted(E.rename_all_repeats(df, ["topic"], "id", ["pos"]).collect(), key=lambda r: r.pos)]
+    assert got == ["a", "a_2", "a_2_2", "", "a_3", "", "b"]
+
+
 def test_sources(spark, folder, books, tmp_path):
     assert [r.book_slug for r in B.books_in(spark, str(folder)).collect()] == ["science_class_7"]
     [v] = B.validate(books).collect()
