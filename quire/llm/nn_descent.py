@@ -313,5 +313,17 @@ def _decide(pairs: DataFrame, members: DataFrame, nodes: DataFrame, cosine: floa
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "point long, n long, ball long, other long")
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), c(node, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.a, c.comp FROM c JOIN p ON p.b = c.node),
+m AS (SELECT node, min(comp) AS component_id FROM c GROUP BY 1), n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ngram_trie": ngram_trie.op9_ngram_trie,
     "op10_langid": langid.op10_langid,
 }
-ORACLES = {"op7_quality_rules": quality.OP7_SQL}
+ORACLES = {"op7_quality_rules": quality.OP7_SQL, "op8_nn_descent": nn_descent.OP8_SQL}
