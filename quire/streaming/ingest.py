@@ -1,4 +1,4 @@
-"""New books as they arrive, run through the same batch functions. An extension: the batch pipeline alone is the reference behaviour."""
+"""New books as they arrive, run through the same batch functions. An extension of the batch functions."""
 
 from __future__ import annotations
 
