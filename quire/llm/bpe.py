@@ -21,24 +21,23 @@ from quire.llm.common import read
 from quire.llm.pretokens import pieces, vocabulary
 
 FILE = "byte_bpe_multi_50k.tiktoken"
-#: Pieces in one recursive query, pieces remembered by a task, and tokens in one decoding query.
-CHUNK, MEMORY, DECODED = 20_000, 400_000, 2_000_000
+#: Pieces in one recursive query, pieces in one generation of a task's memory, and tokens in one decoding query.
+CHUNK, MEMORY, DECODED = 50_000, 300_000, 2_000_000
 
+#: Positions stay without gaps, so the contracted pair's second token is the one after its place.
 MERGE = """
 WITH RECURSIVE state(round, word, pos, tok) AS (
   SELECT 0, word, pos, tok FROM start
   UNION ALL
-  SELECT round + 1, word, pos, CASE WHEN pos = place THEN best ELSE tok END
+  SELECT round + 1, word, CASE WHEN pos > place THEN pos - 1 ELSE pos END, CASE WHEN pos = place THEN best >> 32 ELSE tok END
   FROM (
-    SELECT *, min(CASE WHEN merged = best THEN pos END) OVER (PARTITION BY word) AS place
+    SELECT round, word, pos, tok, best, best & 4294967295 AS place
     FROM (
-      SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY word) AS best
-      FROM (
-        SELECT *, lead(tok) OVER neighbours AS following, lag(pos) OVER neighbours AS previous
-        FROM state WINDOW neighbours AS (PARTITION BY word ORDER BY pos)
-      ) p LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 65536 + p.following
+      SELECT p.*, min(m.merged << 32 | p.pos) OVER (PARTITION BY word) AS best
+      FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM state) p
+      LEFT JOIN merges m ON m.pair = p.tok << 16 | p.following
     ) WHERE best IS NOT NULL
-  ) WHERE previous IS DISTINCT FROM place
+  ) WHERE pos <> place + 1
 )
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT word AS w, max(round) AS last FROM state GROUP BY word) ON word = w AND round = last
@@ -55,12 +54,14 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         rows = [(ranks[a] << 16 | ranks[b], r) for t, r in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
-        table = pa.table({"pair": pa.array([x[0] for x in rows], pa.int64()), "merged": pa.array([x[1] for x in rows], pa.int32())})
+        table = pa.table({"pair": pa.array([x[0] for x in rows], pa.int64()), "merged": pa.array([x[1] for x in rows], pa.int64())})
         self._create("merges", table)
         # a byte is held as the character of the same number, as ordered aggregation takes strings
         self._create("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]}))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.memory: dict[str, bytes] = {}
+        # two generations: when the young one is full it becomes the old one, so that what is in use stays
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _create(self, name: str, table: pa.Table) -> None:
         self.con.register("_given", table)
@@ -75,21 +76,21 @@ class Codec:
             tok = self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)]
             word = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self.con.register("start", pa.table({"word": word, "pos": pos.astype(np.int32), "tok": tok}))
+            self.con.register("start", pa.table({"word": word, "pos": pos, "tok": tok.astype(np.int64)}))
             ids = self.con.sql(MERGE).to_arrow_table().column("ids").combine_chunks()
             flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-            self.memory.update((w, flat[a:b]) for w, a, b in zip(chunk, ends.tolist(), ends[1:].tolist()))
+            self.young.update((w, flat[a:b]) for w, a, b in zip(chunk, ends.tolist(), ends[1:].tolist()))
             self.con.unregister("start")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [pieces(t) for t in texts]
-        new = list({w for ws in cut for w in ws}.difference(self.memory))
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = list({w for ws in cut for w in ws})
-        self._learn(new)
-        return [b"".join(map(self.memory.__getitem__, ws)) for ws in cut]
+        if len(self.young) >= MEMORY:
+            self.old, self.young = self.young, {}
+        missing = {w for ws in cut for w in ws}.difference(self.young)
+        self.young.update((w, self.old[w]) for w in missing & self.old.keys())
+        self._learn(list(missing.difference(self.old)))
+        return [b"".join(map(self.young.__getitem__, ws)) for ws in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         out, k = [b""] * len(ids), 0
