@@ -292,6 +292,7 @@ def _decide(pairs: DataFrame, members: DataFrame, nodes: DataFrame, cosine: floa
     part = F.floor((F.row_number().over(Window.partitionBy("ball", "slice").orderBy("id")) - 1) / PART)
     parts = F.ceil(F.col("size") / PART).cast("int")
     sliced = members.join(nodes.select(F.col("id").alias("ball"), "size"), "ball").withColumn("slice", F.pmod(F.xxhash64("id"), parts))
+    sliced = sliced.repartition("ball", "slice")  # dealt by both: a large ball is many slices in many tasks
     packed = sliced.withColumn("part", part).groupBy("ball", "slice", "part").agg(F.collect_list(F.struct("id", "weight", "unit")).alias("m"))
     packed = stored(packed.select("ball", "m"), "packed")
     left = packed.select(F.col("ball").alias("a"), F.col("m").alias("ma"))
