@@ -45,41 +45,56 @@ class Counter:
         back = byte_characters()
         raw = lambda t: bytes(back[c] for c in t)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        ids = [raw(t) for t in spec["model"]["vocab"] if t not in self.special]
-        self.tokens = {t: k for k, t in enumerate(ids)}
-        self.raw = ids
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+        # tokens by the rank of their merge: single bytes first
+        self.raw = [bytes([b]) for b in range(256)] + [a + b for a, b in pairs]
+        self.tokens = {t: k for k, t in enumerate(self.raw)}
+        self.parts = [(k, k) for k in range(256)] + [(self.tokens[a], self.tokens[b]) for a, b in pairs]
+        self.joined = {x << 32 | y: 256 + k for k, (x, y) in enumerate(self.parts[256:])}
         self.longest = max(map(len, self.tokens))
         self.cutter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.valid: dict[int, bool] = {}
         # two generations: when the young one is full it becomes the old one, so that what is in use stays
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def merge(self, raw: bytes) -> list[bytes]:
-        """The plain encoding, for pairs of tokens."""
-        parts = [raw[k : k + 1] for k in range(len(raw))]
-        while len(parts) > 1:
-            best, k = min((self.rank.get((a, b), 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        #: the last piece, the last token and the count at each of its prefixes
+        self.state: tuple[bytes, list[int], list[int]] = (b"", [-1], [0])
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether token b may stand after token a (after nothing, if a is -1)."""
+        """Whether token b may stand after token a (after nothing, if a is -1): whether no merge across their border comes first.
+
+        The border's two sides are undone, the later merge first; a merge across it that ranks before the one last undone
+        would have happened instead.
+        """
         if len(self.valid) >= 4 * MEMORY:
             self.valid.clear()
-        before, token = (self.raw[a] if a >= 0 else b""), self.raw[b]
-        found = self.valid[a << 32 | b] = self.merge(before + token) == ([before, token] if before else [token])
-        return found
+        key = a << 32 | b
+        limit = len(self.raw)
+        while a >= 0:
+            if self.joined.get(a << 32 | b, limit) < limit:
+                self.valid[key] = False
+                return False
+            if max(a, b) < 256:
+                break
+            if a > b:
+                limit, a = a, self.parts[a][1]
+            else:
+                limit, b = b + 1, self.parts[b][0]
+        self.valid[key] = True
+        return True
 
     def prefixes(self, raw: bytes) -> list[int]:
-        """Counts at each byte of a piece."""
-        last, counts, find, valid = [-1], [0], self.tokens.get, self.valid.get
-        for i in range(1, len(raw) + 1):
-            for j in range(max(0, i - self.longest), i):
+        """Counts at each byte of a piece. What it shares with the piece before is taken over, as it holds at every prefix."""
+        before, last, counts = self.state
+        shared = 0
+        for x, y in zip(before, raw):
+            if x != y:
+                break
+            shared += 1
+        del last[shared + 1 :], counts[shared + 1 :]
+        find, valid, longest = self.tokens.get, self.valid.get, self.longest
+        for i in range(shared + 1, len(raw) + 1):
+            for j in range(max(0, i - longest), i):
                 if (t := find(raw[j:i])) is not None:
                     a = last[j]
                     if (ok := valid(a << 32 | t)) is None:
@@ -89,9 +104,17 @@ class Counter:
                         counts.append(counts[j] + 1)
                         break
             else:
+                self.state = (b"", [-1], [0])
                 raise ValueError(f"no token ends at byte {i} of {raw!r}")
+        self.state = (raw, last, counts)
         return counts[1:]
 
+    def learn(self, cut: list[list[str]]) -> None:
+        """Counts of the pieces of many texts, those that begin alike one after another."""
+        missing = {p for ps in cut for p in ps}.difference(self.young)
+        for p in sorted(missing):
+            self.piece(p)
+
     def piece(self, piece: str) -> bytes:
         """Counts at each character of a piece, as unsigned 32-bit integers."""
         if (found := self.young.get(piece)) is not None:
@@ -109,8 +132,8 @@ class Counter:
         self.young[piece] = found
         return found
 
-    def _ordinary(self, text: str) -> np.ndarray:
-        cut = pieces(text)
+    def _ordinary(self, text: str, cut: list[str] | None = None) -> np.ndarray:
+        cut = pieces(text) if cut is None else cut
         if not cut:
             return np.zeros(0, dtype=np.int64)
         raw = list(map(self.young.get, cut))
@@ -126,6 +149,13 @@ class Counter:
             counts[b - 1] = (counts[a - 1] if a else 0) + int(np.frombuffer(self.piece(m[0])[-4:], dtype=np.uint32)[0])
         return counts
 
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """counts of each text."""
+        cut = [pieces(t) for t in texts]
+        self.learn(cut)
+        special = self.cutter.search if self.cutter else lambda _: None
+        return [self.counts(t) if special(t) else self._ordinary(t, ps) for t, ps in zip(texts, cut)]
+
     def counts(self, text: str) -> np.ndarray:
         """The number of tokens of text[: k + 1], for each k. A special token's string is one token once it is whole."""
         if not self.cutter or not self.cutter.search(text):
@@ -169,11 +199,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            found = [(len(t.encode()), int(c[-1]) if len(c) else 0, fitting(c, limit)) for t in texts for c in (counter.counts(t),)]
-            size, n, fit = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), size, n, pa.array([x[1] > limit for x in found], pa.bool_()), fit], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                found = [(len(t.encode()), int(c[-1]) if len(c) else 0, fitting(c, limit)) for t, c in zip(texts, counter.many(texts))]
+                size, n, fit = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
+                yield pa.RecordBatch.from_arrays([b.column(0), size, n, pa.array([x[1] > limit for x in found], pa.bool_()), fit], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -55,6 +55,28 @@ def test_prefix_counts_are_exact(library):
         assert counts.tolist() == [len(library.encode(t[: k + 1], add_special_tokens=False).ids) for k in range(len(t))], repr(t)
 
 
+def test_compatible_tokens(library):
+    """Against merging from single bytes."""
+    counter = token_counts.Counter(P.path("byte_bpe_50k.json"))
+
+    def merged(raw):
+        parts = [raw[k : k + 1] for k in range(len(raw))]
+        while len(parts) > 1:
+            best, k = min((counter.joined.get(counter.tokens[a] << 32 | counter.tokens[b], 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == 1 << 60:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    rng = random.Random(6)
+    some = [rng.randrange(len(counter.raw)) for _ in range(3000)] + list(range(200)) * 10
+    for a, b in zip(some, reversed(some)):
+        assert counter.follows(a, b) == (merged(counter.raw[a] + counter.raw[b]) == [counter.raw[a], counter.raw[b]]), (counter.raw[a], counter.raw[b])
+    for _ in range(400):
+        whole = merged(" ".join(rng.choice(["reading", "wave", "Zq", "echo", "tion"]) for _ in range(3)).encode())
+        assert all(counter.follows(counter.tokens[x], counter.tokens[y]) for x, y in zip(whole, whole[1:]))
+
+
 def test_token_counts(spark, library):
     got = {r.doc_id: r for r in token_counts.token_counts(rows(spark), P.path("byte_bpe_50k.json")).collect()}
     for i, t in enumerate(TEXTS):
