@@ -13,6 +13,10 @@ import numpy as np
 WORD = 128
 #: Queries answered at once.
 CHUNK = 1 << 15
+#: Ones in a byte, and the place of its r-th one.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+ONES = _BITS.sum(axis=1, dtype=np.uint8)
+PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.uint8)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -67,9 +71,13 @@ class Sequence:
         block = np.searchsorted(directory, rank, side="right") - 1
         inside = rank - directory[block].astype(np.int64)
         rows = self.high.reshape(-1, WORD // 8)[block]
-        bits = np.unpackbits(rows, axis=1, bitorder="little")
-        upto = np.cumsum(bits if bit else 1 - bits, axis=1, dtype=np.int16)
-        return block * WORD + (upto <= inside[:, None]).sum(axis=1)
+        if not bit:
+            rows = ~rows
+        upto = np.cumsum(ONES[rows], axis=1, dtype=np.uint8)
+        byte = (upto <= inside[:, None]).sum(axis=1)
+        each = np.arange(len(rank))
+        before = np.where(byte > 0, upto[each, byte - 1], 0)
+        return block * WORD + byte * 8 + PLACE[rows[each, byte], inside - before]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values at these places."""
@@ -91,18 +99,20 @@ class Sequence:
             low = v & np.uint64((1 << self.bits) - 1)
             live = np.flatnonzero(high + self.n < self.size)
             high, low = high[live], low[live]
-            # the run of ones after the high-th zero holds the values with this high part
-            at = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 0) + 1, 0)
-            found = np.full(len(live), -1, dtype=np.int64)
-            todo = np.arange(len(live))
+            # the ones between the high-th zero and the next hold the values with this high part
+            first = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 0) + 1, 0) - high
+            end = self._select(high, self.zeros, 0) - high
+            lo, hi = first.copy(), end.copy()
+            todo = np.flatnonzero(lo < hi)
             while len(todo):
-                p = at[todo]
-                one = (self.high[np.minimum(p >> 3, len(self.high) - 1)] >> (p & 7).astype(np.uint8)) & 1 == 1
-                todo, p = todo[one], p[one]
-                place = p - high[todo]
-                here = self._lows(place)
-                found[todo[here == low[todo]]] = place[here == low[todo]]
-                todo = todo[here < low[todo]]
-                at[todo] += 1
+                middle = (lo[todo] + hi[todo]) >> 1
+                less = self._lows(middle) < low[todo]
+                lo[todo[less]] = middle[less] + 1
+                hi[todo[~less]] = middle[~less]
+                todo = todo[lo[todo] < hi[todo]]
+            inside = np.flatnonzero(lo < end)
+            found = np.full(len(live), -1, dtype=np.int64)
+            hit = inside[self._lows(lo[inside]) == low[inside]]
+            found[hit] = lo[hit]
             out[k + live] = found
         return out

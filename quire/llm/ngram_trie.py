@@ -139,7 +139,7 @@ class Files:
             os.replace(part, f"{self.root}/{name}.{k}.npy")
 
     def load(self, name: str, *keys: str) -> dict[str, np.ndarray]:
-        return {k: np.load(f"{self.root}/{name}.{k}.npy", mmap_mode="r") for k in keys}
+        return {k: np.asarray(np.load(f"{self.root}/{name}.{k}.npy", mmap_mode="r")) for k in keys}
 
     def sequence(self, name: str) -> Sequence:
         return Sequence(self.load(name, "meta", "low", "high", "zeros"))
