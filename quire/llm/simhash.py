@@ -173,7 +173,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(near_duplicates(docs), "near")
     extra = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    rest = docs.join(extra.union(again), "doc_id", "left_anti").select(*docs.columns)
+    # the list of ids grows with the documents, so it is never broadcast, however short it is on a small input
+    rest = docs.join(extra.union(again).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return rest
     return rest.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
