@@ -1,7 +1,7 @@
 """Language-model scores from an Elias-Fano n-gram trie of order three.
 
-Training counts words, pairs and triples over all training documents. Pairs and triples seen once give their mass to
-their shorter context; the others get an interpolated, absolutely discounted probability, quantised to eight bits.
+Training counts words, pairs and triples over all training documents. Pairs and triples get an interpolated, absolutely
+discounted probability, quantised to eight bits; the query keeps all of them, ``train`` may be asked for a cut-off.
 
 The trie is cut into shards by the hash of an n-gram's first word, each built by a task of its own and published as
 array files in the shared folder, which scoring tasks map into memory. A shard's levels are Elias-Fano sequences:
@@ -343,9 +343,11 @@ def _row(x: tuple, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in x], names)
 
 
-def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Trie:
+def train(docs: DataFrame, text: str = "text", folder: str | None = None, min_count: int = MIN_COUNT) -> Trie:
     """The trie over all texts of docs (null: empty), published in folder or else in the shared folder.
 
+    Pairs and triples seen less than min_count times give their mass to their shorter context.
+
     The driver sees one row of sizes for each shard. Every stage's task can run again: files are replaced whole.
     """
     spark = docs.sparkSession
@@ -423,7 +425,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Tri
                 yield s, keys[order[cuts[s] : cuts[s + 1]]]
 
     def level2(s: int, keys: np.ndarray, n: np.ndarray) -> tuple:
-        keys, n = keys[n >= MIN_COUNT], n[n >= MIN_COUNT]
+        keys, n = keys[n >= min_count], n[n >= min_count]
         size = int(offsets[s + 1] - offsets[s])
         first = (keys >> np.uint64(32)).astype(np.int64) - offsets[s]
         second = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -453,7 +455,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Tri
                 yield s, keys[order[cuts[s] : cuts[s + 1]]]
 
     def level3(s: int, keys: np.ndarray, n: np.ndarray) -> tuple:
-        keys, n = keys[n >= MIN_COUNT], n[n >= MIN_COUNT]
+        keys, n = keys[n >= min_count], n[n >= min_count]
         pair = (keys // np.uint64(trie.widest)).astype(np.int64)
         relative = (keys % np.uint64(trie.widest)).astype(np.int64)
         files = Files(root)
@@ -503,5 +505,5 @@ def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    scored = score(docs, train(docs.where(~held_out("doc_id", 7))))
+    scored = score(docs, train(docs.where(~held_out("doc_id", 7)), min_count=1))
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -91,3 +91,33 @@ def test_untrained(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in T.score(docs, T.train(docs.limit(0))).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[2].score == 0.0
+
+
+class Whole(Plain):
+    """The plain model without a cut-off."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.bi, self.tri, self.back = Counter(), Counter(), Counter()
+        for t in texts:
+            w = words(t)
+            self.bi.update(zip(w, w[1:]))
+            self.tri.update(zip(w, w[1:], w[2:]))
+        for k, n in self.bi.items():
+            self.back[k[:1]] += (n - 0.75) / self.uni[k[0]]
+        for k, n in self.tri.items():
+            self.back[k[:2]] += (n - 0.75) / self.bi[k[:2]]
+
+
+def test_query_keeps_what_was_seen_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    pool = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(pool, 12))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in T.op9_ngram_trie(spark, str(tmp_path)).collect()}
+    plain = Whole([t for i, t in rows if not got[i].held_out])
+    for i, t in rows:
+        w = words(t)
+        best = sum(math.log10(plain.p(x, tuple(w[max(0, k - 2) : k]))) for k, x in enumerate(w))
+        assert best - 0.16 * len(w) - 1e-6 <= got[i].score <= best + 1e-6, (i, best, got[i].score)
