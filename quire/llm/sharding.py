@@ -4,7 +4,7 @@ The tree splits the documents recursively along their widest metadata dimension,
 the weighted quantile that fits an odd number of shards), until a leaf holds the target: total bytes over the shards.
 A quantile is found by distributed histograms that narrow in on it; the driver sees one row for each tree node and
 round, however large the table is. Along a dimension rows are ordered by value, then by their text's checksum, so that
-equal texts go to one shard unless their group alone is too heavy; such a group is cut by a hash of the row's number.
+equal texts, which share their coordinates whatever their sources, go to one shard unless their group is too heavy; such a group is cut by a hash of the row's number.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TOLERANCE = 0.001
 BINS = 4096
 #: Rows that one window of the slot numbering holds, about.
 SLOT_ROWS = 4096
+#: Tasks that the copies of one text are dealt over.
+SALTS = 16
 DIM_BITS = 20
 HASH_BITS = 40
 
@@ -50,19 +52,33 @@ def dimensions(docs: DataFrame, text: str = "text") -> list[Column]:
 
 
 def compact(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each document: what the tree needs, and the carried columns. Stored, so that row numbers stay."""
+    """One row for each document: what the tree needs, and the carried columns. Stored, so that row numbers stay.
+
+    All copies of a text get the smallest coordinates among them, so that no cut along source or language parts them.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     dims = dimensions(docs, text)
-    return stored(
+    rows = stored(
         docs.select(
             *carry,
             (F.octet_length(t) + 8).cast("long").alias("_size"),
             F.crc32(t).alias("_crc"),
             *(d.alias(f"_d{k}") for k, d in enumerate(dims)),
             F.monotonically_increasing_id().alias("_uid"),
+            F.xxhash64(t).alias("_text"),
         ),
         "kd",
     )
+    groups = rows.groupBy("_text", "_size").agg(*(f(f"_d{k}").alias(f"_{f.__name__}{k}") for k in range(len(dims)) for f in (F.min, F.max)))
+    mixed = groups.where(" OR ".join(f"_min{k} < _max{k}" for k in range(len(dims))))
+    mixed = stored(mixed.select("_text", "_size", *(f"_min{k}" for k in range(len(dims)))), "mixed")
+    if mixed.isEmpty():
+        return rows.drop("_text")
+    # every group stands SALTS times, so that the rows of a large one are dealt over as many tasks
+    dealt = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    met = rows.withColumn("_salt", F.pmod(F.hash("_uid"), F.lit(SALTS))).join(dealt, ["_text", "_size", "_salt"], "left")
+    placed = [F.coalesce(f"_min{k}", f"_d{k}").alias(f"_d{k}") for k in range(len(dims))]
+    return stored(met.select(*carry, "_size", "_crc", *placed, "_uid"), "kd")
 
 
 def _key(dim: int) -> Column:

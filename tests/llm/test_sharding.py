@@ -32,6 +32,16 @@ def test_equal_texts_stay_together(spark):
     check(rows, out, 7, 3000)
 
 
+def test_equal_texts_of_different_sources_stay_together(spark):
+    rows = [(i, f"text {i % 400} " * 20, f"src{i % 7}", ["en", "de", None][i % 3], "") for i in range(1600)]
+    out = S.shard(spark.createDataFrame(rows, SCHEMA), 7).collect()
+    where = {}
+    for r in out:
+        where.setdefault(r._crc, set()).add(r.shard)
+    assert sum(len(v) > 1 for v in where.values()) <= 6
+    check(rows, out, 7, 3000)
+
+
 def test_repeated_rows_nulls_and_long_text(spark):
     rows = [(1, "same", "s", "en", "")] * 3000 + [(None, None, None, None, None)] * 50 + [(9, "", "s", "en", "")]
     out = S.shard(spark.createDataFrame(rows, SCHEMA), 24).collect()
