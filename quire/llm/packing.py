@@ -9,7 +9,10 @@ few windows still open are joined, cutting freely, so that at most one sequence
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,42 +23,56 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import read
 from quire.llm.pretokens import pieces, vocabulary
+from quire.llm.token_counts import byte_characters
 
 FILE = "byte_bpe_50k.json"
 WINDOW = 1024
 END = 0
-MEMORY = 400_000
+#: Pieces in one generation of a task's memory.
+MEMORY = 300_000
 
 #: (doc_id, start, ids as bytes, tokens of the document)
 Piece = tuple[int | None, int, bytes, int]
 
 
 class Encoder:
-    """Ids of texts, four bytes each; the distinct pieces of a batch are encoded by the library once and remembered."""
+    """Ids of texts, four bytes each; the library's model encodes each distinct piece once, and pieces in use are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.shown = {b: c for c, b in byte_characters().items()}
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda _: None
+        # two generations: when the young one is full it becomes the old one, so that what is in use stays
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else pieces(t) for t in texts]
-        new = list({p for ps in cut if ps for p in ps}.difference(self.memory))
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
-            new = list({p for ps in cut if ps for p in ps})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.memory.update((p, _bytes(e.ids)) for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)))
-        whole = lambda t: _bytes(self.library.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if ps is None else b"".join(map(self.memory.__getitem__, ps)) for t, ps in zip(texts, cut)]
+        cut = [None if self.special(t) else pieces(t) for t in texts]
+        if len(self.young) >= MEMORY:
+            self.old, self.young = self.young, {}
+        missing = {p for ps in cut if ps for p in ps}.difference(self.young)
+        if kept := missing & self.old.keys():
+            self.young.update((p, self.old[p]) for p in kept)
+        tokenize, shown = self.model.tokenize, self.shown
+        for p in missing - kept:
+            # the model takes each byte as the character that shows it
+            self.young[p] = _bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))])
+        return [self._whole(t) if ps is None else b"".join(map(self.young.__getitem__, ps)) for t, ps in zip(texts, cut)]
+
+    def _whole(self, text: str) -> bytes:
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class Packer:
@@ -124,20 +141,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, end = Encoder(path), Packer(window), _bytes([END])
         sequence = TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
+        held: list[Piece] = []
+        places: list[tuple[int, int]] = []
 
         def take(full: list[Piece]) -> None:
             nonlocal sequence
             offset = 0
-            for d, start, ids, n in full:
-                rows.append((d, start, len(ids) // 4, zlib.crc32(ids), n, sequence, offset, ids))
-                offset += len(ids) // 4
+            for piece in full:
+                places.append((sequence, offset))
+                offset += len(piece[2]) // 4
+            held.extend(full)
             sequence += 1
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-            rows.clear()
+            ids, n = [p[2] for p in held], np.array(places, dtype=np.int64).reshape(-1, 2)
+            crc, length = (np.array(list(map(f, ids)), dtype=np.int64) for f in (zlib.crc32, len))
+            columns = [pa.array([p[0] for p in held], pa.int64()), [p[1] for p in held], length // 4, crc, [p[3] for p in held], n[:, 0], n[:, 1]]
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array(ids, pa.binary())] * with_ids, names)
+            held.clear()
+            places.clear()
             return out
 
         for whole in batches:
