@@ -2,7 +2,7 @@
 
 Encoding: the distinct pieces of a batch become rows (word, position, token), starting from single bytes. A recursive
 query joins each neighbouring pair with the merge table and contracts the leftmost pair of the smallest rank in every
-word, until no word has a pair left. Decoding joins token rows with the vocabulary and aggregates them in order.
+word, until no word has a pair left; in long pieces the pair's other copies go in the same round where that is the same. Decoding joins token rows with the vocabulary and aggregates them in order.
 """
 
 from __future__ import annotations
@@ -23,21 +23,55 @@ from quire.llm.pretokens import pieces, vocabulary
 FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in one recursive query, pieces in one generation of a task's memory, and tokens in one decoding query.
 CHUNK, MEMORY, DECODED = 50_000, 300_000, 2_000_000
+#: Bytes of a piece from which it counts as long, and bytes of long pieces in one query.
+LONG, LONG_BYTES = 256, 200_000
 
 #: Positions stay without gaps, so the contracted pair's second token is the one after its place.
 MERGE = """
 WITH RECURSIVE state(round, word, pos, tok) AS (
   SELECT 0, word, pos, tok FROM start
   UNION ALL
-  SELECT round + 1, word, CASE WHEN pos > place THEN pos - 1 ELSE pos END, CASE WHEN pos = place THEN best >> 32 ELSE tok END
-  FROM (
-    SELECT round, word, pos, tok, best, best & 4294967295 AS place
-    FROM (
-      SELECT p.*, min(m.merged << 32 | p.pos) OVER (PARTITION BY word) AS best
-      FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM state) p
-      LEFT JOIN merges m ON m.pair = p.tok << 16 | p.following
-    ) WHERE best IS NOT NULL
-  ) WHERE pos <> place + 1
+  (WITH found AS (
+    SELECT s.word, min(merged << 32 | s.pos) AS best
+    FROM state s JOIN state n ON n.word = s.word AND n.pos = s.pos + 1 JOIN merges ON pair = s.tok << 16 | n.tok GROUP BY s.word
+  ), spot AS (SELECT word, best >> 32 AS merged, best & 4294967295 AS place FROM found)
+  SELECT round + 1, s.word, CASE WHEN pos > place THEN pos - 1 ELSE pos END, CASE WHEN pos = place THEN merged ELSE tok END
+  FROM state s JOIN spot ON spot.word = s.word WHERE pos <> place + 1)
+)
+SELECT word, list(tok ORDER BY pos) AS ids
+FROM state JOIN (SELECT word AS w, max(round) AS last FROM state GROUP BY word) ON word = w AND round = last
+GROUP BY word ORDER BY word
+"""
+#: The same for long pieces, which would need a round for each contraction. A round contracts the copies of the pair from
+#: the left, as they would follow each other, up to the first that makes a pair of a smaller rank with a neighbour; that
+#: pair comes first in the next round. Positions are byte offsets here, and the next token stands a token's length
+#: further on. A run of one token is contracted at every other place.
+MERGE_LONG = """
+WITH RECURSIVE state(round, word, pos, len, tok) AS (
+  SELECT 0, word, pos, 1::BIGINT, tok FROM start
+  UNION ALL
+  (WITH pairs AS MATERIALIZED (
+    SELECT s.word, s.pos, s.len, n.pos AS after, n.len AS more, merged, s.tok = n.tok AS twin
+    FROM state s JOIN state n ON n.word = s.word AND n.pos = s.pos + s.len JOIN merges ON pair = s.tok << 16 | n.tok
+  ), best AS MATERIALIZED (SELECT word, min(merged) AS best FROM pairs GROUP BY word
+  ), copies AS MATERIALIZED (SELECT p.* FROM pairs p JOIN best ON best.word = p.word AND merged = best
+  ), apart AS (
+    SELECT word, pos, after, more, merged FROM copies WHERE NOT twin
+    UNION ALL
+    SELECT word, pos, after, more, merged
+    FROM (SELECT *, pos - len * row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM copies WHERE twin)
+    QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
+  ), beside AS (
+    SELECT c.*, least(l.merged, r.merged, d.merged) < c.merged AS lower
+    FROM apart c LEFT JOIN state x ON x.word = c.word AND x.pos + x.len = c.pos LEFT JOIN state y ON y.word = c.word AND y.pos = c.after + c.more
+    LEFT JOIN merges l ON l.pair = x.tok << 16 | c.merged LEFT JOIN merges r ON r.pair = c.merged << 16 | y.tok
+    LEFT JOIN merges d ON d.pair = c.merged << 16 | c.merged
+  ), taken AS MATERIALIZED (
+    SELECT word, pos, after, more, merged FROM beside
+    QUALIFY coalesce(sum(lower::INT) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
+  ), changed AS (SELECT word, pos, more, merged FROM taken UNION ALL SELECT word, after, NULL, -1 FROM taken)
+  SELECT round + 1, s.word, s.pos, s.len + coalesce(more, 0), coalesce(merged, s.tok)
+  FROM state s SEMI JOIN best ON best.word = s.word LEFT JOIN changed e ON e.word = s.word AND e.pos = s.pos WHERE coalesce(merged, 0) >= 0)
 )
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT word AS w, max(round) AS last FROM state GROUP BY word) ON word = w AND round = last
@@ -52,7 +86,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "max_temp_directory_size": "0KB"})
         rows = [(ranks[a] << 16 | ranks[b], r) for t, r in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
         table = pa.table({"pair": pa.array([x[0] for x in rows], pa.int64()), "merged": pa.array([x[1] for x in rows], pa.int64())})
         self._create("merges", table)
@@ -69,18 +103,32 @@ class Codec:
         self.con.unregister("_given")
 
     def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), CHUNK):
-            chunk = words[k : k + CHUNK]
-            raw = [w.encode() for w in chunk]
-            lengths = np.array([len(r) for r in raw])
-            tok = self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-            word = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self.con.register("start", pa.table({"word": word, "pos": pos, "tok": tok.astype(np.int64)}))
-            ids = self.con.sql(MERGE).to_arrow_table().column("ids").combine_chunks()
-            flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-            self.young.update((w, flat[a:b]) for w, a, b in zip(chunk, ends.tolist(), ends[1:].tolist()))
-            self.con.unregister("start")
+        short, long = [], []
+        for w in words:
+            (long if len(w) >= LONG // 4 and len(w.encode()) >= LONG else short).append(w)
+        for k in range(0, len(short), CHUNK):
+            self._merge(MERGE, short[k : k + CHUNK])
+        size, some = 0, []
+        for w in long:
+            if some and size + len(w) > LONG_BYTES:
+                self._merge(MERGE_LONG, some)
+                size, some = 0, []
+            some.append(w)
+            size += len(w)
+        if some:
+            self._merge(MERGE_LONG, some)
+
+    def _merge(self, query: str, chunk: list[str]) -> None:
+        raw = [w.encode() for w in chunk]
+        lengths = np.array([len(r) for r in raw])
+        tok = self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
+        pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.con.register("start", pa.table({"word": word, "pos": pos, "tok": tok.astype(np.int64)}))
+        ids = self.con.sql(query).to_arrow_table().column("ids").combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
+        self.young.update((w, flat[a:b]) for w, a, b in zip(chunk, ends.tolist(), ends[1:].tolist()))
+        self.con.unregister("start")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
@@ -115,6 +163,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     A null text counts as empty and has no ids; each row stands for itself, repeated or not; a text of any length is
     encoded whole. Special tokens are ordinary text. Texts are cut by piece, so memory follows the batch and its pieces.
+    An empty table gives no rows; columns of docs other than the two named don't matter.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids binary, decoded binary"
 

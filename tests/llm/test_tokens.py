@@ -45,6 +45,19 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(rows(spark).limit(0), path).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.FILE), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = bpe.Codec(P.path(bpe.FILE)), random.Random(8)
+    known = [t.decode() for t in ranks if t.isalpha()]
+    pools = [list("abcdefghijklmnopqrstuvwxyz"), ["a", "aa", "ab", "b"], known, ["é", "ü", "日"], ["="]]
+    texts = ["".join(rng.choice(pool) for _ in range(n)) for pool in pools for n in (130, 300, 2000)]
+    for t, ids in zip(texts, codec.encode(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == enc.encode_ordinary(t), t[:50]
+
+
 def test_prefix_counts_are_exact(library):
     counter = token_counts.Counter(P.path("byte_bpe_50k.json"))
     rng = random.Random(5)
@@ -84,6 +97,7 @@ def test_token_counts(spark, library):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 512)
         cut = (t or "")[: got[i].fit_chars]
         assert len(library.encode(cut, add_special_tokens=False).ids) <= 512 and (cut == (t or "") or n > 512)
+    assert token_counts.token_counts(rows(spark).limit(0), P.path("byte_bpe_50k.json")).count() == 0
     arrays = token_counts.prefix_counts(rows(spark, ["ab cd", None]), P.path("byte_bpe_50k.json")).collect()
     assert sorted((r.doc_id, len(r.counts)) for r in arrays) == [(0, 5), (1, 0)]
 
