@@ -4,7 +4,8 @@ The tree splits the documents recursively along their widest metadata dimension,
 the weighted quantile that fits an odd number of shards), until a leaf holds the target: total bytes over the shards.
 A quantile is found by distributed histograms that narrow in on it; the driver sees one row for each tree node and
 round, however large the table is. Along a dimension rows are ordered by value, then by their text's checksum, so that
-equal texts, which share their coordinates whatever their sources, go to one shard unless their group is too heavy; such a group is cut by a hash of the row's number.
+equal texts, which share their coordinates whatever their sources, go to one shard unless their group is too heavy; such
+a group is cut by a hash of the row's number. A dimension's width in a node is taken relative to its width in the table.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import read, stored
+from quire.llm.common import fresh, read, stored
 
 SHARDS = 24
 #: A cut may miss its target by this part of a leaf's bytes.
 TOLERANCE = 0.001
 #: Bins of a histogram, for each node of the tree.
-BINS = 4096
+BINS = 1 << 14
 #: Rows that one window of the slot numbering holds, about.
 SLOT_ROWS = 4096
 #: Tasks that the copies of one text are dealt over.
 SALTS = 16
 DIM_BITS = 20
 HASH_BITS = 40
+#: What counts as digits and symbols.
+SYMBOLS = "0123456789#*$%&|<>@^_=+~/\\{}[]"
 
 
 @dataclass
@@ -43,24 +46,37 @@ class Node:
     right: "Node | None" = None
 
 
+#: Dimensions of ``dimensions``; those from DOCUMENT on are the document's, not its text's.
+DIMS, DOCUMENT = 5, 3
+
+
 def dimensions(docs: DataFrame, text: str = "text") -> list[Column]:
-    """Length, source and language as integers of DIM_BITS bits; null and absent columns are 0."""
-    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8
+    """Length, lines, share of digits and symbols, source and language, as integers of DIM_BITS bits.
+
+    Lengths and lines count by their logarithm; sources and languages are places on a line, by their checksum. Null and
+    absent columns are 0.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
     top = (1 << DIM_BITS) - 1
-    code = lambda c: (F.shiftright(F.crc32(F.col(c).cast("string")), 32 - DIM_BITS) if c in docs.columns else F.lit(None))
-    return [F.least(F.lit(top), F.floor(F.log2(size.cast("double")) * (top / 40)).cast("int")).cast("long")] + [F.coalesce(code(c).cast("long"), F.lit(0).cast("long")) for c in ("source", "lang")]
+    log = lambda c: F.least(F.lit(top), F.floor(F.log2(c.cast("double")) * (top / 40)).cast("int")).cast("long")
+    lines = F.length(t) - F.length(F.translate(t, "\n", "")) + 1
+    marks = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    share = F.floor(F.lit(top) * marks / F.greatest(F.length(t), F.lit(1))).cast("long")
+    code = lambda c: F.shiftright(F.crc32(F.col(c).cast("string")), 32 - DIM_BITS).cast("long") if c in docs.columns else F.lit(0).cast("long")
+    return [log(F.octet_length(t) + 8), log(lines), share] + [F.coalesce(code(c), F.lit(0).cast("long")) for c in ("source", "lang")]
 
 
 def compact(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each document: what the tree needs, and the carried columns. Stored, so that row numbers stay.
+    """One row for each document: what the tree needs, and the carried columns as a struct ``_row``. Stored, so that row numbers stay.
 
-    All copies of a text get the smallest coordinates among them, so that no cut along source or language parts them.
+    All copies of a text get the smallest source and language among them, so that no cut along these parts them.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     dims = dimensions(docs, text)
+    own = range(DOCUMENT, DIMS)
     rows = stored(
         docs.select(
-            *carry,
+            F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"),
             (F.octet_length(t) + 8).cast("long").alias("_size"),
             F.crc32(t).alias("_crc"),
             *(d.alias(f"_d{k}") for k, d in enumerate(dims)),
@@ -69,16 +85,16 @@ def compact(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_
         ),
         "kd",
     )
-    groups = rows.groupBy("_text", "_size").agg(*(f(f"_d{k}").alias(f"_{f.__name__}{k}") for k in range(len(dims)) for f in (F.min, F.max)))
-    mixed = groups.where(" OR ".join(f"_min{k} < _max{k}" for k in range(len(dims))))
-    mixed = stored(mixed.select("_text", "_size", *(f"_min{k}" for k in range(len(dims)))), "mixed")
+    groups = rows.groupBy("_text", "_size").agg(*(f(f"_d{k}").alias(f"_{f.__name__}{k}") for k in own for f in (F.min, F.max)))
+    mixed = groups.where(" OR ".join(f"_min{k} < _max{k}" for k in own))
+    mixed = stored(mixed.select("_text", "_size", *(f"_min{k}" for k in own)), "mixed")
     if mixed.isEmpty():
         return rows.drop("_text")
     # every group stands SALTS times, so that the rows of a large one are dealt over as many tasks
     dealt = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     met = rows.withColumn("_salt", F.pmod(F.hash("_uid"), F.lit(SALTS))).join(dealt, ["_text", "_size", "_salt"], "left")
-    placed = [F.coalesce(f"_min{k}", f"_d{k}").alias(f"_d{k}") for k in range(len(dims))]
-    return stored(met.select(*carry, "_size", "_crc", *placed, "_uid"), "kd")
+    placed = [F.coalesce(f"_min{k}", f"_d{k}").alias(f"_d{k}") if k in own else F.col(f"_d{k}") for k in range(DIMS)]
+    return stored(met.select("_row", "_size", "_crc", *placed, "_uid"), "kd")
 
 
 def _key(dim: int) -> Column:
@@ -117,10 +133,10 @@ def _narrow(rows: DataFrame, root: Node, goals: dict[int, dict]) -> dict[int, tu
     return {r["_node"]: (r["_bin"], r["upto"] - r["w"], r["w"]) for r in found.select("_node", "_bin", "upto", "w").collect()}
 
 
-def build(rows: DataFrame, shards: int = SHARDS, dims: int = 3) -> Node:
+def build(rows: DataFrame, shards: int = SHARDS, dims: int = DIMS) -> Node:
     """The tree over compact rows. The driver holds its nodes, fewer than twice the shards."""
     root = Node(0, 0, shards)
-    level, made = [root], 1
+    level, made, whole = [root], 1, None
     while level := [n for n in level if n.count > 1]:
         node = F.col("_node")
         spans = rows.withColumn("_node", _leaf(root, lambda n: n.id)).where(node.isin(*(n.id for n in level))).groupBy("_node").agg(
@@ -130,7 +146,9 @@ def build(rows: DataFrame, shards: int = SHARDS, dims: int = 3) -> Node:
         for n in level:
             if (r := seen.get(n.id)) is None:
                 continue  # no rows: every cut is right
-            n.dim = max(range(dims), key=lambda k: r[f"max{k}"] - r[f"min{k}"])
+            width = [r[f"max{k}"] - r[f"min{k}"] for k in range(dims)]
+            whole = whole or width
+            n.dim = max(range(dims), key=lambda k: width[k] / max(whole[k], 1))
             lo, hi = r[f"min{n.dim}"] << 32, (r[f"max{n.dim}"] + 1) << 32
             goals[n.id] = {"node": n, "dim": n.dim, "hashed": False, "cut": 0, "lo": lo, "hi": hi, "width": -(-(hi - lo) // BINS), "target": r["bytes"] * (n.count // 2) // n.count, "slack": int(TOLERANCE * r["bytes"] / n.count)}
         while goals:
@@ -178,22 +196,22 @@ def assign(rows: DataFrame, root: Node) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with _size, _crc, shard and slot.
+    """The carried columns as a struct ``_row``, with _size, _crc, shard and slot.
 
-    A null text weighs 8 bytes, as an empty one does. Repeated rows are rows of their own. An empty table gives no
-    rows. Columns of docs that aren't carried don't matter, whatever their names.
+    A null text weighs 8 bytes, as an empty one does. Texts of any length are weighed whole. Repeated rows are rows of
+    their own. An empty table gives no rows. Columns of docs may have any name, carried or not.
     """
     rows = compact(docs, text, carry)
     return assign(rows, build(rows, shards))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The whole documents, one folder for each shard."""
-    columns = tuple(c for c in docs.columns)
-    out = shard(docs, shards, carry=columns).select(*columns, "shard")
-    out.write.partitionBy("shard").parquet(path)
+    """The whole documents, one folder for each shard, named ``shard`` (with an underscore after it where docs has such a column)."""
+    name = fresh(docs.columns, "shard")
+    out = shard(docs, shards, carry=tuple(docs.columns)).select("_row.*", F.col("shard").alias(name))
+    out.write.partitionBy(name).parquet(path)
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("_row.doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
