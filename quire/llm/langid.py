@@ -5,14 +5,16 @@ transitions say how readily the language changes between neighbouring words. For
 posterior over the languages, so a text that switches between languages is labelled word by word; a document's language
 is the one with the largest share.
 
-The field is fitted on a bounded sample: at most about SAMPLE documents of each language, chosen by a hash of their id,
-whole. Training sequences are spliced from stretches of these documents, so that transitions are seen as well as words.
+The field is fitted on a bounded sample: STRETCHES stretches of at most LONGEST words, anywhere in the text, of at most
+about SAMPLE documents of each language, chosen by a hash of their id. SEQUENCES training sequences are spliced from
+these stretches, so that transitions are seen as well as words; the lexicon is the stretches' LEXICON commonest words.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, read
 
-#: Documents of each language in the training sample, about.
-SAMPLE = 250
+#: Documents of each language in the training sample, about; stretches of each, and words of a stretch at most.
+SAMPLE, STRETCHES, LONGEST = 250, 8, 60
 BUCKETS = 1 << 17
 LEXICON = 3000
 SEQUENCES, LENGTH, EPOCHS, RATE = 1600, 96, 4, 0.15
@@ -34,7 +36,9 @@ MEMORY = 400_000
 HELD = 400_000
 UNKNOWN = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that Python takes for word characters but that are neither letters nor decimal digits: powers, fractions, numerals.
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -167,19 +171,29 @@ def _pairs(scores: np.ndarray, post: np.ndarray, moves: np.ndarray) -> np.ndarra
     return (joint / joint.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
+def stretches(doc_id: int, text: str) -> list[str]:
+    """Stretches of 8 words or more, as far as the text has them, at places chosen by the document's id."""
+    found, rng = words(text), random.Random(doc_id)
+    if len(found) <= LONGEST:
+        return [" ".join(found)] if found else []
+    return [" ".join(found[a : a + rng.randrange(8, LONGEST + 1)]) for a in (rng.randrange(len(found) - 7) for _ in range(STRETCHES))]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field from rows (doc_id, text, lang); rows without text or language are left out."""
+    """The field from rows (doc_id, text, lang); rows without id, text or language are left out."""
     known = docs.where("text is not null and lang is not null and doc_id is not null")
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not n:
-        return Field([], set())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = None
-    for lang, count in n.items():
-        mine = (F.col("lang") == lang) & (place < min(1.0, sample / count))
-        chosen = mine if chosen is None else chosen | mine
-    # bounded by `sample` documents of each language
-    return train([(r["text"], r["lang"]) for r in known.where(chosen).select("text", "lang").collect()])
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # broadcast: a row for each language
+    chosen = known.join(F.broadcast(counts), "lang").where(place < F.lit(sample) / F.col("n")).select("doc_id", "text", "lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(s, lang) for d, t, lang in zip(*(b.column(k).to_pylist() for k in range(3))) for s in stretches(d, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["text", "lang"])
+
+    # bounded by `sample` documents of each language and the stretches of each
+    return train([(r["text"], r["lang"]) for r in chosen.mapInArrow(cut, "text string, lang string").collect()])
 
 
 class Labeller:
@@ -221,7 +235,8 @@ def identify(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str =
     """(doc_id, lang_pred, score) for each row, and word_langs if asked for.
 
     A null text and one without letters is ``und`` with score 0, as is every text if nothing could be learned. Texts of
-    any length are labelled whole; ties go to the language first in order.
+    any length are labelled whole; ties go to the language first in order. Repeated rows are labelled each; an empty
+    table gives no rows. Columns of docs other than the two named don't matter.
     """
     schema = "doc_id long, lang_pred string, score double" + ", word_langs array<string>" * by_word
 

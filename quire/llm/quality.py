@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, let, read
+from quire.llm.common import WORD, fresh, let, read
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -68,29 +68,24 @@ def _repeat_words(words: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``measured``. A null text counts as empty; other columns stay as they are."""
+def measurements(text: str = "text") -> Column:
+    """The struct of a text's measurements; a null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     counted = let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     flat = F.translate(t, SPACES, "")
-    return (
-        docs.withColumn("_c", counted)
-        .withColumn("_l", by_line)
-        .withColumn(
-            "measured",
-            F.struct(
-                F.col("_c.n_words").alias("n_words"),
-                F.length(flat).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                F.length(F.regexp_replace(flat, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-                F.col("_l.n_lines").alias("n_lines"),
-                F.col("_l.n_dup_lines").alias("n_dup_lines"),
-                F.col("_c.n_repeat_words").alias("n_repeat_words"),
-            ),
-        )
-        .drop("_c", "_l")
+    return let(
+        F.struct(counted.alias("c"), by_line.alias("l"), flat.alias("flat")),
+        lambda x: F.struct(
+            x["c"]["n_words"].alias("n_words"),
+            F.length(x["flat"]).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(x["flat"], r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+            x["l"]["n_lines"].alias("n_lines"),
+            x["l"]["n_dup_lines"].alias("n_dup_lines"),
+            x["c"]["n_repeat_words"].alias("n_repeat_words"),
+        ),
     )
 
 
@@ -98,21 +93,28 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``measured`` and ``fail_bits`` (bit k: rule k failed).
+    """docs with ``measured`` and ``fail_bits`` (bit k: rule k failed), the last two columns.
 
-    Null and empty texts have no words and fail ``too_few_words``; repeated rows each get their own entry.
+    Null and empty texts have no words and fail ``too_few_words``; texts of any length are measured whole; repeated rows
+    each get their own entry; no rows give none. Columns of docs stay as they are: where docs has a column of one of
+    these names, the ledger's own gets an underscore after it (``names`` tells).
     """
-    bits = None
+    measured, bits = names(docs)
+    failed = None
     for k, (_, rule) in enumerate(RULES):
-        condition = F.expr(_within(rule))
-        bit = F.when(condition, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measure(docs, text).withColumn("fail_bits", bits)
+        bit = F.when(F.expr(_within(rule, measured)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        failed = bit if failed is None else failed.bitwiseOR(bit)
+    return docs.withColumn(measured, measurements(text)).withColumn(bits, failed)
+
+
+def names(docs: DataFrame) -> tuple[str, str]:
+    """The names of the ledger's two columns beside those of docs."""
+    return fresh(docs.columns, "measured"), fresh(docs.columns, "fail_bits")
 
 
-def _within(rule: str) -> str:
+def _within(rule: str, measured: str) -> str:
     """A rule's text with each measurement taken from the struct, whatever other columns are called."""
-    return " ".join(f"measured.{x}" if x in MEASURES else x for x in rule.split(" "))
+    return " ".join(f"`{measured}`.{x}" if x in MEASURES else x for x in rule.split(" "))
 
 
 def verdict(policy: str, bits: str = "fail_bits") -> Column:
@@ -177,5 +179,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the policy rejects."""
-    return ledger(docs).where(verdict("v1")).select(*docs.columns)
+    """docs without those that the policy rejects; its columns as they are."""
+    return ledger(docs).where(verdict("v1", names(docs)[1])).select(*(F.col(f"`{c}`") for c in docs.columns))

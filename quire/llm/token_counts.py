@@ -194,7 +194,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
     """(doc_id, n_bytes, n_tokens, over_limit, fit_chars), answered from each row's prefix counts.
 
     fit_chars is the length of the longest prefix within the limit. A null text counts as empty: no bytes, no tokens,
-    not over. Repeated rows are counted each; texts of any length are counted whole.
+    not over. Repeated rows are counted each; texts of any length are counted whole; an empty table gives no rows.
+    Columns of docs other than the two named don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

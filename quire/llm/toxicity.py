@@ -5,9 +5,11 @@ itself, as a letter it stands for, as a word break, or as nothing. Viterbi decod
 the training texts picks the likeliest reading, and the restored words are scored.
 
 - The character model counts every trigram of every training document; the table is bounded by its alphabet of 64 symbols.
-- The classifier is fitted on at most about LABELLED labelled documents of each class, chosen by a hash of their id.
-  It weighs words and word beginnings by how much oftener toxic documents hold them, and a logistic curve over a
-  document's two heaviest words together gives its score.
+- The classifier is fitted on at most about LABELLED labelled training documents of each class, chosen by a hash of
+  their id. It weighs words and word beginnings by how much oftener toxic documents hold them. A document's score is a
+  logistic curve over its two heaviest words together: toxicity is in a few words, wherever they stand in however long a
+  text, so clean words neither lower a score nor does length raise it. Features that clean documents hold as often, and
+  those of little weight, are left out of the table, as they never are among the heaviest.
 """
 
 from __future__ import annotations
@@ -241,16 +243,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     """The model from rows (doc_id, text) and (doc_id, toxic). A document labelled twice counts as toxic if either says so.
 
-    Without labels of both classes every score is the share of toxic ones, smoothed.
+    Labels of documents that docs doesn't hold count for nothing. A doc_id on several rows counts once, with the smallest
+    of its texts. Without labels of both classes every score is the share of toxic ones, smoothed.
     """
     chars = character_model(trigram_counts(docs))
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.where("text is not null").select("doc_id")
+    marked = labels.where("doc_id is not null and toxic is not null").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     part = {k: min(1.0, labelled / max(n.get(k, 0), 1)) for k in (0, 1)}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = marked.where((F.col("toxic") == 1) & (place < part[1]) | (F.col("toxic") == 0) & (place < part[0]))
     # broadcast: at most about twice `labelled` rows, by the fractions above
-    known = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    known = docs.where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, found, seen = Restorer(chars), (Counter(), Counter()), [0, 0]
@@ -286,7 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", restored: bool = False) -> DataFrame:
-    """(doc_id, score) for each row, and restored_text if asked for. Null and empty texts get the score of no toxic word."""
+    """(doc_id, score) for each row, and restored_text if asked for.
+
+    Null and empty texts get the score of no toxic word. Repeated rows are scored each, texts of any length whole; an
+    empty table gives no rows. Columns of docs other than the two named don't matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, memory = Restorer(model.chars), {}

@@ -46,6 +46,8 @@ def test_policies_and_ablation(spark):
 
 def test_stage_keeps_columns(spark):
     good = " ".join(f"word{i}" for i in range(80))
-    docs = spark.createDataFrame([(1, good, "x"), (2, "too short", "y"), (3, None, "z")], "doc_id long, text string, measured string")
+    docs = spark.createDataFrame([(1, good, "x", 5, "c", "l"), (2, "too short", "y", 0, "c", "l"), (3, None, "z", 0, "c", "l")], "doc_id long, text string, measured string, FAIL_BITS long, _c string, _l string")
     kept = Q.stage(spark, docs, "")
-    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+    assert kept.columns == docs.columns and kept.collect() == docs.where("doc_id = 1").collect()
+    entry = Q.ledger(docs).where("doc_id = 1").first()
+    assert (entry.measured, entry["FAIL_BITS"], entry.measured_.n_words, entry.fail_bits_) == ("x", 5, 80, 0)
