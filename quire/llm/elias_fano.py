@@ -11,8 +11,8 @@ import numpy as np
 
 #: Bits of one block of the directory.
 WORD = 128
-#: Queries answered at once.
-CHUNK = 1 << 15
+#: Queries answered at once, and values for each query up to which a sequence is read whole.
+CHUNK, DENSE = 1 << 15, 16
 #: Ones in a byte, and the place of its r-th one.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 ONES = _BITS.sum(axis=1, dtype=np.uint8)
@@ -25,9 +25,11 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     if bits:
         at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(out, word, values << shift)
+        if len(values):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
         over = shift + np.uint64(bits) > 64
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])  # at most one value reaches into each word
     return out
 
 
@@ -88,11 +90,21 @@ class Sequence:
             out[k : k + CHUNK] = (high.astype(np.uint64) << np.uint64(self.bits)) | self._lows(a)
         return out
 
+    def values(self) -> np.ndarray:
+        """The whole sequence."""
+        at = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.high, count=self.size, bitorder="little")) - at
+        return (high.astype(np.uint64) << np.uint64(self.bits)) | self._lows(at)
+
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Places of these values; -1 for those that the sequence doesn't hold."""
+        """Places of these values; -1 for those that the sequence doesn't hold. Many queries are answered by one pass over it."""
         out = np.full(len(values), -1, dtype=np.int64)
         if not self.n:
             return out
+        if DENSE * len(values) >= self.n:
+            whole, v = self.values(), values.astype(np.uint64)
+            at = np.minimum(np.searchsorted(whole, v), self.n - 1)
+            return np.where(whole[at] == v, at, -1)
         for k in range(0, len(values), CHUNK):
             v = values[k : k + CHUNK].astype(np.uint64)
             high = (v >> np.uint64(self.bits)).astype(np.int64)

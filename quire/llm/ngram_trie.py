@@ -1,13 +1,21 @@
 """Language-model scores from an Elias-Fano n-gram trie of order three.
 
 Training counts words, pairs and triples over all training documents. Pairs and triples get an interpolated, absolutely
-discounted probability, quantised to eight bits; the query keeps all of them, ``train`` may be asked for a cut-off.
+discounted probability, quantised to eight bits; all of them are kept unless a cut-off is asked for.
 
-The trie is cut into shards by the hash of an n-gram's first word, each built by a task of its own and published as
-array files in the shared folder, which scoring tasks map into memory. A shard's levels are Elias-Fano sequences:
-words by hash; pairs by (place of the first word, number of the second); triples by (place of the pair, place of the
-third word among the successors of the second), the context-relative form in which numbers stay small. Pointers to each
-word's successors are a monotone sequence too. A search is a successor search in one of these sequences.
+The trie is cut into shards, each built by a task of its own and published as array files in the shared folder, which
+tasks map into memory. Levels are Elias-Fano sequences: words by hash; pairs by (place of the first word, number of the
+second); contexts by (place of the last word, number of the word before it); triples by (place of the context, place of
+the third word among the successors of the second), the context-relative form in which numbers stay small. Pointers to
+each word's successors are a monotone sequence too. A search is a successor search in one of these sequences.
+
+A word's pairs lie in its own shard, and so do the triples with this word in the middle, so that a triple is answered
+where its context, its pair and its probabilities are. A word that is too frequent for a shard is given shards of its
+own: its pairs are dealt over them by their second word and built first, its contexts by their first word.
+
+Texts are cut into tokens once, in slices that are stored. A slice sends each of its distinct triples, with its training
+count, to the triple's shard, and gets one number back for it; no task needs more of the trie than the words and the
+shards it answers for. Counting and scoring of the same documents share that exchange.
 
 Words are known by their 64-bit hash.
 """
@@ -16,7 +24,6 @@ from __future__ import annotations
 
 import math
 import os
-import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -24,23 +31,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, read, shared_path, stored
 from quire.llm.elias_fano import Sequence, encode
 
 DISCOUNT = 0.75
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Training tokens for each shard of the trie, about.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+#: Shards' files that a task keeps mapped.
+OPEN = 512
 #: The end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n", 42)
 #: One step of a quantised log10.
 STEP = 0.05
 #: Texts' bytes taken at once, and distinct n-grams that a task holds before it sends them.
-BYTES, HELD = 8 << 20, 3_000_000
+BYTES, HELD = 12 << 20, 3_000_000
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -70,12 +80,13 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most about BYTES of text; a text is never cut."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(0)
+    """Parts of a batch of about equal size, of at most about BYTES of text; a text is never cut."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(1)
+    share = max(1, size[-1] // max(1, -(-size[-1] // BYTES)))
     at = 0
     while at < len(batch):
         base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(size, base + share, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -113,15 +124,84 @@ class Tally:
         return out
 
 
-def _blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return len(keys).to_bytes(8, "little") + zlib.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def shrink(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays as bytes: all first bytes, all second ones and so on, compressed."""
+    little = [np.ascontiguousarray(a).astype(f"<u{a.dtype.itemsize}", copy=False) for a in arrays]
+    shape = np.array([(a.dtype.itemsize, len(a)) for a in little], dtype="<u4").tobytes()
+    planes = b"".join(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in little)
+    return bytes([len(arrays)]) + shape + zstandard.compress(planes, 1)
+
+
+def grow(raw: bytes) -> list[np.ndarray]:
+    """The arrays that ``shrink`` was given."""
+    shape = np.frombuffer(raw, dtype="<u4", count=2 * raw[0], offset=1).reshape(-1, 2).tolist()
+    body, at, out = np.frombuffer(zstandard.decompress(raw[1 + 8 * raw[0] :]), dtype=np.uint8), 0, []
+    for size, n in shape:
+        out.append(np.ascontiguousarray(body[at : at + size * n].reshape(size, n).T).view(f"<u{size}").reshape(-1))
+        at += size * n
+    return out
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _sums(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, body = int.from_bytes(raw[:8], "little"), np.frombuffer(zlib.decompress(raw[8:]), dtype=np.uint8)
-    gaps = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
-    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(body[8 * n :].reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+class Slice:
+    """Some documents: ids, which are null, which are training ones, and their tokens."""
+
+    def __init__(self, blob: bytes):
+        ids, null, train, lengths, self.hashes, index = grow(blob)
+        self.doc_ids, self.null, self.train = ids.view(np.int64), null.astype(bool), train.astype(bool)
+        self.lengths, self.index = lengths.astype(np.int64), index.astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.inner = np.ones(len(self.index), dtype=bool)
+        self.inner[self.starts] = False
+        self.training = np.repeat(self.train, self.lengths)
+
+    def numbers(self, trie: "Trie") -> np.ndarray:
+        """The number of each token; the count of words for unknown ones."""
+        ids = trie.ids(self.hashes)
+        return np.where(ids < 0, trie.words, ids).astype(np.uint64)[self.index]
+
+
+class Queries:
+    """A slice's distinct triples in the order in which they are sent: by shard, then by context, then by third word.
+
+    A text's second token has no word before its context's; an unknown word there is the same. Tokens after an unknown
+    word have no query.
+    """
+
+    def __init__(self, s: Slice, ids: np.ndarray, trie: "Trie"):
+        at = np.flatnonzero(s.inner)
+        self.at = at = at[ids[at - 1] < trie.words]
+        before = np.where(s.inner[at - 1], ids[at - 2], np.uint64(trie.words))
+        contexts, inverse = np.unique(ids[at - 1] << np.uint64(32) | before, return_inverse=True)
+        keys, self.inverse = np.unique(inverse.astype(np.uint64) << np.uint64(32) | ids[at], return_inverse=True)
+        n = np.bincount(self.inverse, weights=s.training[at], minlength=len(keys)).astype(np.uint32)
+        shard = trie.shard_of(contexts >> np.uint64(32), contexts & LOW)[(keys >> np.uint64(32)).astype(np.int64)]
+        self.order = np.argsort(shard, kind="stable")
+        keys = keys[self.order]
+        self.shard, self.third, self.n = shard[self.order], (keys & LOW).astype(np.uint32), n[self.order]
+        self.context = contexts[(keys >> np.uint64(32)).astype(np.int64)]
+
+    def parts(self) -> Iterator[tuple[int, int, int]]:
+        """(shard, begin, end)."""
+        if len(self.shard):
+            cuts = np.flatnonzero(np.concatenate([[True], self.shard[1:] != self.shard[:-1], [True]])).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                yield int(self.shard[a]), a, b
+
+    def by_token(self, answers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.order), dtype=answers.dtype)
+        out[self.order] = answers
+        return out[self.inverse]
 
 
 class Files:
@@ -146,55 +226,92 @@ class Files:
 
 
 class Trie:
-    """The published trie. Shards are mapped when they are first asked for."""
+    """The published trie. Shards are mapped when they are first asked for.
 
-    def __init__(self, root: str, bits: int, offsets: np.ndarray, total: int, widest: int = 1):
-        self.root, self.bits, self.offsets, self.total, self.widest = root, bits, offsets, total, widest
-        self.files = Files(root)
-        self.open: dict[str, Sequence | dict] = {}
-        self.words = int(offsets[-1])
+    Shards from 0 on belong to hash ranges of words; those after them to frequent words, 2 ** bits to each.
+    """
 
-    def __reduce__(self):
-        return Trie, (self.root, self.bits, self.offsets, self.total, self.widest)
+    def __init__(self, root: str, bits: int, offsets: np.ndarray, total: int):
+        self.root, self.bits, self.offsets, self.total = root, bits, offsets, total
+        self.words, self.shards = int(offsets[-1]), len(offsets) - 1
+        #: frequent words in order: number, first shard, bits, mass given to shorter contexts
+        self.hot, self.hot_first, self.hot_bits, self.hot_back = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint8))
+        self.all = self.shards
+        #: shards that hold pairs and triples, and a bound of the places among successors
+        self.with_pairs, self.with_triples, self.widest = frozenset(), frozenset(), 1
+        self.files, self.open = Files(root), {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": {}}
 
     def part(self, kind: str, shard: int):
-        if (found := self.open.get(f"{kind}{shard}")) is None:
+        if (found := self.open.get((kind, shard))) is None:
+            if len(self.open) >= OPEN:
+                self.open.pop(next(iter(self.open)))
+            keys = {"counts1": ("small", "at", "large"), "prob2": ("q",), "prob3": ("q",), "back1": ("q",), "back2": ("q",), "n2": ("n",), "wide2": ("n",)}
             name = f"{kind}-{shard}"
-            keys = {"counts": ("small", "at", "large"), "prob": ("q",), "back": ("q",)}
-            found = self.files.load(name, *keys[kind[:-1]]) if kind[:-1] in keys else self.files.sequence(name)
-            self.open[f"{kind}{shard}"] = found
+            found = self.files.load(name, *keys[kind]) if kind in keys else self.files.sequence(name)
+            self.open[kind, shard] = found
         return found
 
-    def shard_of(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), dtype=np.int64)
+    def heat(self, counts: dict[int, int], limit: int) -> None:
+        """Gives shards of their own to these words, which occur more than limit times."""
+        self.hot = np.array(sorted(counts), dtype=np.int64)
+        self.hot_bits = np.ceil(np.log2([counts[w] / limit for w in self.hot.tolist()])).astype(np.int64)
+        size = 1 << self.hot_bits
+        self.hot_first, self.all = self.shards + np.cumsum(size) - size, self.shards + int(size.sum())
+        self.hot_back = np.zeros(len(self.hot), dtype=np.uint8)
+
+    def owner(self, shard: int) -> tuple[int, int]:
+        """(first word, words) of a shard."""
+        if shard < self.shards:
+            return int(self.offsets[shard]), int(self.offsets[shard + 1] - self.offsets[shard])
+        return int(self.hot[np.searchsorted(self.hot_first, shard, side="right") - 1]), 1
+
+    def home(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, ids.astype(np.int64), side="right") - 1
+
+    def _hot(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of frequent words in the array, their places in the list)."""
+        if not len(self.hot):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        k = np.minimum(np.searchsorted(self.hot, words.astype(np.int64)), len(self.hot) - 1)
+        at = np.flatnonzero(self.hot[k] == words.astype(np.int64))
+        return at, k[at]
+
+    def shard_of(self, words: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The shard of pairs of these words and others that follow, or of contexts of others and these words after them."""
+        out = self.home(words)
+        at, k = self._hot(words)
+        mixed = ((others[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+        out[at] = self.hot_first[k] + (mixed & ((1 << self.hot_bits[k]) - 1))
+        return out
 
     def _by_shard(self, shard: np.ndarray, work: Callable[[int, np.ndarray], None]) -> None:
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.offsets)))
-        for s in np.unique(shard[order]):
-            work(int(s), order[cuts[s] : cuts[s + 1]])
+        found, begin = np.unique(shard[order], return_index=True)
+        for s, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
+            work(s, order[a:b])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words; -1 for unknown ones."""
         out = np.full(len(hashes), -1, dtype=np.int64)
 
         def work(s: int, at: np.ndarray) -> None:
-            found = self.part("words1", s).find(hashes[at])
-            out[at] = np.where(found >= 0, found + self.offsets[s], -1)
+            if self.offsets[s] < self.offsets[s + 1]:
+                found = self.part("words1", s).find(hashes[at])
+                out[at] = np.where(found >= 0, found + self.offsets[s], -1)
 
-        self._by_shard(self.shard_of(hashes), work)
+        self._by_shard((hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), dtype=np.int64), work)
         return out
 
-    def home(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, ids, side="right") - 1
-
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training counts of words by number; 0 for -1."""
+        """Training counts of words by number; 0 for unknown ones."""
         out = np.zeros(len(ids), dtype=np.int64)
-        known = np.flatnonzero(ids >= 0)
+        known = np.flatnonzero((ids >= 0) & (ids < self.words))
 
         def work(s: int, at: np.ndarray) -> None:
-            c, place = self.part("counts1", s), ids[known[at]] - self.offsets[s]
+            c, place = self.part("counts1", s), ids[known[at]].astype(np.int64) - self.offsets[s]
             n = c["small"][place].astype(np.int64)
             large = np.flatnonzero(n == 255)
             if len(large):
@@ -205,91 +322,101 @@ class Trie:
         return out
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
-        return (self.counts(ids) + 1) / (self.total + self.words + 1)
-
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Places of pairs in the first word's shard; -1 for those not kept."""
-        out = np.full(len(first), -1, dtype=np.int64)
-        known = np.flatnonzero((first >= 0) & (second >= 0))
-
-        def work(s: int, at: np.ndarray) -> None:
-            k = known[at]
-            out[k] = self.part("pairs2", s).find((first[k] - self.offsets[s]).astype(np.uint64) * np.uint64(self.words) + second[k].astype(np.uint64))
-
-        self._by_shard(self.home(first[known]), work)
-        return out
-
-    def begins(self, ids: np.ndarray) -> np.ndarray:
-        """Where each word's successors begin in its shard."""
-        out = np.zeros(len(ids), dtype=np.int64)
-
-        def work(s: int, at: np.ndarray) -> None:
-            out[at] = self.part("pointers2", s).get(ids[at] - self.offsets[s]).astype(np.int64)
-
-        self._by_shard(self.home(ids), work)
-        return out
-
-    def take(self, kind: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 values of a quantised array."""
-        out = np.zeros(len(place))
-
-        def work(s: int, at: np.ndarray) -> None:
-            out[at] = value(self.part(kind, s)["q"][place[at]].astype(float))
+        found, back = np.unique(ids, return_inverse=True)
+        return ((self.counts(found) + 1) / (self.total + self.words + 1))[back]
 
-        self._by_shard(shard, work)
-        return out
+    def back(self, words: np.ndarray, shard: int) -> np.ndarray:
+        """Quantised mass that words of this shard give to single words."""
+        if shard >= self.shards:
+            return np.full(len(words), self.hot_back[self._hot(words[:1])[1][0]] if len(words) else 0, dtype=np.int64)
+        base, size = self.owner(shard)
+        own = self.part("back1", shard)["q"] if shard in self.with_pairs else np.zeros(size, dtype=np.uint8)
+        return own[words.astype(np.int64) - base].astype(np.int64)
 
-    def look(self, hashes: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
-        """For each token: its number, its pair's place with the token before, and its triple's key with the two before."""
-        ids = self.ids(hashes)[index]
-        inner = np.ones(len(ids), dtype=bool)
-        inner[np.cumsum(lengths) - lengths] = False
-        before = np.where(inner, np.roll(ids, 1), -1)
-        able = np.flatnonzero((before >= 0) & (ids >= 0))
-        keys, back = np.unique(before[able].astype(np.uint64) << np.uint64(32) | ids[able].astype(np.uint64), return_inverse=True)
-        place = np.full(len(ids), -1, dtype=np.int64)
-        place[able] = self.pairs((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))[back]
-        second = inner & np.roll(inner, 1)
-        shorter = np.where(second, np.roll(place, 1), -1)
-        return {"ids": ids, "inner": inner, "before": before, "pair": place, "shorter": shorter, "earlier": np.where(second, np.roll(before, 1), -1)}
-
-    def triples(self, seen: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens whose triple may be kept, shard, key)."""
-        at = np.flatnonzero((seen["pair"] >= 0) & (seen["shorter"] >= 0))
-        middle, back = np.unique(seen["before"][at], return_inverse=True)
-        relative = seen["pair"][at] - self.begins(middle)[back]
-        return at, self.home(seen["earlier"][at]), seen["shorter"][at].astype(np.uint64) * np.uint64(self.widest) + relative.astype(np.uint64)
-
-    def score(self, texts: pa.Array) -> list[tuple[int, int, float, float]]:
-        """(tokens, known tokens, base score, model score) of each text."""
-        hashes, index, lengths = tokens(texts)
-        seen = self.look(hashes, index, lengths)
-        ids = seen["ids"]
-        found, back = np.unique(ids, return_inverse=True)
-        base = np.log10(self.unigram(found))[back]
-        logs = base.copy()
-        pair = seen["pair"]
-        known = np.flatnonzero(seen["before"] >= 0)
-        context, back = np.unique(seen["before"][known], return_inverse=True)
-        home = self.home(context)
-        logs[known] += self.take("back1", home, context - self.offsets[home])[back]
-        hit = np.flatnonzero(pair >= 0)
-        logs[hit] = self.take("prob2", self.home(seen["before"][hit]), pair[hit])
-        held = np.flatnonzero(seen["shorter"] >= 0)
-        logs[held] += self.take("back2", self.home(seen["earlier"][held]), seen["shorter"][held])
-        at, shard, key = self.triples(seen)
-        place = np.full(len(at), -1, dtype=np.int64)
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the first word's successors, quantised probability) of pairs; -1 for those not kept."""
+        relative, q = np.full(len(first), -1, dtype=np.int64), np.full(len(first), -1, dtype=np.int64)
+        known = np.flatnonzero(second < self.words)
 
         def work(s: int, some: np.ndarray) -> None:
-            unique, inverse = np.unique(key[some], return_inverse=True)
-            place[some] = self.part("triples3", s).find(unique)[inverse]
-
-        self._by_shard(shard, work)
-        hit = np.flatnonzero(place >= 0)
-        logs[at[hit]] = self.take("prob3", shard[hit], place[hit])
-        starts = np.cumsum(lengths) - lengths
-        sums = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-        return list(zip(lengths.tolist(), sums((ids >= 0).astype(np.int64)).tolist(), sums(base).tolist(), sums(logs).tolist()))
+            if s not in self.with_pairs:
+                return
+            at, (base, _) = known[some], self.owner(s)
+            local = first[at].astype(np.int64) - base
+            place = self.part("pairs2", s).find(local.astype(np.uint64) * np.uint64(self.words) + second[at].astype(np.uint64))
+            hit = np.flatnonzero(place >= 0)
+            words, back = np.unique(local[hit], return_inverse=True)
+            away = place[hit] - self.part("pointers2", s).get(words).astype(np.int64)[back]
+            if s >= self.shards:  # a place is unique over the word's shards
+                k = np.searchsorted(self.hot_first, s, side="right") - 1
+                away = (away << self.hot_bits[k]) + (s - self.hot_first[k])
+            relative[at[hit]], q[at[hit]] = away, self.part("prob2", s)["q"][place[hit]]
+
+        self._by_shard(self.shard_of(first[known], second[known]), work)
+        return relative, q
+
+    def publish(self, shard: int, keys: np.ndarray, n: np.ndarray, min_count: int) -> tuple[int, float]:
+        """Publishes a shard's pairs, of sorted keys; returns (successors of one word at most, mass of the pairs)."""
+        keys, n = keys[n >= min_count], n[n >= min_count]
+        base, size = self.owner(shard)
+        first, second = (keys >> np.uint64(32)).astype(np.int64) - base, (keys & LOW).astype(np.int64)
+        begin = np.searchsorted(first, np.arange(size + 1))
+        most = int(np.diff(begin).max()) if size else 0
+        self.files.save(f"pairs2-{shard}", encode(first.astype(np.uint64) * np.uint64(self.words) + second.astype(np.uint64)))
+        self.files.save(f"pointers2-{shard}", encode(begin.astype(np.uint64)))
+        share = (n - DISCOUNT) / self.counts(np.arange(base, base + size))[first]
+        if shard < self.shards:
+            back = 1 - np.bincount(first, weights=share, minlength=size)
+            self.files.save(f"back1-{shard}", {"q": quantise(np.log10(np.maximum(back, 1e-12)))})
+            self.files.save(f"prob2-{shard}", {"q": quantise(np.log10(share + back[first] * self.unigram(second)))})
+            self.files.save(f"wide2-{shard}", {"n": np.array([max(most, 1)])})
+        else:  # the word's other shards hold the rest of its mass
+            self.files.save(f"n2-{shard}", {"n": n})
+        return most, float(share.sum())
+
+    def wide(self, shard: int) -> np.uint64:
+        """A bound of the places among successors."""
+        return np.uint64(self.widest if shard >= self.shards else int(self.part("wide2", shard)["n"][0]))
+
+    def build(self, shard: int, contexts: np.ndarray, context: np.ndarray, n: np.ndarray, relative: np.ndarray, lower: np.ndarray, min_count: int) -> None:
+        """Publishes the contexts and triples of a shard: sorted contexts, and for each triple its context's place, counts and pair."""
+        base, _ = self.owner(shard)
+        total = np.bincount(context, weights=n, minlength=len(contexts))
+        kept = ((contexts & LOW) < self.words) & (total >= max(min_count, 1))
+        place = np.cumsum(kept) - 1
+        keys = ((contexts >> np.uint64(32)) - np.uint64(base)) * np.uint64(self.words + 1) + (contexts & LOW)
+        self.files.save(f"contexts2-{shard}", encode(keys[kept]))
+        mine = np.flatnonzero(kept[context] & (n >= max(min_count, 1)))
+        spot = place[context[mine]]
+        share = (n[mine] - DISCOUNT) / total[context[mine]]
+        back = 1 - np.bincount(spot, weights=share, minlength=int(kept.sum()))
+        self.files.save(f"back2-{shard}", {"q": quantise(np.log10(np.maximum(back, 1e-12)))})
+        prob = quantise(np.log10(share + back[spot] * 10 ** value(lower[mine].astype(float))))
+        keys = spot.astype(np.uint64) * self.wide(shard) + relative[mine].astype(np.uint64)
+        order = np.argsort(keys)
+        self.files.save(f"triples3-{shard}", encode(keys[order]))
+        self.files.save(f"prob3-{shard}", {"q": prob[order]})
+
+    def answer(self, shard: int, contexts: np.ndarray, context: np.ndarray, relative: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """For each triple its quantised log10; with ANEW, that of the way to the single word, whose own is still to be added."""
+        base, _ = self.owner(shard)
+        words = contexts >> np.uint64(32)
+        keys = (words - np.uint64(base)) * np.uint64(self.words + 1) + (contexts & LOW)
+        held = shard in self.with_triples
+        place = self.part("contexts2", shard).find(keys) if held else np.full(len(keys), -1, dtype=np.int64)
+        found = np.flatnonzero(place >= 0)
+        fall = np.zeros(len(keys), dtype=np.int64)
+        fall[found] = self.part("back2", shard)["q"][place[found]] if held else 0
+        out = np.where(lower >= 0, lower + fall[context], ANEW + self.back(words, shard)[context] + fall[context])
+        able = np.flatnonzero((place[context] >= 0) & (relative >= 0))
+        at = self.part("triples3", shard).find(place[context[able]].astype(np.uint64) * self.wide(shard) + relative[able].astype(np.uint64)) if held else np.zeros(0, dtype=np.int64)
+        hit = np.flatnonzero(at >= 0)
+        out[able[hit]] = self.part("prob3", shard)["q"][at[hit]] if held else 0
+        return out.astype(np.uint16)
+
+
+#: Marks an answer to which the third word's own probability is to be added.
+ANEW = 1 << 15
 
 
 def _local(path: str) -> str:
@@ -299,211 +426,287 @@ def _local(path: str) -> str:
     return unquote(parsed.path)
 
 
-def _gather(docs: DataFrame, name: str, shards: int, find: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """(shard, blob): each task's counts of keys, sorted and packed, for each shard; dealt out by shard."""
+def _frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(columns)], [name for name, _ in columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[int, Tally] = {}
 
-        def send() -> pa.RecordBatch:
-            rows = [(s, _blob(*t.clear())) for s, t in tallies.items() if t.held]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+def slices(docs: DataFrame, doc_id: str, text: str, training: Column) -> DataFrame:
+    """(slice, training tokens, blob): the documents' tokens, cut once and stored."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for b in _slices(batch, 0):
-                for s, keys in find(b.column(0)):
-                    tallies.setdefault(s, Tally()).add(keys)
-                if sum(t.held for t in tallies.values()) > HELD:
-                    yield send()
-        yield send()
+            for b in _slices(batch, 2):
+                hashes, index, lengths = tokens(b.column(2))
+                ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+                null, train = (x.to_numpy(zero_copy_only=False).astype(np.uint8) for x in (b.column(0).is_null(), b.column(1)))
+                blob = shrink(ids, null, train, lengths.astype(np.uint64), hashes, index.astype(np.uint32))
+                yield _frame([(number, int(lengths[train > 0].sum()), blob)], SLICES)
+                number += 1
+
+    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+    return stored(cut.mapInArrow(run, SLICES), "slices")
+
 
-    return docs.mapInArrow(run, "shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
+SLICES, BLOBS = "slice long, training long, blob binary", "shard long, slice long, blob binary"
 
 
-def _each_shard(blobs: DataFrame, build: Callable[[int, np.ndarray, np.ndarray], tuple], schema: str) -> list:
-    """build(shard, keys, counts) for every shard, over the merged counts; its rows, one for each shard."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _each(frame: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, some: int = 64) -> DataFrame:
+    """work over the rows of each partition, whose results go out in small batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in work(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
+            held.append(row)
+            if len(held) >= some:
+                yield _frame(held, schema)
+                held = []
+        yield _frame(held, schema)
+
+    return frame.mapInArrow(run, schema)
+
+
+def _level1(cut: DataFrame, root: str) -> Trie:
+    """Words in order of their hash, with their counts."""
+    total = cut.agg(F.coalesce(F.sum("training"), F.lit(0)).alias("n")).first()["n"]
+    bits = max(0, math.ceil(math.log2(max(total, 1) / SHARD_TOKENS)))
+    shards, limit = 1 << bits, SHARD_TOKENS // 4
+
+    def send(rows: Iterator[tuple]) -> Iterator[tuple]:
+        tally = Tally()
+
+        def out() -> Iterator[tuple]:
+            keys, n = tally.clear()
+            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(shards + 1)).tolist() if bits else [0, len(keys)]
+            return ((m, 0, shrink(_gaps(keys[a:b]), n[a:b].astype(np.uint32))) for m, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b)
+
+        for *_, raw in rows:
+            s = Slice(raw)
+            n = np.bincount(s.index[s.training], minlength=len(s.hashes))
+            order = np.argsort(s.hashes)
+            order = order[n[order] > 0]
+            tally.add(s.hashes[order], n[order])
+            if tally.full():
+                yield from out()
+        yield from out()
+
+    def publish(m: int, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        """A row for the shard, and one for each word that is too frequent for it: at most total / limit of them."""
+        files, large = Files(root), np.flatnonzero(n >= 255)
+        files.save(f"words1-{m}", encode(keys))
+        files.save(f"counts1-{m}", {"small": np.minimum(n, 255).astype(np.uint8), "at": large, "large": n[large]})
+        yield m, len(keys), -1, 0
+        for place in np.flatnonzero(n > limit).tolist():
+            yield m, len(keys), place, int(n[place])
+
+    def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
         held, tally = None, Tally()
-        for b in batches:
-            for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if s != held:
-                    if held is not None:
-                        yield _row(build(held, *tally.clear()), names)
-                    held = s
-                tally.add(*_unblob(raw))
+        for m, _, raw in rows:
+            if m != held:
+                if held is not None:
+                    yield from publish(held, *tally.clear())
+                held = m
+            gaps, n = grow(raw)
+            tally.add(_sums(gaps), n.astype(np.int64))
         if held is not None:
-            yield _row(build(held, *tally.clear()), names)
+            yield from publish(held, *tally.clear())
 
-    return blobs.mapInArrow(run, schema).collect()
+    dealt = _each(cut, send, BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
+    rows = _each(dealt, gather, "shard long, size long, place long, n long").collect()
+    sizes = {r["shard"]: r["size"] for r in rows}
+    trie = Trie(root, bits, np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(np.int64), int(total))
+    trie.heat({int(trie.offsets[r["shard"]]) + r["place"]: r["n"] for r in rows if r["place"] >= 0}, limit)
+    return trie
 
 
-def _row(x: tuple, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in x], names)
+def _hot_pairs(cut: DataFrame, trie: Trie, min_count: int) -> None:
+    """The pairs of frequent words, which their triples' shards have to know: each of a word's shards holds a part of them."""
+    if not len(trie.hot):
+        return
 
+    def send(rows: Iterator[tuple]) -> Iterator[tuple]:
+        tallies: dict[int, Tally] = {}
+        out = lambda: [(s, 0, shrink(_gaps(k), n.astype(np.uint32))) for s, t in tallies.items() if t.held for k, n in [t.clear()]]
+        for *_, raw in rows:
+            s = Slice(raw)
+            ids = s.numbers(trie)
+            at = np.flatnonzero(s.inner & s.training)
+            at = at[trie._hot(ids[at - 1])[0]]
+            keys, n = np.unique(ids[at - 1] << np.uint64(32) | ids[at], return_counts=True)
+            trie._by_shard(trie.shard_of(keys >> np.uint64(32), keys & LOW), lambda m, some: tallies.setdefault(m, Tally()).add(keys[some], n[some]))
+            if sum(t.held for t in tallies.values()) > HELD:
+                yield from out()
+        yield from out()
+
+    def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, tally = None, Tally()
+        for m, _, raw in rows:
+            if m != held:
+                if held is not None:
+                    yield (held, *trie.publish(held, *tally.clear(), min_count))
+                held = m
+            gaps, n = grow(raw)
+            tally.add(_sums(gaps), n.astype(np.int64))
+        if held is not None:
+            yield (held, *trie.publish(held, *tally.clear(), min_count))
+
+    dealt = _each(cut, send, BLOBS).repartition(trie.all - trie.shards, "shard").sortWithinPartitions("shard")
+    rows = _each(dealt, gather, "shard long, most long, mass double").collect()  # a row for each of these shards
+    trie.with_pairs = frozenset(r["shard"] for r in rows)
+    place = lambda m: int(np.searchsorted(trie.hot_first, m, side="right")) - 1
+    back = np.ones(len(trie.hot))
+    for r in rows:
+        back[place(r["shard"])] -= r["mass"]
+        trie.widest = max(trie.widest, r["most"] << int(trie.hot_bits[place(r["shard"])]))
+    trie.hot_back = quantise(np.log10(np.maximum(back, 1e-12)))
+    counts = trie.counts(trie.hot)
+
+    def finish(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (m,) in rows:
+            if m in trie.with_pairs:
+                second = (trie.part("pairs2", m).values() % np.uint64(trie.words)).astype(np.int64)
+                prob = (trie.part("n2", m)["n"] - DISCOUNT) / counts[place(m)] + back[place(m)] * trie.unigram(second)
+                trie.files.save(f"prob2-{m}", {"q": quantise(np.log10(prob))})
+            yield (m,)
+
+    own = cut.sparkSession.range(trie.shards, trie.all, 1, max(1, (trie.all - trie.shards) // 4)).select(F.col("id").alias("shard"))
+    _each(own, finish, "shard long").count()
+
+
+def _exchange(cut: DataFrame, trie: Trie, build: bool, answer: bool, min_count: int = MIN_COUNT) -> DataFrame:
+    """(shard, slice, blob): answers to the slices' triples, from shards that are built of these first if so asked.
+
+    A row of slice -1 stands for each shard that holds triples.
+    """
 
-def train(docs: DataFrame, text: str = "text", folder: str | None = None, min_count: int = MIN_COUNT) -> Trie:
-    """The trie over all texts of docs (null: empty), published in folder or else in the shared folder.
+    def send(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for number, _, raw in rows:
+            s = Slice(raw)
+            if not answer:
+                s.inner &= s.training
+            q = Queries(s, s.numbers(trie), trie)
+            for m, a, b in q.parts():
+                yield m, number, shrink(_gaps(q.context[a:b]), q.third[a:b], q.n[a:b])
+
+    def shard(m: int, held: list[tuple]) -> Iterator[tuple]:
+        """A frequent word's pairs are published before; any other word's are the sums of its triples."""
+        contexts, context = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        keys, inverse = np.unique(context.astype(np.uint64) << np.uint64(32) | np.concatenate([h[2] for h in held]).astype(np.uint64), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([h[3] for h in held]), minlength=len(keys))
+        sizes = [(h[0], len(h[1])) for h in held]
+        held.clear()
+        context, third = (keys >> np.uint64(32)).astype(np.int64), keys & LOW
+        pairs, back = np.unique(contexts[context] & ~LOW | third, return_inverse=True)
+        del keys, third
+        if build and m < trie.shards:
+            seen = np.bincount(back, weights=n, minlength=len(pairs))
+            trie.publish(m, pairs[seen > 0], seen[seen > 0], min_count)
+            trie.with_pairs |= {m}
+        relative, lower = (x[back] for x in trie.pairs(pairs >> np.uint64(32), pairs & LOW))
+        del pairs, back
+        if build:
+            trie.build(m, contexts, context, n, relative, lower, min_count)
+            trie.with_triples |= {m}
+            yield m, -1, None
+        if answer:
+            found, at = trie.answer(m, contexts, context, relative, lower)[inverse], 0
+            for number, size in sizes:
+                yield m, number, shrink(found[at : at + size])
+                at += size
+
+    def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
+        at, held = None, []
+        for m, number, raw in rows:
+            if m != at and held:
+                yield from shard(at, held)
+            at = m
+            gaps, third, n = grow(raw)
+            held.append((number, _sums(gaps), third, n))
+        if held:
+            yield from shard(at, held)
+
+    dealt = _each(cut, send, BLOBS).repartition(trie.all, "shard").sortWithinPartitions("shard")
+    return _each(dealt, gather, BLOBS)
+
+
+def _scored(cut: DataFrame, answers: DataFrame, trie: Trie) -> DataFrame:
+    """Each slice's tokens with the answers to its triples: a row for each document."""
+
+    def texts(s: Slice, found: list[np.ndarray]) -> Iterator[tuple]:
+        ids = s.numbers(trie)
+        distinct, back = np.unique(ids, return_inverse=True)
+        base = np.log10(trie.unigram(distinct))[back]
+        logs, q = base.copy(), Queries(s, ids, trie)
+        if len(q.at):
+            mine = q.by_token(np.concatenate(found))
+            logs[q.at] = value((mine & (ANEW - 1)).astype(float)) + np.where(mine & ANEW, base[q.at], 0.0)
+        sums = lambda x: np.add.reduceat(x, s.starts).tolist()
+        known = sums((ids < trie.words).astype(np.int64))
+        for d, null, n, k, b, x in zip(s.doc_ids.tolist(), s.null.tolist(), s.lengths.tolist(), known, sums(base), sums(logs)):
+            yield None if null else d, n, k, trie.total, b, x
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: Slice | None = None
+        found: list[np.ndarray] = []
+        for shard, _, raw in rows:
+            if shard == -1:
+                if held is not None:
+                    yield from texts(held, found)
+                held, found = Slice(raw), []
+            else:
+                found.append(grow(raw)[0])
+        if held is not None:
+            yield from texts(held, found)
 
-    Pairs and triples seen less than min_count times give their mass to their shorter context.
+    both = cut.select(F.lit(-1).cast("long").alias("shard"), "slice", "blob").union(answers.where("slice >= 0").select("shard", "slice", "blob"))
+    return _each(both.repartition("slice").sortWithinPartitions("slice", "shard"), run, SCORED, 10_000)
 
-    The driver sees one row of sizes for each shard. Every stage's task can run again: files are replaced whole.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(text)
-    root = _local(folder or shared_path(spark, "trie"))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-        def send() -> pa.RecordBatch:
-            keys, n = tally.clear()
-            return pa.RecordBatch.from_arrays([pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), pa.array(n)], ["h", "n"])
 
-        for batch in batches:
-            for b in _slices(batch, 0):
-                hashes, index, _ = tokens(b.column(0))
-                n = np.bincount(index, minlength=len(hashes))
-                order = np.argsort(hashes)
-                tally.add(hashes[order][n[order] > 0], n[order][n[order] > 0])
-                if tally.full():
-                    yield send()
-        yield send()
-
-    # h is the hash with its first bit turned, so that signed order is the hashes' order
-    unigrams = stored(texts.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "unigrams")
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    bits = max(0, math.ceil(math.log2(max(total, 1) / SHARD_TOKENS))) if total > SHARD_TOKENS else 0
-    shards = 1 << bits
-    place = F.shiftright("h", 64 - bits).cast("int") + (shards >> 1) if bits else F.lit(0)
-    placed = unigrams.withColumn("shard", place)
-
-    def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = None, []
-
-        def build() -> pa.RecordBatch:
-            h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            files = Files(root)
-            files.save(f"words1-{held}", encode(h.view(np.uint64) ^ np.uint64(1 << 63)))
-            large = np.flatnonzero(n >= 255)
-            files.save(f"counts1-{held}", {"small": np.minimum(n, 255).astype(np.uint8), "at": large, "large": n[large]})
-            return _row((held, len(h)), ["shard", "size"])
-
-        for b in batches:
-            s, h, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for x in np.unique(s):
-                if x != held:
-                    if parts:
-                        yield build()
-                    held, parts = int(x), []
-                parts.append((h[s == x], n[s == x]))
-        if parts:
-            yield build()
-
-    sizes = {r["shard"]: r["size"] for r in placed.select("shard", "h", "n").repartition(shards, "shard").sortWithinPartitions("shard", "h").mapInArrow(level1, "shard long, size long").collect()}
-    empty = Files(root)
-    for s in range(shards):
-        if s not in sizes:
-            empty.save(f"words1-{s}", encode(np.zeros(0, dtype=np.uint64)))
-            empty.save(f"counts1-{s}", {"small": np.zeros(0, dtype=np.uint8), "at": np.zeros(0, dtype=np.int64), "large": np.zeros(0, dtype=np.int64)})
-    offsets = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(np.int64)
-    trie = Trie(root, bits, offsets, int(total))
-
-    def pairs_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        hashes, index, lengths = tokens(column)
-        ids = trie.ids(hashes)[index]
-        inner = np.ones(len(ids), dtype=bool)
-        inner[np.cumsum(lengths) - lengths] = False
-        second = np.flatnonzero(inner)
-        first, second = ids[second - 1], ids[second]
-        keys, home = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64), trie.home(first)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(shards + 1))
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                yield s, keys[order[cuts[s] : cuts[s + 1]]]
-
-    def level2(s: int, keys: np.ndarray, n: np.ndarray) -> tuple:
-        keys, n = keys[n >= min_count], n[n >= min_count]
-        size = int(offsets[s + 1] - offsets[s])
-        first = (keys >> np.uint64(32)).astype(np.int64) - offsets[s]
-        second = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        files = Files(root)
-        files.save(f"pairs2-{s}", encode(first.astype(np.uint64) * np.uint64(trie.words) + second.astype(np.uint64)))
-        begin = np.searchsorted(first, np.arange(size + 1))
-        files.save(f"pointers2-{s}", encode(begin.astype(np.uint64)))
-        context = trie.counts(np.arange(offsets[s], offsets[s + 1]))
-        share = (n - DISCOUNT) / context[first] if len(first) else np.zeros(0)
-        back = 1 - np.bincount(first, weights=share, minlength=size)
-        q = quantise(np.log10(np.maximum(back, 1e-12)))
-        files.save(f"back1-{s}", {"q": q})
-        files.save(f"prob2-{s}", {"q": quantise(np.log10(share + back[first] * trie.unigram(second))) if len(first) else np.zeros(0, dtype=np.uint8)})
-        files.save(f"pairs-{s}", {"n": n.astype(np.uint32)})
-        return s, int(np.diff(begin).max()) if size else 0
-
-    widest = _each_shard(_gather(texts, "pairs", shards, pairs_of), level2, "shard long, widest long")
-    _fill(trie, {r["shard"] for r in widest}, level2)
-    trie.widest = max([1, *(r["widest"] for r in widest)])
-
-    def triples_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        at, home, keys = trie.triples(trie.look(*tokens(column)))
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(shards + 1))
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                yield s, keys[order[cuts[s] : cuts[s + 1]]]
-
-    def level3(s: int, keys: np.ndarray, n: np.ndarray) -> tuple:
-        keys, n = keys[n >= min_count], n[n >= min_count]
-        pair = (keys // np.uint64(trie.widest)).astype(np.int64)
-        relative = (keys % np.uint64(trie.widest)).astype(np.int64)
-        files = Files(root)
-        files.save(f"triples3-{s}", encode(keys))
-        counts = files.load(f"pairs-{s}", "n")["n"]
-        share = (n - DISCOUNT) / counts[pair] if len(pair) else np.zeros(0)
-        back = 1 - np.bincount(pair, weights=share, minlength=len(counts))
-        files.save(f"back2-{s}", {"q": quantise(np.log10(np.maximum(back, 1e-12)))})
-        if len(pair):
-            middle = (trie.part("pairs2", s).get(pair) % np.uint64(trie.words)).astype(np.int64)
-            shorter = trie.take("prob2", trie.home(middle), trie.begins(middle) + relative)
-            q = quantise(np.log10(share + back[pair] * 10**shorter))
-        else:
-            q = np.zeros(0, dtype=np.uint8)
-        files.save(f"prob3-{s}", {"q": q})
-        return s, len(keys)
-
-    done = _each_shard(_gather(texts, "triples", shards, triples_of), level3, "shard long, size long")
-    _fill(trie, {r["shard"] for r in done}, level3)
+def _trained(cut: DataFrame, folder: str | None, min_count: int) -> Trie:
+    trie = _level1(cut, _local(folder or shared_path(cut.sparkSession, "trie")))
+    _hot_pairs(cut, trie, min_count)
     return trie
 
 
-def _fill(trie: Trie, done: set[int], build: Callable) -> None:
-    """Empty levels for shards that no n-gram fell in."""
-    for s in range(len(trie.offsets) - 1):
-        if s not in done:
-            build(s, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+def train(docs: DataFrame, text: str = "text", folder: str | None = None, min_count: int = MIN_COUNT) -> Trie:
+    """The trie over all texts of docs (null: empty), published in folder or else in the shared folder.
+
+    Pairs and triples seen less than min_count times give their mass to their shorter context; by default none does.
+
+    The driver sees a row of sizes for each shard, and the words that are too frequent for one. Every stage's task can
+    run again: files are replaced whole.
+    """
+    cut = slices(docs.select(F.lit(None).alias("doc_id"), text), "doc_id", text, F.lit(True))
+    trie = _trained(cut, folder, min_count)
+    built = _exchange(cut, trie, build=True, answer=False, min_count=min_count).select("shard").collect()
+    trie.with_triples = frozenset(r["shard"] for r in built)
+    trie.with_pairs |= {m for m in trie.with_triples if m < trie.shards}
+    return trie
 
 
 def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), log10 of each text's probability with its end.
 
     Null and empty texts are an end alone. Repeated rows are scored each; texts of any length are scored whole. An
-    untrained model gives every token the share of an unknown one.
+    untrained model gives every token the share of an unknown one. An empty table gives no rows. Columns of docs other
+    than the two named don't matter.
     """
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    cut = slices(docs, doc_id, text, F.lit(False))
+    return _scored(cut, _exchange(cut, trie, build=False, answer=True), trie)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in _slices(batch, 1):
-                rows = trie.score(b.column(1))
-                n = [pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([b.column(0), n[0], n[1], pa.array([trie.total] * len(rows), pa.int64()), n[2], n[3]], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+def train_and_score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, min_count: int = MIN_COUNT) -> DataFrame:
+    """As ``train`` on the rows where training holds and ``score`` on all rows, with one exchange of triples for both."""
+    cut = slices(docs, doc_id, text, training)
+    trie = _trained(cut, folder, min_count)
+    return _scored(cut, _exchange(cut, trie, build=True, answer=True, min_count=min_count), trie)
 
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    scored = score(docs, train(docs.where(~held_out("doc_id", 7)), min_count=1))
+    scored = train_and_score(read(spark, sf_dir, "documents", "doc_id", "text"), ~held_out("doc_id", 7))
     return scored.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

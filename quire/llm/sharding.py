@@ -114,8 +114,8 @@ def _leaf(node: Node, value) -> Column:
     return F.when(left, _leaf(node.left, value)).otherwise(_leaf(node.right, value))
 
 
-def _narrow(rows: DataFrame, root: Node, goals: dict[int, dict]) -> dict[int, tuple[int, int, int]]:
-    """For each goal's node: the bin that its target falls in, bytes before it and bytes in it. One job."""
+def _narrow(rows: DataFrame, root: Node, goals: dict[int, dict]) -> dict[int, tuple[int, int, int, int]]:
+    """For each goal's node: the bin that its target falls in, bytes before it, bytes and rows in it. One job."""
     node = F.col("_node")
     at = None
     for k, g in goals.items():
@@ -126,11 +126,11 @@ def _narrow(rows: DataFrame, root: Node, goals: dict[int, dict]) -> dict[int, tu
         place = F.call_function("div", key - F.lit(g["lo"]).cast("long"), F.lit(g["width"]).cast("long")).cast("int")
         at = F.when(inside, place) if at is None else at.when(inside, place)
     bins = rows.withColumn("_node", _leaf(root, lambda n: n.id)).where(node.isin(*goals)).select("_node", at.alias("_bin"), "_size").where("_bin is not null")
-    weight = bins.groupBy("_node", "_bin").agg(F.sum("_size").alias("w"))
+    weight = bins.groupBy("_node", "_bin").agg(F.sum("_size").alias("w"), F.count("*").alias("n"))
     goal = F.create_map(*(F.lit(x).cast("long") for k, g in goals.items() for x in (k, g["target"])))
     upto = F.sum("w").over(Window.partitionBy("_node").orderBy("_bin"))
     found = weight.withColumn("upto", upto).where((F.col("upto") >= goal[F.col("_node").cast("long")]) & (F.col("upto") - F.col("w") < goal[F.col("_node").cast("long")]))
-    return {r["_node"]: (r["_bin"], r["upto"] - r["w"], r["w"]) for r in found.select("_node", "_bin", "upto", "w").collect()}
+    return {r["_node"]: (r["_bin"], r["upto"] - r["w"], r["w"], r["n"]) for r in found.select("_node", "_bin", "upto", "w", "n").collect()}
 
 
 def build(rows: DataFrame, shards: int = SHARDS, dims: int = DIMS) -> Node:
@@ -159,10 +159,10 @@ def build(rows: DataFrame, shards: int = SHARDS, dims: int = DIMS) -> Node:
                     n.cut, n.cut_hash = (g["cut"], g["lo"]) if g["hashed"] else (g["lo"], 0)
                     del goals[k]
                     continue
-                place, before, inside = found[k]
+                place, before, inside, held = found[k]
                 lo = g["lo"] + place * g["width"]
                 hi = min(g["hi"], lo + g["width"])
-                if inside <= g["slack"] or (g["hashed"] and g["width"] == 1):
+                if inside <= g["slack"] or held == 1 or (g["hashed"] and g["width"] == 1):
                     edge = lo if g["target"] - before < before + inside - g["target"] else hi
                     n.cut, n.cut_hash = (g["cut"], edge) if g["hashed"] else (edge, 0)
                     del goals[k]
