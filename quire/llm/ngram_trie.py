@@ -13,7 +13,7 @@ A word's pairs lie in its own shard, and so do the triples with this word in the
 where its context, its pair and its probabilities are. A word that is too frequent for a shard is given shards of its
 own: its pairs are dealt over them by their second word and built first, its contexts by their first word.
 
-Texts are cut into tokens once, in slices that are stored. A slice sends each of its distinct triples, with its training
+Texts are cut into tokens once, in slices that are stored in the shared folder too. A slice sends each of its distinct triples, with its training
 count, to the triple's shard, and gets one number back for it; no task needs more of the trie than the words and the
 shards it answers for. Counting and scoring of the same documents share that exchange.
 
@@ -50,7 +50,7 @@ END = xxhash.xxh64_intdigest(b"\n", 42)
 #: One step of a quantised log10.
 STEP = 0.05
 #: Texts' bytes taken at once, and distinct n-grams that a task holds before it sends them.
-BYTES, HELD = 12 << 20, 3_000_000
+BYTES, HELD = 8 << 20, 3_000_000
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -156,8 +156,8 @@ def _sums(gaps: np.ndarray) -> np.ndarray:
 class Slice:
     """Some documents: ids, which are null, which are training ones, and their tokens."""
 
-    def __init__(self, blob: bytes):
-        ids, null, train, lengths, self.hashes, index = grow(blob)
+    def __init__(self, root: str, number: int):
+        ids, null, train, lengths, self.hashes, index = grow(Files(root).load(f"slice-{number}", "blob")["blob"].tobytes())
         self.doc_ids, self.null, self.train = ids.view(np.int64), null.astype(bool), train.astype(bool)
         self.lengths, self.index = lengths.astype(np.int64), index.astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -205,7 +205,7 @@ class Queries:
 
 
 class Files:
-    """Named arrays of a shard, published whole or not at all; a task that runs again writes the same files."""
+    """Named arrays, published whole or not at all; a task that runs again writes the same files."""
 
     def __init__(self, root: str):
         self.root = root
@@ -371,7 +371,7 @@ class Trie:
             self.files.save(f"prob2-{shard}", {"q": quantise(np.log10(share + back[first] * self.unigram(second)))})
             self.files.save(f"wide2-{shard}", {"n": np.array([max(most, 1)])})
         else:  # the word's other shards hold the rest of its mass
-            self.files.save(f"n2-{shard}", {"n": n})
+            self.files.save(f"n2-{shard}", {"n": n.astype(np.uint32)})
         return most, float(share.sum())
 
     def wide(self, shard: int) -> np.uint64:
@@ -432,25 +432,38 @@ def _frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(columns)], [name for name, _ in columns])
 
 
-def slices(docs: DataFrame, doc_id: str, text: str, training: Column) -> DataFrame:
-    """(slice, training tokens, blob): the documents' tokens, cut once and stored."""
+class Cut:
+    """Documents cut into tokens: slices published as files in the shared folder, and a table (slice, training) of their numbers and training tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for b in _slices(batch, 2):
-                hashes, index, lengths = tokens(b.column(2))
-                ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False).view(np.uint64)
-                null, train = (x.to_numpy(zero_copy_only=False).astype(np.uint8) for x in (b.column(0).is_null(), b.column(1)))
-                blob = shrink(ids, null, train, lengths.astype(np.uint64), hashes, index.astype(np.uint32))
-                yield _frame([(number, int(lengths[train > 0].sum()), blob)], SLICES)
-                number += 1
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, training: Column):
+        root = _local(shared_path(docs.sparkSession, "slices"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for b in _slices(batch, 2):
+                    hashes, index, lengths = tokens(b.column(2))
+                    ids = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+                    null, train = (x.to_numpy(zero_copy_only=False).astype(np.uint8) for x in (b.column(0).is_null(), b.column(1)))
+                    blob = shrink(ids, null, train, lengths.astype(np.uint64), hashes, index.astype(np.uint32))
+                    Files(root).save(f"slice-{number}", {"blob": np.frombuffer(blob, dtype=np.uint8)})
+                    yield _frame([(number, int(lengths[train > 0].sum()))], "slice long, training long")
+                    number += 1
+
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
+        self.root, self.table = root, stored(rows.mapInArrow(run, "slice long, training long"), "slices")
+        size = self.table.agg(F.count("*").alias("n"), F.coalesce(F.sum("training"), F.lit(0)).alias("training")).first()
+        self.total = int(size["training"])
+        #: tasks of a pass over the slices: one for each, or for eight of them where they are many
+        self.tasks = max(1, min(size["n"], 1024), size["n"] // 8)
 
-    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text).alias("text"))
-    return stored(cut.mapInArrow(run, SLICES), "slices")
+    def each(self, work: Callable[[Iterator[tuple[int, Slice]]], Iterator[tuple]], schema: str) -> DataFrame:
+        """work over (number, slice), the numbers dealt evenly."""
+        root = self.root
+        return _each(self.table.select("slice").repartition(self.tasks), lambda rows: work((n, Slice(root, n)) for (n,) in rows), schema)
 
 
-SLICES, BLOBS = "slice long, training long, blob binary", "shard long, slice long, blob binary"
+BLOBS = "shard long, slice long, blob binary"
 
 
 def _each(frame: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, some: int = 64) -> DataFrame:
@@ -468,10 +481,9 @@ def _each(frame: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]],
     return frame.mapInArrow(run, schema)
 
 
-def _level1(cut: DataFrame, root: str) -> Trie:
+def _level1(cut: Cut, root: str) -> Trie:
     """Words in order of their hash, with their counts."""
-    total = cut.agg(F.coalesce(F.sum("training"), F.lit(0)).alias("n")).first()["n"]
-    bits = max(0, math.ceil(math.log2(max(total, 1) / SHARD_TOKENS)))
+    bits = max(0, math.ceil(math.log2(max(cut.total, 1) / SHARD_TOKENS)))
     shards, limit = 1 << bits, SHARD_TOKENS // 4
 
     def send(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -482,8 +494,7 @@ def _level1(cut: DataFrame, root: str) -> Trie:
             cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(shards + 1)).tolist() if bits else [0, len(keys)]
             return ((m, 0, shrink(_gaps(keys[a:b]), n[a:b].astype(np.uint32))) for m, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b)
 
-        for *_, raw in rows:
-            s = Slice(raw)
+        for _, s in rows:
             n = np.bincount(s.index[s.training], minlength=len(s.hashes))
             order = np.argsort(s.hashes)
             order = order[n[order] > 0]
@@ -513,15 +524,15 @@ def _level1(cut: DataFrame, root: str) -> Trie:
         if held is not None:
             yield from publish(held, *tally.clear())
 
-    dealt = _each(cut, send, BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = cut.each(send, BLOBS).repartition(shards, "shard").sortWithinPartitions("shard")
     rows = _each(dealt, gather, "shard long, size long, place long, n long").collect()
     sizes = {r["shard"]: r["size"] for r in rows}
-    trie = Trie(root, bits, np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(np.int64), int(total))
+    trie = Trie(root, bits, np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(np.int64), cut.total)
     trie.heat({int(trie.offsets[r["shard"]]) + r["place"]: r["n"] for r in rows if r["place"] >= 0}, limit)
     return trie
 
 
-def _hot_pairs(cut: DataFrame, trie: Trie, min_count: int) -> None:
+def _hot_pairs(cut: Cut, trie: Trie, min_count: int) -> None:
     """The pairs of frequent words, which their triples' shards have to know: each of a word's shards holds a part of them."""
     if not len(trie.hot):
         return
@@ -529,8 +540,7 @@ def _hot_pairs(cut: DataFrame, trie: Trie, min_count: int) -> None:
     def send(rows: Iterator[tuple]) -> Iterator[tuple]:
         tallies: dict[int, Tally] = {}
         out = lambda: [(s, 0, shrink(_gaps(k), n.astype(np.uint32))) for s, t in tallies.items() if t.held for k, n in [t.clear()]]
-        for *_, raw in rows:
-            s = Slice(raw)
+        for _, s in rows:
             ids = s.numbers(trie)
             at = np.flatnonzero(s.inner & s.training)
             at = at[trie._hot(ids[at - 1])[0]]
@@ -552,7 +562,7 @@ def _hot_pairs(cut: DataFrame, trie: Trie, min_count: int) -> None:
         if held is not None:
             yield (held, *trie.publish(held, *tally.clear(), min_count))
 
-    dealt = _each(cut, send, BLOBS).repartition(trie.all - trie.shards, "shard").sortWithinPartitions("shard")
+    dealt = cut.each(send, BLOBS).repartition(trie.all - trie.shards, "shard").sortWithinPartitions("shard")
     rows = _each(dealt, gather, "shard long, most long, mass double").collect()  # a row for each of these shards
     trie.with_pairs = frozenset(r["shard"] for r in rows)
     place = lambda m: int(np.searchsorted(trie.hot_first, m, side="right")) - 1
@@ -571,19 +581,18 @@ def _hot_pairs(cut: DataFrame, trie: Trie, min_count: int) -> None:
                 trie.files.save(f"prob2-{m}", {"q": quantise(np.log10(prob))})
             yield (m,)
 
-    own = cut.sparkSession.range(trie.shards, trie.all, 1, max(1, (trie.all - trie.shards) // 4)).select(F.col("id").alias("shard"))
+    own = cut.table.sparkSession.range(trie.shards, trie.all, 1, max(1, (trie.all - trie.shards) // 4)).select(F.col("id").alias("shard"))
     _each(own, finish, "shard long").count()
 
 
-def _exchange(cut: DataFrame, trie: Trie, build: bool, answer: bool, min_count: int = MIN_COUNT) -> DataFrame:
+def _exchange(cut: Cut, trie: Trie, build: bool, answer: bool, min_count: int = MIN_COUNT) -> DataFrame:
     """(shard, slice, blob): answers to the slices' triples, from shards that are built of these first if so asked.
 
     A row of slice -1 stands for each shard that holds triples.
     """
 
     def send(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for number, _, raw in rows:
-            s = Slice(raw)
+        for number, s in rows:
             if not answer:
                 s.inner &= s.training
             q = Queries(s, s.numbers(trie), trie)
@@ -627,11 +636,11 @@ def _exchange(cut: DataFrame, trie: Trie, build: bool, answer: bool, min_count:
         if held:
             yield from shard(at, held)
 
-    dealt = _each(cut, send, BLOBS).repartition(trie.all, "shard").sortWithinPartitions("shard")
+    dealt = cut.each(send, BLOBS).repartition(trie.all, "shard").sortWithinPartitions("shard")
     return _each(dealt, gather, BLOBS)
 
 
-def _scored(cut: DataFrame, answers: DataFrame, trie: Trie) -> DataFrame:
+def _scored(cut: Cut, answers: DataFrame, trie: Trie) -> DataFrame:
     """Each slice's tokens with the answers to its triples: a row for each document."""
 
     def texts(s: Slice, found: list[np.ndarray]) -> Iterator[tuple]:
@@ -648,27 +657,28 @@ def _scored(cut: DataFrame, answers: DataFrame, trie: Trie) -> DataFrame:
             yield None if null else d, n, k, trie.total, b, x
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        held: Slice | None = None
+        held: int | None = None
         found: list[np.ndarray] = []
-        for shard, _, raw in rows:
+        for shard, number, raw in rows:
             if shard == -1:
                 if held is not None:
-                    yield from texts(held, found)
-                held, found = Slice(raw), []
+                    yield from texts(Slice(root, held), found)
+                held, found = number, []
             else:
                 found.append(grow(raw)[0])
         if held is not None:
-            yield from texts(held, found)
+            yield from texts(Slice(root, held), found)
 
-    both = cut.select(F.lit(-1).cast("long").alias("shard"), "slice", "blob").union(answers.where("slice >= 0").select("shard", "slice", "blob"))
-    return _each(both.repartition("slice").sortWithinPartitions("slice", "shard"), run, SCORED, 10_000)
+    root = cut.root
+    both = cut.table.select(F.lit(-1).cast("long").alias("shard"), "slice", F.lit(None).cast("binary").alias("blob")).union(answers.where("slice >= 0").select("shard", "slice", "blob"))
+    return _each(both.repartition(cut.tasks, "slice").sortWithinPartitions("slice", "shard"), run, SCORED, 10_000)
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _trained(cut: DataFrame, folder: str | None, min_count: int) -> Trie:
-    trie = _level1(cut, _local(folder or shared_path(cut.sparkSession, "trie")))
+def _trained(cut: Cut, folder: str | None, min_count: int) -> Trie:
+    trie = _level1(cut, _local(folder or shared_path(cut.table.sparkSession, "trie")))
     _hot_pairs(cut, trie, min_count)
     return trie
 
@@ -681,7 +691,7 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None, min_co
     The driver sees a row of sizes for each shard, and the words that are too frequent for one. Every stage's task can
     run again: files are replaced whole.
     """
-    cut = slices(docs.select(F.lit(None).alias("doc_id"), text), "doc_id", text, F.lit(True))
+    cut = Cut(docs.select(F.lit(None).alias("doc_id"), text), "doc_id", text, F.lit(True))
     trie = _trained(cut, folder, min_count)
     built = _exchange(cut, trie, build=True, answer=False, min_count=min_count).select("shard").collect()
     trie.with_triples = frozenset(r["shard"] for r in built)
@@ -696,13 +706,13 @@ def score(docs: DataFrame, trie: Trie, doc_id: str = "doc_id", text: str = "text
     untrained model gives every token the share of an unknown one. An empty table gives no rows. Columns of docs other
     than the two named don't matter.
     """
-    cut = slices(docs, doc_id, text, F.lit(False))
+    cut = Cut(docs, doc_id, text, F.lit(False))
     return _scored(cut, _exchange(cut, trie, build=False, answer=True), trie)
 
 
 def train_and_score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """As ``train`` on the rows where training holds and ``score`` on all rows, with one exchange of triples for both."""
-    cut = slices(docs, doc_id, text, training)
+    cut = Cut(docs, doc_id, text, training)
     trie = _trained(cut, folder, min_count)
     return _scored(cut, _exchange(cut, trie, build=True, answer=True, min_count=min_count), trie)
 
