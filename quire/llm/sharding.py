@@ -61,7 +61,7 @@ def dimensions(docs: DataFrame, text: str = "text") -> list[Column]:
     log = lambda c: F.least(F.lit(top), F.floor(F.log2(c.cast("double")) * (top / 40)).cast("int")).cast("long")
     lines = F.length(t) - F.length(F.translate(t, "\n", "")) + 1
     marks = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-    share = F.floor(F.lit(top) * marks / F.greatest(F.length(t), F.lit(1))).cast("long")
+    share = F.floor(F.lit(top) * marks.cast("long") / F.greatest(F.length(t), F.lit(1))).cast("long")
     code = lambda c: F.shiftright(F.crc32(F.col(c).cast("string")), 32 - DIM_BITS).cast("long") if c in docs.columns else F.lit(0).cast("long")
     return [log(F.octet_length(t) + 8), log(lines), share] + [F.coalesce(code(c), F.lit(0).cast("long")) for c in ("source", "lang")]
 
