@@ -36,13 +36,19 @@ MEMORY = 400_000
 HELD = 400_000
 UNKNOWN = "und"
 
+WORD = re.compile(r"[^\W\d_]+")
 #: Characters that Python takes for word characters but that are neither letters nor decimal digits: powers, fractions, numerals.
-_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
+_NUMERIC = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    if text.isascii() or "".join(found).isalpha():
+        return found
+    return [part for w in found for part in _NUMERIC.split(w) if part]
 
 
 def features(word: str, lexicon: set[str]) -> list[int]:
