@@ -5,8 +5,10 @@
    carried as one node: its centre, its radius and its members. A group of any size costs its size, not its square.
 3. NN-descent over the nodes: neighbours of neighbours meet at the node between them, and each node keeps its K nearest.
    A list is saturated when all of it could be linked; every neighbour that could be linked is kept whatever their number,
-   so saturated lists grow. A sample of nodes is compared with all nodes after each round, and rounds go on until the
-   audited recall is reached.
+   so saturated lists grow. The graph starts from orders along random hyperplanes, as many as a pair at the linking angle
+   needs to meet with the wanted probability in a label of that size. After each round a sample of nodes is compared with
+   all nodes; the sample grows until it holds enough pairs to tell the recall. Rounds go on until the recall is reached,
+   and if it isn't in ROUNDS rounds the operator fails rather than lose links silently.
 4. Node pairs that could be linked are decided by their members' cosines in double precision.
 """
 
@@ -25,8 +27,10 @@ from quire.llm.graph import components
 
 COSINE = 0.93
 K = 8
-#: Nodes compared at once in the starting graph, starting orders, rounds at most, recall to reach, nodes audited.
-BLOCK, ORDERS, ROUNDS, RECALL, AUDITED = 256, 3, 5, 0.98, 400
+#: Nodes compared at once in the starting graph, starting orders at least, rounds at most, recall to reach.
+BLOCK, ORDERS, ROUNDS, RECALL = 256, 3, 12, 0.98
+#: Nodes audited at first and at most, and linkable pairs among them that tell a recall.
+AUDITED, AUDITED_MOST, TOLD = 400, 6400, 50
 #: Neighbours that meet at once, and members of one packed part of a ball.
 MEET, PART = 128, 512
 BITS = 48
@@ -98,7 +102,9 @@ def _blocks(nodes: DataFrame, seed: int, each: Callable[[list[int], np.ndarray,
         yield flush()
 
     signed = nodes.select("id", "unit", "grp", "radius").mapInArrow(sign, "id long, unit binary, grp string, radius double, sig long")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a partition holds several blocks, so that few neighbours in the order are parted by its ends
+    n = nodes.count()
+    parts = max(1, min(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (256 * size)), n // (4 * size)))
     return signed.repartitionByRange(parts, "grp", "sig", "id").sortWithinPartitions("grp", "sig", "id").mapInArrow(run, schema)
 
 
@@ -160,10 +166,10 @@ def _kept(graph: DataFrame) -> DataFrame:
     return once.withColumn("place", place).where((F.col("place") <= K) | (F.col("could") == 1)).drop("place")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
-    """Candidates from neighbours that meet at the node between them. Large meetings are held in parts."""
+def _round(graph: DataFrame, nodes: DataFrame, theta: float, number: int = 0) -> DataFrame:
+    """Candidates from neighbours that meet at the node between them. Large meetings are held in parts, dealt anew in each round."""
     meet = graph.select(F.col("a").alias("at"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("at"), F.col("a").alias("id"))).distinct()
-    place = F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("id", "at")))
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("id", "at", F.lit(number))))
     invited = meet.withColumn("part", F.floor((place - 1) / MEET)).join(nodes.select("id", "unit", "radius"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +193,20 @@ def _round(graph: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
     return dealt.mapInArrow(run, GRAPH)
 
 
-def _audit(graph: DataFrame, nodes: DataFrame, theta: float) -> float:
-    """Share of a sample's linkable pairs, found by comparing it with all nodes, that the graph holds."""
-    n = nodes.count()
+def _audit(graph: DataFrame, nodes: DataFrame, theta: float) -> float | None:
+    """Share of linkable pairs, found by comparing a sample with all nodes, that the graph holds; None where there are no pairs to tell."""
+    n, audited = nodes.count(), AUDITED
+    while True:
+        pairs, held = _compared(graph, nodes, theta, min(1.0, audited / max(n, 1)))
+        if pairs >= TOLD or audited >= min(n, AUDITED_MOST):
+            return held / pairs if pairs else None
+        audited *= 4
+
+
+def _compared(graph: DataFrame, nodes: DataFrame, theta: float, part: float) -> tuple[int, int]:
+    """(linkable pairs of a part of the nodes with all nodes, those of them that the graph holds)."""
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = nodes.where(place < min(1.0, AUDITED / max(n, 1))).select("id", "grp", "unit", "radius").collect()
+    sample = nodes.where(place < part).select("id", "grp", "unit", "radius").collect()
     by: dict[str, tuple] = {}
     for g in {r["grp"] for r in sample}:
         mine = [r for r in sample if r["grp"] == g]
@@ -209,26 +224,38 @@ def _audit(graph: DataFrame, nodes: DataFrame, theta: float) -> float:
 
     true = nodes.select("id", "grp", "unit", "radius").mapInArrow(run, "a long, b long")
     got = true.join(graph.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return got["hit"] / got["n"] if got["n"] else 1.0
+    return got["n"], got["hit"]
+
+
+def orders(nodes: int, theta: float) -> int:
+    """Starting orders after which two nodes at the linking angle have shared a block with probability RECALL.
+
+    In an order along random hyperplanes two nodes share a block of n nodes' if they lie on one side of the first
+    log2(n / BLOCK) planes, each with probability 1 - theta / pi.
+    """
+    meet = (1 - theta / math.pi) ** max(0.0, math.log2(max(nodes, 1) / BLOCK))
+    return ORDERS if meet >= RECALL else max(ORDERS, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
 
 
 def neighbour_graph(nodes: DataFrame, theta: float) -> DataFrame:
     """Directed edges (a, b, angle, could) over nodes (id, grp, unit, radius)."""
     each = lambda ids, units, radii: _nearest(ids, units, radii, theta)
+    largest = nodes.groupBy("grp").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
     start = None
-    for seed in range(ORDERS):
+    for seed in range(orders(largest, theta)):
         made = _blocks(nodes, seed + 1, each, GRAPH)
         start = made if start is None else start.union(made)
-    graph = stored(_kept(start), "graph")
+    graph, reached = stored(_kept(start), "graph"), None
     for k in range(ROUNDS):
-        if k and _audit(graph, nodes, theta) >= RECALL:
-            break
-        fresh = _round(graph, nodes, theta)
+        fresh = _round(graph, nodes, theta, k)
         if k:  # what the descent alone doesn't reach, another starting order may
-            fresh = fresh.union(_blocks(nodes, 50 + k, each, GRAPH))
+            fresh = fresh.union(_blocks(nodes, 1000 + k, each, GRAPH))
         both = graph.select("a", "b", "angle", "could").union(fresh)
         graph = stored(_kept(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "angle", "could"))), "graph")
-    return graph
+        reached = _audit(graph, nodes, theta)
+        if reached is None or reached >= RECALL:  # with nothing to tell, the starting orders have to do
+            return graph
+    raise RuntimeError(f"the audited recall is {reached:.3f} after {ROUNDS} rounds, below {RECALL}")
 
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:

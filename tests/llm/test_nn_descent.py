@@ -43,3 +43,25 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_starting_orders_follow_the_size():
+    theta = N.math.acos(0.93)
+    assert N.orders(0, theta) == N.orders(200, theta) == N.ORDERS
+    assert N.ORDERS < N.orders(150_000, theta) < N.orders(10**9, theta) < 200
+
+
+def test_pair_at_the_threshold(spark):
+    """In two dimensions the cosine of (1, 0) and (3, 4) is 0.6 exactly."""
+    rows = [(1, [1.0, 0.0], 0), (2, [3.0, 4.0], 0), (3, [-1.0, 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links = lambda c: {r.vec_id: r.n_links for r in N.near_duplicates(table, c).collect()}
+    assert links(0.6 - 1e-9) == {1: 1, 2: 1, 3: 0} and links(0.6 + 1e-9) == {1: 0, 2: 0, 3: 0}
+
+
+def test_recall_that_is_not_reached_fails(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    monkeypatch.setattr(N, "_audit", lambda *_: 0.5)
+    table = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        N.near_duplicates(table)
