@@ -32,12 +32,15 @@ def subsection_kind(title: Column, clean: Column | None = None) -> Column:
     return _first(((s.rlike(pattern), kind) for pattern, kind in fixed.SUBSECTION_KINDS), F.lit(""))
 
 
-def exercise_key(title: Column, clean: Column | None = None) -> Column:
-    """The exercise's name, else its number's first digit; empty if the title is no exercise heading."""
+def exercise_key(title: Column, clean: Column | None = None, names: tuple[tuple[str, str], ...] = fixed.EXERCISE_NAMES) -> Column:
+    """The exercise's name, else its number's first digit; empty if the title is no exercise heading.
+
+    names are (pattern, key) in order, the first match wins; a series of books adds its own before the common ones.
+    """
     s = T.clean_heading(title) if clean is None else clean
     rest = F.lower(F.regexp_extract(s, fixed.EXERCISE_LINE, 3))
     digits = T.first_filled(F.regexp_extract(s, fixed.EXERCISE_LINE, 1), F.regexp_extract(s, fixed.EXERCISE_LINE, 2))
-    named = [(rest.rlike(pattern), name) for pattern, name in fixed.EXERCISE_NAMES]
+    named = [(rest.rlike(pattern), name) for pattern, name in names]
     return F.when(~s.rlike(fixed.EXERCISE_LINE), F.lit("")).otherwise(_first([*named, (digits != "", F.concat(F.lit("exercise_"), F.substring(digits, 1, 1)))], F.lit("exercise")))
 
 
@@ -75,9 +78,9 @@ def display_type(kind: Column, question: Column, subsection: Column) -> Column:
     return _first([*labels, (low.contains("mcq"), "MCQ"), (low.contains("numerical"), "Integer"), (low.contains("match"), "Matching"), (low.contains("assertion"), "Assertion-Reason")], guessed)
 
 
-def book_attributes(name: Column) -> Column:
-    """Subject, class and board from a book's name."""
+def book_attributes(name: Column, boards: tuple[str, ...] = ()) -> Column:
+    """Subject, class and board from a book's name; boards are the names that count as one, the first that stands in it wins."""
     s = F.lower(T.text(name))
     subject = _first(((s.contains(x), "Mathematics" if x == "maths" else x.capitalize()) for x in ("physics", "chemistry", "biology", "mathematics", "maths", "science")), F.lit("Other"))
     number = T.first_filled(*(F.regexp_extract(s, p, 1) for p in (r"(?U)class\s*(\d{1,2})", r"(?U)(\d{1,2})\s*th", r"(?U)^\s*(\d{1,2})\b")))
-    return F.struct(subject.alias("subject"), number.alias("class"), F.when(s.contains("foundation"), "Foundation").otherwise("Other").alias("board"))
+    return F.struct(subject.alias("subject"), number.alias("class"), _first([(F.lit(False), F.lit("")), *((s.contains(b.lower()), b) for b in boards)], F.lit("Other")).alias("board"))

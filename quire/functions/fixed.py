@@ -54,8 +54,6 @@ KIND_LABEL = {
 # --- fixed values: headings, the first match wins ----------------------------------------------------------------
 
 EXERCISE_NAMES = (
-    (r"foundation\s*builder\s*(?:\+|＋|plus)", "foundation_builder_plus"),
-    (r"foundation\s*builder", "foundation_builder"),
     (r"master\s*ncert", "master_ncert"),
     (r"master\s*boards?", "master_boards"),
     (r"revision", "revision"),
@@ -148,4 +146,7 @@ FURNITURE = (
 )
 MATH = r"(?s)<math.*?</math>"
 IMAGE = r"<img[^>]*>|!\[[^\]]*\]\([^)]*\)|\[image:[^\]]+\]"
+FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+TAG_RULE = r"\|?\s*:?-{2,}:?\s*\|"
+DISPLAY_MATH = r"(?<!\$)\$\$(?!\$)"
 EXAM_TAG = r"(?iu)\[\s*(NTSE|JSTSE|KVPY|NSO|IJSO|NSEJS|NSTSE|AIIMS|NEET|JEE)[^\]]{0,24}\]"

@@ -145,6 +145,15 @@ def image_tokens(c: Column) -> Column:
     return F.regexp_extract_all(text(c), F.lit(r"\[image:([^\]]+)\]"), F.lit(1))
 
 
+def json_object(c: Column) -> Column:
+    """The JSON object that a text holds, as its own text: in a fence if there is one, from the first brace to the last; null unless it is valid."""
+    fenced = F.regexp_extract(text(c), fixed.FENCE, 1)
+    found = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text(c)), r"\{[\s\S]*\}", 0)
+    # within brackets, as the parser takes no notice of what follows a value
+    listed = F.try_parse_json(F.concat(F.lit("["), F.nullif(found, F.lit("")), F.lit("]")))
+    return F.when(listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), found)
+
+
 def title_words(c: Column) -> Column:
     stop = F.array(*map(F.lit, fixed.STOP_TITLE_WORDS))
     return F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))

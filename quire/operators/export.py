@@ -94,9 +94,9 @@ def exam_tags(c: Column) -> Column:
 
 def without_exam_tags(c: Column) -> Column:
     s = F.regexp_replace(T.fold_width(T.text(c)), fixed.EXAM_TAG, " ")
-    s = F.regexp_replace(s, r"\|?\s*:?-{2,}:?\s*\|", " ")
-    odd = F.regexp_count(s, F.lit(r"(?<!\$)\$\$(?!\$)")) % 2 == 1
-    s = F.when(odd, F.regexp_replace(s, r"(?<!\$)\$\$(?!\$)", "")).otherwise(s)
+    s = F.regexp_replace(s, fixed.TAG_RULE, " ")
+    odd = F.regexp_count(s, F.lit(fixed.DISPLAY_MATH)) % 2 == 1
+    s = F.when(odd, F.regexp_replace(s, fixed.DISPLAY_MATH, "")).otherwise(s)
     return T.strip(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

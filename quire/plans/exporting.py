@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import export as E
+from quire.operators import markup as M
 from quire.plans.registry import query, read
+from quire.streaming.ingest import pending
 
 
 @query("""
@@ -54,13 +56,12 @@ def alias_coalesce(spark, sf_dir):
 
 
 @query(r"""
-SELECT source, md5(lower(left(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), 300))) AS key_md5, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY source, 2
+SELECT source, md5('q:' || left(lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))), 300)) AS key_md5, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2
 """)
 def dedupe_first_wins(spark, sf_dir):
     """The first of each question within a chapter."""
-    key = F.lower(F.substring(F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")), 1, 300))
-    rows = read(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", F.md5(key).alias("key_md5"))
-    return rows.groupBy("source", "key_md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", T.dedupe_key(F.lit(""), F.col("text")).alias("key"))
+    return E.first_wins(rows, ["source", "key"], ["doc_id"]).select("source", F.md5("key").alias("key_md5"), "doc_id")
 
 
 @query("""
@@ -137,26 +138,33 @@ SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lin
 def incremental_anti(spark, sf_dir):
     """Books still to do: those without an entry of this version in the ledger."""
     ledger = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber").where("l_returnflag = 'N' and l_linenumber = 1")
-    return read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").join(ledger.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return pending(read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus"), ledger.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query("""
-SELECT o_orderkey, '<h2>' || o_orderpriority || '</h2>' || coalesce(string_agg('<li>' || l_partkey || '</li>', '' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS html FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority
+SELECT o_orderkey, '<h1>' || o_orderpriority || '</h1><h2>Summary</h2>' || o_orderstatus || coalesce('<h2>Key points</h2>' || string_agg('<li>' || l_partkey || '</li>', '' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS html FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderstatus
 """)
 def render_chapter(spark, sf_dir):
-    """A chapter's head and its rows in order, as one text."""
+    """A chapter's head, its summary and its rows in order, as one text."""
     parts = read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
-    body = F.array_join(F.transform("x", lambda r: F.concat(F.lit("<li>"), r["l_partkey"].cast("string"), F.lit("</li>"))), "")
-    return read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").join(parts, "o_orderkey", "left").select("o_orderkey", F.concat(F.lit("<h2>"), F.col("o_orderpriority"), F.lit("</h2>"), F.coalesce(body, F.lit(""))).alias("html"))
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").join(parts, "o_orderkey", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    points = F.coalesce(F.transform("x", lambda r: r["l_partkey"].cast("string")), none("string"))
+    return rows.select("o_orderkey", M.chapter_html(F.col("o_orderpriority"), F.col("o_orderstatus"), points, none("struct<title:string,body:string>"), none("struct<question:string,answer:string>")).alias("html"))
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN left(text, 100) WHEN 1 THEN left(text, 100) ELSE '' END AS summary, CASE WHEN doc_id % 3 IN (0, 2) THEN source ELSE '' END AS key_points FROM documents
+SELECT doc_id, left(text, 100) AS summary, CASE WHEN doc_id % 3 = 1 THEN '' ELSE source END AS key_points, CASE WHEN doc_id % 3 = 0 THEN lang END AS theory FROM documents
 """)
 def scope_filter(spark, sf_dir):
-    """What each scope shows: everything, the summary alone, the key points alone."""
-    scope = F.col("doc_id") % 3
-    return read(spark, sf_dir, "documents", "doc_id", "text", "source").select("doc_id", F.when(scope < 2, F.substring("text", 1, 100)).otherwise("").alias("summary"), F.when(scope != 1, F.col("source")).otherwise("").alias("key_points"))
+    """What each scope shows: everything, the summary alone, the summary with key points."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    payload = docs.select("doc_id", F.substring("text", 1, 100).alias("summary"), F.array("source").alias("key_points"), F.col("lang").alias("theory"), F.lit(1).alias("rows"))
+    out = None
+    for k, scope in enumerate(("full", "summary", "summary_keypoints")):
+        one = M.scoped(payload.where(F.col("doc_id") % 3 == k), scope).select("doc_id", "summary", F.array_join("key_points", "").alias("key_points"), F.col("theory").cast("string").alias("theory"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""

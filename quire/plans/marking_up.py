@@ -43,28 +43,28 @@ def chapter_documents(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, '## ' || c_mktsegment || chr(10) || c_name AS theory FROM customer WHERE c_nationkey < 5
+SELECT c_custkey, '## ' || c_mktsegment || chr(10) || c_name AS theory FROM customer
 """)
 def theory_texts(spark, sf_dir):
     """Customers as books of one topic each, through the nested schema."""
     from quire.operators.export import BOOK, theory_text
     from pyspark.sql.types import StructType
 
-    rows = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey").where("c_nationkey < 5")
+    rows = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     document = F.to_json(F.struct(F.struct(F.col("c_custkey").cast("string").alias("book_slug")).alias("metadata"), F.array(F.struct(F.lit(1).alias("topic_number"), F.array(F.struct(F.col("c_mktsegment").alias("heading"), F.col("c_name").alias("excerpt"))).alias("theory_sections"))).alias("topics")))
     books = rows.select(F.from_json(document, StructType.fromDDL(BOOK)).alias("b")).select("b.*")
     return theory_text(books).select(F.col("book_slug").cast("long").alias("c_custkey"), "theory")
 
 
 @query("""
-SELECT c_custkey::VARCHAR || '__t1__exercise__0001' AS id, c_name AS question, c_mktsegment AS answer, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_rows FROM customer WHERE c_nationkey < 5
+SELECT c_custkey::VARCHAR || '__t1__exercise__0001' AS id, c_name AS question, c_mktsegment AS answer, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_rows FROM customer
 """)
 def qa_export(spark, sf_dir):
     """Customers as books whose question stands in one array or in two: rows count both, distinct questions one."""
     from quire.operators.export import BOOK, qa_rows
     from pyspark.sql.types import StructType
 
-    rows = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey").where("c_nationkey < 5")
+    rows = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     item = F.array(F.struct(F.col("c_name").alias("problem"), F.col("c_mktsegment").alias("solution")))
     topic = F.struct(F.lit(1).alias("topic_number"), item.alias("exercises"), F.when(F.col("c_custkey") % 2 == 0, item).alias("examples"))
     document = F.to_json(F.struct(F.struct(F.col("c_custkey").cast("string").alias("book_slug")).alias("metadata"), F.array(topic).alias("topics")))

@@ -48,7 +48,7 @@ def question_types(spark, sf_dir):
     return asked.select("conv_id", "turn", K.question_type(F.col("text"), F.lit("exercise")).alias("question_type"))
 
 
-_NAMES = ["Exercise 31 Revision", "Multiple Choice Questions", "Very Short Answer", "Fill in the Blanks", "Foundation Builder", "HOTS Subjective"]
+_NAMES = ["Exercise 31 Revision", "Multiple Choice Questions", "Very Short Answer", "Fill in the Blanks", "Master Boards", "HOTS Subjective"]
 _NAME_SQL = "['" + "', '".join(_NAMES) + "'][(p_partkey % 6 + 1)::INTEGER] || ' ' || p_size"
 
 
@@ -58,21 +58,21 @@ def heading_kind(spark, sf_dir):
     return read(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", K.subsection_kind(name).alias("kind"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN contains(lower(p_brand), 'revision') THEN 'revision' ELSE 'exercise_' || left(p_size::VARCHAR, 1) END WHEN 1 THEN 'foundation_builder' ELSE '' END AS key FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN contains(lower(p_brand), 'revision') THEN 'revision' ELSE 'exercise_' || left(p_size::VARCHAR, 1) END WHEN 1 THEN 'master_boards' ELSE '' END AS key FROM part")
 def exercise_key(spark, sf_dir):
     size = F.col("p_size").cast("string")
-    title = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("## Exercise "), size, F.lit(" "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("EXERCISE "), size, F.lit(": Foundation Builder"))).otherwise(F.col("p_brand"))
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("## Exercise "), size, F.lit(" "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("EXERCISE "), size, F.lit(": Master Boards"))).otherwise(F.col("p_brand"))
     return read(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", K.exercise_key(title).alias("key"))
 
 
 @query("""
-WITH b AS (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN 'Foundation Physics ' WHEN 1 THEN 'Maths ' WHEN 2 THEN 'Science ' WHEN 3 THEN 'Biology ' ELSE 'History ' END || 'Class ' || (p_size % 12 + 1) AS name FROM part)
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Physics' WHEN 1 THEN 'Mathematics' WHEN 2 THEN 'Science' WHEN 3 THEN 'Biology' ELSE 'Other' END AS subject, regexp_extract(lower(name), 'class\\s*([0-9]{1,2})', 1) AS class, CASE WHEN contains(lower(name), 'foundation') THEN 'Foundation' ELSE 'Other' END AS board FROM b
+WITH b AS (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN 'Olympiad Physics ' WHEN 1 THEN 'Maths ' WHEN 2 THEN 'Science ' WHEN 3 THEN 'Biology ' ELSE 'History ' END || 'Class ' || (p_size % 12 + 1) AS name FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Physics' WHEN 1 THEN 'Mathematics' WHEN 2 THEN 'Science' WHEN 3 THEN 'Biology' ELSE 'Other' END AS subject, regexp_extract(lower(name), 'class\\s*([0-9]{1,2})', 1) AS class, CASE WHEN contains(lower(name), 'olympiad') THEN 'Olympiad' ELSE 'Other' END AS board FROM b
 """)
 def derive_attributes(spark, sf_dir):
-    subject = F.element_at(F.array(*map(F.lit, ["Foundation Physics ", "Maths ", "Science ", "Biology ", "History "])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    subject = F.element_at(F.array(*map(F.lit, ["Olympiad Physics ", "Maths ", "Science ", "Biology ", "History "])), (F.col("p_partkey") % 5 + 1).cast("int"))
     name = F.concat(subject, F.lit("Class "), (F.col("p_size") % 12 + 1).cast("string"))
-    return read(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", K.book_attributes(name).alias("a")).select("p_partkey", "a.*")
+    return read(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", K.book_attributes(name, ("Olympiad",)).alias("a")).select("p_partkey", "a.*")
 
 
 @query(r"""
@@ -144,3 +144,13 @@ def url_params(spark, sf_dir):
 def preview_lines(spark, sf_dir):
     full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(full).cast("long").alias("n_lines"), F.get(full, F.lit(0)).alias("first_line"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE props END AS found FROM events
+""")
+def json_in_text(spark, sf_dir):
+    """Objects found again in prose, in a fence, alone, and not at all where they are cut."""
+    kind, props = F.col("event_id") % 4, F.col("props")
+    wrapped = F.when(kind == 0, F.concat(F.lit("Here it is: "), props, F.lit(". Done."))).when(kind == 1, F.concat(F.lit("```json\n"), props, F.lit("\n``` as asked {not this}"))).when(kind == 2, props)
+    return read(spark, sf_dir, "events", "event_id", "props").select("event_id", T.json_object(wrapped.otherwise(F.concat(F.lit("{"), props))).alias("found"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import classify as K
+from quire.functions import fixed
 from quire.functions import text as T
 
 
@@ -20,8 +21,10 @@ def test_subsection_kinds(spark):
 
 
 def test_exercise_keys(spark):
-    cases = {"Exercise 31 Foundation Builder": "foundation_builder", "Exercise 4 : Foundation Builder +": "foundation_builder_plus", "1 E X E R C I S E": "exercise_1", "## Exercise 310": "exercise_3", "Excercise": "exercise", "Sound": "", "AdvancedExercise Based on Connecting Topics": "advanced"}
+    cases = {"Exercise 31 Master Boards": "master_boards", "Exercise 4 : Master NCERT": "master_ncert", "1 E X E R C I S E": "exercise_1", "## Exercise 310": "exercise_3", "Excercise": "exercise", "Sound": "", "AdvancedExercise Based on Connecting Topics": "advanced"}
     assert evaluate(spark, K.exercise_key, cases) == list(cases.values())
+    own = (("star\\s*series", "star"), *fixed.EXERCISE_NAMES)
+    assert evaluate(spark, lambda c: K.exercise_key(c, names=own), ["Exercise 4 : Star  Series", "Exercise 2 Revision"]) == ["star", "revision"]
 
 
 def test_headings(spark):
@@ -57,5 +60,13 @@ def test_text(spark):
 
 
 def test_attributes(spark):
-    got = evaluate(spark, K.book_attributes, ["Foundation Physics Class 9", "10th Maths", "8 History", None])
-    assert [tuple(r) for r in got] == [("Physics", "9", "Foundation"), ("Mathematics", "10", "Other"), ("Other", "8", "Other"), ("Other", "", "Other")]
+    got = evaluate(spark, lambda c: K.book_attributes(c, ("Olympiad",)), ["Olympiad Physics Class 9", "10th Maths", "8 History", None])
+    assert [tuple(r) for r in got] == [("Physics", "9", "Olympiad"), ("Mathematics", "10", "Other"), ("Other", "8", "Other"), ("Other", "", "Other")]
+
+
+def test_json_in_text(spark):
+    cases = {
+        '{"a": 1}': '{"a": 1}', 'Here you go:\n{"a": 1}\nHope that helps': '{"a": 1}', '```json\n{"a": 1, "b": [2]}\n```': '{"a": 1, "b": [2]}',
+        'noise\n{\n "x": {"y": [1, 2]}}\ntrailing': '{\n "x": {"y": [1, 2]}}', "no json at all": None, "{not: valid}": None, "": None, "[1, 2]": None, '} {': None, 'two {"a": 1} and {"b": 2}': None, '{"a": 1}, {"b": 2}': None,
+    }
+    assert evaluate(spark, T.json_object, [*cases, None]) == [*cases.values(), None]

@@ -52,7 +52,7 @@ Bats find their way by sound.
 
 1. Assertion : Sound is a wave.
 
-## Exercise 4 Foundation Builder
+## Exercise 4 Master Boards
 
 Fill in the Blanks
 
@@ -71,7 +71,7 @@ Assertion-Reason
 
 １． (a) It is.
 
-Exercise 4 Foundation Builder
+Exercise 4 Master Boards
 
 Fill in the Blanks
 
@@ -96,8 +96,8 @@ def test_question_bank(chapters):
         ("revision", "mcq", "2", "(a)"),
         ("revision", "mcq", "1", ""),
         ("revision", "assertion_reason", "1", "(a) It is."),
-        ("foundation_builder", "fill_blanks", "5", "reflected"),
-        ("foundation_builder", "fill_blanks", "6", "hertz"),
+        ("master_boards", "fill_blanks", "5", "reflected"),
+        ("master_boards", "fill_blanks", "6", "hertz"),
     ]
     assert rows[0].text == "Sound cannot travel through\n(a) steel\n(b) a vacuum"
     assert rows[3].block == rows[0].block + 1
