@@ -12,8 +12,8 @@ def test_formulas(spark):
     assert one(spark, M.readable, r"\frac{1}{2}mv^{2}") == "(1)/(2)mv²"
     assert one(spark, M.readable, r"\theta = 30^{\circ} \times x_{1}") == "θ = 30^(°) × x_1"
     assert one(spark, M.readable, None) == ""
-    assert one(spark, M.readable, r"x^{i=(n)} + y^{ab} \\text{m} \\frac{\\pi}{2} \\pir \\left( \\foo \\frac{3} \\right)") == "xⁱ⁼⁽ⁿ⁾ + y^(ab) m (π)/(2) πr ( (3) )"
-    assert one(spark, M.readable, r"\\frac{x^{2}}{3}") == "x²3"
+    assert one(spark, M.readable, r"x^{i=(n)} + y^{ab} \text{m} \frac{\pi}{2} \pir \left( \foo \frac{3} \right)") == "xⁱ⁼⁽ⁿ⁾ + y^(ab) m (π)/(2) πr ( (3) )"
+    assert one(spark, M.readable, r"\frac{x^{2}}{3}") == "x²3"
     assert one(spark, M.without_formulas, r"area $\pi r^{2}$ and $$a \leq b$$.") == "area π r² and a ≤ b."
     assert one(spark, M.without_formulas, "plain text") == "plain text"
     assert one(spark, M.mathml_text, "x <math><mi>a</mi><mo>=</mo><mn>1</mn></math>") == "x a=1"
