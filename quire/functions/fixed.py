@@ -150,3 +150,37 @@ FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 TAG_RULE = r"\|?\s*:?-{2,}:?\s*\|"
 DISPLAY_MATH = r"(?<!\$)\$\$(?!\$)"
 EXAM_TAG = r"(?iu)\[\s*(NTSE|JSTSE|KVPY|NSO|IJSO|NSEJS|NSTSE|AIIMS|NEET|JEE)[^\]]{0,24}\]"
+
+# --- fixed values: options, keys and matching lists --------------------------------------------------------------
+
+OPTION_MARK = r"[\(\[]?\s*([a-dA-D1-4])\s*[\)\].]\s+"
+OPTION_STYLES = ("abcd", "ABCD", "1234")
+MIN_OPTIONS, MAX_OPTIONS = 2, 4
+STATEMENT = r"(?U)\s(?=[IVX]{2,4}\.\s+[A-Z])"
+OPTION_KEY = r"(?iU)^\s*(?:ans(?:wer)?\s*[:\-.]?\s*)?[\(\[]?\s*([a-dA-D1-4])\s*[\)\].]?(?:\s|$)"
+MATCH_MARK = r"\(([A-Za-z]|\d{1,2})\)\s*|(?:(?<=[\s>])|^)([A-Za-z]|\d{1,2})[.)]\s+"
+MATCH_PAIRING = r"\b[A-E]\s*[-–—→:>]+\s*[a-z0-9]\b"
+MATCH_ANSWER = r"(?i)([A-E])\s*[-–—→:>]+\s*([a-z0-9]+)"
+MATCH_KEY = r"(?i)^\(?([a-e])\)?\b"
+MATCH_FIGURE = r"!\[[^\]]*\]\([^)]*\)|https?://\S+|\[image:[^\]]*\]"
+MATCH_OPTION_CHARS = 80
+LIST_1 = ("A", "B", "C", "D", "E", "I", "II", "III", "IV", "V")
+LIST_2 = ("p", "q", "r", "s", "t", "1", "2", "3", "4", "5")
+
+# --- fixed values: what runs on after a question or an answer ----------------------------------------------------
+
+RUN_ON = (
+    r"(?:[→>]\s*)?(?:Time\s+to\s*\n?\s*)?(?:Check\s+Your\s*\n?\s*)+Knowledge\b",
+    r"\\section\*\{",
+    r"DIRECTIONS\s*[:(]",
+    r"(?:##\s*)?(?:SOLUTION|SOL\.)[ \t]*:?[ \t]*$",
+    r"(?:##\s*)?ILLUSTRATIO[NM]\b",
+)
+BANNER = r"(?iu)\A[ \t]*(?:[→>]\s*)?(?:Time\s+to\s+)?(?:Check\s+Your\s+)+Knowledge(?:\s+Knowledge)*[ \t]*[-–—:.]*[ \t]*(?=\n|\z)"
+HEADING_TAIL_CHARS = 70
+
+# --- fixed values: figures ---------------------------------------------------------------------------------------
+
+IMAGE_URL = r"!\[[^\]]*\]\((https?://[^)]+)\)"
+IMAGE_TOKEN = r"(?i)\[image:\s*(img_\d+)\]"
+KEPT_SUMMARIES = ("student_llm", "llm")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,20 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: Stands before each piece of a text that is cut by pattern.
+CUT = "\x1e"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(c: Column, mark: str) -> Column:
+    """A text cut before each match of a pattern: the first piece is what stands before them all."""
+    return F.split(F.regexp_replace(F.translate(text(c), CUT, " "), mark, f"{CUT}$0"), CUT)
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that isn't null or empty, else empty. White space alone is filled."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))

@@ -81,7 +81,7 @@ def questions(books: DataFrame) -> DataFrame:
     rows = items(books).withColumn("question", problem_text(F.col("item"))).withColumn("answer", solution_text(F.col("item"))).where("question <> '' or answer <> ''")
     rows = rows.withColumn("key", T.dedupe_key(F.col("item.id"), F.col("question"))).withColumn("source_order", F.coalesce("item.source_order", F.lit(1_000_000_000)))
     rows = first_wins(rows, ["book_slug", "topic_pos", "key"], ["bucket", "item_order"])
-    rows = rows.withColumn("exam", exam_tags(F.col("question"))).withColumn("question", without_exam_tags(F.col("question"))).withColumn("answer", without_exam_tags(F.col("answer")))
+    rows = rows.withColumn("exam", exam_tags(F.col("question"))).withColumn("question", sanitised(F.col("question"))).withColumn("answer", sanitised(F.col("answer")))
     rows = rows.withColumn("question_type", display_type(T.text(F.col("item.subsection_kind")), F.col("question"), T.text(F.col("item.subsection_title"))))
     display = F.create_map(*(F.lit(x) for kv in fixed.SECTION_DISPLAY.items() for x in kv))[F.col("section_key")]
     rows = renumber(rows, ["book_slug", "topic_pos"], [F.col("source_order"), F.col("bucket"), F.col("item_order")])
@@ -92,12 +92,33 @@ def exam_tags(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(T.fold_width(T.text(c)), F.lit(fixed.EXAM_TAG), F.lit(1)), F.upper)))
 
 
-def without_exam_tags(c: Column) -> Column:
-    s = F.regexp_replace(T.fold_width(T.text(c)), fixed.EXAM_TAG, " ")
+def _without_tail(c: Column) -> Column:
+    """Without blank lines at the end and, before them, one short line that begins with a letter and doesn't end as a sentence does."""
+    ended = F.regexp_replace(c, r"(?U)\s+\z", "")
+    heading = rf"(?U)(?:\A|\n)[^\S\n]*(?!.{{{fixed.HEADING_TAIL_CHARS + 1}}})\p{{L}}[^\n]*(?<![.?:;,])\z"
+    return F.regexp_replace(F.regexp_replace(ended, heading, ""), r"(?U)\s+\z", "")
+
+
+def without_run_on(c: Column) -> Column:
+    """A text up to the first heading or banner that something precedes: what it begins with stays."""
+    parts = T.pieces(c, r"(?imu)^[ \t]*(?:" + "|".join(f"(?:{p})" for p in fixed.RUN_ON) + ")")
+
+    def cut(p: Column) -> Column:
+        heads = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: _without_tail(F.array_join(F.slice(p, 1, k), "")))
+        head = F.element_at(F.concat(F.filter(heads, T.filled), F.array(F.array_join(p, ""))), 1)
+        return F.when(F.size(p) > 1, head).otherwise(F.element_at(p, 1))
+
+    return T.bind(parts, cut)
+
+
+def sanitised(c: Column) -> Column:
+    """A question or an answer without exam tags, what runs on after it, its banner, stranded table rules and an unpaired $$."""
+    s = without_run_on(F.regexp_replace(T.fold_width(T.text(c)), fixed.EXAM_TAG, " "))
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\A\s+", ""), fixed.BANNER, "")
     s = F.regexp_replace(s, fixed.TAG_RULE, " ")
-    odd = F.regexp_count(s, F.lit(fixed.DISPLAY_MATH)) % 2 == 1
-    s = F.when(odd, F.regexp_replace(s, fixed.DISPLAY_MATH, "")).otherwise(s)
-    return T.strip(F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    s = T.bind(s, lambda x: F.when(F.regexp_count(x, F.lit(fixed.DISPLAY_MATH)) % 2 == 1, F.regexp_replace(x, fixed.DISPLAY_MATH, " ")).otherwise(x))
+    s = T.strip(F.regexp_replace(F.regexp_replace(s, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
+    return T.strip(F.regexp_replace(s, r"(?U)\A[ \t]*[-–—•]\s*", ""))
 
 
 def theory(books: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def options_parse(spark, sf_dir):
 @query("SELECT p_partkey, 'Match the parts.' AS stem, p_name AS first, p_type AS last FROM part")
 def matching_parse(spark, sf_dir):
     text = F.concat(F.lit("Match the parts.\nColumn I\n(A) "), "p_name", F.lit("\n(B) "), "p_brand", F.lit("\nColumn II\n(p) one\n(q) "), "p_type", F.lit("\n(1) A-p; B-q\n(2) A-q; B-p"))
-    m = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type").select("p_partkey", P.parsed_matching(text).alias("m"))
+    m = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type").select("p_partkey", P.matching(text).alias("m"))
     return m.select("p_partkey", "m.stem", F.element_at("m.list_1", 1)["text"].alias("first"), F.element_at("m.list_2", -1)["text"].alias("last"))
 
 

@@ -129,3 +129,27 @@ def test_checks(spark):
     assert [r.missing for r in C.unresolved_figures(figures, F.col("text"), "ids").collect()] == [["b", "b"]]
     dirty = spark.createDataFrame([("see [NTSE]", ""), ("x\nDIRECTIONS: y", "５"), ("clean", None)], "q string, a string")
     assert {r.pattern: r.n for r in C.furniture(dirty, "q", "a").collect() if r.n} == {"exam tag": 1, "DIRECTIONS preamble": 1, "fullwidth punctuation": 1}
+
+
+def test_sanitised(spark):
+    cases = [
+        ("The 'water gas' is [JSTSE] (a) H2O (b) CO2", "The 'water gas' is (a) H2O (b) CO2"),
+        ("Time to\nCheck Your\nKnowledge\n\n- Will it set?", "Will it set?"),
+        ("→ Time to Check Your Knowledge\n\n- Will it set?", "Will it set?"),
+        ("Check Your Check Your Knowledge Knowledge\n\nWill it set?", "Will it set?"),
+        ("Check your knowledge of acids.", "Check your knowledge of acids."),
+        ("Oxygen does it.\n\nMultiple Choice Questions\nDIRECTIONS : choose one.", "Oxygen does it."),
+        ("DIRECTIONS (Qs. 1-32) : Answer.\n1. What is an acid?", "DIRECTIONS (Qs. 1-32) : Answer.\n1. What is an acid?"),
+        ("(d) activation energy\n\\section*{More}\nDIRECTIONS : x", "(d) activation energy"),
+        ("It is 4.\n  SOL. :\nworked out", "It is 4."),
+        ("It is 4.\n## ILLUSTRATION 3\nFind x.", "It is 4."),
+        ("Answer\n" + "long words " * 8 + "\nDIRECTIONS : x", "Answer\n" + ("long words " * 8).strip()),
+        ("Heading\n\nILLUSTRATION 1\nbody\nDIRECTIONS: y", "Heading\n\nILLUSTRATION 1"),
+        ("Reaction:\n$$ 2KOH $$\nis complete.", "Reaction:\n$$ 2KOH $$\nis complete."),
+        ("Value is $$ 5 and rises.", "Value is 5 and rises."),
+        ("（a） wide", "(a) wide"),
+        (None, ""),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string")
+    got = [r.s for r in sorted(df.select("k", E.sanitised(df.t).alias("s")).collect(), key=lambda r: r.k)]
+    assert got == [c[1] for c in cases]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import parse as P
 from quire.operators import segment as S
@@ -148,16 +149,46 @@ def test_answer_pairs():
     assert S.answer_pairs("1. (b) only") == []
 
 
-def test_options():
-    assert P.split_options("Pick one (a) red (b) green (c) blue (d) none") == ("Pick one", ["red", "green", "blue", "none"])
-    assert P.split_options("No options here") == ("No options here", [])
-    assert P.split_options("(a) no stem (b) here")[1] == []
-    stem, options = P.split_options("What holds? I. It is hot II. It is cold (1) I only (2) II only")
-    assert stem.startswith("What holds?") and options == ["I only", "II only"]
-    assert P.correct_option("Ans: (b)", ["x", "y"]) == 1
-    assert P.correct_option("Green", ["red", "green"]) == 1
-    assert P.correct_option("blue", ["red", "green"]) == -1
-    assert P.correct_option("d", ["red", "green"]) == -1
+def test_options(spark):
+    cases = [
+        ("Pick one (a) red (b) green (c) blue (d) none", "Ans: (b)", "Pick one", ["red", "green", "blue", "none"], 1),
+        ("Pick <b>one</b> (a) red<br/>(b) green", "<b>Green</b>", "Pick one", ["red", "green"], 1),
+        ("No options here", "a", "No options here", [], -1),
+        ("(a) no stem (b) here", "a", "(a) no stem (b) here", [], -1),
+        ("Pick (A) x (B) y (A) z", "blue", "Pick", ["x", "y"], -1),
+        ("Pick (a) x (a) y (b) z", "d", "Pick", ["x (a) y", "z"], -1),
+        ("Pick (a) same (b) Same.", "same", "Pick", ["same", "Same"], -1),
+        ("Pick (a) x (b) y II. It is cold", "2", "Pick", ["x", "y"], 1),
+        ("Pick [1] one [2] two (a) not (c) these", None, "Pick", ["one", "two"], -1),
+        (None, None, "", [], -1),
+    ]
+    df = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(cases)], "k int, q string, a string")
+    got = sorted(df.select("k", P.parsed_options(F.col("q"), F.col("a")).alias("o")).collect(), key=lambda r: r.k)
+    assert [(r.o.stem, r.o.options, r.o.correct) for r in got] == [tuple(c[2:]) for c in cases]
+    many = P.options(F.lit("What holds? I. It is hot II. It is cold (1) I only (2) II only"))
+    assert spark.range(1).select(many.alias("o")).first().o.options == ["I only", "II only"]
+
+
+def test_inline_matching(spark):
+    cases = [
+        "Match them. (A) Ear (B) Eye (p) light (q) sound (a) A-q, B-p (b) A-p, B-q",
+        "Match. Column I(A)Acceleration(B)Speed(p)may be zero(q)http://x/A-1B-2 is never",
+        "(A) only one list (B) here",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, q string")
+    got = [r.m for r in sorted(df.select("k", P.matching(F.col("q")).alias("m")).collect(), key=lambda r: r.k)]
+    assert got[0].stem == "Match them." and [tuple(e) for e in got[0].list_1] == [("A", "Ear"), ("B", "Eye")]
+    assert [tuple(e) for e in got[0].list_2] == [("p", "light"), ("q", "sound")] and [e.id for e in got[0].options] == ["a", "b"]
+    assert [e.text for e in got[1].list_1] == ["Acceleration", "Speed"] and [e.id for e in got[1].list_2] == ["p", "q"]
+    assert got[3] is None
+
+
+def test_matching_answer(spark):
+    cases = [("(c)", ["a", "c"]), ("C is right", ["a", "c"]), ("A-q; B→P, a: r", []), ("see text", ["a"]), ("  ", ["a"]), (None, None), ("(c)", None)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, ids array<string>")
+    got = [r.m for r in sorted(df.select("k", P.matching_answer(F.col("a"), F.col("ids")).alias("m")).collect(), key=lambda r: r.k)]
+    assert [m and (m.label, m.pairs, m.text) for m in got] == [("c", None, None), ("c", None, None), (None, {"A": "r", "B": "p"}, None), (None, None, "see text"), None, None, (None, None, "(c)")]
 
 
 def test_matching():
@@ -169,7 +200,7 @@ def test_matching():
 
 def test_pandas_functions(spark):
     df = spark.createDataFrame([("Pick (a) x (b) y", "b", "Nutrition in Animals", "NUTRITIONIN ANMALS"), (None, None, None, "abc")], "q string, a string, l string, r string")
-    rows = df.select(P.parsed_options("q", "a").alias("o"), P.title_similarity("l", "r").alias("s"), P.parsed_matching("q").alias("m")).collect()
+    rows = df.select(P.parsed_options(F.col("q"), F.col("a")).alias("o"), P.title_similarity("l", "r").alias("s"), P.parsed_matching("q").alias("m")).collect()
     assert rows[0].o.correct == 1 and rows[0].s > 0.9 and rows[1].o.options == [] and rows[1].s == 0.0
 
 
