@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,13 +17,31 @@ from quire.operators.segment import _by_group, _types
 CONCEPT_MAP = r"(?iu)concept\s*map"
 BOUNDARY = r"(?iu)^(?:##\s*)?chapter\b|^!\[|<img"
 CONTENTS = r"(?iu)^#*\s*(?:table\s+of\s+)?contents\s*$"
+#: Headings that never start a chapter, on the heading's text.
+NEVER = (
+    r"(?iu)check your knowledge|did you know",
+    r"(?iu)<br>",
+    r"(?iu)origin of life|evolution vs|case\s*[-:]?\s*(study|[iv]+)|connecting topic|concept\s*map|foundation\s*builder|exercise\s+\d",
+    r"(?iu)^(\d+)\.\s+(\([a-d]\)|Steps of construction|Column\s*-?\s*I\b)|^\(\d+\)",
+)
+#: (least overlap, score) of a heading with the topic's number, and of one without.
+NUMBERED_SCORES, NAMED_SCORES = ((0.5, 100), (0.25, 90)), ((0.6, 95), (0.4, 88), (0.25, 82))
+#: (least likeness, score) by letters alone, and the scores of a concept map and of a short heading in capitals.
+LIKE_SCORES, CONCEPT_MAP_SCORE, SHOUTED_SCORE = ((0.9, 97), (0.8, 94)), 72, 92
 #: A start's least score; below SURE a line needs a chapter's boundary near it, so many lines away at most.
 ACCEPT, SURE, NEAR = 72, 95, 12
 
 
+def _graded(value: Column, grades: tuple, when: Column | None = None) -> Column:
+    """The score of the first grade that a value reaches, else 0; 0 too where a condition doesn't hold."""
+    score = F.coalesce(*(F.when(value >= least, score) for least, score in grades), F.lit(0))
+    return score if when is None else F.when(when, score).otherwise(0)
+
+
 def scores(lines: DataFrame, topics: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, topic_number, line_no, score) of heading lines that could start a topic. Each book's headings meet its topics, a short list."""
-    heads = lines.where(F.col("line").startswith("## ")).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
+    never = [T.strip(F.substring("line", 4, 1 << 30)).rlike(p) for p in NEVER]
+    heads = lines.where(F.col("line").startswith("## ") & ~reduce(or_, never)).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
     both = heads.join(topics.select(*keys, "topic_number", "topic_name"), keys)
     number = F.regexp_extract("_head", r"^(\d{1,3})\s*[.)]?\s+\S", 1)
     title = F.regexp_replace("_head", r"^\d{1,3}\s*[.)]?\s+", "")
@@ -29,12 +49,12 @@ def scores(lines: DataFrame, topics: DataFrame, keys: list[str]) -> DataFrame:
     both = both.where((F.col("_o") > 0) | F.col("_head").rlike(CONCEPT_MAP) | (F.length("_title") >= 6))
     first, words = F.get(T.title_words(F.col("topic_name")), F.lit(0)), T.title_words(F.col("_title"))
     has_first = F.exists(words, lambda w: (w == first) | ((F.least(F.length(w), F.length(first)) >= 4) & (F.substring(w, 1, 4) == F.substring(first, 1, 4))))
-    numbered = F.when(F.col("_n").cast("int") != F.col("topic_number"), 0).when(F.col("_o") >= 0.5, 100).when(F.col("_o") >= 0.25, 90).otherwise(0)
-    named = F.when(~F.coalesce(has_first, F.lit(False)) & (F.col("_o") < 1.0), 0).when(F.col("_o") >= 0.6, 95).when(F.col("_o") >= 0.4, 88).when(F.col("_o") >= 0.25, 82).otherwise(0)
-    base = F.when(F.col("_n") != "", numbered).when(F.col("_head").rlike(CONCEPT_MAP), 72).otherwise(named)
+    numbered = _graded(F.col("_o"), NUMBERED_SCORES, F.col("_n").cast("int") == F.col("topic_number"))
+    named = _graded(F.col("_o"), NAMED_SCORES, F.coalesce(has_first, F.lit(False)) | (F.col("_o") >= 1.0))
+    base = F.when(F.col("_n") != "", numbered).when(F.col("_head").rlike(CONCEPT_MAP), CONCEPT_MAP_SCORE).otherwise(named)
     shouted = (F.col("_title") == F.upper("_title")) & F.size(words).between(1, 4) & (base > 0)
     like = title_similarity("topic_name", "_title")
-    score = F.when(F.col("_n") != "", base).otherwise(F.greatest(F.when(shouted, F.greatest(base, F.lit(92))).otherwise(base), F.when(like >= 0.9, 97).when(like >= 0.8, 94).otherwise(0)))
+    score = F.when(F.col("_n") != "", base).otherwise(F.greatest(F.when(shouted, F.greatest(base, F.lit(SHOUTED_SCORE))).otherwise(base), _graded(like, LIKE_SCORES)))
     return both.withColumn("score", score).where("score > 0").select(*keys, "topic_number", "line_no", "score")
 
 

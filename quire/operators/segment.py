@@ -263,27 +263,22 @@ def blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     """For each question block (exercise, kind, numbers) the place of its solution block, each used once.
 
-    The kind must agree. The search goes on from the last match: first with the same exercise, then with any, then both
-    again from the start. What is left may take an unlabelled block that has most of its numbers.
+    Of the blocks of its kind it takes the best: one after the last that was taken, of its own exercise, the nearest to
+    the beginning. Without any, a block of three numbers or more takes the one without labels that shares most of them.
     """
-    used: set[int] = set()
+    free = dict(enumerate(solved))
     found: list[int | None] = []
-    cursor = 0
-    for exercise, kind, _ in asked:
-        hit = None
-        for same, begin in ((True, cursor), (False, cursor), (True, 0), (False, 0)):
-            hit = next((j for j in range(begin, len(solved)) if j not in used and solved[j][1] == kind and (not same or solved[j][0] == exercise)), None)
-            if hit is not None:
-                used.add(hit)
-                cursor = hit + 1
-                break
+    after = 0
+    for exercise, kind, numbers in asked:
+        hit = min((j for j in free if free[j][1] == kind), key=lambda j: (j < after, free[j][0] != exercise, j), default=None)
+        if hit is None and len(numbers) >= 3:
+            shared = {j: len(numbers & held) for j, (name, its, held) in free.items() if not name and not its}
+            best = max(shared, key=shared.get, default=None)
+            hit = best if best is not None and shared[best] >= max(3, 0.6 * len(numbers)) else None
+        if hit is not None:
+            del free[hit]
+            after = hit + 1
         found.append(hit)
-    for i, (_, _, numbers) in enumerate(asked):
-        if found[i] is None:
-            shared = [(len(numbers & solved[j][2]), -j) for j in range(len(solved)) if j not in used and not solved[j][1] and len(solved[j][2]) >= 3]
-            if shared and max(shared)[0] >= max(3, 0.6 * len(numbers)):
-                found[i] = -max(shared)[1]
-                used.add(found[i])
     return found
 
 

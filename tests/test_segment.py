@@ -137,6 +137,9 @@ def test_key_without_banner(spark):
         ([("a", "mcq", set("1234"))], [("", "", set("123")), ("", "", set("1234"))], [1]),
         ([("a", "mcq", set("1234"))], [("", "", set("12"))], [None]),
         ([("x", "mcq", {"1"})], [("y", "mcq", {"1"})], [0]),
+        ([("a", "mcq", set("1234"))], [("a", "", set("1234"))], [None]),
+        ([("a", "mcq", set("12"))], [("", "", set("12345"))], [None]),
+        ([("a", "mcq", set("123")), ("b", "", set("123"))], [("", "", set("123"))], [0, None]),
     ],
 )
 def test_pairing(asked, solved, expected):
