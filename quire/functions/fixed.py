@@ -184,3 +184,28 @@ HEADING_TAIL_CHARS = 70
 IMAGE_URL = r"!\[[^\]]*\]\((https?://[^)]+)\)"
 IMAGE_TOKEN = r"(?i)\[image:\s*(img_\d+)\]"
 KEPT_SUMMARIES = ("student_llm", "llm")
+
+# --- fixed values: titles, side boxes and case studies -----------------------------------------------------------
+
+BANK_TITLES = (
+    r"(?iu)multiple choice|mcq|assertion|fill in the blank|true\s*/\s*false|match the following|match following|passage\s+based|very short answer|short answer|long answer|reasoning|hots|case study based|text\s*-\s*book|exemplar|revision\s+exercise|examination|give answer in",
+    r"(?iu)^DIRECTIONS\s*:",
+    r"(?iu)^(?:or|solutions|answer key|answers)$",
+)
+NON_THEORY_TITLES = (
+    r"(?iu)^(?:ILLUSTRATION|CASE\s+STUDY|Exercise|Text-?Book|Exemplar|Excercise|Single\s+Option|Multiple\s+Option|DIRECTIONS|SOLUTION|Physics)$",
+    r"(?iu)^ILLUSTRATIO[NM]\s*:?\s*.",
+    r"(?iu)^CASE STUDY",
+    r"(?iu)^Exercise(?:\s*<br\s*/?>|\s*$|\s+(?!Questions))",
+    r"(?iu)^(?:SOLUTIO[NM]|SOL\.)\s*(?::.*)?$",
+    r"(?iu)^SOLUTIONS\b",
+    r"(?iu)Check Your Knowledge",
+)
+SIDE_TITLES = (r"(?iu)^(?:Keep in Memory|Learn More)", r"(?iu)^(?:physics|connecting topic|abstract)$", r"(?iu)Check Your Knowledge")
+CASE_STUDY_HEADING = r"(?iu)^##\s+(CASE STUDY.*?)\s*$"
+CASE_PROMPT = r"(?imu)^(CASE[^\S\n]*-[^\S\n]*[IVXLCDM]+|Q\.[^\S\n]*\d+)[^\S\n]*[:：]?[^\S\n]*"
+INLINE_CHECK = r"(?ius)(?:\A|(?<=\n))[^\n]*Check Your Knowledge[^\n]*(?:\n|\z)(?:.*?(?<=\n)[^\S\n]*(?:##[^\S\n]+)?(?:SOLUTIO[NM]|SOL\.)[^\S\n]*(?::[^\n]*)?(?:\n|\z)|.*\z)"
+TITLE_CHARS = 500
+KEPT_EXAMPLES = ("illustration", "check_your_knowledge")
+EXAMPLE_ARRAYS = (("illustrations", "illustration"), ("check_your_knowledge_items", "check_your_knowledge"), ("textbook_exercises", "textbook_exercise"))
+TEXTBOOK_WORDS = r"(?i)text-book|textbook|text book|exemplar"

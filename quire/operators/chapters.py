@@ -21,7 +21,7 @@ CONTENTS = r"(?iu)^#*\s*(?:table\s+of\s+)?contents\s*$"
 NEVER = (
     r"(?iu)check your knowledge|did you know",
     r"(?iu)<br>",
-    r"(?iu)origin of life|evolution vs|case\s*[-:]?\s*(study|[iv]+)|connecting topic|concept\s*map|foundation\s*builder|exercise\s+\d",
+    r"(?iu)origin of life|evolution vs|case\s*[-:]?\s*(study|[iv]+)|connecting topic|concept\s*map|exercise\s+\d",
     r"(?iu)^(\d+)\.\s+(\([a-d]\)|Steps of construction|Column\s*-?\s*I\b)|^\(\d+\)",
 )
 #: (least overlap, score) of a heading with the topic's number, and of one without.
@@ -38,10 +38,10 @@ def _graded(value: Column, grades: tuple, when: Column | None = None) -> Column:
     return score if when is None else F.when(when, score).otherwise(0)
 
 
-def scores(lines: DataFrame, topics: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, topic_number, line_no, score) of heading lines that could start a topic. Each book's headings meet its topics, a short list."""
-    never = [T.strip(F.substring("line", 4, 1 << 30)).rlike(p) for p in NEVER]
-    heads = lines.where(F.col("line").startswith("## ") & ~reduce(or_, never)).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
+def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER) -> DataFrame:
+    """(keys, topic_number, line_no, score) of heading lines that could start a topic; never: patterns of those that can't, a series adds its own. Each book's headings meet its topics, a short list."""
+    out = [T.strip(F.substring("line", 4, 1 << 30)).rlike(p) for p in never]
+    heads = lines.where(F.col("line").startswith("## ") & ~reduce(or_, out)).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
     both = heads.join(topics.select(*keys, "topic_number", "topic_name"), keys)
     number = F.regexp_extract("_head", r"^(\d{1,3})\s*[.)]?\s+\S", 1)
     title = F.regexp_replace("_head", r"^\d{1,3}\s*[.)]?\s+", "")
@@ -58,14 +58,14 @@ def scores(lines: DataFrame, topics: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("score", score).where("score > 0").select(*keys, "topic_number", "line_no", "score")
 
 
-def starts(lines: DataFrame, topics: DataFrame, keys: list[str]) -> DataFrame:
+def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER) -> DataFrame:
     """(keys, topic_number, start): each topic's best line after the start of the one before; of equals the first. Topics without one are left out."""
     order = Window.partitionBy(*keys).orderBy("line_no")
     s = T.strip(F.col("line"))
     near = F.max((s.rlike(CONCEPT_MAP)).cast("int")).over(order.rowsBetween(-NEAR, NEAR)) + F.max(s.rlike(BOUNDARY).cast("int")).over(order.rowsBetween(-NEAR, 0))
     contents = F.coalesce(F.max(F.when(s.rlike(CONTENTS) & (F.col("line_no") < 400), F.col("line_no"))).over(Window.partitionBy(*keys)), F.lit(-1))
     marked = lines.withColumn("_near", near > 0).withColumn("_after", contents)
-    found = scores(lines, topics, keys).join(marked.select(*keys, "line_no", "_near", "_after"), [*keys, "line_no"])
+    found = scores(lines, topics, keys, never).join(marked.select(*keys, "line_no", "_near", "_after"), [*keys, "line_no"])
     found = found.where(((F.col("score") >= SURE) | F.col("_near")) & (F.col("line_no") > F.col("_after")) & (F.col("score") >= ACCEPT))
 
     def work(group: list) -> Iterator[tuple]:
