@@ -6,6 +6,9 @@ runs over a source.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +65,13 @@ def bank_search(rows: DataFrame, chosen: dict[str, list], needle: str = "", text
 
 def bank_facets(rows: DataFrame, chosen: dict[str, list]) -> DataFrame:
     """(dimension, value, n): a dimension's own choice doesn't narrow its facet; chosen values that match nothing count 0."""
-    out = None
-    for name, values in chosen.items():
-        found = bank_search(rows, chosen, ignore=name).groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
-        if values:
-            picked = rows.sparkSession.createDataFrame([(str(v),) for v in values], "value string")
-            missing = picked.join(found, "value", "left_anti").withColumn("n", F.lit(0).cast("long"))
-            found = found.unionByName(missing)
-        one = found.select(F.lit(name).alias("dimension"), "value", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    missed = {name: (~F.coalesce(F.col(name).isin(values), F.lit(False))).cast("int") if values else F.lit(0) for name, values in chosen.items()}
+    total = reduce(add, missed.values())
+    # each row once for every facet that it counts in, with no more than that facet's own choice against it
+    each = F.array(*(F.when(total == miss, F.struct(F.lit(name).alias("dimension"), F.col(name).cast("string").alias("value"), F.lit(1).alias("n"))) for name, miss in missed.items()))
+    counted = rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    picked = rows.sparkSession.createDataFrame([(name, str(v), 0) for name, values in chosen.items() for v in values], "dimension string, value string, n int")
+    return counted.unionByName(picked).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
 
 
 def percent(part: Column, whole: Column, digits: int = 0) -> Column:

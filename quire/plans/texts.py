@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import classify as K
@@ -14,38 +15,54 @@ def _sql_cascade(column: str, rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{label}'" for p, label in rules) + f" ELSE '{default}' END"
 
 
-@query("""
-WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS plain FROM documents), c AS (SELECT *, lower(plain) AS combined, lower(string_split_regex(trim(plain), '[.?!]\\s+')[1]) AS start FROM d)
-SELECT doc_id, CASE
-  WHEN regexp_matches(combined, 'assertion\\s*(?:\\(\\s*a\\s*\\)|[:-])') THEN 'Assertion-Reason'
-  WHEN regexp_matches(plain, '(?i)\\([abcd]\\)|options?\\s*:\\s*') THEN 'MCQ'
-  WHEN regexp_matches(combined, 'true\\s*/\\s*false') THEN 'True/False'
-  WHEN regexp_matches(combined, '_{3,}|\\.{5,}') THEN 'Fill in the Blanks'
-  WHEN regexp_matches(plain, '[0-9]+\\s*[+×÷=^-]') THEN 'Numerical'
-  WHEN regexp_matches(start, '^(define|what\\s+is|what\\s+are)') THEN 'Short Answer'
-  ELSE 'other' END AS label FROM c
-""")
+_OPENINGS = ["So", "Assertion (A) holds.", "Pick (a) it or (b) not.", "True or false?", "Match the following.", "It is ____ here.", "Read the passage.", "As shown in the figure", "Perform the experiment", "Prove that", "Calculate", "Define", "Explain", "Think and answer.", "In daily life", "State the law"]
+_OPENED = "['" + "', '".join(_OPENINGS) + "'][({0} % 16 + 1)::INTEGER] || ' ' || coalesce(text, '')"
+
+
+def _opened(n: Column) -> Column:
+    """Texts with the wording of one of the types in front."""
+    return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _OPENINGS)), (n % 16 + 1).cast("int")), T.text(F.col("text")))
+
+
+def _type_sql(table: str, ids: str, n: str, where: str, default: str) -> str:
+    """The classifier over a table's texts; the other engine's flags have no u, as its folding is Unicode's anyway."""
+    unescaped = f"regexp_replace({_OPENED.format(n)}, '<[^>]+>', ' ', 'g')"
+    for entity, plain in T.ENTITIES:
+        unescaped = "replace({}, '{}', '{}')".format(unescaped, entity, plain.replace("'", "''"))
+    plain = f"trim(regexp_replace(regexp_replace({unescaped}, '(?:_\\s*){{3,}}', '____ ', 'g'), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+    has = lambda c, p: "regexp_matches({}, '{}')".format(c, p.replace("(?iu)", "(?i)").replace("(?ius)", "(?is)"))
+    return f"""
+WITH p AS (SELECT {ids}, {plain} AS plain FROM {table} {where}), c AS (SELECT *, ' ' || lower(plain) AS combined, lower(string_split_regex(plain, '[.?!]\\s+')[1]) AS start FROM p)
+SELECT {ids}, CASE
+  WHEN {has("combined", fixed.ASSERTION_REASON)} THEN 'Assertion-Reason'
+  WHEN {has("plain", fixed.MCQ)} THEN 'MCQ'
+  WHEN {has("combined", fixed.TRUE_FALSE)} THEN 'True/False'
+  WHEN {has("combined", fixed.MATCH)} THEN 'Match the Following'
+  WHEN {has("combined", fixed.FILL)} THEN 'Fill in the Blanks'
+  WHEN {has("combined", fixed.CASE_STUDY)} THEN 'Case Study'
+  WHEN {has("combined", fixed.DIAGRAM)} THEN 'Diagram Based'
+  WHEN {has("combined", fixed.ACTIVITY)} THEN 'Activity Based'
+  WHEN {has("combined", fixed.FORMULA)} THEN 'Formula Based'
+  WHEN {has("plain", fixed.NUMERIC)} OR {has("plain", fixed.UNITS)} OR {has("plain", fixed.ARITHMETIC)} THEN 'Numerical'
+  WHEN {has("start", fixed.SHORT_ANSWER)} THEN 'Short Answer'
+  WHEN {has("start", fixed.LONG_ANSWER)} THEN 'Long Answer'
+  WHEN {has("combined", fixed.HOTS)} THEN 'HOTS'
+  WHEN {has("combined", fixed.APPLICATION)} THEN 'Application Based'
+  WHEN {has("combined", fixed.CONCEPTUAL)} THEN 'Conceptual'
+  ELSE '{default}' END AS question_type FROM c"""
+
+
+@query(_type_sql("documents", "doc_id", "doc_id", "", "Exercise Question"))
 def classify_rules(spark, sf_dir):
-    """The rules that every engine's expressions can say, of the ordered cascade; the rest of it is tested on its own."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace("text", r"[ \t\n\r]+", " ")))
-    start = F.lower(F.element_at(F.split(F.trim(plain), r"[.?!]\s+"), 1))
-    label = (
-        F.when(F.lower(plain).rlike(r"assertion\s*(?:\(\s*a\s*\)|[:-])"), "Assertion-Reason")
-        .when(plain.rlike(r"(?i)\([abcd]\)|options?\s*:\s*"), "MCQ")
-        .when(F.lower(plain).rlike(r"true\s*/\s*false"), "True/False")
-        .when(F.lower(plain).rlike(r"_{3,}|\.{5,}"), "Fill in the Blanks")
-        .when(plain.rlike(r"[0-9]+\s*[+×÷=^-]"), "Numerical")
-        .when(start.rlike(fixed.SHORT_ANSWER), "Short Answer")
-        .otherwise("other")
-    )
-    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", label.alias("label"))
-
-
-@query()
+    """The whole cascade over documents."""
+    return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", K.question_type(_opened(F.col("doc_id"))).alias("question_type"))
+
+
+@query(_type_sql("conversations", "conv_id, turn", "conv_id", "WHERE role = 'user'", "Illustration Question"))
 def question_types(spark, sf_dir):
-    """The whole classifier over conversations' questions; SQL of the other engine lacks its word boundaries."""
+    """The whole cascade over conversations' questions, as those of an illustration."""
     asked = read(spark, sf_dir, "conversations").where("role = 'user'")
-    return asked.select("conv_id", "turn", K.question_type(F.col("text"), F.lit("exercise")).alias("question_type"))
+    return asked.select("conv_id", "turn", K.question_type(_opened(F.col("conv_id")), F.lit("illustration")).alias("question_type"))
 
 
 _NAMES = ["Exercise 31 Revision", "Multiple Choice Questions", "Very Short Answer", "Fill in the Blanks", "Master Boards", "HOTS Subjective"]
