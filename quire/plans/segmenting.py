@@ -44,21 +44,23 @@ def blocks_parse(spark, sf_dir):
     return items.where("part = 'bank'").select("o_orderkey", "kind", "number", "text")
 
 
-@query(_CHAPTER_LINES + """
-, f AS (SELECT l_orderkey, l_returnflag FROM d GROUP BY ALL HAVING count(*) = count(DISTINCT l_linenumber))
-SELECT l_orderkey AS o_orderkey, CASE l_returnflag WHEN 'A' THEN 'single_option' WHEN 'N' THEN 'fill_blanks' ELSE 'true_false' END AS kind, l_linenumber::VARCHAR AS number, q AS text, a AS answer
-FROM d SEMI JOIN f USING (l_orderkey, l_returnflag)
-""")
+#: A number that repeats at once stays in its block, where its first answer counts; one more repeat opens a new block.
+_PAIRED = _CHAPTER_LINES + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linenumber ORDER BY q, a) AS at_number, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, q, a) AS at_flag FROM d)
+SELECT l_orderkey AS o_orderkey, CASE l_returnflag WHEN 'A' THEN 'single_option' WHEN 'N' THEN 'fill_blanks' ELSE 'true_false' END AS kind, l_linenumber::VARCHAR AS number, q AS text,
+  first_value(a) OVER (PARTITION BY l_orderkey, l_returnflag, l_linenumber, (at_number - 1) // 2 ORDER BY at_number) AS answer
+"""
+
+
+@query(_PAIRED + "FROM n")
 def align_greedy(spark, sf_dir):
-    """Questions with the answers of their block; sub-sections in which no number repeats, where SQL can say the result."""
-    rows = S.question_bank(order_chapters(spark, sf_dir), ["o_orderkey"])
-    once = rows.groupBy("o_orderkey", "kind").agg(F.count("*").alias("n"), F.countDistinct("number").alias("m")).where("n = m")
-    return rows.join(once.select("o_orderkey", "kind"), ["o_orderkey", "kind"], "left_semi").select("o_orderkey", "kind", "number", "text", "answer")
+    """Questions with the answers of their block, also where a number repeats."""
+    return S.question_bank(order_chapters(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "kind", "number", "text", "answer")
 
 
-@query()
+@query(_PAIRED + ", (sum((at_flag = 1 OR (at_number > 1 AND at_number % 2 = 1))::INTEGER) OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, at_flag) - 1)::INTEGER AS block FROM n")
 def question_bank(spark, sf_dir):
-    """All questions with answers, also of sub-sections in which a number repeats and opens a new block."""
+    """All questions with answers and the number of their block in the chapter."""
     return S.question_bank(order_chapters(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "block", "kind", "number", "text", "answer")
 
 
