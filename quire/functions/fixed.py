@@ -184,6 +184,12 @@ HEADING_TAIL_CHARS = 70
 IMAGE_URL = r"!\[[^\]]*\]\((https?://[^)]+)\)"
 IMAGE_TOKEN = r"(?i)\[image:\s*(img_\d+)\]"
 KEPT_SUMMARIES = ("student_llm", "llm")
+#: A logo's crop: its least left edge, greatest top edge and sides; the band that it takes of a page.
+LOGO_LEFT, LOGO_TOP, LOGO_SIDES, LOGO_BAND = 1300, 650, (380, 550), 460
+#: A whole page's least sides; a page is trimmed if its top edge is no lower than TRIM_TOP and TRIM_HEIGHT are left.
+PAGE_SIDE, TRIM_TOP, TRIM_HEIGHT = 1200, 500, 400
+#: How far above its estimated line a topic may begin: this share of the lines, this many at least.
+SLACK_SHARE, SLACK_LINES = 0.03, 80
 
 # --- fixed values: titles, side boxes and case studies -----------------------------------------------------------
 

@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import fixed
 from quire.functions import text as T
 from quire.operators.parse import title_similarity
 from quire.operators.segment import _by_group, _types
@@ -58,6 +59,14 @@ def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[st
     return both.withColumn("score", score).where("score > 0").select(*keys, "topic_number", "line_no", "score")
 
 
+def least_line(n_lines: Column, contents_end: Column, first_page: Column, last_page: Column) -> Column:
+    """The line before which a topic can't begin, by its first page's share of the book's pages; the contents' end where no page is known."""
+    body = F.greatest(n_lines - contents_end, F.lit(1))
+    share = F.greatest(F.coalesce(first_page, F.lit(0)) - 1, F.lit(0)) / F.greatest(last_page, F.lit(1))
+    slack = F.greatest(F.floor(body * fixed.SLACK_SHARE), F.lit(fixed.SLACK_LINES))
+    return F.when(last_page.isNull(), contents_end).otherwise(F.greatest(contents_end, contents_end + F.floor(body * share) - slack)).cast("long")
+
+
 def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER) -> DataFrame:
     """(keys, topic_number, start): each topic's best line after the start of the one before; of equals the first. Topics without one are left out."""
     order = Window.partitionBy(*keys).orderBy("line_no")

@@ -80,3 +80,30 @@ def merged_topics(manifest: DataFrame, cached: DataFrame, previous: DataFrame, k
     source = F.when(origin == "llm", "student_llm").otherwise(T.text(F.col("_source")))
     out = both.withColumn("summary_source", F.when(keep, source).otherwise(F.col("summary_source"))).withColumn("summary", F.when(keep, F.col("_summary")).otherwise(F.col("summary")))
     return out.drop("_summary", "_source")
+
+
+def is_logo(url: Column) -> Column:
+    """Whether a picture's crop is where the books print their logo."""
+    return T.bind(T.crop(url), lambda c: (c["top_left_x"] >= fixed.LOGO_LEFT) & (c["top_left_y"] <= fixed.LOGO_TOP) & c["width"].between(*fixed.LOGO_SIDES) & c["height"].between(*fixed.LOGO_SIDES))
+
+
+def is_full_page(url: Column) -> Column:
+    """Whether a picture's crop is as large as a page."""
+    return T.bind(T.crop(url), lambda c: (c["width"] >= fixed.PAGE_SIDE) & (c["height"] >= fixed.PAGE_SIDE))
+
+
+def without_logo(url: Column) -> Column:
+    """The address without the logo's band, where it is of a whole page's top; empty where it is of the logo alone."""
+
+    def trimmed(c: Column) -> Column:
+        set_to = lambda u, key, value: F.regexp_replace(u, F.lit(f"(?<=[?&]{key}=)\\d+"), value.cast("string"))
+        new = set_to(set_to(url, "top_left_y", c["top_left_y"] + fixed.LOGO_BAND), "height", c["height"] - fixed.LOGO_BAND)
+        high = (c["top_left_y"] <= fixed.TRIM_TOP) & (c["height"] - fixed.LOGO_BAND >= fixed.TRIM_HEIGHT)
+        return F.when(is_logo(url), "").when(high & is_full_page(url), new).otherwise(url)
+
+    return T.bind(T.crop(url), trimmed)
+
+
+def concept_map_urls(urls: Column) -> Column:
+    """The distinct addresses of an array, in order, without logos."""
+    return F.array_distinct(F.filter(F.transform(urls, without_logo), lambda u: u != ""))

@@ -97,3 +97,33 @@ def matching_answers(spark, sf_dir):
     answer = F.when(kind == 0, "(B)").when(kind == 1, F.concat(F.lit("A-"), (F.col("o_custkey") % 9).cast("string"), F.lit("; B → Q"))).otherwise(F.concat("o_orderstatus", F.lit(" alone ")))
     m = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus").select("o_orderkey", P.matching_answer(answer, F.when(kind == 0, F.array(F.lit("a"), F.lit("b")))).alias("m"))
     return m.select("o_orderkey", "m.label", F.try_element_at("m.pairs", F.lit("A")).alias("a"), F.try_element_at("m.pairs", F.lit("B")).alias("b"), "m.text")
+
+
+_CROP = "url || '?height=' || h || '&width=' || w || '&top_left_y=' || y || '&top_left_x=' || x"
+_CROPS = "SELECT page_id, string_split(string_split(url, '?')[1], '#')[1] AS url, 400 + page_id % 5 * 300 AS h, 400 + page_id % 4 * 300 AS w, page_id % 3 * 300 AS y, page_id % 2 * 1400 AS x FROM pages"
+
+
+@query(f"""
+WITH c AS ({_CROPS}), k AS (SELECT *, x >= 1300 AND y <= 650 AND w BETWEEN 380 AND 550 AND h BETWEEN 380 AND 550 AS logo, w >= 1200 AND h >= 1200 AS whole FROM c)
+SELECT page_id, logo, whole, CASE WHEN logo THEN '' WHEN whole AND y <= 500 THEN {_CROP.replace("|| h ||", "|| (h - 460) ||").replace("|| y ||", "|| (y + 460) ||")} ELSE {_CROP} END AS kept FROM k
+""")
+def crop_kinds(spark, sf_dir):
+    """Pages' addresses with crops: logos, whole pages without the logo's band, others as they are."""
+    base = F.element_at(F.split("url", "[?#]"), 1)
+    k = F.col("page_id")
+    number = lambda c: c.cast("string")
+    url = F.concat(base, F.lit("?height="), number(400 + k % 5 * 300), F.lit("&width="), number(400 + k % 4 * 300), F.lit("&top_left_y="), number(k % 3 * 300), F.lit("&top_left_x="), number(k % 2 * 1400))
+    rows = read(spark, sf_dir, "pages", "page_id", "url").select("page_id", url.alias("u"))
+    urls = G.concept_map_urls(F.array("u", "u"))
+    return rows.select("page_id", G.is_logo(F.col("u")).alias("logo"), G.is_full_page(F.col("u")).alias("whole"), F.array_join(urls, " ").alias("kept"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, 200 + o_orderkey % 5000 AS n, o_orderkey % 100 AS e, o_custkey % 60 AS f FROM orders)
+SELECT o_orderkey, greatest(e, e + floor(greatest(n - e, 1) * (greatest(f - 1, 0) / 64.0::DOUBLE))::BIGINT - greatest(floor(greatest(n - e, 1) * 0.03::DOUBLE)::BIGINT, 80)) AS line FROM b
+""")
+def least_lines(spark, sf_dir):
+    from quire.operators.chapters import least_line
+
+    key = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_orderkey", least_line(200 + key % 5000, key % 100, F.col("o_custkey") % 60, F.lit(64)).alias("line"))

@@ -45,3 +45,13 @@ def test_sources_and_caches(spark):
     assert result() == [("old", "student_llm"), ("old", "rules"), ("new", "llm"), ("new", "llm")]
     assert result(True) == [("old", "student_llm"), ("new", "llm"), ("new", "llm"), ("new", "llm")]
     assert result(True, True) == [("new", "llm")] * 4
+
+
+def test_crops(spark):
+    url = "https://x/p.jpg?height={}&width={}&top_left_y={}&top_left_x={}"
+    cases = [(url.format(400, 500, 100, 1400), True, False, ""), (url.format(1500, 1200, 0, 0), False, True, url.format(1040, 1200, 460, 0)), (url.format(1500, 1200, 600, 0), False, True, url.format(1500, 1200, 600, 0)), ("https://x/p.jpg", False, False, "https://x/p.jpg")]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, u string")
+    got = sorted(df.select("k", G.is_logo(df.u), G.is_full_page(df.u), G.without_logo(df.u)).collect())
+    assert [tuple(r[1:]) for r in got] == [c[1:] for c in cases]
+    both = F.array(*(F.lit(c[0]) for c in cases), F.lit("https://x/p.jpg"))
+    assert spark.range(1).select(G.concept_map_urls(both)).first()[0] == [c[3] for c in cases[1:]]
