@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def mounted(path: str) -> str:
+    """The path of a folder that Python can open, for files that tasks map into memory."""
+    parsed = urlparse(path)
+    if parsed.scheme not in ("", "file"):
+        raise ValueError(f"files are mapped into memory; {path} isn't a mounted folder. Pass one that the driver and all executors share as `folder`")
+    return unquote(parsed.path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, ngram_trie, nn_descent, packing, quality, sharding, simhash, token_counts, toxicity
+from quire.llm import bpe, langid, line_dedup, ngram_trie, nn_descent, packing, prefix_trie, quality, sharding, simhash, token_counts, toxicity, va_file
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_nn_descent": nn_descent.op8_nn_descent,
     "op9_ngram_trie": ngram_trie.op9_ngram_trie,
     "op10_langid": langid.op10_langid,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_va_file": va_file.op12_va_file,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
+}
+ORACLES = {
+    "op7_quality_rules": quality.OP7_SQL,
+    "op8_nn_descent": nn_descent.OP8_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
+    "op12_va_file": va_file.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
-ORACLES = {"op7_quality_rules": quality.OP7_SQL, "op8_nn_descent": nn_descent.OP8_SQL}
