@@ -70,8 +70,9 @@ def without_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     column of one of the new names, in whatever case, the new one gets an underscore after it.
     """
     found = stored(places(docs, doc_id, text, length), "lines")
-    common = common_lines(found, documents)
-    gone = found.join(common.select("h1", "h2", "last"), ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
+    # a table of its own, so that Spark may split what stands for a very common line, or send the table if it is short
+    common = stored(common_lines(found, documents).select("h1", "h2", "last"), "common")
+    gone = found.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
     at = gone.groupBy("doc", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     added: list[str] = []
     for name in ("n_lines", "n_dropped", "kept_text"):

@@ -181,4 +181,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of docs, as ``pack`` makes them: null texts are empty ones, repeated rows are packed each, no rows give none; other columns don't matter."""
     return pack(docs, vocabulary(FILE))

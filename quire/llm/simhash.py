@@ -18,7 +18,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import near_dedup
 from quire.llm.common import read, stored
 from quire.llm.graph import components
 
@@ -169,13 +168,3 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the smallest doc_id of each group of near copies (near_dedup: five words, 0.8); of repeated rows of one doc_id, one stays. Rows without an id stay."""
-    found = stored(near_dedup.near_duplicates(docs), "near")
-    extra = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    # the list of ids grows with the documents, so it is never broadcast, however short it is on a small input
-    rest = docs.join(extra.union(again).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return rest
-    return rest.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

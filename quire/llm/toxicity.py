@@ -321,7 +321,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those whose score reaches the threshold; the text goes through the tasks once and is not shuffled."""
+    """docs without those whose score reaches the threshold; the text goes through the tasks once and is not shuffled.
+
+    A null text scores as an empty one; texts are scored whole; repeated rows are rows of their own; an empty table gives
+    no rows. The columns stay as they are, whatever their names.
+    """
     model = _fitted(spark, docs, sf_dir)
     columns = docs.columns
     at = columns.index("text")

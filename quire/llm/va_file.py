@@ -31,8 +31,10 @@ from quire.llm.ngram_trie import Files
 SIZE, CLUSTERS, ROUNDS, SCALE, SEED = 64, 8, 10, 1024, 3
 #: Integers beyond this in either direction are left out: squared distances of 64 of them wouldn't fit 64 bits.
 LIMIT = 1 << 27
-#: Cells of a component, stretches between its quantiles, vectors of a slice, and vectors that are looked up at once.
-CELLS, STRETCHES, SLICE, BATCH = 256, 32, 1 << 16, 1 << 10
+#: Cells of a component, those of them beyond each of its outer quantiles, vectors of a slice, and vectors looked up at once.
+CELLS, OUTER, SLICE, BATCH = 256, 8, 1 << 16, 1 << 10
+#: Quantiles that tell how a component is spread.
+QUANTILES = np.array([0, 1 / 256, 1 / 64, *(k / 32 for k in range(1, 32)), 63 / 64, 255 / 256, 1])
 
 #: What a slice's row tells: its name, rows, the quantiles of each component, and the vectors whose hashes come first.
 SLICES = "slice string, n long, quantiles array<double>, first array<struct<hash: string, v: array<long>>>"
@@ -62,7 +64,7 @@ def _slices(table: DataFrame, files: Files, vec_id: str, embedding: str, size: i
             name = uuid.uuid4().hex
             files.save(name, {"v": v.astype("<i4"), "ids": ids, "known": known})
             hashes = sorted((hashlib.sha256(f"{SEED}:{d}".encode()).hexdigest(), v[k].tolist()) for k, (d, known) in enumerate(zip(ids.tolist(), known.tolist())) if known)
-            row = {"slice": name, "n": len(ids), "quantiles": np.quantile(v, np.arange(STRETCHES + 1) / STRETCHES, axis=0).T.ravel().tolist(), "first": [{"hash": h, "v": x} for h, x in hashes[:clusters]]}
+            row = {"slice": name, "n": len(ids), "quantiles": np.quantile(v, QUANTILES, axis=0).T.ravel().tolist(), "first": [{"hash": h, "v": x} for h, x in hashes[:clusters]]}
             held.clear()
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
@@ -86,16 +88,23 @@ def _slices(table: DataFrame, files: Files, vec_id: str, embedding: str, size: i
 def marks(slices: DataFrame, size: int) -> np.ndarray:
     """(components, CELLS + 1) edges: cell c holds the integers from edge c to below edge c + 1.
 
-    The outer edges are a component's least and greatest value, so that every vector lies in a cell. The others follow the
-    mean of the slices' quantiles; where they lie decides how many vectors are fetched, never a result.
+    The outermost edges are a component's least and greatest value, so that every vector lies in a cell. The inner ones
+    follow the mean of the slices' quantiles; beyond the outer quantiles cells grow fourfold, however far values lie apart.
+    Where edges lie decides how many vectors are fetched, never a result.
     """
     each = slices.select("n", F.posexplode("quantiles").alias("k", "x"))
     found = each.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
     rows = sorted(found.collect(), key=lambda r: r["k"])  # a row for each component and quantile
-    low, high, mean = (np.array([r[c] for r in rows]).reshape(size, STRETCHES + 1) for c in ("low", "high", "mean"))
-    at, wanted = np.arange(STRETCHES + 1) / STRETCHES, np.arange(1, CELLS) / CELLS
-    inner = np.stack([np.interp(wanted, at, np.maximum.accumulate(mean[d])) for d in range(size)])
-    return np.concatenate([low[:, :1], np.clip(np.floor(inner), low[:, :1], high[:, -1:] + 1), high[:, -1:] + 1], axis=1).astype(np.int64)
+    least, greatest, mean = (np.array([r[c] for r in rows]).reshape(size, len(QUANTILES)) for c in ("low", "high", "mean"))
+    wanted = np.linspace(QUANTILES[1], QUANTILES[-2], CELLS - 2 * OUTER + 1)
+    grow = (4.0 ** np.arange(1, OUTER + 1) - 1) / (4.0**OUTER - 1)
+    edges = np.empty((size, CELLS + 1))
+    for d in range(size):
+        low, high = least[d, 0], greatest[d, -1] + 1
+        inner = np.clip(np.interp(wanted, QUANTILES[1:-1], mean[d, 1:-1]), low, high)
+        edges[d] = [*(inner[0] - (inner[0] - low) * grow)[::-1], *inner, *(inner[-1] + (high - inner[-1]) * grow)]
+        edges[d, [0, -1]] = low, high
+    return np.floor(edges).astype(np.int64)
 
 
 def cells(v: np.ndarray, edges: np.ndarray) -> np.ndarray:
