@@ -215,3 +215,14 @@ TITLE_CHARS = 500
 KEPT_EXAMPLES = ("illustration", "check_your_knowledge")
 EXAMPLE_ARRAYS = (("illustrations", "illustration"), ("check_your_knowledge_items", "check_your_knowledge"), ("textbook_exercises", "textbook_exercise"))
 TEXTBOOK_WORDS = r"(?i)text-book|textbook|text book|exemplar"
+
+# --- fixed values: merged replies, key points and summaries --------------------------------------------------------
+MERGED_SUMMARIES, MERGED_POINTS, MERGED_PRACTICE, QUESTION_KEY_CHARS = 4, 12, 6, 80
+KEY_POINTS = 20
+SUBHEADING = r"(?mU)^[^\S\n]*#{2,3}[^\S\n]+\S[^\n]*$"
+SUMMARY_CHARS, SUBSUMMARY_CHARS, OVERVIEW_CHARS, SNIPPET_CHARS, SNIPPETS, SNIPPET_LEAST = 700, 450, 900, 200, 6, 35
+PARAGRAPH_LEAST = 40
+OVERVIEW_HEADING = "Chapter Introduction"
+EXCERPT_HEAD = "Key ideas (auto-excerpt — run with --summarize-llm for student-friendly notes):\n"
+PIPE_RULE = r"^\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
+LATEX_LEAK = r"\$[^$]+\$|\$\$[^$]+\$\$"

@@ -29,6 +29,7 @@ NEVER = (
 NUMBERED_SCORES, NAMED_SCORES = ((0.5, 100), (0.25, 90)), ((0.6, 95), (0.4, 88), (0.25, 82))
 #: (least likeness, score) by letters alone, and the scores of a concept map and of a short heading in capitals.
 LIKE_SCORES, CONCEPT_MAP_SCORE, SHOUTED_SCORE = ((0.9, 97), (0.8, 94)), 72, 92
+ALIAS_SCORE = 98
 #: A start's least score; below SURE a line needs a chapter's boundary near it, so many lines away at most.
 ACCEPT, SURE, NEAR = 72, 95, 12
 
@@ -39,15 +40,33 @@ def _graded(value: Column, grades: tuple, when: Column | None = None) -> Column:
     return score if when is None else F.when(when, score).otherwise(0)
 
 
-def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER) -> DataFrame:
-    """(keys, topic_number, line_no, score) of heading lines that could start a topic; never: patterns of those that can't, a series adds its own. Each book's headings meet its topics, a short list."""
+def is_alias(title: Column, name: Column, aliases: Column) -> Column:
+    """Whether a heading holds another wording of a chapter's name, of an array of them, which the name in the book's own contents doesn't contradict.
+
+    A name agrees that holds the wording or its first word, and so does one that isn't known.
+    """
+    low, own = F.lower(T.text(title)), F.lower(T.text(name))
+    agrees = lambda a: (own == "") | own.contains(a) | own.contains(F.element_at(F.split(a, " "), 1))
+    return F.coalesce(F.exists(aliases, lambda a: low.contains(F.lower(a)) & agrees(F.lower(a))), F.lit(False))
+
+
+def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER, aliases: DataFrame | None = None) -> DataFrame:
+    """(keys, topic_number, line_no, score) of heading lines that could start a topic; never: patterns of those that can't, a series adds its own. Each book's headings meet its topics, a short list.
+
+    aliases (topic_number, alias): other wordings of chapters' names, of all books.
+    """
     out = [T.strip(F.substring("line", 4, 1 << 30)).rlike(p) for p in never]
     heads = lines.where(F.col("line").startswith("## ") & ~reduce(or_, out)).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
     both = heads.join(topics.select(*keys, "topic_number", "topic_name"), keys)
     number = F.regexp_extract("_head", r"^(\d{1,3})\s*[.)]?\s+\S", 1)
     title = F.regexp_replace("_head", r"^\d{1,3}\s*[.)]?\s+", "")
     both = both.withColumn("_n", number).withColumn("_title", title).withColumn("_o", T.title_overlap(F.col("topic_name"), title))
-    both = both.where((F.col("_o") > 0) | F.col("_head").rlike(CONCEPT_MAP) | (F.length("_title") >= 6))
+    other = F.lit(False)
+    if aliases is not None:
+        listed = aliases.groupBy("topic_number").agg(F.collect_set("alias").alias("_aliases"))
+        both = both.join(listed, "topic_number", "left").withColumn("_alias", is_alias(F.col("_head"), F.col("topic_name"), F.col("_aliases")))
+        other = F.col("_alias")
+    both = both.where(other | (F.col("_o") > 0) | F.col("_head").rlike(CONCEPT_MAP) | (F.length("_title") >= 6))
     first, words = F.get(T.title_words(F.col("topic_name")), F.lit(0)), T.title_words(F.col("_title"))
     has_first = F.exists(words, lambda w: (w == first) | ((F.least(F.length(w), F.length(first)) >= 4) & (F.substring(w, 1, 4) == F.substring(first, 1, 4))))
     numbered = _graded(F.col("_o"), NUMBERED_SCORES, F.col("_n").cast("int") == F.col("topic_number"))
@@ -56,6 +75,8 @@ def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[st
     shouted = (F.col("_title") == F.upper("_title")) & F.size(words).between(1, 4) & (base > 0)
     like = title_similarity("topic_name", "_title")
     score = F.when(F.col("_n") != "", base).otherwise(F.greatest(F.when(shouted, F.greatest(base, F.lit(SHOUTED_SCORE))).otherwise(base), _graded(like, LIKE_SCORES)))
+    if aliases is not None:
+        score = F.when(F.col("_alias"), ALIAS_SCORE).otherwise(score)
     return both.withColumn("score", score).where("score > 0").select(*keys, "topic_number", "line_no", "score")
 
 
@@ -67,14 +88,14 @@ def least_line(n_lines: Column, contents_end: Column, first_page: Column, last_p
     return F.when(last_page.isNull(), contents_end).otherwise(F.greatest(contents_end, contents_end + F.floor(body * share) - slack)).cast("long")
 
 
-def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER) -> DataFrame:
+def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[str, ...] = NEVER, aliases: DataFrame | None = None) -> DataFrame:
     """(keys, topic_number, start): each topic's best line after the start of the one before; of equals the first. Topics without one are left out."""
     order = Window.partitionBy(*keys).orderBy("line_no")
     s = T.strip(F.col("line"))
     near = F.max((s.rlike(CONCEPT_MAP)).cast("int")).over(order.rowsBetween(-NEAR, NEAR)) + F.max(s.rlike(BOUNDARY).cast("int")).over(order.rowsBetween(-NEAR, 0))
     contents = F.coalesce(F.max(F.when(s.rlike(CONTENTS) & (F.col("line_no") < 400), F.col("line_no"))).over(Window.partitionBy(*keys)), F.lit(-1))
     marked = lines.withColumn("_near", near > 0).withColumn("_after", contents)
-    found = scores(lines, topics, keys, never).join(marked.select(*keys, "line_no", "_near", "_after"), [*keys, "line_no"])
+    found = scores(lines, topics, keys, never, aliases).join(marked.select(*keys, "line_no", "_near", "_after"), [*keys, "line_no"])
     found = found.where(((F.col("score") >= SURE) | F.col("_near")) & (F.col("line_no") > F.col("_after")) & (F.col("score") >= ACCEPT))
 
     def work(group: list) -> Iterator[tuple]:

@@ -1,6 +1,6 @@
 """The registered queries, each beside the SQL that says the same."""
 
-from quire.plans import checking, exporting, figuring, laying_out, marking_up, registry, segmenting, serving, texts
+from quire.plans import checking, exporting, figuring, laying_out, marking_up, merging_topics, reading_contents, registry, segmenting, serving, texts
 
 
 def all_plans() -> tuple[dict, dict]:
