@@ -119,3 +119,135 @@ def first_paragraphs(c: Column, least: int = 40, most: int = 700) -> Column:
     paragraphs = F.transform(F.split(T.text(c), r"\n\s*\n"), T.collapse)
     fit = F.filter(paragraphs, lambda p: (F.length(p) >= least) & ~p.rlike(r"(?i)^(?:[-*•|]|\d+[.)]|!\[|<|fig|table)"))
     return T.truncate(F.coalesce(F.get(fit, F.lit(0)), F.lit("")), most)
+
+
+# --- formulas' delimiters, inline markup, export of texts ----------------------------------------------------------
+_ALIGNED = r"(?s)\\begin\{(aligned|align\*?|alignat\*?|flalign\*?)\}.*?\\end\{\1\}"
+_TAGS = ("<math", "<table", "<img", "<p", "<div", "<ul", "<ol")
+EXERCISE_KINDS = (
+    ("master board", "master_boards"), ("master ncert", "master_ncert"), ("foundation builder +", "foundation_builder_plus"), ("foundation builder+", "foundation_builder_plus"),
+    ("foundation builder", "foundation_builder"), ("text-book", "textbook"), ("textbook", "textbook"), ("text - book", "textbook"), ("exemplar", "exemplar"),
+    ("multiple choice", "mcq"), ("mcq", "mcq"), ("assertion", "assertion_reason"),
+)
+
+
+def parted_delimiters(c: Column) -> Column:
+    """Three dollars in a row as the end of a formula in the line and the beginning of one of its own."""
+    return F.regexp_replace(T.text(c), r"(?<!\$)\$\$\$(?!\$)", "\\$\n\\$\\$")
+
+
+def without_alignment(c: Column) -> Column:
+    """A formula whose aligned parts lose their columns' marks; escaped ones, entities and those elsewhere stay."""
+    bare = lambda p: F.regexp_replace(p, r"(?<!\\)&(?![a-zA-Z#])", " ")
+
+    def one(p: Column) -> Column:
+        own = F.regexp_extract(p, f"^(?:{_ALIGNED})", 0)
+        return F.when(own == "", p).otherwise(F.concat(bare(own), F.substring(p, F.length(own) + 1, F.length(p))))
+
+    return F.array_join(F.transform(T.pieces(c, _ALIGNED), one), "")
+
+
+def formula_parts(c: Column) -> Column:
+    """array<struct<kind, body>>: a text cut at its formulas, kind text, inline or block, as one fold over the dollars and what lies between.
+
+    One dollar opens a formula in the line and the next one closes it; two open and close one of its own, over any lines.
+    What isn't closed by the end is text again, with its dollars.
+    """
+    tokens = F.regexp_extract_all(parted_delimiters(c), F.lit(r"\$\$|\$|[^$]+"), F.lit(0))
+    kind = "array<struct<kind:string,body:string>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("open"), F.lit("").alias("held"))
+
+    def step(s: Column, t: Column) -> Column:
+        text = lambda b: F.struct(F.lit("text").alias("kind"), b.alias("body"))
+        made = lambda done, opened, held: F.struct(done.alias("done"), opened.alias("open"), held.alias("held"))
+        mark = t.isin("$", "$$")
+        closes = (s["open"] != "") & (s["open"] == t)
+        formula = F.struct(F.when(t == "$$", "block").otherwise("inline").alias("kind"), s["held"].alias("body"))
+        return (
+            F.when((s["open"] == "") & ~mark, made(F.concat(s["done"], F.array(text(t))), s["open"], s["held"]))
+            .when(s["open"] == "", made(s["done"], t, F.lit("")))
+            .when(closes, made(F.concat(s["done"], F.array(formula)), F.lit(""), F.lit("")))
+            .otherwise(made(s["done"], s["open"], F.concat(s["held"], t)))
+        )
+
+    def end(s: Column) -> Column:
+        return F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(F.lit("text").alias("kind"), F.concat(s["open"], s["held"]).alias("body")))))
+
+    return F.aggregate(tokens, start, step, end)
+
+
+def escaped(c: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def inline_markup(c: Column) -> Column:
+    """Text with code between backquotes and words between two stars as HTML, all else escaped."""
+    return F.regexp_replace(F.regexp_replace(escaped(T.text(c)), "`([^`]+)`", "<code>$1</code>"), r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+
+
+def rich_block(c: Column) -> Column:
+    """A text for an exported page: HTML as it is, plain text escaped with its line ends; empty if there is none."""
+    s = T.strip(T.text(c))
+    low = F.lower(s)
+    tagged = low.contains(_TAGS[0])
+    for tag in _TAGS[1:]:
+        tagged = tagged | low.contains(tag)
+    plain = F.concat(F.lit("<p>"), F.replace(escaped(s), F.lit("\n"), F.lit("<br>\n")), F.lit("</p>"))
+    return F.when(s == "", "").otherwise(F.concat(F.lit('<div class="rich">'), F.when(tagged, s).otherwise(plain), F.lit("</div>")))
+
+
+def plain_math(c: Column) -> Column:
+    """A page whose MathML is set in italics as plain words, for readers that can't show it; scripts go."""
+    block = r"(?is)<math[\s>].*?</math>"
+
+    def one(p: Column) -> Column:
+        own = F.regexp_extract(p, f"^(?:{block})", 0)
+        words = T.first_filled(T.collapse(T.unescape(F.regexp_replace(own, "<[^>]+>", " "))), F.lit("[math]"))
+        return F.when(own == "", p).otherwise(F.concat(F.lit('<span class="math-fallback"><i>'), escaped(words), F.lit("</i></span>"), F.substring(p, F.length(own) + 1, F.length(p))))
+
+    return F.regexp_replace(F.array_join(F.transform(T.pieces(c, block), one), ""), r"(?is)<script[\s>].*?</script>", "")
+
+
+def listed_points(c: Column) -> Column:
+    """The lines of a text that hold anything."""
+    return F.filter(F.transform(T.lines(T.text(c)), T.strip), lambda x: x != "")
+
+
+def without_repeated_heading(markdown: Column, title: Column) -> Column:
+    """A text without the headings at its start that repeat its section's title, or begin it, or begin as it does."""
+    key = lambda x: F.lower(T.collapse(F.regexp_replace(T.strip(T.text(x)), r"^#+\s*", "")))
+    own = key(title)
+    lines = F.split(F.replace(T.text(markdown), F.lit("\r"), F.lit("")), "\n")
+
+    def repeats(x: Column) -> Column:
+        head = F.regexp_extract(T.strip(x), r"^#{1,6}\s+(.*)$", 1)
+        return T.strip(x).rlike(r"^#{1,6}\s+") & (key(head).startswith(own) | own.startswith(key(head)))
+
+    stays = F.transform(lines, lambda x, k: F.when((T.strip(x) != "") & ~repeats(x), k))
+    first = F.coalesce(F.array_min(stays), F.size(lines))
+    return F.when((own == "") | ~T.filled(markdown), T.strip(T.text(markdown))).otherwise(T.strip(F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")))
+
+
+def without_options(c: Column, has_options: Column) -> Column:
+    """A question without the options that its text repeats: from the first line that begins as one, if it isn't the first line."""
+    lines = F.split(T.text(c), "\n")
+    cut = F.array_min(F.transform(lines, lambda x, k: F.when(x.rlike(r"^\s*\(?[a-eA-E][).]\s"), k)))
+    return F.when(has_options & (cut > 0), F.regexp_replace(F.array_join(F.slice(lines, 1, cut), "\n"), r"(?U)\s+\z", "")).otherwise(T.text(c))
+
+
+def exercise_kind(title: Column, context: Column | None = None) -> Column:
+    """What kind of exercise a title, with what stands around it, names."""
+    low = F.lower(F.concat_ws(" ", T.text(title), T.text(F.lit("") if context is None else context)))
+    return F.coalesce(*(F.when(low.contains(word), kind) for word, kind in EXERCISE_KINDS), F.lit("other"))
+
+
+def image_count(c: Column) -> Column:
+    return F.regexp_count(T.text(c), F.lit(r"(?i)\[image:\s*img_\d+\]"))
+
+
+def bounded_int(c: Column, default: int, least: int = 0, most: int | None = None) -> Column:
+    """A request's number: the default where there is none, within its bounds."""
+    n = F.greatest(F.lit(least).cast("long"), F.coalesce(T.strip(c.cast("string")).try_cast("long"), F.lit(default).cast("long")))
+    return n if most is None else F.least(n, F.lit(most).cast("long"))
