@@ -5,32 +5,41 @@
    carried as one node: its centre, its radius and its members. A group of any size costs its size, not its square.
 3. NN-descent over the nodes: neighbours of neighbours meet at the node between them, and each node keeps its K nearest.
    A list is saturated when all of it could be linked; every neighbour that could be linked is kept whatever their number,
-   so saturated lists grow. The graph starts from orders along random hyperplanes, as many as a pair at the linking angle
-   needs to meet with the wanted probability in a label of that size. After each round a sample of nodes is compared with
-   all nodes; the sample grows until it holds enough pairs to tell the recall. Rounds go on until the recall is reached,
-   and if it isn't in ROUNDS rounds the operator fails rather than lose links silently.
-4. Node pairs that could be linked are decided by their members' cosines in double precision.
+   so saturated lists grow. The graph starts from a few orders along random hyperplanes. After each round a sample of
+   nodes is compared with all nodes; the sample grows until it holds enough pairs to tell the recall.
+4. The descent ends when the sample misses nothing, when a round no longer helps, or after ROUNDS. If the sample missed a
+   pair, or held too few to tell, the labels are finished exactly, a block of nodes with each other block; links aren't
+   given up for a share of them that was reached. That costs a label's square, and only where the descent falls short.
+5. Node pairs that could be linked are decided by their members' cosines in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import read, stored
+from quire.llm.common import mounted, read, shared_path, stored
 from quire.llm.graph import components
+from quire.llm.ngram_trie import Files
+
+LOG = logging.getLogger(__name__)
 
 COSINE = 0.93
 K = 8
-#: Nodes compared at once in the starting graph, starting orders at least, rounds at most, recall to reach.
-BLOCK, ORDERS, ROUNDS, RECALL = 256, 3, 12, 0.98
-#: Nodes audited at first and at most, and linkable pairs among them that tell a recall.
-AUDITED, AUDITED_MOST, TOLD = 400, 6400, 50
+#: Nodes compared at once in the starting graph, starting orders, rounds at most, and what a round must add to the recall.
+BLOCK, ORDERS, ROUNDS, GAIN = 256, 3, 12, 0.005
+#: Nodes audited at first and at most, and linkable pairs among them that tell a recall: none missed of 300 is 0.99 at least, 19 times of 20.
+AUDITED, AUDITED_MOST, TOLD = 400, 6400, 300
+#: Nodes of a block where labels are finished exactly.
+PACK = 1024
 #: Neighbours that meet at once, and members of one packed part of a ball.
 MEET, PART = 128, 512
 BITS = 48
@@ -193,13 +202,13 @@ def _round(graph: DataFrame, nodes: DataFrame, theta: float, number: int = 0) ->
     return dealt.mapInArrow(run, GRAPH)
 
 
-def _audit(graph: DataFrame, nodes: DataFrame, theta: float) -> float | None:
-    """Share of linkable pairs, found by comparing a sample with all nodes, that the graph holds; None where there are no pairs to tell."""
+def _audit(graph: DataFrame, nodes: DataFrame, theta: float) -> tuple[int, int]:
+    """(linkable pairs found by comparing a sample with all nodes, those of them that the graph holds)."""
     n, audited = nodes.count(), AUDITED
     while True:
         pairs, held = _compared(graph, nodes, theta, min(1.0, audited / max(n, 1)))
         if pairs >= TOLD or audited >= min(n, AUDITED_MOST):
-            return held / pairs if pairs else None
+            return pairs, held
         audited *= 4
 
 
@@ -227,43 +236,86 @@ def _compared(graph: DataFrame, nodes: DataFrame, theta: float, part: float) ->
     return got["n"], got["hit"]
 
 
-def orders(nodes: int, theta: float) -> int:
-    """Starting orders after which two nodes at the linking angle have shared a block with probability RECALL.
-
-    In an order along random hyperplanes two nodes share a block of n nodes' if they lie on one side of the first
-    log2(n / BLOCK) planes, each with probability 1 - theta / pi.
-    """
-    meet = (1 - theta / math.pi) ** max(0.0, math.log2(max(nodes, 1) / BLOCK))
-    return ORDERS if meet >= RECALL else max(ORDERS, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
-
-
-def neighbour_graph(nodes: DataFrame, theta: float) -> DataFrame:
-    """Directed edges (a, b, angle, could) over nodes (id, grp, unit, radius)."""
+def neighbour_graph(nodes: DataFrame, theta: float) -> tuple[DataFrame, list[dict]]:
+    """(directed edges (a, b, angle, could) over nodes (id, grp, unit, radius), the audit of each round)."""
     each = lambda ids, units, radii: _nearest(ids, units, radii, theta)
-    largest = nodes.groupBy("grp").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
     start = None
-    for seed in range(orders(largest, theta)):
+    for seed in range(ORDERS):
         made = _blocks(nodes, seed + 1, each, GRAPH)
         start = made if start is None else start.union(made)
-    graph, reached = stored(_kept(start), "graph"), None
+    graph, report = stored(_kept(start), "graph"), []
     for k in range(ROUNDS):
         fresh = _round(graph, nodes, theta, k)
         if k:  # what the descent alone doesn't reach, another starting order may
             fresh = fresh.union(_blocks(nodes, 1000 + k, each, GRAPH))
         both = graph.select("a", "b", "angle", "could").union(fresh)
         graph = stored(_kept(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "angle", "could"))), "graph")
-        reached = _audit(graph, nodes, theta)
-        if reached is None or reached >= RECALL:  # with nothing to tell, the starting orders have to do
-            return graph
-    raise RuntimeError(f"the audited recall is {reached:.3f} after {ROUNDS} rounds, below {RECALL}")
+        pairs, held = _audit(graph, nodes, theta)
+        report.append({"round": k, "audited": pairs, "held": held, "recall": held / pairs if pairs else None})
+        LOG.info("round %d: %d of %d audited pairs", k, held, pairs)
+        gained = held / pairs - (report[-2]["recall"] or 0.0) if k and pairs else 1.0
+        if held == pairs or gained < GAIN:
+            break
+    return graph, report
+
+
+def linkable(nodes: DataFrame, theta: float, folder: str | None = None) -> DataFrame:
+    """All pairs (a, b) of nodes of a label that could be linked, of labels that are more than one starting block: every block with every other.
+
+    Blocks are files in the shared folder, so no vector is shuffled; a row of work is one block and half of the others.
+    """
+    spark = nodes.sparkSession
+    files = Files(mounted(folder or shared_path(spark, "blocks")))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("packs", F.ceil(F.col("n") / PACK).cast("long"))
+    dealt = nodes.join(sizes, "grp").withColumn("pack", F.pmod(F.xxhash64("id", F.lit(11)), F.col("packs")))
+    name = lambda grp, pack: f"{xxhash.xxh64_hexdigest(grp)}-{pack}"
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            if held:
+                files.save(name(*key[:2]), {"ids": np.array([h[0] for h in held]), "unit": _matrix([h[1] for h in held]), "radius": np.array([h[2] for h in held])})
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] if held else [], pa.string()), *(pa.array([key[j]] if held else [], pa.int64()) for j in (1, 2))], ["grp", "pack", "packs"])
 
-def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row (vec_id, embedding, label).
+        held: list[tuple] = []
+        key: tuple = (None, None, None)
+        for b in batches:
+            for grp, pack, packs, node, unit, radius in zip(*(b.column(j).to_pylist() for j in range(6))):
+                if (grp, pack, packs) != key:
+                    yield flush()
+                    held, key = [], (grp, pack, packs)
+                held.append((node, unit, radius))
+        yield flush()
+
+    packed = dealt.select("grp", "pack", "packs", "id", "unit", "radius").repartition("grp", "pack").sortWithinPartitions("grp", "pack", "id")
+    packs = stored(packed.mapInArrow(write, "grp string, pack long, packs long"), "packs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for grp, pack, packs in zip(*(b.column(j).to_pylist() for j in range(3))):
+                x = files.load(name(grp, pack), "ids", "unit", "radius")
+                for step in range(packs // 2 + 1):  # round the circle: each pair of blocks once, the opposite one from both sides
+                    other = name(grp, (pack + step) % packs)
+                    if not os.path.exists(f"{files.root}/{other}.ids.npy"):  # no node fell into it
+                        continue
+                    y = files.load(other, "ids", "unit", "radius")
+                    dots = x["unit"] @ y["unit"].T
+                    i, j = np.nonzero(dots >= math.cos(min(math.pi, theta + x["radius"].max() + y["radius"].max() + SPARE)))
+                    near = np.arccos(np.clip(dots[i, j], -1.0, 1.0)) <= theta + x["radius"][i] + y["radius"][j] + SPARE
+                    p, q = x["ids"][i[near]], y["ids"][j[near]]
+                    kept = p != q
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[kept]), pa.array(np.maximum(p, q)[kept])], ["a", "b"])
+
+    parts = max(1, min(packs.count(), 4 * spark.sparkContext.defaultParallelism))
+    return packs.repartition(parts).mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(table: DataFrame, cosine: float = COSINE, report: list[dict] | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row (vec_id, embedding, label). report: a list that gets the audit of each round.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, have no links
     and are kept. Vectors are compared with those of the same length only. Repeated rows are equal vectors and count as
-    each other's links; rows without vec_id count as links and name no component. No rows give no rows.
+    each other's links; rows without vec_id count as links and name no component. No rows give no rows. Other columns,
+    whatever their names, don't matter.
     """
     theta = math.acos(cosine)
     rows = stored(vectors(table), "vectors")
@@ -287,8 +339,14 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     shape = measured.groupBy("ball").agg(F.max("far").alias("radius"), F.sum("weight").alias("total"), F.count("*").alias("size"))
     centres = members.groupBy("ball").agg(F.first("centre").alias("unit"), F.first("grp").alias("grp"))
     nodes = stored(centres.join(shape, "ball").withColumnRenamed("ball", "id"), "nodes")
-    graph = neighbour_graph(nodes, theta)
-    pairs = stored(graph.where("could = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    graph, told = neighbour_graph(nodes, theta)
+    found = graph.where("could = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    certain = told[-1]["audited"] == told[-1]["held"] >= TOLD
+    if not certain:
+        found = found.union(linkable(nodes, theta))
+    if report is not None:
+        report += [*told, {"finished exactly": not certain}]
+    pairs = stored(found.distinct(), "pairs")
     decided = stored(_decide(pairs, members, nodes, cosine), "decided")
 
     names = measured.join(points.select("id", "vec"), "id").groupBy("ball").agg(F.min("vec").alias("name"))

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from quire.llm import nn_descent as N
 
@@ -45,10 +44,49 @@ def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_starting_orders_follow_the_size():
-    theta = N.math.acos(0.93)
-    assert N.orders(0, theta) == N.orders(200, theta) == N.ORDERS
-    assert N.ORDERS < N.orders(150_000, theta) < N.orders(10**9, theta) < 200
+def planted(n, pairs, seed, label=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(pairs):
+        away = rng.normal(size=64)
+        away -= away @ x[2 * k] * x[2 * k]
+        c = rng.uniform(0.931, 0.945)
+        x[2 * k + 1] = c * x[2 * k] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    return [(k, v.tolist(), label) for k, v in enumerate(x)]
+
+
+def test_no_planted_pair_is_lost(spark):
+    """Pairs just over the threshold among random vectors, where neighbours of neighbours tell little."""
+    report = []
+    table = spark.createDataFrame(planted(3000, 60, 3), "vec_id long, embedding array<double>, label int").repartition(4)
+    out = {r.vec_id: (r.n_links, r.component_id) for r in N.near_duplicates(table, report=report).collect()}
+    assert out == {k: (1, k - k % 2) if k < 120 else (0, k) for k in range(3000)}
+    assert report[-1] == {"finished exactly": True} and 0 < report[0]["held"] <= report[0]["audited"] <= 120
+
+
+def test_descent_alone_is_enough_where_links_are_many(spark, monkeypatch):
+    """Chains of neighbours: the descent finds all pairs that an audit of many tells of, and nothing is finished exactly."""
+    monkeypatch.setattr(N, "TOLD", 100)
+    turn = 2 * np.pi / 1500
+    rows = [(k, [float(np.cos(k * turn)), float(np.sin(k * turn)), 0.1 * (k % 3)], k % 2) for k in range(1500)]
+    report = []
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in N.near_duplicates(table, 0.999, report).collect())
+    assert out == brute([(*r, "") for r in rows], 0.999) and report[-1] == {"finished exactly": False}
+
+
+def test_labels_finished_exactly(spark, monkeypatch):
+    monkeypatch.setattr(N, "PACK", 70)
+    monkeypatch.setattr(N, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    radius = rng.uniform(0, 0.05, 500)
+    nodes = spark.createDataFrame([(k, "big" if k < 420 else "small", v.astype("<f8").tobytes(), float(r)) for k, (v, r) in enumerate(zip(x, radius))], "id long, grp string, unit binary, radius double")
+    angle = np.arccos(np.clip(x @ x.T, -1, 1))
+    expected = {(i, j) for i in range(420) for j in range(i + 1, 420) if angle[i, j] <= 0.5 + radius[i] + radius[j]}
+    assert {tuple(r) for r in N.linkable(nodes, 0.5).collect()} == expected and len(expected) > 500
 
 
 def test_pair_at_the_threshold(spark):
@@ -57,11 +95,3 @@ def test_pair_at_the_threshold(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     links = lambda c: {r.vec_id: r.n_links for r in N.near_duplicates(table, c).collect()}
     assert links(0.6 - 1e-9) == {1: 1, 2: 1, 3: 0} and links(0.6 + 1e-9) == {1: 0, 2: 0, 3: 0}
-
-
-def test_recall_that_is_not_reached_fails(spark, monkeypatch):
-    monkeypatch.setattr(N, "ROUNDS", 1)
-    monkeypatch.setattr(N, "_audit", lambda *_: 0.5)
-    table = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
-    with pytest.raises(RuntimeError, match="recall"):
-        N.near_duplicates(table)
