@@ -7,6 +7,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from quire.functions import fixed
 from quire.functions import text as T
@@ -23,6 +24,22 @@ key_points:array<struct<text:string>>,theory_sections:array<{SECTION}>,
 BOOK = f"metadata struct<name:string,format_version:string,book_slug:string>, topics array<{TOPIC}>".replace("\n", "")
 
 
+def as_books(rows: DataFrame) -> DataFrame:
+    """Rows (metadata, topics) of fewer fields than a book's, in any order, as books: fields that are missing are null."""
+    schema = rows.sparkSession.createDataFrame([], BOOK).schema
+
+    def fitted(c: Column, own: K.DataType, kind: K.DataType) -> Column:
+        if isinstance(kind, K.StructType):
+            has = {f.name: f.dataType for f in own}
+            made = F.struct(*((fitted(c[f.name], has[f.name], f.dataType) if f.name in has else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind))
+            return F.when(c.isNotNull(), made)
+        if isinstance(kind, K.ArrayType):
+            return F.transform(c, lambda x: fitted(x, own.elementType, kind.elementType))
+        return c.cast(kind)
+
+    return rows.select(*(fitted(F.col(f.name), rows.schema[f.name].dataType, f.dataType).alias(f.name) for f in schema))
+
+
 def problem_text(item: Column) -> Column:
     return T.first_filled(*(item[k] for k in ("question", "problem", "problem_markdown", "prompt_markdown", "prompt")))
 
@@ -104,9 +121,14 @@ def without_run_on(c: Column) -> Column:
     parts = T.pieces(c, r"(?imu)^[ \t]*(?:" + "|".join(f"(?:{p})" for p in fixed.RUN_ON) + ")")
 
     def cut(p: Column) -> Column:
-        heads = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: _without_tail(F.array_join(F.slice(p, 1, k), "")))
-        head = F.element_at(F.concat(F.filter(heads, T.filled), F.array(F.array_join(p, ""))), 1)
-        return F.when(F.size(p) > 1, head).otherwise(F.element_at(p, 1))
+        # pieces are added until what stands before the next heading is filled: each is looked at once
+        start = F.struct(F.lit("").alias("text"), F.lit(False).alias("ends"))
+
+        def step(s: Column, x: Column) -> Column:
+            whole = F.struct(F.concat(s["text"], x).alias("text"), F.lit(False).alias("ends"))
+            return F.when(s["ends"], s).otherwise(T.bind(_without_tail(s["text"]), lambda t: F.when((s["text"] != "") & T.filled(t), F.struct(t.alias("text"), F.lit(True).alias("ends"))).otherwise(whole)))
+
+        return F.when(F.size(p) > 1, F.aggregate(p, start, step, lambda s: s["text"])).otherwise(F.element_at(p, 1))
 
     return T.bind(parts, cut)
 

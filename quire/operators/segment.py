@@ -47,16 +47,20 @@ def flagged(rows: DataFrame) -> DataFrame:
     )
 
 
-def sections(rows: DataFrame, keys: list[str], heading: str = fixed.H2) -> DataFrame:
-    """(keys, section, title, body, first_line): the lines from each heading to the next; what stands before the first has no title."""
+def sections(rows: DataFrame, keys: list[str], heading: str | Column = fixed.H2) -> DataFrame:
+    """(keys, section, title, body, first_line, n_lines): the lines from each heading to the next; what stands before the first has no title.
+
+    A heading is what a pattern finds in a line, its first group the title, or where a condition holds, the line itself.
+    """
     before = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    is_heading = T.strip(F.col("line")).rlike(heading)
+    is_heading = T.strip(F.col("line")).rlike(heading) if isinstance(heading, str) else heading
     numbered = rows.withColumn("_h", is_heading).withColumn("section", F.sum(F.col("_h").cast("long")).over(before))
     each = F.array_sort(F.collect_list(F.struct("line_no", "line", "_h")))
     made = numbered.groupBy(*keys, "section").agg(each.alias("x"))
     body = F.array_join(F.transform(F.filter("x", lambda r: ~r["_h"]), lambda r: r["line"]), "\n")
-    title = F.when(F.col("section") > 0, F.regexp_extract(T.strip(F.element_at("x", 1)["line"]), heading, 1)).otherwise("")
-    return made.select(*keys, "section", title.alias("title"), T.compact(body).alias("body"), F.element_at("x", 1)["line_no"].alias("first_line"))
+    first = T.strip(F.element_at("x", 1)["line"])
+    title = F.when(F.col("section") > 0, F.regexp_extract(first, heading, 1) if isinstance(heading, str) else first).otherwise("")
+    return made.select(*keys, "section", title.alias("title"), T.compact(body).alias("body"), F.element_at("x", 1)["line_no"].alias("first_line"), F.size("x").cast("long").alias("n_lines"))
 
 
 def _with_key_run(rows: DataFrame, keys: list[str], among_lines: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import checks as C
+from quire.operators import reports as R
 from quire.plans.registry import query, read
 
 _DOCS = "documents", "doc_id", "source", "text"
@@ -88,7 +89,7 @@ def unresolved_refs(spark, sf_dir):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def empty_chapters(spark, sf_dir):
     done = read(spark, sf_dir, "orders", F.col("o_custkey").alias("c_custkey"), "o_orderstatus").where("o_orderstatus = 'F'")
-    return read(spark, sf_dir, "customer", "c_custkey", "c_name").join(done, "c_custkey", "left_anti")
+    return R.without_questions(read(spark, sf_dir, "customer", "c_custkey", "c_name"), done, ["c_custkey"])
 
 
 _FINDINGS = f"""

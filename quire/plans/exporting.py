@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import export as E
 from quire.operators import markup as M
+from quire.operators import reports as R
 from quire.plans.registry import query, read
 from quire.streaming.ingest import pending
 
@@ -19,10 +19,17 @@ SELECT 'book_' || (l_orderkey % 7) || '__t' || l_orderkey || '__' || l_returnfla
 def flatten_sections(spark, sf_dir):
     """Orders with one array of lines for each flag, exploded again with the place in the array and a row id."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    nested = rows.groupBy("l_orderkey", F.col("l_returnflag").alias("section_key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("items"))
-    flat = nested.select("l_orderkey", "section_key", F.posexplode("items").alias("pos", "item")).withColumn("item_order", (F.col("pos") + 1).cast("long"))
-    book = F.concat(F.lit("book_"), (F.col("l_orderkey") % 7).cast("string"))
-    return flat.select(T.row_id(book, F.col("l_orderkey"), F.col("section_key"), F.col("item_order"), F.lit("")).alias("id"), "l_orderkey", "section_key", "item_order", F.col("item.l_partkey").alias("l_partkey"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(F.col("l_partkey").cast("string").alias("question")).alias("item"))
+    sorted_items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
+    nested = rows.groupBy("l_orderkey", "l_returnflag").agg(sorted_items.alias("items"))
+    name = {"A": "examples", "N": "exercises", "R": "illustrations"}  # flags as arrays of a topic
+    topic = nested.groupBy("l_orderkey").agg(*(F.first(F.when(F.col("l_returnflag") == flag, F.col("items")), ignorenulls=True).alias(array) for flag, array in name.items()))
+    book = F.struct(F.concat(F.lit("book_"), (F.col("l_orderkey") % 7).cast("string")).alias("book_slug"))
+    fields = F.struct(F.col("l_orderkey").alias("topic_number"), *name.values())
+    flat = E.items(E.as_books(topic.select(book.alias("metadata"), F.array(fields).alias("topics"))))
+    flag = F.create_map(*(F.lit(x) for flag, array in name.items() for x in (array, flag)))[F.col("section_key")]
+    made = flat.select("book_slug", F.col("topic_number").cast("long").alias("l_orderkey"), flag.alias("section_key"), F.col("item_order").cast("long").alias("item_order"), F.col("item.question").cast("long").alias("l_partkey"))
+    return made.select(T.row_id(F.col("book_slug"), F.col("l_orderkey"), F.col("section_key"), F.col("item_order"), F.lit("")).alias("id"), "l_orderkey", "section_key", "item_order", "l_partkey")
 
 
 @query("""
@@ -32,17 +39,16 @@ UNION ALL SELECT 'key_points', count(*), sum(l_orderkey)::BIGINT FROM lineitem S
 """)
 def shred_tables(spark, sf_dir):
     """Nested orders shredded into header, line and note tables."""
-    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("items"))
+    point = F.when(F.col("l_quantity") > 30, F.struct(F.col("l_orderkey").cast("string").alias("text")))
+    asked = F.struct(F.col("l_orderkey").cast("string").alias("question_number"))
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(asked).alias("exercises"), F.collect_list(point).alias("key_points"))
     nested = read(spark, sf_dir, "orders", "o_orderkey").join(lines, "o_orderkey", "left")
-    parts = F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,l_quantity:double>>"))
-    tables = {
-        "topics": nested.select("o_orderkey"),
-        "questions": nested.select("o_orderkey", F.explode("items")).select("o_orderkey"),
-        "key_points": nested.select("o_orderkey", F.explode(F.filter(parts, lambda x: x["l_quantity"] > 30))).select("o_orderkey"),
-    }
+    topic = F.struct(F.col("o_orderkey").cast("int").alias("topic_number"), "exercises", "key_points")
+    tables = E.shredded(E.as_books(nested.select(F.struct(F.lit("orders").alias("book_slug")).alias("metadata"), F.array(topic).alias("topics"))))
+    keys = {"topics": F.col("topic_number"), "questions": F.col("number"), "key_points": F.col("text")}
     out = None
-    for name, rows in tables.items():
-        one = rows.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum")).select(F.lit(name).alias("name"), "n", "key_sum")
+    for name, key in keys.items():
+        one = tables[name].agg(F.count("*").alias("n"), F.sum(key.cast("long")).alias("key_sum")).select(F.lit(name).alias("name"), "n", "key_sum")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -172,9 +178,9 @@ SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_type = 'purchase'
 """)
 def carry_forward(spark, sf_dir):
     """The last heading before each line, or -1."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(before)
-    return read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type").select("user_id", "event_id", F.coalesce(head, F.lit(-1)).cast("long").alias("heading"))
+    rows = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "event_type")
+    head = R.carried(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_id"))
+    return rows.select("user_id", "event_id", F.coalesce(head, F.lit(-1)).cast("long").alias("heading"))
 
 
 @query("""
@@ -182,5 +188,5 @@ SELECT o_custkey, (place - 1) // 3 AS recap, count(*) AS n, min(o_orderkey) AS f
 """)
 def recap_groups(spark, sf_dir):
     """A recap after every three sections."""
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return read(spark, sf_dir, "orders", "o_custkey", "o_orderkey").withColumn("recap", F.floor((place - 1) / 3).cast("long")).groupBy("o_custkey", "recap").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    rows = R.recaps(read(spark, sf_dir, "orders", "o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+    return rows.groupBy("o_custkey", "recap").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))

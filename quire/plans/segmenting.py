@@ -72,15 +72,8 @@ SELECT doc_id, section::BIGINT AS section, count(*) FILTER (NOT head) AS n_body,
 def sections_split(spark, sf_dir):
     """Documents cut at their short lines."""
     rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = F.sum(F.col("head").cast("long")).over(_by_line("doc_id"))
-    marked = rows.withColumn("head", F.length("line").between(1, 60)).withColumn("section", before)
-    return marked.groupBy("doc_id", "section").agg(F.count_if(~F.col("head")).alias("n_body"), F.min("line_no").alias("first_line"))
-
-
-def _by_line(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    found = S.sections(rows, ["doc_id"], F.length("line").between(1, 60))
+    return found.select("doc_id", "section", (F.col("n_lines") - (F.col("section") > 0).cast("long")).alias("n_body"), "first_line")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import reports as R
 from quire.operators import serve as S
 from quire.plans.registry import query, read
 
@@ -58,8 +59,8 @@ SELECT o_custkey, n AS total, n > 20 AS too_large, CASE WHEN n <= 20 THEN (SELEC
 """)
 def chapter_full_capped(spark, sf_dir):
     """Whole chapters, and a refusal instead of rows where one exceeds what may be exported at once."""
-    n = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("total"), F.sum("o_orderkey").alias("s"))
-    return n.select("o_custkey", "total", (F.col("total") > 20).alias("too_large"), F.when(F.col("total") <= 20, F.col("s")).otherwise(-1).alias("key_sum"))
+    rows = R.whole_chapters(read(spark, sf_dir, "orders", "o_custkey", "o_orderkey"), ["o_custkey"], 20, F.sum("o_orderkey").alias("key_sum"))
+    return rows.withColumn("key_sum", F.coalesce("key_sum", F.lit(-1)))
 
 
 @query("""
@@ -98,8 +99,7 @@ SELECT source, questions, answered, with_figures, floor(answered * 100.0 / quest
 """)
 def doc_meta(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "n_chars").join(read(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id", "left")
-    m = docs.groupBy("source").agg(F.count("*").alias("questions"), F.count("quality").alias("answered"), S.count_if(F.col("n_chars") >= 1000).alias("with_figures"))
-    return m.withColumn("answered_pct", S.percent(F.col("answered"), F.col("questions")))
+    return R.chapter_meta(docs, ["source"], F.col("quality").isNotNull(), F.col("n_chars") >= 1000)
 
 
 _CHOSEN = {"p_brand": ["Brand#1", "Brand#11", "Brand#12"], "p_size": [1, 5, 9, 14, 30], "p_type": []}
@@ -136,18 +136,14 @@ FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))
 """)
 def histograms(spark, sf_dir):
     """Two histograms in one pass."""
-    rows = read(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus")
-    sets = rows.groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")]], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping("l_returnflag").alias("g"))
-    return sets.select(F.when(F.col("g") == 0, "flag").otherwise("status").alias("kind"), F.coalesce("l_returnflag", "l_linestatus").alias("value"), "n")
+    return R.histograms(read(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus"), {"flag": "l_returnflag", "status": "l_linestatus"})
 
 
 @query("""
 SELECT user_id, count(*) AS exams_taken, round(avg(value), 4) AS avg_value, round(max(value), 4) AS best_value, count(*) FILTER (value >= 50) AS passed FROM events GROUP BY 1
 """)
 def student_trend(spark, sf_dir):
-    return read(spark, sf_dir, "events", "user_id", "value").groupBy("user_id").agg(
-        F.count("*").alias("exams_taken"), F.round(F.avg("value"), 4).alias("avg_value"), F.round(F.max("value"), 4).alias("best_value"), S.count_if(F.col("value") >= 50).alias("passed")
-    )
+    return R.exam_results(read(spark, sf_dir, "events", "user_id", "value"), "user_id", "value", 50)
 
 
 @query("SELECT event_type, user_id, round(total, 4) AS total, place FROM (SELECT event_type, user_id, total, row_number() OVER (PARTITION BY event_type ORDER BY total DESC, user_id) AS place FROM (SELECT event_type, user_id, sum(value)::DECIMAL(38, 4) AS total FROM (SELECT event_type, user_id, value::DECIMAL(18, 4) AS value FROM events) GROUP BY ALL)) WHERE place <= 10")
@@ -158,8 +154,7 @@ def leaderboard(spark, sf_dir):
 
 @query("SELECT event_type, least(9, greatest(0, floor(value / 10)))::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def score_distribution(spark, sf_dir):
-    bucket = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col("value") / 10))).cast("long")
-    return read(spark, sf_dir, "events", "event_type", "value").groupBy("event_type", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return R.score_buckets(read(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value")
 
 
 @query("""
@@ -174,24 +169,24 @@ def subject_accuracy(spark, sf_dir):
 
 @query("SELECT user_id, sum(CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN -1 ELSE 0 END)::BIGINT AS score, (4 * count(*))::BIGINT AS max_marks FROM events GROUP BY 1")
 def marking(spark, sf_dir):
-    marks = F.when(F.col("event_id") % 3 == 0, 4).when(F.col("event_id") % 3 == 1, -1).otherwise(0)
-    return read(spark, sf_dir, "events", "user_id", "event_id").groupBy("user_id").agg(F.sum(marks).cast("long").alias("score"), (F.count("*") * 4).alias("max_marks"))
+    rest = F.col("event_id") % 3
+    verdicts = R.verdict(F.nullif(rest, F.lit(2)), F.lit(0))
+    return R.marked(read(spark, sf_dir, "events", "user_id", "event_id"), ["user_id"], verdicts)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'skip' WHEN event_id % 5 = user_id % 5 THEN 'right' ELSE 'wrong' END AS verdict FROM events")
 def attempt_verdict(spark, sf_dir):
     """chosen is null where the attempt skipped the question."""
-    rows = read(spark, sf_dir, "events", "event_id", "user_id").withColumn("chosen", F.nullif(F.col("event_id") % 5, F.lit(0)))
-    return rows.select("event_id", F.when(F.col("chosen").isNull(), "skip").when(F.col("chosen") == F.col("user_id") % 5, "right").otherwise("wrong").alias("verdict"))
+    chosen = F.nullif(F.col("event_id") % 5, F.lit(0))
+    return read(spark, sf_dir, "events", "event_id", "user_id").select("event_id", R.verdict(chosen, F.col("user_id") % 5).alias("verdict"))
 
 
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'draft' WHEN o_orderdate > TIMESTAMP '1995-06-01' THEN 'upcoming' WHEN o_orderdate + INTERVAL 90 DAY >= TIMESTAMP '1995-06-01' THEN 'live' ELSE 'ended' END AS phase FROM orders
 """)
 def exam_phase(spark, sf_dir):
-    now = F.lit("1995-06-01").cast("timestamp")
-    start = F.col("o_orderdate").cast("timestamp")
-    phase = F.when(F.col("o_orderstatus") == "P", "draft").when(start > now, "upcoming").when(start + F.expr("INTERVAL 90 DAYS") >= now, "live").otherwise("ended")
+    now, start = F.lit("1995-06-01").cast("timestamp"), F.col("o_orderdate").cast("timestamp")
+    phase = R.exam_phase(F.col("o_orderstatus") != "P", start, F.expr("INTERVAL 90 DAYS"), now)
     return read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select("o_orderkey", phase.alias("phase"))
 
 
@@ -202,10 +197,7 @@ SELECT u.user_id, strftime(days.day, '%Y-%m-%d') AS day, coalesce(n.n, 0)::BIGIN
 """)
 def weekly_progress(spark, sf_dir):
     """Answers on each of the last seven days; days without any count 0."""
-    daily = read(spark, sf_dir, "events", "user_id", "ts").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    last = daily.agg(F.max("day")).scalar()
-    week = daily.select("user_id").distinct().withColumn("last", last).select("user_id", F.explode(F.sequence(F.date_sub("last", 6), F.col("last"))).alias("day"))
-    return week.join(daily, ["user_id", "day"], "left").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("answered"))
+    return R.daily_progress(read(spark, sf_dir, "events", "user_id", "ts"), "user_id", "ts")
 
 
 @query("""
@@ -227,15 +219,14 @@ SELECT user_id, event_type, event_id, place FROM c WHERE place <= 3
 def adaptive_pick(spark, sf_dir):
     """Three questions from each of a student's two weakest subjects."""
     events = read(spark, sf_dir, "events", "user_id", "event_type", "event_id", "value")
-    rates = events.groupBy("user_id", "event_type").agg(F.avg((F.col("event_id") % 3 == 0).cast("int")).alias("rate"))
-    weak = S.top_groups(rates, "user_id", [F.col("rate"), F.col("event_type")], 2).select("user_id", "event_type")
+    weak = R.weakest(events, "user_id", "event_type", F.col("event_id") % 3 == 0, 2)
     place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id"))
     return events.join(weak, ["user_id", "event_type"]).withColumn("place", place.cast("long")).where("place <= 3").drop("value")
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 45")
 def chapters_with_enough(spark, sf_dir):
-    return read(spark, sf_dir, "documents", "source").groupBy("source").agg(F.count("*").alias("n")).where("n >= 45")
+    return R.with_enough(read(spark, sf_dir, "documents", "source"), ["source"], 45)
 
 
 @query("""
@@ -244,9 +235,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
 """)
 def overall_report(spark, sf_dir):
     rows = read(spark, sf_dir, "orders", "o_custkey", "o_orderpriority", "o_totalprice").join(read(spark, sf_dir, "customer", F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    return rows.groupBy(F.col("o_orderpriority").alias("exam"), F.col("c_mktsegment").alias("class")).agg(
-        F.countDistinct("o_custkey").alias("students"), F.round(F.avg("o_totalprice"), 2).alias("average"), F.max("o_totalprice").alias("best"), F.min("o_totalprice").alias("worst")
-    )
+    return R.exam_overview(rows, "o_orderpriority", "c_mktsegment", "o_custkey", "o_totalprice")
 
 
 @query("SELECT event_id, user_id, floor(value)::BIGINT AS seconds, CASE WHEN floor(value) < 60 THEN floor(value)::BIGINT || 's' ELSE (floor(value)::BIGINT // 60) || 'm ' || (floor(value)::BIGINT % 60) || 's' END AS spent FROM events")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import classify as K
 from quire.functions import fixed
 from quire.functions import text as T
+from quire.operators import reports as R
 from quire.plans.registry import query, read
 
 
@@ -159,7 +160,7 @@ def url_params(spark, sf_dir):
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] AS first_line FROM documents")
 def preview_lines(spark, sf_dir):
-    full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    full = R.preview(F.col("text"))
     return read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(full).cast("long").alias("n_lines"), F.get(full, F.lit(0)).alias("first_line"))
 
 
