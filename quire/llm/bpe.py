@@ -23,8 +23,8 @@ from quire.llm.pretokens import pieces, vocabulary
 FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in one recursive query, pieces in one generation of a task's memory, and tokens in one decoding query.
 CHUNK, MEMORY, DECODED = 50_000, 300_000, 2_000_000
-#: Bytes of a piece from which it counts as long, and bytes of long pieces in one query.
-LONG, LONG_BYTES = 256, 200_000
+#: Bytes of a piece from which it counts as long and as very long, and bytes of long pieces in one query.
+LONG, HUGE, LONG_BYTES = 256, 16_384, 200_000
 
 #: Positions stay without gaps, so the contracted pair's second token is the one after its place.
 MERGE = """
@@ -77,6 +77,37 @@ SELECT word, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT word AS w, max(round) AS last FROM state GROUP BY word) ON word = w AND round = last
 GROUP BY word ORDER BY word
 """
+#: The same for very long pieces, of which no round but the last one is held: a round gives only the rows that change, by
+#: their key, and a token that was contracted into the one before it stays as -1.
+MERGE_HUGE = """
+WITH RECURSIVE state(word, pos, len, tok) USING KEY (word, pos) AS (
+  SELECT word, pos, 1::BIGINT, tok FROM start
+  UNION
+  (WITH live AS MATERIALIZED (SELECT * FROM recurring.state WHERE tok >= 0
+  ), pairs AS MATERIALIZED (
+    SELECT s.word, s.pos, s.len, n.pos AS after, n.len AS more, merged, s.tok = n.tok AS twin
+    FROM live s JOIN live n ON n.word = s.word AND n.pos = s.pos + s.len JOIN merges ON pair = s.tok << 16 | n.tok
+  ), best AS MATERIALIZED (SELECT word, min(merged) AS best FROM pairs GROUP BY word
+  ), copies AS MATERIALIZED (SELECT p.* FROM pairs p JOIN best ON best.word = p.word AND merged = best
+  ), apart AS (
+    SELECT word, pos, len, after, more, merged FROM copies WHERE NOT twin
+    UNION ALL
+    SELECT word, pos, len, after, more, merged
+    FROM (SELECT *, pos - len * row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM copies WHERE twin)
+    QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
+  ), beside AS (
+    SELECT c.*, least(l.merged, r.merged, d.merged) < c.merged AS lower
+    FROM apart c LEFT JOIN live x ON x.word = c.word AND x.pos + x.len = c.pos LEFT JOIN live y ON y.word = c.word AND y.pos = c.after + c.more
+    LEFT JOIN merges l ON l.pair = x.tok << 16 | c.merged LEFT JOIN merges r ON r.pair = c.merged << 16 | y.tok
+    LEFT JOIN merges d ON d.pair = c.merged << 16 | c.merged
+  ), taken AS MATERIALIZED (
+    SELECT word, pos, len, after, more, merged FROM beside
+    QUALIFY coalesce(sum(lower::INT) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
+  )
+  SELECT word, pos, len + more, merged FROM taken UNION ALL SELECT word, after, 0::BIGINT, -1::BIGINT FROM taken)
+)
+SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY word ORDER BY word
+"""
 DECODE = "SELECT doc, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
 
 
@@ -109,7 +140,10 @@ class Codec:
         for k in range(0, len(short), CHUNK):
             self._merge(MERGE, short[k : k + CHUNK])
         size, some = 0, []
-        for w in long:
+        for w in sorted(long, key=len):
+            if len(w) >= HUGE // 4 and len(w.encode()) >= HUGE:
+                self._merge(MERGE_HUGE, [w])
+                continue
             if some and size + len(w) > LONG_BYTES:
                 self._merge(MERGE_LONG, some)
                 size, some = 0, []

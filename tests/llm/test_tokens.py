@@ -45,15 +45,20 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(rows(spark).limit(0), path).count() == 0
 
 
-def test_bpe_of_long_pieces():
+@pytest.mark.parametrize("huge", [bpe.HUGE, bpe.LONG])
+def test_bpe_of_long_pieces(monkeypatch, huge):
     import base64
 
+    monkeypatch.setattr(bpe, "HUGE", huge)
+
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.FILE), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec, rng = bpe.Codec(P.path(bpe.FILE)), random.Random(8)
     known = [t.decode() for t in ranks if t.isalpha()]
     pools = [list("abcdefghijklmnopqrstuvwxyz"), ["a", "aa", "ab", "b"], known, ["é", "ü", "日"], ["="]]
     texts = ["".join(rng.choice(pool) for _ in range(n)) for pool in pools for n in (130, 300, 2000)]
+    if huge == bpe.LONG:
+        texts = texts[1::3] + ["".join(rng.choice("ACGT") for _ in range(9000))]
     for t, ids in zip(texts, codec.encode(texts)):
         assert np.frombuffer(ids, dtype="<u4").tolist() == enc.encode_ordinary(t), t[:50]
 
