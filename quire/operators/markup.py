@@ -71,15 +71,21 @@ def mathml_text(c: Column) -> Column:
 def table_html(lines: Column) -> Column:
     """Rows of a pipe table, an array of lines, as an HTML table: the first is the head, rules go, cells are cut or filled to its width."""
     cells = F.transform(F.filter(lines, lambda x: ~x.rlike(r"^\s*\|?\s*:?-{2,}")), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda y: F.trim(y)))
-    width = F.size(F.element_at(cells, 1))
     escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    def row(r: Column, tag: str) -> Column:
-        filled = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(F.lit(f"<{tag}>"), escape(F.coalesce(F.get(r, i), F.lit(""))), F.lit(f"</{tag}>")))
-        return F.concat(F.lit("<tr>"), F.array_join(filled, ""), F.lit("</tr>"))
+    def table(t: Column) -> Column:
+        width = F.size(F.element_at(t, 1))
 
-    body = F.array_join(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda r: row(r, "td")), "")
-    return F.when(F.size(cells) > 0, F.concat(F.lit("<table>"), row(F.element_at(cells, 1), "th"), body, F.lit("</table>"))).otherwise("")
+        def row(r: Column, tag: str) -> Column:
+            # missing cells are filled from an array of empty ones, and what goes beyond the head's width is cut
+            cut = F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+            filled = F.transform(cut, lambda x: F.concat(F.lit(f"<{tag}>"), escape(x), F.lit(f"</{tag}>")))
+            return F.concat(F.lit("<tr>"), F.array_join(filled, ""), F.lit("</tr>"))
+
+        body = F.array_join(F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda r: row(r, "td")), "")
+        return F.when(F.size(t) > 0, F.concat(F.lit("<table>"), row(F.element_at(t, 1), "th"), body, F.lit("</table>"))).otherwise("")
+
+    return T.bind(cells, table)
 
 
 def stars(value: Column, most: int = 5) -> Column:
