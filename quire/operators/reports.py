@@ -107,3 +107,54 @@ def carried(lines: DataFrame, keys: list[str], order: list[str], is_head: Column
 def preview(c: Column) -> Column:
     """The lines of a text that hold anything, as they are."""
     return F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+
+
+def exam_counts(exams: DataFrame, keys: list[str], phase: Column, attempts: Column) -> DataFrame:
+    """(keys, total, hosted, drafts, ongoing, completed, future, attempts, first, last) of exams by their phases; exams without attempts count none.
+
+    first and last are the range of their starts (a column ``start``), those without one left out.
+    """
+    p = lambda name: count_if(phase == name)
+    return exams.groupBy(*keys).agg(
+        F.count("*").alias("total"), count_if(phase != "draft").alias("hosted"), p("draft").alias("drafts"), p("live").alias("ongoing"), p("ended").alias("completed"), p("upcoming").alias("future"),
+        F.sum(F.coalesce(attempts, F.lit(0))).alias("attempts"), F.min("start").alias("first"), F.max("start").alias("last"),
+    )
+
+
+def scaled_to_peak(series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """series with ``pct``, each value's share of its group's peak (1 at least) of 100, halves up. The peak is an aggregate joined back, as a group may be of any size."""
+    from quire.functions.text import half_up
+
+    peaks = series.groupBy(*keys).agg(F.greatest(F.max(value), F.lit(1)).alias("_peak"))
+    return series.join(peaks, keys).withColumn("pct", half_up(100.0 * F.col(value) / F.col("_peak")).cast("long")).drop("_peak")
+
+
+def item_details(items: DataFrame, chapters: DataFrame, sources: DataFrame, chapter: str, source: str, wanted: Column | None = None) -> DataFrame:
+    """(item, chapter, source) structs of items with their chapter and that one's source, null where there is none; of those wanted, if not all."""
+    own = items if wanted is None else items.where(wanted)
+    pack = lambda rows, key, name: rows.select(F.col(key).alias(f"_{name}"), F.struct(*rows.columns).alias(name))
+    both = own.select(F.struct(*items.columns).alias("item")).join(pack(chapters, chapter, "chapter"), F.col(f"item.{chapter}") == F.col("_chapter"), "left")
+    return both.join(pack(sources, source, "source"), F.col(f"chapter.{source}") == F.col("_source"), "left").select("item", "chapter", "source")
+
+
+def labelled_values(values: DataFrame, labels: DataFrame, value: str, label: str) -> DataFrame:
+    """values with the label of each, itself where it has none; of several labels the smallest."""
+    named = labels.groupBy(value).agg(F.min(label).alias("_label"))
+    return values.join(named, value, "left").withColumn(label, F.coalesce("_label", F.col(value).cast("string"))).drop("_label")
+
+
+def most_recent(rows: DataFrame, at: str, n: int, *ties: str) -> DataFrame:
+    """The last n rows by a time, those without one last: a top-n report, so n rows of each task meet."""
+    return rows.orderBy(F.desc_nulls_last(at), *ties).limit(n)
+
+
+def number_list(c: Column) -> Column:
+    """The distinct numbers of a list between commas, null where it is empty: no filter then. What isn't a number raises an error."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.nullif(F.array_sort(F.array_distinct(F.transform(parts, lambda x: x.cast("int")))), F.array().cast("array<int>"))
+
+
+def find_topics(topics: DataFrame, numbers: Column | None, words: str = "") -> DataFrame:
+    """Topics (topic_number, chapter_name) of a list of numbers, if there is one, whose name holds the words, whatever their case."""
+    listed = F.lit(True) if numbers is None else numbers.isNull() | F.array_contains(numbers, F.col("topic_number"))
+    return topics.where(listed & F.contains(F.lower(F.coalesce("chapter_name", F.lit(""))), F.lit(words.lower())))

@@ -242,3 +242,41 @@ def overall_report(spark, sf_dir):
 def time_spent(spark, sf_dir):
     seconds = F.floor("value").cast("long")
     return read(spark, sf_dir, "events", "event_id", "user_id", "value").select("event_id", "user_id", seconds.alias("seconds"), T.duration(seconds).alias("spent"))
+
+
+@query("""
+WITH e AS (SELECT o_custkey % 50 AS host, CASE WHEN o_orderstatus = 'P' THEN 'draft' WHEN o_orderdate > TIMESTAMP '1995-06-01' THEN 'upcoming' WHEN o_orderdate + INTERVAL 90 DAY >= TIMESTAMP '1995-06-01' THEN 'live' ELSE 'ended' END AS phase,
+  o_orderdate AS start, n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT host, count(*) AS total, count(*) FILTER (phase <> 'draft') AS hosted, count(*) FILTER (phase = 'draft') AS drafts, count(*) FILTER (phase = 'live') AS ongoing, count(*) FILTER (phase = 'ended') AS completed,
+  count(*) FILTER (phase = 'upcoming') AS future, coalesce(sum(n), 0)::BIGINT AS attempts, strftime(min(start), '%Y-%m-%d') AS first, strftime(max(start), '%Y-%m-%d') AS last FROM e GROUP BY host
+""")
+def exam_dashboard(spark, sf_dir):
+    """Orders as exams, their lines as attempts: counts by phase, attempts and the range of dates for each host."""
+    attempts = read(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    start, now = F.col("o_orderdate").cast("timestamp"), F.lit("1995-06-01").cast("timestamp")
+    exams = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").join(attempts, "o_orderkey", "left")
+    exams = exams.select((F.col("o_custkey") % 50).alias("host"), R.exam_phase(F.col("o_orderstatus") != "P", start, F.expr("INTERVAL 90 DAYS"), now).alias("phase"), start.alias("start"), "n")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    made = R.exam_counts(exams, ["host"], F.col("phase"), F.col("n"))
+    return made.select(*(c for c in made.columns if c not in ("first", "last")), day("first"), day("last"))
+
+
+@query("""
+WITH n AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n, floor(100.0::DOUBLE * n / greatest(1, max(n) OVER (PARTITION BY user_id)) + 0.5::DOUBLE)::BIGINT AS pct FROM n
+""")
+def daily_peaks(spark, sf_dir):
+    """Each student's days as shares of their busiest one."""
+    daily = read(spark, sf_dir, "events", "user_id", "ts").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return R.scaled_to_peak(daily, ["user_id"], "n")
+
+
+@query("""
+SELECT o_orderkey, o_totalprice, c_name AS chapter, n_name AS source FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 9 > 0 LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 5 > 0
+""")
+def item_details(spark, sf_dir):
+    """Orders as items, customers as chapters, nations as sources, some of them missing."""
+    items = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", F.col("o_custkey").alias("c_custkey"))
+    chapters = read(spark, sf_dir, "customer", "c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")).where("c_custkey % 9 > 0")
+    made = R.item_details(items, chapters, read(spark, sf_dir, "nation", "n_nationkey", "n_name").where("n_nationkey % 5 > 0"), "c_custkey", "n_nationkey")
+    return made.select("item.o_orderkey", "item.o_totalprice", F.col("chapter.c_name").alias("chapter"), F.col("source.n_name").alias("source"))

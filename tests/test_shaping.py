@@ -55,3 +55,13 @@ def test_reports(spark):
     assert sorted(tuple(r) for r in R.marked(rows, ["k"], verdicts).collect()) == [(1, 4, 8), (2, 4, 4)]
     assert sorted(tuple(r) for r in R.recaps(rows, ["k"], ["p"], 1).select("k", "p", "recap").collect()) == [(1, "a", 0), (1, "b", 1), (2, "a", 0)]
     assert [r.k for r in R.with_enough(rows, ["k"], 2).collect()] == [1] and [r.k for r in R.without_questions(rows, rows.where("k = 1"), ["k"]).collect()] == [2]
+
+
+def test_dashboards(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(R.number_list(F.lit(" 3,1,,3 "))) == [1, 3] and one(R.number_list(F.lit(" "))) is None and one(R.number_list(F.lit(None).cast("string"))) is None
+    topics = spark.createDataFrame([(1, "Light Waves"), (2, None), (3, "Sound waves")], "topic_number int, chapter_name string")
+    assert [r.topic_number for r in R.find_topics(topics, None, "WAVES").collect()] == [1, 3] and [r.topic_number for r in R.find_topics(topics, R.number_list(F.lit("2,3"))).collect()] == [2, 3]
+    assert [r.topic_number for r in R.most_recent(topics.withColumn("at", F.when(F.col("topic_number") != 2, F.col("topic_number"))), "at", 2).collect()] == [3, 1]
+    labels = spark.createDataFrame([(1, "one"), (1, "eins")], "topic_number int, label string")
+    assert sorted(r.label for r in R.labelled_values(topics, labels, "topic_number", "label").collect()) == ["2", "3", "eins"]
