@@ -7,7 +7,8 @@ is the one with the largest share.
 
 The field is fitted on a bounded sample: STRETCHES stretches of at most LONGEST words, anywhere in the text, of at most
 about SAMPLE documents of each language, chosen by a hash of their id. SEQUENCES training sequences are spliced from
-these stretches, so that transitions are seen as well as words; the lexicon is the stretches' LEXICON commonest words.
+these stretches, so that transitions are seen as well as words; the lexicon is the stretches' LEXICON commonest words. The
+LANGUAGES commonest languages are learned, whatever else a noisy column holds. All of these are parameters of ``fit``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import held_out, read
 
-#: Documents of each language in the training sample, about; stretches of each, and words of a stretch at most.
-SAMPLE, STRETCHES, LONGEST = 250, 8, 60
+#: Languages that are learned at most, documents of each in the training sample, about, stretches of each, and words of one at most.
+LANGUAGES, SAMPLE, STRETCHES, LONGEST = 200, 250, 8, 60
 BUCKETS = 1 << 17
 LEXICON = 3000
 SEQUENCES, LENGTH, EPOCHS, RATE = 1600, 96, 4, 0.15
@@ -101,7 +102,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     return forward
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Field:
+def train(rows: list[tuple[str, str]], seed: int = 7, lexicon: int = LEXICON, sequences: int = SEQUENCES) -> Field:
     """The field from (text, language) pairs, by AdaGrad on the sequences' log-likelihood."""
     by: dict[str, list[list[str]]] = {}
     for text, lang in sorted(rows):
@@ -109,14 +110,14 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Field:
             by.setdefault(lang, []).append(found)
     languages = sorted(by)
     counts = Counter(w for docs in by.values() for d in docs for w in d)
-    field = Field(languages, {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]})
+    field = Field(languages, {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:lexicon]})
     if len(languages) < 2:
         return field
     rng = random.Random(seed)
     ids: dict[str, int] = {}
-    x = np.zeros((SEQUENCES, LENGTH), dtype=np.int64)
-    y = np.zeros((SEQUENCES, LENGTH), dtype=np.int64)
-    for s in range(SEQUENCES):
+    x = np.zeros((sequences, LENGTH), dtype=np.int64)
+    y = np.zeros((sequences, LENGTH), dtype=np.int64)
+    for s in range(sequences):
         at = 0
         while at < LENGTH:
             k = rng.randrange(len(languages))
@@ -134,8 +135,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Field:
     moved = np.full(field.moves.shape, 1e-4)
     size = 64
     for _ in range(EPOCHS):
-        order = rng.sample(range(SEQUENCES), SEQUENCES)
-        for k in range(0, SEQUENCES, size):
+        order = rng.sample(range(sequences), sequences)
+        for k in range(0, sequences, size):
             some = order[k : k + size]
             used, where = np.unique(x[some], return_inverse=True)
             where = where.reshape(len(some), LENGTH)
@@ -177,29 +178,30 @@ def _pairs(scores: np.ndarray, post: np.ndarray, moves: np.ndarray) -> np.ndarra
     return (joint / joint.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
-def stretches(doc_id: int, text: str) -> list[str]:
+def stretches(doc_id: int, text: str, pieces: int = STRETCHES, longest: int = LONGEST) -> list[str]:
     """Stretches of 8 words or more, as far as the text has them, at places chosen by the document's id."""
     found, rng = words(text), random.Random(doc_id)
-    if len(found) <= LONGEST:
+    if len(found) <= longest:
         return [" ".join(found)] if found else []
-    return [" ".join(found[a : a + rng.randrange(8, LONGEST + 1)]) for a in (rng.randrange(len(found) - 7) for _ in range(STRETCHES))]
+    return [" ".join(found[a : a + rng.randrange(8, longest + 1)]) for a in (rng.randrange(len(found) - 7) for _ in range(pieces))]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
+def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, pieces: int = STRETCHES, longest: int = LONGEST, lexicon: int = LEXICON, sequences: int = SEQUENCES) -> Field:
     """The field from rows (doc_id, text, lang); rows without id, text or language are left out."""
     known = docs.where("text is not null and lang is not null and doc_id is not null")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # broadcast: a row for each language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # broadcast: a row for each language that is learned
     chosen = known.join(F.broadcast(counts), "lang").where(place < F.lit(sample) / F.col("n")).select("doc_id", "text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(s, lang) for d, t, lang in zip(*(b.column(k).to_pylist() for k in range(3))) for s in stretches(d, t)]
+            rows = [(s, lang) for d, t, lang in zip(*(b.column(k).to_pylist() for k in range(3))) for s in stretches(d, t, pieces, longest)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["text", "lang"])
 
-    # bounded by `sample` documents of each language and the stretches of each
-    return train([(r["text"], r["lang"]) for r in chosen.mapInArrow(cut, "text string, lang string").collect()])
+    # bounded by `sample` documents of each of so many languages and the stretches of each
+    found = [(r["text"], r["lang"]) for r in chosen.mapInArrow(cut, "text string, lang string").collect()]
+    return train(found, lexicon=lexicon, sequences=sequences)
 
 
 class Labeller:

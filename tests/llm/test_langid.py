@@ -59,3 +59,10 @@ def test_nothing_to_learn(spark):
     assert L.identify(empty, field).count() == 0
     one = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert L.identify(one, field).first().lang_pred == "und"
+
+
+def test_a_noisy_column_of_languages(spark):
+    """Of many languages the commonest are learned; ties go by name."""
+    rows = [(k, " ".join(EN if k % 2 else DE), "en" if k % 2 else "de") for k in range(40)] + [(100 + k, "noise words", f"x{k}") for k in range(30)]
+    field = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3, sequences=200)
+    assert field.languages == ["de", "en", "x0"]
