@@ -31,6 +31,28 @@ def cross_chapter_copies(rows: DataFrame, book: str, chapter: str, text: str, or
     return keyed.join(first, [book, "key"]).where(F.col(chapter) != F.col("first_chapter")).drop("key")
 
 
+def measured(text: Column) -> Column:
+    """struct<size, key> of a text, from one look at it: its characters and its passage's key, both without MathML and pictures."""
+    bare = F.regexp_replace(F.regexp_replace(T.text(text), fixed.MATH, ""), fixed.IMAGE, "")
+    key = lambda s: T.bind(F.substring(T.collapse(s), 1, 120), lambda k: F.when(F.length(k) >= 60, k))
+    return T.bind(bare, lambda s: F.struct(F.length(T.strip(s)).cast("long").alias("size"), key(s).alias("key")))
+
+
+def chapter_findings(rows: DataFrame, chapter: str, text: str, order: str, limit: int = fixed.RUNON_CHARS) -> DataFrame:
+    """(book_slug, check, severity, n) of chapters: their runaway texts, and those that another chapter had first.
+
+    Texts are read and measured once; a passage that stands in any number of rows is one row of each chapter before it
+    meets those of other chapters.
+    """
+    each = rows.select(F.col(chapter).alias("book_slug"), F.col(order).alias("_o"), measured(F.col(text)).alias("_m"))
+    per = each.groupBy("book_slug", F.col("_m.key").alias("_key")).agg(F.count("*").alias("_n"), F.count_if(F.col("_m.size") > limit).alias("_over"), F.min("_o").alias("_o"))
+    first = per.where("_key is not null").groupBy("_key").agg(F.min_by("book_slug", "_o").alias("_first"))
+    copies = per.join(first, "_key").where(F.col("book_slug") != F.col("_first")).groupBy("book_slug").agg(F.sum("_n").alias("n"))
+    over = per.groupBy("book_slug").agg(F.sum("_over").alias("n")).where("n > 0")
+    named = lambda found, check, severity: found.select("book_slug", F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n")
+    return named(over, "runaway questions", "fail").unionByName(named(copies, "copies of another chapter", "warn"))
+
+
 def lost_keys(rows: DataFrame, book: str, chapter: str, answer: Column) -> DataFrame:
     """Chapters with questions enough and hardly an answer, where some chapter of the book has answers."""
     rate = rows.groupBy(book, chapter).agg(F.count("*").alias("n"), F.avg(answer.cast("int")).alias("rate")).where(F.col("n") >= fixed.MIN_ANSWER_QUESTIONS)

@@ -103,9 +103,7 @@ z AS (
 
 
 def _findings(spark, sf_dir):
-    docs = read(spark, sf_dir, *_DOCS)
-    copies = C.cross_chapter_copies(docs.withColumn("book", F.lit("corpus")), "book", "source", "text", "doc_id")
-    return C.finding(C.runaways(docs, "text"), "source", "runaway questions", "fail").unionByName(C.finding(copies, "source", "copies of another chapter", "warn"))
+    return C.chapter_findings(read(spark, sf_dir, *_DOCS), "source", "text", "doc_id")
 
 
 @query(_FINDINGS + 'SELECT book_slug, c AS "check", severity, n FROM z')
