@@ -5,7 +5,7 @@ Every check is an aggregate or an anti-join; a finding is (book_slug, check, sev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
@@ -46,11 +46,13 @@ def chapter_findings(rows: DataFrame, chapter: str, text: str, order: str, limit
     """
     each = rows.select(F.col(chapter).alias("book_slug"), F.col(order).alias("_o"), measured(F.col(text)).alias("_m"))
     per = each.groupBy("book_slug", F.col("_m.key").alias("_key")).agg(F.count("*").alias("_n"), F.count_if(F.col("_m.size") > limit).alias("_over"), F.min("_o").alias("_o"))
-    first = per.where("_key is not null").groupBy("_key").agg(F.min_by("book_slug", "_o").alias("_first"))
-    copies = per.join(first, "_key").where(F.col("book_slug") != F.col("_first")).groupBy("book_slug").agg(F.sum("_n").alias("n"))
-    over = per.groupBy("book_slug").agg(F.sum("_over").alias("n")).where("n > 0")
-    named = lambda found, check, severity: found.select("book_slug", F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n")
-    return named(over, "runaway questions", "fail").unionByName(named(copies, "copies of another chapter", "warn"))
+    # texts without a key stand alone; of a passage there is a row for each chapter at most
+    alone = Window.partitionBy(F.coalesce("_key", F.concat(F.lit("\x00"), "book_slug")))
+    first = F.min(F.struct("_o", "book_slug")).over(alone)["book_slug"]
+    counted = per.withColumn("_copy", F.when(F.col("_key").isNotNull() & (F.col("book_slug") != first), F.col("_n")).otherwise(0)).groupBy("book_slug").agg(F.sum("_over").alias("over"), F.sum("_copy").alias("copies"))
+    kinds = (("runaway questions", "fail", "over"), ("copies of another chapter", "warn", "copies"))
+    found = F.explode(F.array(*(F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.col(c).alias("n")) for check, severity, c in kinds)))
+    return counted.select("book_slug", found.alias("_x")).select("book_slug", "_x.*").where("n > 0")
 
 
 def lost_keys(rows: DataFrame, book: str, chapter: str, answer: Column) -> DataFrame:
