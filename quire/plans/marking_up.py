@@ -71,3 +71,28 @@ def qa_export(spark, sf_dir):
     made = qa_rows(rows.select(F.from_json(document, StructType.fromDDL(BOOK)).alias("b")).select("b.*"))
     first = F.min_by(F.struct("id", "question", "answer"), F.when(F.col("section_type") == "exercise", 0).otherwise(1)).alias("f")
     return made.groupBy("book_slug").agg(first, F.count("*").cast("int").alias("n_rows")).select("f.*", "n_rows")
+
+
+@query(r"""
+SELECT p_partkey, '## ' || p_name || chr(10) || chr(10) || '⏱ Estimated time: ' || p_size || ' min  ·  📊 Difficulty: 🟡 Medium  ·  ⭐ Exam importance: ' || repeat('★', (1 + p_size % 5)::INTEGER) || repeat('☆', (4 - p_size % 5)::INTEGER) || chr(10) || chr(10)
+  || '**Quick Summary**' || chr(10) || p_type || chr(10) || chr(10) || '**Detailed Explanation**' || chr(10) || '- **Definition:** ' || p_brand || chr(10) || chr(10) || '**📌 Points to Remember (Exam Focus)**' || chr(10) || '✓ ' || p_name || chr(10) || '✓ two' || chr(10) || chr(10)
+  || '**Formula 1** — 🟢 Easy' || chr(10) || '`' || p_size || 'x`' || chr(10) || '- Variables: x' || chr(10) || chr(10) || '**Derivation: Derivation**' || chr(10) || '- Steps:' || chr(10) || '  1. a' || chr(10) || '  2. ' || p_brand || chr(10) || '- Final result: `' || p_size || '`' AS markdown,
+  '<h3>' || p_name || '</h3><div class="rich"><p>' || p_type || ' <strong>b</strong><br>more</p><ul><li>' || p_brand || '</li><li><code>two</code></li></ul><ol><li>' || p_size || '</li></ol><hr><blockquote class="notes-recap">so</blockquote></div><h4>Last</h4>' AS html,
+  '## ' || p_name || chr(10) || p_type || chr(10) || 'kept' AS polished FROM part
+""")
+def study_notes(spark, sf_dir):
+    """Parts as sections of a model's reply, rendered as markdown; summaries as HTML and polished."""
+    from quire.operators import notes as N
+
+    size = F.col("p_size").cast("string")
+    section = F.struct(
+        F.concat(F.lit(" "), "p_name").alias("heading"), F.lit("2").alias("level"), F.concat(size, F.lit(" min")).alias("estimated_time"), F.lit(" MODERATE").alias("difficulty"), (1 + F.col("p_size") % 5).cast("string").alias("exam_importance"),
+        F.lit("").alias("quick_summary"), F.concat(F.lit("# Heading\n"), "p_type", F.lit(" [image:img_001]")).alias("summary"), F.col("p_brand").alias("definition"), F.array(F.concat(F.lit("- "), "p_name"), F.lit(" "), F.lit("✓ two")).alias("points_to_remember"),
+        F.array(F.struct(F.concat(size, F.lit("x")).alias("formula"), F.lit("easy").alias("difficulty"), F.lit("x").alias("variables")), F.struct(F.lit("").alias("formula"), F.lit("").alias("difficulty"), F.lit("y").alias("variables"))).alias("formulas"),
+        F.array(F.struct(F.lit("").alias("name"), F.array(F.lit("* a"), F.col("p_brand")).alias("steps"), size.alias("final_result"))).alias("derivations"),
+    )
+    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("s", section)
+    made = rows.withColumn("n", N.normalised(F.col("s"), rows.schema["s"].dataType))
+    told = F.concat(F.lit("## "), "p_name", F.lit("\n"), "p_type", F.lit(" **b**\nmore\n\n- "), "p_brand", F.lit("\n* `two`\n1. "), size, F.lit("\n---\n> so\n### Last\n"))
+    rough = F.concat(F.lit("no heading\n\n## "), "p_name", F.lit("\n\n\n"), F.lit("## "), "p_name", F.lit("\n"), "p_type", F.lit("\n### within\nkept\n\n## empty"))
+    return made.select("p_partkey", N.rendered(F.col("n")).alias("markdown"), N.summary_html(told).alias("html"), N.polished(rough).alias("polished"))
