@@ -139,3 +139,19 @@ def contents(lines: DataFrame, keys: list[str]) -> DataFrame:
     shape = r"^(\d{1,3})[.)]?\s+(.*?)\s+(\d{1,4}\s*[-–]\s*\d{1,4})\b.*$"
     made = rows.groupBy(*keys, "_entry").agg(text.alias("t")).where(F.col("t").rlike(shape))
     return made.select(*keys, F.regexp_extract("t", shape, 1).cast("int").alias("topic_number"), F.regexp_extract("t", shape, 2).alias("topic_name"), F.regexp_replace(F.regexp_extract("t", shape, 3), r"\s*[-–]\s*", "-").alias("page_range"))
+
+
+def slices_of(lines: DataFrame, spans: DataFrame, keys: list[str], before: int = 0, most: int | None = None) -> DataFrame:
+    """(keys, topic_number, markdown, urls) of recorded spans "first-last" of a book's lines, counted from 1, and the addresses of the pictures there, each once.
+
+    before: lines that stand ahead of a span and are taken too, as a figure may be printed on the page before; most: lines
+    from the span's first one at most. A span that isn't one gives no row; one that goes beyond the book ends with it.
+    """
+    span = T.page_range(F.col("lines"))
+    cut = spans.select(*keys, "topic_number", span.alias("_r")).where("_r is not null")
+    last = F.col("_r.last") if most is None else F.least(F.col("_r.last"), F.col("_r.first") + most - 1)
+    cut = cut.select(*keys, "topic_number", (F.col("_r.first") - 1 - before).alias("_from"), (last - 1).alias("_to"))
+    inside = lines.join(cut, keys).where(F.col("line_no").between(F.col("_from"), F.col("_to")))
+    each = inside.groupBy(*keys, "topic_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+    return each.select(*keys, "topic_number", text.alias("markdown")).withColumn("urls", F.array_distinct(F.regexp_extract_all("markdown", F.lit(fixed.IMAGE_URL), F.lit(1))))

@@ -99,3 +99,20 @@ SELECT book_slug, section_key, n::INTEGER AS item_order, 'i' || p % 3 AS id, CAS
 def resolved_figures(spark, sf_dir):
     """The figures that books' items refer to, with their files where the topic has them."""
     return E.resolved_images(_books(spark, sf_dir)).select("book_slug", "section_key", "item_order", "id", "file")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, '![](http://x/' || l_partkey % 5 || ') ' || l_partkey AS line, l_partkey % 5 AS url FROM lineitem),
+u AS (SELECT l_orderkey, 'http://x/' || url AS url, min(n) AS n FROM l WHERE n BETWEEN 1 AND 4 GROUP BY ALL)
+SELECT l_orderkey, 7::INTEGER AS topic_number, string_agg(line, chr(10) ORDER BY n) AS markdown, (SELECT string_agg(url, ' ' ORDER BY n) FROM u WHERE u.l_orderkey = l.l_orderkey) AS urls FROM l WHERE n BETWEEN 1 AND 4 GROUP BY l_orderkey
+""")
+def recorded_slices(spark, sf_dir):
+    """Orders as books, of which a recorded span is read again with a line before it, and its pictures' addresses."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    lines = rows.groupBy("l_orderkey").agg(each.alias("x")).select("l_orderkey", F.posexplode("x").alias("line_no", "x"))
+    part = F.col("x.l_partkey")
+    lines = lines.select("l_orderkey", "line_no", F.concat(F.lit("![](http://x/"), (part % 5).cast("string"), F.lit(") "), part.cast("string")).alias("line"))
+    spans = read(spark, sf_dir, "lineitem", "l_orderkey").distinct().select("l_orderkey", F.explode(F.array(F.struct(F.lit(7).alias("topic_number"), F.lit("2-9").alias("lines")), F.struct(F.lit(8).alias("topic_number"), F.lit("unknown").alias("lines")))).alias("s")).select("l_orderkey", "s.*")
+    made = C.slices_of(lines, spans, ["l_orderkey"], before=1, most=3)
+    return made.withColumn("urls", F.array_join("urls", " "))
