@@ -25,6 +25,11 @@ COLUMNS = {
     "op8_nn_descent": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op9_ngram_trie": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
     "op10_langid": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op12_va_file": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op13_prefix_trie": {
+        "conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint", "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string",
+    },
 }
 
 
@@ -56,6 +61,8 @@ def folder(spark, tmp_path_factory, made):
     vectors = [(k, rng.normal(size=8).tolist(), k % 3) for k in range(60)]
     vectors += [(100 + k, (np.array(vectors[k][1]) + 0.05).tolist(), k % 3) for k in range(20)] + [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, vectors[0][1], None)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    turns = [(c, k, "user" if k % 2 == 0 else "assistant", WORDS["en"].split()[(c + k) % 7]) for c in range(30) for k in range(c % 5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -68,7 +75,7 @@ def answers(spark, folder):
 def test_columns(answers, made, name):
     kinds = dict(answers[name][0].dtypes)
     assert {c: kinds.get(c) for c in COLUMNS[name]} == COLUMNS[name]
-    if name not in ("op5_packing", "op8_nn_descent"):
+    if name not in ("op5_packing", "op8_nn_descent", "op12_va_file", "op13_prefix_trie"):
         assert sorted(r.doc_id for r in answers[name][1]) == sorted(r[0] for r in made[0])
 
 
@@ -179,3 +186,17 @@ def test_shards(answers, made):
     assert set(slots) <= set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
     where = {r.doc_id: r.shard for r in rows}
     assert where[7] == where[303]
+
+
+def test_every_query_is_looked_at():
+    assert set(COLUMNS) == set(registry.QUERIES)
+
+
+def test_lines_vectors_and_conversations(answers, made):
+    """What has whole tests of its own: here that the queries' rows fit together."""
+    texts = {r[0]: r[1] or "" for r in made[0]} | {7: "", 303: ""}  # 304 holds their only line too
+    assert all((r.n_lines, r.n_dropped, r.kept_sha256) == (1, int(r.doc_id in (7, 303)), hashlib.sha256(texts[r.doc_id].encode()).hexdigest()) for r in answers["op11_line_dedup"][1])
+    assert answers["op12_va_file"][1] == []  # no vector has 64 components
+    nodes = answers["op13_prefix_trie"][1]
+    [root] = [r for r in nodes if r.depth == 0]
+    assert root.parent_conv_id is None and root.n_convs == 24 and root.n_leaves == sum(r.n_children == 0 for r in nodes) and sum(r.n_children for r in nodes) == len(nodes) - 1
