@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from quire.llm import near_dedup
 from quire.llm import simhash as S
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -73,6 +74,6 @@ def test_empty_table_and_stage(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(empty).count() == 0
     docs = spark.createDataFrame([(3, "a b c d", "x"), (1, "A b c d", "y"), (1, "a b c d", "z"), (7, "e f g h", "w"), (None, "i j k", "v")], SCHEMA)
-    kept = S.stage(spark, docs, "")
+    kept = near_dedup.stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 7]
