@@ -22,14 +22,17 @@ def looks_like_heading(line: Column, clean: Column | None = None) -> Column:
     s = T.clean_heading(line) if clean is None else clean
     end = F.regexp_replace(T.strip(T.text(line)), r"^#+\s*", "")
     words = F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 4)
-    capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
-    return (s != "") & (F.length(s) <= fixed.HEADING_CHARS) & ~s.rlike(fixed.NUMBERED) & ~end.rlike(r"[?.;,]$") & ((F.size(words) < 3) | (F.size(capital) >= 0.6 * F.size(words)))
+    capital = lambda words: F.filter(words, lambda w: w.rlike("^[A-Z]"))
+    titled = T.bind(words, lambda w: (F.size(w) < 3) | (F.size(capital(w)) >= 0.6 * F.size(w)))
+    return (s != "") & (F.length(s) <= fixed.HEADING_CHARS) & ~s.rlike(fixed.NUMBERED) & ~end.rlike(r"[?.;,]$") & titled
 
 
 def subsection_kind(title: Column, clean: Column | None = None) -> Column:
     """The first of the kinds whose wording the title has, else empty."""
-    s = F.lower(T.clean_heading(title) if clean is None else clean)
-    return _first(((s.rlike(pattern), kind) for pattern, kind in fixed.SUBSECTION_KINDS), F.lit(""))
+    # a title that has no kind's wording, as most, is told by one look
+    none = "|".join(f"(?:{pattern})" for pattern, _ in fixed.SUBSECTION_KINDS)
+    kinds = lambda s: _first([(~s.rlike(none), ""), *((s.rlike(pattern), kind) for pattern, kind in fixed.SUBSECTION_KINDS)], F.lit(""))
+    return T.bind(F.lower(T.clean_heading(title) if clean is None else clean), kinds)
 
 
 def exercise_key(title: Column, clean: Column | None = None, names: tuple[tuple[str, str], ...] = fixed.EXERCISE_NAMES) -> Column:

@@ -93,6 +93,8 @@ HEADING_CHARS = 90
 # --- fixed values: lines of a question bank ----------------------------------------------------------------------
 
 NUMBERED = r"^([0-9０-９]{1,3})\s*[.)．）：]\s*(.*)$"
+#: A numbered line that can't be a heading, nor anything else but an item.
+PLAIN_ITEM = r"^[0-9]{1,3}\s*[.)]\s*[A-Za-z]"
 TABLE_RULE = r"^\|(?:\s*:?-{2,}:?\s*\|)+\s*$"
 PASSAGE = r"(?iu)^#*\s*(?:passage|paragraph)\s*(?:[-–—]?\s*[IVXivx0-9]{1,4})?\s*[:.]?\s*$"
 DIRECTIONS = r"(?iu)^#*\s*DIRECTIONS\b"

@@ -19,9 +19,13 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: White space of any kind, as (?U)\s has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(n) for n in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -86,8 +90,7 @@ def first_sentence(c: Column) -> Column:
 
 def truncate(c: Column, n: int, mark: str = "...") -> Column:
     """Stripped; if longer than n, cut so that it ends in the mark at n characters."""
-    s = strip(text(c))
-    return F.when(F.length(s) > n, F.concat(F.rtrim(F.substring(s, 1, n - len(mark))), F.lit(mark))).otherwise(s)
+    return bind(strip(text(c)), lambda s: F.when(F.length(s) > n, F.concat(F.rtrim(F.substring(s, 1, n - len(mark))), F.lit(mark))).otherwise(s))
 
 
 def ellipsis(c: Column, n: int) -> Column:

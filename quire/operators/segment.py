@@ -1,19 +1,23 @@
 """Chapters' markdown to lines, sections, parts, illustrations and question blocks.
 
 A line's number is the coordinate of everything. What a line is, is said by built-in expressions; what it belongs to, by
-windows over its chapter's lines. Only the block machine, where a number seen before opens a new block, is a small Python
+windows over its chapter's lines, or within the chapter's own row. Only the block machine, where a number seen before opens a new block, is a small Python
 step over one chapter's flagged lines. A chapter is the unit of work throughout; books may be of any size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import attrgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions import classify as K
 from quire.functions import fixed
@@ -21,30 +25,45 @@ from quire.functions import text as T
 
 FLAGS = ("exercise", "kind", "heading", "directions", "directions_kind", "passage", "rule", "number", "rest")
 
+_OF_HEADINGS = ("heading", "is_heading", "directions", "exercise", "kind", "directions_kind", "directions_range", "passage", "rule", "solutions")
+
 
 def lines(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
     """(keys, line_no from 0, line)."""
     return chapters.select(*keys, F.posexplode(T.lines(F.col(text))).alias("line_no", "line"))
 
 
+def flags(line: Column) -> Column:
+    """What a line is, as a struct. exercise, kind and number are empty where the line is none, and heading on a numbered line."""
+
+    def of(s: Column) -> Column:
+        def heading(clean: Column) -> Column:
+            is_heading, directions = K.looks_like_heading(s, clean), s.rlike(fixed.DIRECTIONS)
+            return T.bind(F.struct(is_heading.alias("h"), directions.alias("d")), lambda x: F.struct(
+                clean.alias("heading"), x["h"].alias("is_heading"), x["d"].alias("directions"),
+                F.when(x["h"], K.exercise_key(s, clean)).otherwise("").alias("exercise"),
+                F.when(x["h"], K.subsection_kind(s, clean)).otherwise("").alias("kind"),
+                F.when(x["d"], K.subsection_kind(s, clean)).otherwise("").alias("directions_kind"),
+                s.rlike(fixed.DIRECTIONS_RANGE).alias("directions_range"), s.rlike(fixed.PASSAGE).alias("passage"), s.rlike(fixed.TABLE_RULE).alias("rule"),
+                T.fold_width(s).rlike(fixed.SOLUTIONS).alias("solutions"),
+            ))
+
+        no, none = F.lit(False), F.lit("")
+        item = F.struct(
+            none.alias("heading"), no.alias("is_heading"), no.alias("directions"), none.alias("exercise"), none.alias("kind"), none.alias("directions_kind"),
+            no.alias("directions_range"), no.alias("passage"), no.alias("rule"), no.alias("solutions"),
+        )
+        # most lines are items or blank, which are none of the others
+        whole = F.when((s == "") | s.rlike(fixed.PLAIN_ITEM), item).otherwise(T.bind(T.clean_heading(s), heading))
+        number = T.fold_digits(F.regexp_extract(s, fixed.NUMBERED, 1)).alias("number")
+        return T.bind(whole, lambda f: F.struct(*(f[name].alias(name) for name in _OF_HEADINGS), number, F.regexp_extract(s, fixed.NUMBERED, 2).alias("rest"), (s == "").alias("blank")))
+
+    return T.bind(T.strip(line), of)
+
+
 def flagged(rows: DataFrame) -> DataFrame:
-    """What each line is. exercise, kind and number are empty where the line is none."""
-    s, clean = F.col("_s"), F.col("heading")
-    rows = rows.withColumn("_s", T.strip(F.col("line"))).withColumn("heading", T.clean_heading(s))
-    rows = rows.withColumn("is_heading", K.looks_like_heading(s, clean)).withColumn("directions", s.rlike(fixed.DIRECTIONS))
-    return rows.select(
-        *(c for c in rows.columns if c != "_s"),
-        F.when(F.col("is_heading"), K.exercise_key(s, clean)).otherwise("").alias("exercise"),
-        F.when(F.col("is_heading"), K.subsection_kind(s, clean)).otherwise("").alias("kind"),
-        F.when(F.col("directions"), K.subsection_kind(s, clean)).otherwise("").alias("directions_kind"),
-        s.rlike(fixed.DIRECTIONS_RANGE).alias("directions_range"),
-        s.rlike(fixed.PASSAGE).alias("passage"),
-        s.rlike(fixed.TABLE_RULE).alias("rule"),
-        T.fold_digits(F.regexp_extract(s, fixed.NUMBERED, 1)).alias("number"),
-        F.regexp_extract(s, fixed.NUMBERED, 2).alias("rest"),
-        T.fold_width(s).rlike(fixed.SOLUTIONS).alias("solutions"),
-        (s == "").alias("blank"),
-    )
+    """Lines with their flags."""
+    return rows.withColumn("_f", flags(F.col("line"))).select(*rows.columns, "_f.*")
 
 
 def sections(rows: DataFrame, keys: list[str], heading: str | Column = fixed.H2) -> DataFrame:
@@ -99,6 +118,40 @@ def parts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return early.withColumn("part", part).where(F.col("_banner").isNull() | (F.col("line_no") != F.col("_banner"))).drop("_bank", "_banner", "run")
 
 
+def parted(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
+    """What ``parts`` gives of chapters' flagged lines, worked out within each chapter's row: no line is dealt out.
+
+    The lines of a chapter follow one another in order, as ``blocks`` takes them with ``in_order``.
+    """
+    never = F.lit(2**31 - 1)
+    at = lambda rows: F.array_min(F.transform(rows, lambda x: x["line_no"]))
+    opens = lambda x: (x["f"]["exercise"] != "") | x["f"]["directions_range"] | x["f"]["kind"].isin(*fixed.BANK_KINDS)
+    rows = chapters.select(*keys, F.transform(T.lines(F.col(text)), lambda x, k: F.struct(k.alias("line_no"), x.alias("line"), flags(x).alias("f"))).alias("_x"))
+    rows = rows.withColumn("_bank", F.coalesce(at(F.filter("_x", opens)), never))
+    keyed = F.transform(
+        F.filter("_x", lambda x: (x["line_no"] >= F.col("_bank")) & x["line"].rlike(fixed.KEY_LINE)),
+        lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["line"], fixed.KEY_LINE, 1).try_cast("int").alias("n")),
+    )
+    rows = rows.withColumn("_banner", at(F.filter("_x", lambda x: (x["line_no"] >= F.col("_bank")) & x["f"]["solutions"]))).withColumn("_keyed", keyed)
+
+    def run(x: Column, k: Column) -> Column:
+        ahead = [F.get("_keyed", k + n) for n in range(fixed.KEY_RUN)]
+        good = ahead[-1]["line_no"] < x["line_no"] + fixed.KEY_WINDOW
+        for a, b in zip(ahead, ahead[1:]):
+            good = good & (a["n"] <= b["n"])
+        return F.when(good, x["line_no"])
+
+    rows = rows.withColumn("_run", F.array_min(F.transform("_keyed", run)))
+    above = F.when(F.col("_run").isNotNull(), F.element_at(F.filter("_x", lambda x: (x["line_no"] < F.col("_run")) & ~x["f"]["blank"]), -1))
+    rows = rows.withColumn("_above", F.try_element_at(F.array(above), F.lit(1)))
+    start = F.when(F.col("_above.f.is_heading"), F.col("_above.line_no")).otherwise(F.col("_run"))
+    rows = rows.withColumn("_split", F.coalesce("_banner", start, never))
+    part = F.when(F.col("_l.line_no") < F.col("_bank"), "theory").when(F.col("_l.line_no") < F.col("_split"), "bank").otherwise("solutions")
+    # an inner explode would have the flags worked out once more, for a filter on the array's size
+    rows = rows.select(*keys, "_bank", "_banner", "_split", F.explode_outer("_x").alias("_l")).where("_l is not null and (_banner is null or _l.line_no <> _banner)")
+    return rows.select(*keys, "_l.line_no", "_l.line", "_l.f.*", part.alias("part"))
+
+
 def resumes(keys: list[str]) -> Column:
     """Whether a chapter's prose starts again at a line."""
     order = Window.partitionBy(*keys).orderBy("line_no")
@@ -226,21 +279,29 @@ class _Blocks:
             self.item[1].append(r.line)
 
 
-def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list], Iterator[tuple]], schema: str) -> DataFrame:
-    """work over the rows of each group in order, which follow one another in a sorted partition; groups cost no call of their own."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list], Iterator[tuple]], schema: str, in_order: bool = False) -> DataFrame:
+    """work over the rows of each group in order, which follow one another in a sorted partition; groups cost no call of their own.
+
+    in_order: they follow one another already, as rows of one chapter's row do.
+    """
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    row = namedtuple("row", rows.columns)
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = (r for f in frames for r in f.itertuples(index=False))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out = []
-        for _, group in groupby(stream, key=lambda r: tuple(getattr(r, k) for k in keys)):
+        for _, group in groupby(stream, key=attrgetter(*keys)):
             out += work(list(group))
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield table(out)
                 out = []
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield table(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (rows if in_order else rows.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInArrow(run, schema)
 
 
 def _types(rows: DataFrame, keys: list[str]) -> str:
@@ -248,20 +309,28 @@ def _types(rows: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-def blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, part, block, exercise, kind, title, number, line_no, passage, text): the items of the bank and of the solutions."""
+_ITEM = namedtuple("_ITEM", "part block exercise kind title number line_no passage text")
+_ITEM_SCHEMA = "part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string"
+
+
+def _items(group: list) -> Iterator[_ITEM]:
+    """The items of one half of a chapter."""
+    machine = _Blocks(group[0].part == "solutions")
+    for r in group:
+        machine.take(r)
+    machine.end_block()
+    return (_ITEM(group[0].part, *x) for x in machine.out)
+
+
+def blocks(rows: DataFrame, keys: list[str], in_order: bool = False) -> DataFrame:
+    """(keys, part, block, exercise, kind, title, number, line_no, passage, text): the items of the bank and of the solutions. in_order: the rows are those of ``parted``."""
 
     def work(group: list) -> Iterator[tuple]:
-        machine = _Blocks(group[0].part == "solutions")
-        for r in group:
-            machine.take(r)
-        machine.end_block()
-        head = tuple(getattr(group[0], k) for k in [*keys, "part"])
-        return (head + x for x in machine.out)
-
-    schema = f"{_types(rows, keys)}, part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string"
+        head = tuple(getattr(group[0], k) for k in keys)
+        return (head + x for x in _items(group))
+
     kept = rows.where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS)
-    return _by_group(kept, [*keys, "part"], ["line_no"], work, schema)
+    return _by_group(kept, [*keys, "part"], ["line_no"], work, f"{_types(rows, keys)}, {_ITEM_SCHEMA}", in_order)
 
 
 def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
@@ -286,29 +355,35 @@ def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     return found
 
 
+def _answered(group: list) -> Iterator[tuple]:
+    """A chapter's question items, each with its answer."""
+    halves = {part: [list(b) for _, b in groupby((r for r in group if r.part == part), key=lambda r: r.block)] for part in ("bank", "solutions")}
+    shape = lambda bs: [(b[0].exercise, b[0].kind, {r.number for r in b}) for b in bs]
+    for b, j in zip(halves["bank"], pair_blocks(shape(halves["bank"]), shape(halves["solutions"]))):
+        answers = [""] * len(b)
+        if j is not None:
+            solved = halves["solutions"][j]
+            first = {r.number: r.text for r in reversed(solved)}
+            by_number = any(r.number in first for r in b)
+            answers = [first.get(r.number, "") for r in b] if by_number else [r.text for r in solved][: len(b)] + [""] * (len(b) - len(solved))
+        yield from (tuple(r) + (a,) for r, a in zip(b, answers))
+
+
 def aligned(items: DataFrame, keys: list[str]) -> DataFrame:
     """Question items with their answers. Blocks pair in order within a chapter; in a pair the first answer of a number counts, and where no number agrees, the place does."""
-
-    def work(group: list) -> Iterator[tuple]:
-        halves = {part: [list(b) for _, b in groupby((r for r in group if r.part == part), key=lambda r: r.block)] for part in ("bank", "solutions")}
-        shape = lambda bs: [(b[0].exercise, b[0].kind, {r.number for r in b}) for b in bs]
-        for b, j in zip(halves["bank"], pair_blocks(shape(halves["bank"]), shape(halves["solutions"]))):
-            answers = [""] * len(b)
-            if j is not None:
-                solved = halves["solutions"][j]
-                first = {r.number: r.text for r in reversed(solved)}
-                by_number = any(r.number in first for r in b)
-                answers = [first.get(r.number, "") for r in b] if by_number else [r.text for r in solved][: len(b)] + [""] * (len(b) - len(solved))
-            yield from (tuple(r) + (a,) for r, a in zip(b, answers))
-
-    columns = ["part", "block", "exercise", "kind", "title", "number", "line_no", "passage", "text"]
-    schema = f"{_types(items, keys)}, part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string, answer string"
-    return _by_group(items.select(*keys, *columns), keys, ["part", "block", "line_no"], work, schema).drop("part")
+    schema = f"{_types(items, keys)}, {_ITEM_SCHEMA}, answer string"
+    return _by_group(items.select(*keys, *_ITEM._fields), keys, ["part", "block", "line_no"], _answered, schema).drop("part")
 
 
 def question_bank(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
-    """Chapters' questions with their answers, in whole books at once."""
-    return aligned(blocks(parts(flagged(lines(chapters, keys, text)), keys), keys), keys)
+    """Chapters' questions with their answers, in whole books at once: what ``aligned`` gives of ``blocks``, in one pass over a chapter's lines."""
+
+    def work(group: list) -> Iterator[tuple]:
+        head = tuple(getattr(group[0], k) for k in keys)
+        return (head + x for x in _answered([x for _, half in groupby(group, key=attrgetter("part")) for x in _items(list(half))]))
+
+    rows = parted(chapters, keys, text).where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS)
+    return _by_group(rows, keys, ["line_no"], work, f"{_types(rows, keys)}, {_ITEM_SCHEMA}, answer string", in_order=True).drop("part")
 
 
 def packed(rows: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:

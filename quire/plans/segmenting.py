@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from quire.operators import parse as P
 from quire.operators import segment as S
-from quire.plans.registry import query, read
+from quire.plans.registry import query, read, spread
 
 _FLAG = {"A": "Single Option Correct", "N": "Fill in the Blanks", "R": "True / False"}
 
 
 def order_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, markdown): an order as a chapter, with an exercise, a sub-section for each flag, and a numbered line for each line."""
-    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    number = F.col("l_linenumber").cast("string")
-    line = lambda a, b: F.concat(number, F.lit(a), F.col(b).cast("string"))
-    parts = lines.groupBy("l_orderkey", "l_returnflag").agg(
-        F.array_sort(F.collect_set(F.struct("l_linenumber", line(". Part ", "l_partkey").alias("q"), line(". Supplier ", "l_suppkey").alias("a")))).alias("x")
-    )
-    title = F.create_map(*(F.lit(x) for kv in _FLAG.items() for x in kv))[F.col("l_returnflag")]
-    half = lambda k: F.concat(F.lit("## "), title, F.lit("\n"), F.array_join(F.transform("x", lambda r: r[k]), "\n"))
-    parts = parts.select("l_orderkey", "l_returnflag", half("q").alias("q"), half("a").alias("a"))
-    whole = parts.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_returnflag", "q", "a"))).alias("p"))
-    join = lambda k: F.array_join(F.transform("p", lambda r: r[k]), "\n\n")
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey")
+    # an order's lines meet once, as numbers, and become text in their own row
+    whole = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey")).alias("x"))
+    line = lambda r, a, b: F.concat(r["l_linenumber"].cast("string"), F.lit(a), r[b].cast("string"))
+    told = F.transform("x", lambda r: F.struct(r["l_returnflag"].alias("f"), r["l_linenumber"].alias("n"), line(r, ". Part ", "l_partkey").alias("q"), line(r, ". Supplier ", "l_suppkey").alias("a")))
+    whole = whole.select("o_orderkey", F.sort_array(told).alias("x"))
+    titles = F.create_map(*(F.lit(x) for kv in _FLAG.items() for x in kv))
+    half = lambda f, k: F.concat(F.lit("## "), titles[f], F.lit("\n"), F.array_join(F.transform(F.filter("x", lambda r: r["f"] == f), lambda r: r[k]), "\n"))
+    join = lambda k: F.array_join(F.transform(F.array_distinct(F.transform("x", lambda r: r["f"])), lambda f: half(f, k)), "\n\n")
     return whole.select("o_orderkey", F.concat(F.lit("## Theory\n\nSome prose.\n\n## Exercise 1\n\n"), join("q"), F.lit("\n\n## SOLUTIONS\n\n## Exercise 1\n\n"), join("a")).alias("markdown"))
 
 
@@ -39,8 +37,7 @@ SELECT l_orderkey AS o_orderkey, CASE l_returnflag WHEN 'A' THEN 'single_option'
 """)
 def blocks_parse(spark, sf_dir):
     """The questions of every chapter by its headings."""
-    chapters = order_chapters(spark, sf_dir)
-    items = S.blocks(S.parts(S.flagged(S.lines(chapters, ["o_orderkey"])), ["o_orderkey"]), ["o_orderkey"])
+    items = S.blocks(S.parted(order_chapters(spark, sf_dir), ["o_orderkey"]), ["o_orderkey"], in_order=True)
     return items.where("part = 'bank'").select("o_orderkey", "kind", "number", "text")
 
 
@@ -81,7 +78,7 @@ SELECT l_orderkey AS o_orderkey, 4::INTEGER AS first_bank_line, count(*) AS n_se
 """)
 def bank_split(spark, sf_dir):
     """Where each chapter's bank begins, and its sub-sections there."""
-    rows = S.parts(S.flagged(S.lines(order_chapters(spark, sf_dir), ["o_orderkey"])), ["o_orderkey"]).where("part = 'bank'")
+    rows = S.parted(order_chapters(spark, sf_dir), ["o_orderkey"]).where("part = 'bank'")
     return rows.groupBy("o_orderkey").agg(F.min("line_no").alias("first_bank_line"), F.count_if((F.col("kind") != "") & (F.col("exercise") == "")).alias("n_sections"))
 
 
@@ -122,7 +119,7 @@ SELECT p_partkey, 'Which brand is ' || p_name AS stem, 4 AS n_options, (p_size %
 def options_parse(spark, sf_dir):
     text = F.concat(F.lit("Which brand is "), "p_name", F.lit(" (a) "), "p_brand", F.lit(" (b) none (c) all of them (d) "), "p_type")
     key = F.concat(F.lit("Ans: ("), F.substring(F.lit("abcd"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)), F.lit(")"))
-    return read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select("p_partkey", P.parsed_options(text, key).alias("o")).select("p_partkey", "o.stem", F.size("o.options").alias("n_options"), "o.correct")
+    return spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select("p_partkey", P.parsed_options(text, key).alias("o")).select("p_partkey", "o.stem", F.size("o.options").alias("n_options"), "o.correct")
 
 
 @query("SELECT p_partkey, 'Match the parts.' AS stem, p_name AS first, p_type AS last FROM part")

@@ -210,3 +210,24 @@ def test_pandas_functions(spark):
 def test_packed(spark):
     df = spark.createDataFrame([("a", k, n) for k, n in enumerate([30, 60, 20, 90, 5])], "book string, at long, size long")
     assert [r.batch for r in sorted(S.packed(df, ["book"], "at", "size", 100).collect(), key=lambda r: r["at"])] == [0, 0, 1, 2, 2]
+
+
+def test_parts_of_a_chapter_need_no_lines_dealt_out(spark, chapters):
+    """parted gives what windows over dealt-out lines give, and the whole bank comes without an exchange."""
+    keyed = "## Exercise 1\n1. ask\n2. ask\n\n## Key\n\n" + "\n".join(f"{k}. ({c})" for k, c in enumerate("abcde", 1)) + "\nSOLUTIONS later"
+    more = chapters.unionByName(spark.createDataFrame([("d", 1, keyed), ("d", 2, "## Exercise 2\n1) a b c\n1：wide\n**2.** bold\n1. ***\n 　\n# SOLUTIONS\n3. x"), ("d", 3, "1. (a)\n2. (b)\n1. (c)\n2. (d)\n3. (a)\n4. (b)\n5. (c)\n6. (d)")], chapters.schema))
+    by_rows = S.parts(S.flagged(S.lines(more, KEYS)), KEYS)
+    columns = [*KEYS, "line_no", "line", "part", *S.FLAGS, "solutions", "blank", "is_heading"]
+    got = S.parted(more, KEYS)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, by_rows.select(columns).collect()))
+    plan = S.question_bank(spark.read.json(spark.sparkContext.parallelize(['{"book": "b", "markdown": "x"}'])), ["book"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_strip_takes_every_white_space(spark):
+    from quire.functions import text as T
+
+    texts = [f"{chr(n)}{chr(n)}a{chr(n)}b{chr(n)}" for n in [*range(1, 0x100), *range(0x1680, 0x1681), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x180E]] + ["", " ", "\n", None, "a\n  "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~T.strip(F.col("t")).eqNullSafe(old)).count() == 0
