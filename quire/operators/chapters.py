@@ -34,6 +34,11 @@ ALIAS_SCORE = 98
 ACCEPT, SURE, NEAR = 72, 95, 12
 
 
+def _many(rows: DataFrame) -> DataFrame:
+    """Rows of all books for a join, never broadcast: Spark takes what is exploded or made from a narrow table for far smaller than it is."""
+    return rows.hint("merge")
+
+
 def _graded(value: Column, grades: tuple, when: Column | None = None) -> Column:
     """The score of the first grade that a value reaches, else 0; 0 too where a condition doesn't hold."""
     score = F.coalesce(*(F.when(value >= least, score) for least, score in grades), F.lit(0))
@@ -57,7 +62,7 @@ def scores(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[st
     """
     out = [T.strip(F.substring("line", 4, 1 << 30)).rlike(p) for p in never]
     heads = lines.where(F.col("line").startswith("## ") & ~reduce(or_, out)).select(*keys, "line_no", T.clean_heading(F.col("line")).alias("_head"))
-    both = heads.join(topics.select(*keys, "topic_number", "topic_name"), keys)
+    both = heads.join(_many(topics.select(*keys, "topic_number", "topic_name")), keys)
     number = F.regexp_extract("_head", r"^(\d{1,3})\s*[.)]?\s+\S", 1)
     title = F.regexp_replace("_head", r"^\d{1,3}\s*[.)]?\s+", "")
     both = both.withColumn("_n", number).withColumn("_title", title).withColumn("_o", T.title_overlap(F.col("topic_name"), title))
@@ -95,7 +100,7 @@ def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[st
     near = F.max((s.rlike(CONCEPT_MAP)).cast("int")).over(order.rowsBetween(-NEAR, NEAR)) + F.max(s.rlike(BOUNDARY).cast("int")).over(order.rowsBetween(-NEAR, 0))
     contents = F.coalesce(F.max(F.when(s.rlike(CONTENTS) & (F.col("line_no") < 400), F.col("line_no"))).over(Window.partitionBy(*keys)), F.lit(-1))
     marked = lines.withColumn("_near", near > 0).withColumn("_after", contents)
-    found = scores(lines, topics, keys, never, aliases).join(marked.select(*keys, "line_no", "_near", "_after"), [*keys, "line_no"])
+    found = scores(lines, topics, keys, never, aliases).join(_many(marked.select(*keys, "line_no", "_near", "_after")), [*keys, "line_no"])
     found = found.where(((F.col("score") >= SURE) | F.col("_near")) & (F.col("line_no") > F.col("_after")) & (F.col("score") >= ACCEPT))
 
     def work(group: list) -> Iterator[tuple]:
@@ -113,14 +118,14 @@ def starts(lines: DataFrame, topics: DataFrame, keys: list[str], never: tuple[st
 def slices(lines: DataFrame, topics: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, topic_number, start, end): up to the next topic's start; to the book's end if the next topic has none."""
     last = lines.groupBy(*keys).agg(F.max("line_no").alias("_last"))
-    every = topics.select(*keys, "topic_number").join(found, [*keys, "topic_number"], "left").join(last, keys)
+    every = topics.select(*keys, "topic_number").join(_many(found), [*keys, "topic_number"], "left").join(_many(last), keys)
     following = F.lead("start").over(Window.partitionBy(*keys).orderBy("topic_number"))
     return every.withColumn("end", F.coalesce(following - 1, F.col("_last"))).where("start is not null").drop("_last")
 
 
 def chapter_texts(lines: DataFrame, cut: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, topic_number, markdown) of the slices. A book's lines meet its few slices."""
-    inside = lines.join(cut, keys).where(F.col("line_no").between(F.col("start"), F.col("end")))
+    inside = lines.join(_many(cut), keys).where(F.col("line_no").between(F.col("start"), F.col("end")))
     body: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
     return inside.groupBy(*keys, "topic_number").agg(body.alias("markdown"))
 
@@ -151,7 +156,7 @@ def slices_of(lines: DataFrame, spans: DataFrame, keys: list[str], before: int =
     cut = spans.select(*keys, "topic_number", span.alias("_r")).where("_r is not null")
     last = F.col("_r.last") if most is None else F.least(F.col("_r.last"), F.col("_r.first") + most - 1)
     cut = cut.select(*keys, "topic_number", (F.col("_r.first") - 1 - before).alias("_from"), (last - 1).alias("_to"))
-    inside = lines.join(cut, keys).where(F.col("line_no").between(F.col("_from"), F.col("_to")))
+    inside = lines.join(_many(cut), keys).where(F.col("line_no").between(F.col("_from"), F.col("_to")))
     each = inside.groupBy(*keys, "topic_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
     return each.select(*keys, "topic_number", text.alias("markdown")).withColumn("urls", F.array_distinct(F.regexp_extract_all("markdown", F.lit(fixed.IMAGE_URL), F.lit(1))))

@@ -8,7 +8,7 @@ from quire.functions import text as T
 from quire.operators import chapters as C
 from quire.operators import export as E
 from quire.operators import segment as S
-from quire.plans.registry import query, read
+from quire.plans.registry import query, read, spread
 
 
 @query("""
@@ -41,12 +41,12 @@ SELECT c_custkey, unnest([1, 2])::INTEGER AS topic_number, unnest([4, 7])::INTEG
 def chapter_slices(spark, sf_dir):
     """Customers as books of two chapters: where each begins, in spite of a heading that only looks like it, and where it ends."""
     text = F.concat(F.lit("## Contents\n1. Sound Waves ..... 1-9\n2. Heat Engines ..... 10-19\n## Preface\n## 1. Sound Waves\n"), "c_name", F.lit("\n## Did you know Heat Engines\n## 2. Heat Engines\nend of "), "c_name", F.lit("\nlast"))
-    books = read(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", text.alias("markdown"))
+    books = spread(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", text.alias("markdown"))
     lines = S.lines(books, ["c_custkey"])
     topics = books.select("c_custkey", F.explode(F.array(F.struct(F.lit(1).alias("topic_number"), F.lit("Sound Waves").alias("topic_name")), F.struct(F.lit(2).alias("topic_number"), F.lit("Heat Engines").alias("topic_name")))).alias("t")).select("c_custkey", "t.*")
     cut = C.slices(lines, topics, C.starts(lines, topics, ["c_custkey"]), ["c_custkey"])
     texts = C.chapter_texts(lines, cut, ["c_custkey"]).select("c_custkey", "topic_number", F.size(T.lines(F.col("markdown"))).alias("n_lines"))
-    return cut.join(texts, ["c_custkey", "topic_number"]).select("c_custkey", "topic_number", "start", "end", "n_lines")
+    return cut.join(texts.hint("merge"), ["c_custkey", "topic_number"]).select("c_custkey", "topic_number", "start", "end", "n_lines")
 
 
 def _books(spark, sf_dir):
