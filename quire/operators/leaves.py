@@ -52,19 +52,24 @@ def texts(c: Column, kind: K.DataType, path: Column | None = None) -> Column:
     return F.coalesce(found, F.array().cast(listed))
 
 
-def leaks(documents: DataFrame, keys: list[str], document: str, pattern: str = fixed.LATEX_LEAK) -> DataFrame:
-    """(keys, path, value): the texts in which a pattern is found, formulas between dollars if none is given."""
-    found = F.filter(texts(F.col(document), documents.schema[document].dataType), lambda x: x["value"].rlike(pattern))
-    return documents.select(*keys, F.explode(found).alias("_x")).select(*keys, "_x.path", "_x.value")
+def leaks(documents: DataFrame, keys: list[str], document: str, pattern: str = fixed.LATEX_LEAK, path: str | None = None) -> DataFrame:
+    """(keys, path, value): the texts in which a pattern is found, formulas between dollars if none is given.
+
+    path: a column that says where in a larger document each one stands, so that books come as rows of their topics.
+    """
+    at = None if path is None else F.col(path)
+    found = F.filter(texts(F.col(document), documents.schema[document].dataType, at), lambda x: x["value"].rlike(pattern))
+    # an inner explode would look for the pattern twice, the first time for a filter on the array's size
+    return documents.select(*keys, F.explode_outer(found).alias("_x")).where("_x is not null").select(*keys, "_x.path", "_x.value")
 
 
-def leaks_of_json(documents: DataFrame, keys: list[str], document: str, pattern: str = fixed.LATEX_LEAK, depth: int = 16) -> DataFrame:
+def leaks_of_json(documents: DataFrame, keys: list[str], document: str, pattern: str = fixed.LATEX_LEAK, depth: int = 16, path: str | None = None) -> DataFrame:
     """The same of documents as JSON text, whose schemas may all differ: VARIANTs are exploded level by level, as deep as any goes, ``depth`` at most.
 
-    A deeper document, or a text that isn't JSON, raises an error rather than be passed over.
+    A VARIANT holds its whole document, so a book of any size comes as rows of its topics, each with its ``path``. A deeper document, or a text that isn't JSON, raises an error rather than be passed over.
     """
     spark = documents.sparkSession
-    rows = documents.select(*keys, F.lit("").alias("path"), F.parse_json(F.col(document)).alias("v"))
+    rows = documents.select(*keys, (F.lit("") if path is None else F.col(path)).alias("path"), F.parse_json(F.col(document)).alias("v"))
     kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
     out = None
     for level in range(depth + 1):
