@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import markup as M
-from quire.plans.registry import query, read
+from quire.plans.registry import query, read, spread
 
 
 @query(r"""
@@ -91,7 +91,7 @@ def study_notes(spark, sf_dir):
         F.array(F.struct(F.concat(size, F.lit("x")).alias("formula"), F.lit("easy").alias("difficulty"), F.lit("x").alias("variables")), F.struct(F.lit("").alias("formula"), F.lit("").alias("difficulty"), F.lit("y").alias("variables"))).alias("formulas"),
         F.array(F.struct(F.lit("").alias("name"), F.array(F.lit("* a"), F.col("p_brand")).alias("steps"), size.alias("final_result"))).alias("derivations"),
     )
-    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("s", section)
+    rows = spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("s", section)
     made = rows.withColumn("n", N.normalised(F.col("s"), rows.schema["s"].dataType))
     told = F.concat(F.lit("## "), "p_name", F.lit("\n"), "p_type", F.lit(" **b**\nmore\n\n- "), "p_brand", F.lit("\n* `two`\n1. "), size, F.lit("\n---\n> so\n### Last\n"))
     rough = F.concat(F.lit("no heading\n\n## "), "p_name", F.lit("\n\n\n"), F.lit("## "), "p_name", F.lit("\n"), "p_type", F.lit("\n### within\nkept\n\n## empty"))
