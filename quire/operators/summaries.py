@@ -96,8 +96,8 @@ def overview(excerpts: Column, chapter: Column) -> Column:
     firsts = F.transform(excerpts, lambda x: T.strip(F.element_at(F.split(T.strip(x), "\n\n", 2), 1)))
     fit = F.slice(F.filter(firsts, lambda x: F.length(x) > fixed.SNIPPET_LEAST), 1, fixed.SNIPPETS)
     named = F.when(T.text(chapter) != "", F.concat(F.lit("This chapter ("), chapter, F.lit(") covers the following core ideas. "))).otherwise("This chapter covers the following core ideas. ")
-    told = F.concat(named, F.array_join(F.transform(fit, lambda x: T.truncate(x, fixed.SNIPPET_CHARS)), " "))
-    return F.when(F.size(fit) > 0, T.strip(T.truncate(told, fixed.OVERVIEW_CHARS))).otherwise("")
+    told = lambda fit: F.concat(named, F.array_join(F.transform(fit, lambda x: T.truncate(x, fixed.SNIPPET_CHARS)), " "))
+    return T.bind(fit, lambda f: F.when(F.size(f) > 0, T.strip(T.truncate(told(f), fixed.OVERVIEW_CHARS))).otherwise(""))
 
 
 def document(introduction: Column, blocks: Column) -> Column:
@@ -114,7 +114,7 @@ def summaries(sections: DataFrame, keys: list[str], chapter: str, order: str = "
     chapter of which nothing can be told has an empty summary; null texts count as empty.
     """
     told = sections.select(*keys, F.col(order).alias("_o"), F.col(chapter).alias("_c"), section_blocks(F.col(heading), F.col(markdown)).alias("_b"))
-    made = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", "_b"))).alias("_all"), F.max("_c").alias("_c"))
+    made = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_o", "_b"))).alias("_all"), F.max("_c").alias("_c"))
     made = made.withColumn("blocks", F.flatten(F.transform("_all", lambda x: x["_b"])))
     made = made.withColumn("overview", overview(F.transform("blocks", lambda b: b["excerpt"]), T.text(F.col("_c"))))
     return made.select(*keys, "blocks", "overview", document(F.col("overview"), F.col("blocks")).alias("summary"))
