@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import concept_maps as C
 from quire.operators import segment as S
-from quire.plans.registry import query, read
+from quire.plans.registry import query, read, spread
 
 _URL = "'http://x/p' || (page_id // 4 % 3) || '/' || (page_id % 2) || '?height=' || (100 + page_id * 37 % 1400) || '&width=' || (100 + page_id * 53 % 1500) || '&top_left_y=' || (page_id % 5 * 200) || '&top_left_x=' || (page_id % 3 * 700)"
 
@@ -53,7 +53,7 @@ def chapter_maps(spark, sf_dir):
         .when(kind == 2, F.concat(F.lit("## C O N C E P T M A P\n"), words, F.lit("\n## 3. "), "p_name"))
         .otherwise(F.concat(F.lit("## 4. "), "p_name", F.lit("\nno figures")))
     )
-    lines = S.lines(read(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", text.alias("markdown")), ["p_partkey"])
+    lines = S.lines(spread(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", text.alias("markdown")), ["p_partkey"])
     return C.concept_maps(lines, ["p_partkey"]).select("p_partkey", "markdown", F.size("urls").alias("n"))
 
 
