@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import markup as M
-from quire.plans.registry import query, read
+from quire.plans.registry import query, read, spread
 from quire.sources import chapter_files as C
 
 
@@ -68,5 +68,5 @@ def exported_texts(spark, sf_dir):
     body = M.without_repeated_heading(F.concat(F.lit("\n## "), F.upper("p_name"), F.lit("\n\n### "), "p_name", F.lit(" and more\ntext of "), "p_name"), F.col("p_name"))
     question = M.without_options(F.concat(F.lit("Which part is "), "p_name", F.lit("?\n\n (a) one\n(b) two")), F.lit(True))
     asked = F.when(k % 4 == 0, "many").otherwise((k - 50).cast("string"))
-    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    rows = spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
     return rows.select("p_partkey", parts.alias("parts"), aligned.alias("aligned"), page.alias("page"), kind.alias("kind"), body.alias("body"), question.alias("question"), M.bounded_int(asked, 40, 1, 200).alias("page_size"))
