@@ -11,7 +11,7 @@ import re
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from itertools import groupby
-from operator import attrgetter
+from operator import attrgetter, itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -285,7 +285,8 @@ def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable
     in_order: they follow one another already, as rows of one chapter's row do.
     """
     made = to_arrow_schema(StructType.fromDDL(schema))
-    row = namedtuple("row", rows.columns)
+    row = namedtuple("row", rows.columns, rename=True)
+    group_of = itemgetter(*(rows.columns.index(k) for k in keys))
 
     def table(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
@@ -293,7 +294,7 @@ def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out = []
-        for _, group in groupby(stream, key=attrgetter(*keys)):
+        for _, group in groupby(stream, key=group_of):
             out += work(list(group))
             if len(out) > 10_000:
                 yield table(out)
