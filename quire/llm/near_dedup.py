@@ -1,8 +1,10 @@
 """Near copies by word shingles: all texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-A fingerprint of 64 bits can't find them: at that similarity two of them differ in about ten bits, and blocks that
-fit such a radius are too short to tell texts apart. Candidates are classes of equal sets that agree in a band of MinHash
-values; every candidate pair that could join two groups is checked on the whole sets.
+SimHash comes first: sets have fingerprints of 64 bits, and those that differ in two bits at most are found by bit planes
+in buckets of shared blocks (``simhash.links``) and joined where the whole sets are similar enough. At a similarity of 0.8
+two fingerprints differ in about ten bits, and blocks that fit such a radius are too short to tell texts apart, so that
+what is left goes by classes of equal sets that agree in a band of MinHash values; every candidate pair that could join
+two groups is checked on the whole sets.
 
 Members of a bucket are first checked against one of them, chosen anew in each of STARS rounds; after that, a bucket
 that still holds several groups is compared whole, in blocks.
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import simhash
 from quire.llm.common import fresh, stored
 from quire.llm.graph import components
 
@@ -70,19 +73,20 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
 
 
 def sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, key, bands) for each row; mark stands for the text, key for the set of shingles. A null text counts as empty."""
+    """(doc_id, mark, key, fp, bands) for each row; mark stands for the text, key for the set of shingles, fp is its fingerprint, null for an empty set. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, made = [], []
+            keys, prints, made = [], [], []
             for t in _bytes(b.column(2)):
                 found = shingles(t)
                 keys.append(_key(found))
+                prints.append(np.uint64(simhash.majority(found)).view(np.int64) if len(found) else None)
                 made.append(bands(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(keys), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(keys), pa.array(prints, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "fp", "bands"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), mark(text).alias("mark"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, "doc_id long, mark long, key long, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, mark long, key long, fp long, bands array<long>")
 
 
 def mark(text: str) -> Column:
@@ -107,6 +111,13 @@ def _whole(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFr
     return texts.join(wanted.hint("merge"), "rep").select("key", "text").mapInArrow(run, "key long, whole binary").dropDuplicates(["key"])
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the classes (key, fp): those of equal fingerprints, and of fingerprints that differ in ``simhash.RADIUS`` bits at most, as few as join them all."""
+    prints = stored(classes.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "prints")
+    equal = classes.join(prints.where("n > 1").hint("merge"), "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return equal.union(simhash.links(prints.select("fp", "rep"), direct=True)).distinct()
+
+
 def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """Those pairs (a, b) that are similar enough."""
 
@@ -188,7 +199,7 @@ def _rest(label: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, key, component, component_id) for each row of docs.
+    """(doc_id, mark, key, component, component_id) for each row of docs: near fingerprints first, then what MinHash bands find besides.
 
     ``component`` names the group of near copies, ``component_id`` is the smallest doc_id in it, which two groups share if
     an id stands on rows of different texts. Texts without words, null ones among them, are copies of each other; texts of
@@ -196,21 +207,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of docs, whatever their names, don't matter.
     """
     rows = stored(sets(docs, doc_id, text), "sets")
-    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "classes")
+    close = stored(by_fingerprint(classes.where("rep is not null and fp is not null").select("key", "fp")), "close")
     met = rows.where("doc_id is not null").select("key", F.explode("bands").alias("band")).distinct()
     shared = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     met = stored(met.join(shared.hint("merge"), "band"), "met")
-    whole = stored(_whole(docs, met.select("key").distinct().join(classes, "key"), doc_id, text), "whole")
-    label = met.withColumn("label", F.col("key"))
-    links = None
+    wanted = met.select("key").union(close.select("a")).union(close.select("b")).distinct()
+    whole = stored(_whole(docs, wanted.join(classes.select("key", "rep").hint("merge"), "key"), doc_id, text), "whole")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        joined = components(links).withColumnRenamed("node", "key")
+        return met.join(joined.hint("merge"), "key", "left").select("key", "band", F.coalesce("component", "key").alias("label"))
+
+    links = stored(_checked(close, whole), "similar")
+    label = labelled(links)
     for k in range(STARS):
         one = label.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), F.col("key").alias("other"), F.col("label").alias("theirs"))).alias("o")).select("band", "o.*")
         some = label.join(one.hint("merge"), "band").where("label <> theirs")
         pairs = stored(some.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
-        found = stored(_checked(pairs, whole), "similar")
-        links = found if links is None else links.union(found)
-        joined = components(links).withColumnRenamed("node", "key")
-        label = met.join(joined.hint("merge"), "key", "left").select("key", "band", F.coalesce("component", "key").alias("label"))
+        links = links.union(stored(_checked(pairs, whole), "similar"))
+        label = labelled(links)
     joined = components(links.union(_rest(label, whole))).withColumnRenamed("node", "key")
     named = classes.join(joined.hint("merge"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

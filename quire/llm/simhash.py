@@ -41,7 +41,11 @@ def simhash(text: bytes) -> int:
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype="<u8")
+    return majority(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 if it is 1 in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -93,10 +97,11 @@ def _above(counters: list[int], radius: int, everything: int) -> int:
     return more
 
 
-def linked(values: list[int], names: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (name, smallest name of its local component), for values that differ in at most radius bits."""
+def linked(values: list[int], names: list[int], radius: int = RADIUS, direct: bool = False) -> list[tuple[int, int]]:
+    """Links (name, smallest name of its local component), for values that differ in at most radius bits. direct: of two such values each, as few as join the same."""
     planes, everything = planes_of(values), (1 << len(values)) - 1
     parent = list(range(len(values)))
+    pairs = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -112,11 +117,12 @@ def linked(values: list[int], names: list[int], radius: int = RADIUS) -> list[tu
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b, key=names.__getitem__)] = min(a, b, key=names.__getitem__)
-    return [(names[i], names[r]) for i in range(len(values)) if (r := root(i)) != i]
+                pairs.append((names[i], names[j]))
+    return pairs if direct else [(names[i], names[r]) for i in range(len(values)) if (r := root(i)) != i]
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all near classes (fp, rep): for each bucket at most one for each of its members."""
+def links(classes: DataFrame, direct: bool = False) -> DataFrame:
+    """Links (a, b) that connect all near classes (fp, rep): for each bucket at most one for each of its members. direct: a and b are near each other themselves."""
     blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long")) for k in range(4)]
     keys = F.array(*(F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]).bitwiseOR(F.lit(t << 32).cast("long")) for t, (i, j) in enumerate(combinations(range(4), 2))))
     keyed = classes.select("fp", "rep", F.explode(keys).alias("key"))
@@ -133,7 +139,7 @@ def links(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(fps: list[int], reps: list[int]) -> pa.RecordBatch:
-            found = linked([x & 0xFFFFFFFFFFFFFFFF for x in fps], reps) if len(fps) > 1 else []
+            found = linked([x & 0xFFFFFFFFFFFFFFFF for x in fps], reps, direct=direct) if len(fps) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held, fps, reps = None, [], []

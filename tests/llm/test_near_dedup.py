@@ -82,3 +82,19 @@ def test_stage_keeps_columns_and_empty_tables(spark):
 
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_fingerprints_are_found_by_their_bit_planes(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, "more"]))]
+    rows.append((100, None))
+    sets = N.sets(spark.createDataFrame(rows, SCHEMA))
+    name = {r.key: r.doc_id for r in sets.collect()}
+    prints = {r.doc_id: r.fp for r in sets.collect()}
+    apart = {k: bin((prints[10 * k] ^ prints[10 * k + 1]) & (1 << 64) - 1).count("1") for k in range(6)}
+    assert prints[100] is None and any(n <= 2 for n in apart.values())
+    found = {tuple(sorted((name[r.a], name[r.b]))) for r in N.by_fingerprint(sets.where("fp is not null").select("key", "fp")).collect()}
+    assert found == {(10 * k, 10 * k + 1) for k, n in apart.items() if n <= 2}
