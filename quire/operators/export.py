@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,20 +51,25 @@ def solution_text(item: Column) -> Column:
 def topics(books: DataFrame) -> DataFrame:
     """One row for each topic of each book."""
     name = T.first_filled(F.col("metadata.book_slug"), T.book_slug(F.col("metadata.name")))
-    rows = books.select(name.alias("book_slug"), F.posexplode("topics").alias("topic_pos", "topic"))
+    # an inner explode would have the topics worked out once more, for a filter on the array's size
+    rows = books.select(name.alias("book_slug"), F.posexplode_outer("topics").alias("topic_pos", "topic")).where("topic_pos is not null")
     return rows.withColumn("chapter_name", T.strip(T.first_filled(F.col("topic.chapter_name"), F.col("topic.topic_name"))))
 
 
 def items(books: DataFrame) -> DataFrame:
-    """One row for each item of the five arrays, in the arrays' fixed order, with its place in its own array from 1."""
-    out = None
+    """One row for each item of the five arrays, in the arrays' fixed order, with its place in its own array from 1. Topics are read once for all five."""
+    return _exploded(topics(books), lambda x: x)
+
+
+def _exploded(rows: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """What of(item) gives of each item of topics, as ``item``, with where the item stands."""
+    listed = []
     for pos, array in enumerate(fixed.QA_ARRAYS):
-        part = topics(books).select(
-            "book_slug", "topic_pos", F.col("topic.topic_number").alias("topic_number"), "chapter_name", F.lit(array).alias("section_key"), F.lit(pos).alias("bucket"),
-            F.posexplode(F.col(f"topic.{array}")).alias("pos", "item"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("item_order", F.col("pos") + 1).drop("pos")
+        own = lambda x, k: F.struct(F.lit(array).alias("section_key"), F.lit(pos).alias("bucket"), of(x).alias("item"), (k + 1).alias("item_order"))  # noqa: B023, E731
+        found = F.transform(f"topic.{array}", own)
+        listed.append(F.when(found.isNotNull(), found).otherwise(F.array()))
+    rows = rows.select("book_slug", "topic_pos", F.col("topic.topic_number").alias("topic_number"), "chapter_name", F.explode_outer(F.concat(*listed)).alias("_x"))
+    return rows.where("_x is not null").select("book_slug", "topic_pos", "topic_number", "chapter_name", "_x.*")
 
 
 def qa_rows(books: DataFrame) -> DataFrame:
@@ -97,12 +102,14 @@ def questions(books: DataFrame) -> DataFrame:
 
     rows = items(books).withColumn("question", problem_text(F.col("item"))).withColumn("answer", solution_text(F.col("item"))).where("question <> '' or answer <> ''")
     rows = rows.withColumn("key", T.dedupe_key(F.col("item.id"), F.col("question"))).withColumn("source_order", F.coalesce("item.source_order", F.lit(1_000_000_000)))
+    told = [F.col(f"item.{k}").alias(k) for k in ("subsection_kind", "subsection_title", "explanation")]
+    rows = rows.select("book_slug", "topic_pos", "key", "topic_number", "chapter_name", "section_key", "bucket", "item_order", "source_order", "question", "answer", *told)
     rows = first_wins(rows, ["book_slug", "topic_pos", "key"], ["bucket", "item_order"])
     rows = rows.withColumn("exam", exam_tags(F.col("question"))).withColumn("question", sanitised(F.col("question"))).withColumn("answer", sanitised(F.col("answer")))
-    rows = rows.withColumn("question_type", display_type(T.text(F.col("item.subsection_kind")), F.col("question"), T.text(F.col("item.subsection_title"))))
+    rows = rows.withColumn("question_type", display_type(T.text(F.col("subsection_kind")), F.col("question"), T.text(F.col("subsection_title"))))
     display = F.create_map(*(F.lit(x) for kv in fixed.SECTION_DISPLAY.items() for x in kv))[F.col("section_key")]
     rows = renumber(rows, ["book_slug", "topic_pos"], [F.col("source_order"), F.col("bucket"), F.col("item_order")])
-    return rows.select("book_slug", "topic_number", "chapter_name", "question_number", "question_type", display.alias("section"), T.text(F.col("item.subsection_title")).alias("heading"), "exam", "question", "answer", T.text(F.col("item.explanation")).alias("explanation"))
+    return rows.select("book_slug", "topic_number", "chapter_name", "question_number", "question_type", display.alias("section"), T.text(F.col("subsection_title")).alias("heading"), "exam", "question", "answer", T.text(F.col("explanation")).alias("explanation"))
 
 
 def exam_tags(c: Column) -> Column:
@@ -166,10 +173,15 @@ def theory_text(books: DataFrame) -> DataFrame:
 
 def resolved_images(books: DataFrame) -> DataFrame:
     """(book_slug, topic_number, section_key, item_order, pos, id, file, source_url): figures in order of first use; an unknown one keeps its id."""
-    refs = F.array_distinct(T.image_tokens(F.concat_ws(" ", problem_text(F.col("item")), solution_text(F.col("item")), F.col("item.explanation"))))
-    used = items(books).select("book_slug", "topic_pos", "topic_number", "section_key", "item_order", F.posexplode(refs).alias("pos", "id"))
-    assets = topics(books).select("book_slug", "topic_pos", F.explode("topic.image_assets").alias("id", "asset"))
-    return used.join(assets, ["book_slug", "topic_pos", "id"], "left").select("book_slug", "topic_number", "section_key", "item_order", "pos", "id", T.text(F.col("asset.file")).alias("file"), T.text(F.col("asset.source_url")).alias("source_url"))
+
+    def found(item: Column) -> Column:
+        """An item's figures, looked up in its own topic: nothing is joined."""
+        refs = F.array_distinct(T.image_tokens(F.concat_ws(" ", problem_text(item), solution_text(item), item["explanation"])))
+        shown = lambda id, a: F.struct(id.alias("id"), T.text(a["file"]).alias("file"), T.text(a["source_url"]).alias("source_url"))
+        return F.transform(refs, lambda id: T.bind(F.try_element_at(F.col("topic.image_assets"), id), lambda a: shown(id, a)))
+
+    used = _exploded(topics(books), found).select("book_slug", "topic_number", "section_key", "item_order", F.posexplode_outer("item").alias("pos", "_i"))
+    return used.where("pos is not null").select("book_slug", "topic_number", "section_key", "item_order", "pos", "_i.*")
 
 
 def shredded(books: DataFrame) -> dict[str, DataFrame]:

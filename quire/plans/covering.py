@@ -57,9 +57,9 @@ def _books(spark, sf_dir):
         F.concat(F.lit("q"), part).alias("id"), F.concat(F.lit("[image:i"), (F.col("l_partkey") % 3).cast("string"), F.lit("] What is "), part, F.lit("?")).alias("question"), F.col("l_suppkey").cast("string").alias("answer"),
         (F.col("l_partkey") % 50).cast("int").alias("source_order"),
     )
-    each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("x"))))
+    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("x"))))
     nested = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(each.alias("x"))
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").join(nested, "o_orderkey")
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").join(nested.hint("merge"), "o_orderkey")
     every = F.transform("x", lambda x: x["x"])
     twice = F.transform(F.filter("x", lambda x: x["l_partkey"] % 2 == 0), lambda x: x["x"])
     section = F.struct(F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"))
@@ -109,7 +109,7 @@ SELECT l_orderkey, 7::INTEGER AS topic_number, string_agg(line, chr(10) ORDER BY
 def recorded_slices(spark, sf_dir):
     """Orders as books, of which a recorded span is read again with a line before it, and its pictures' addresses."""
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    each = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     lines = rows.groupBy("l_orderkey").agg(each.alias("x")).select("l_orderkey", F.posexplode("x").alias("line_no", "x"))
     part = F.col("x.l_partkey")
     lines = lines.select("l_orderkey", "line_no", F.concat(F.lit("![](http://x/"), (part % 5).cast("string"), F.lit(") "), part.cast("string")).alias("line"))

@@ -35,3 +35,13 @@ def test_books_lines_are_not_broadcast(spark, name):
 @pytest.mark.parametrize("name", ["chapter_summaries", "study_notes", "chapter_maps", "exported_texts", "options_parse"])
 def test_long_work_on_a_small_table_is_spread(spark, name):
     assert "hashpartitioning(p_partkey" in plan(spark, name) and "REPARTITION_BY_NUM" in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["structured_questions", "resolved_figures"])
+def test_topics_are_read_once_for_all_their_arrays(spark, name):
+    assert plan(spark, name).count("lineitem.parquet") == 1
+
+
+def test_figures_are_looked_up_in_their_topic(spark):
+    made = plan(spark, "resolved_figures")
+    assert made.count("Join") == 1  # the books' lines
