@@ -48,9 +48,16 @@ def exercise_key(title: Column, clean: Column | None = None, names: tuple[tuple[
 
 
 def question_type(question: Column, section: Column | None = None, subsection: Column | None = None) -> Column:
-    plain = T.plain(question)
-    combined = F.lower(F.concat(T.text(subsection) if subsection is not None else F.lit(""), F.lit(" "), plain))
-    start = T.first_sentence(question)
+    heading = T.text(subsection) if subsection is not None else F.lit("")
+    defaults = []
+    if section is not None:
+        defaults = [(F.lower(T.strip(T.text(section))) == name, label) for name, label in fixed.SECTION_DEFAULT_TYPE.items()]
+    # rules are tried in order, so the texts that they look at are worked out once, before them all
+    looked = lambda plain: F.struct(plain.alias("plain"), F.lower(F.concat(heading, F.lit(" "), plain)).alias("combined"), T.first_of(plain).alias("start"))
+    return T.bind(T.plain(question), lambda p: T.bind(looked(p), lambda x: _type_of(x["plain"], x["combined"], x["start"], defaults)))
+
+
+def _type_of(plain: Column, combined: Column, start: Column, defaults: list) -> Column:
     rules = [
         (combined.rlike(fixed.ASSERTION_REASON), "Assertion-Reason"),
         (plain.rlike(fixed.MCQ), "MCQ"),
@@ -68,17 +75,14 @@ def question_type(question: Column, section: Column | None = None, subsection: C
         (combined.rlike(fixed.APPLICATION), "Application Based"),
         (combined.rlike(fixed.CONCEPTUAL), "Conceptual"),
     ]
-    if section is not None:
-        rules += [(F.lower(T.strip(T.text(section))) == name, label) for name, label in fixed.SECTION_DEFAULT_TYPE.items()]
-    return _first(rules, F.lit("Exercise Question"))
+    return _first([*rules, *defaults], F.lit("Exercise Question"))
 
 
 def display_type(kind: Column, question: Column, subsection: Column) -> Column:
     """The label of the heading that a question stood under, else its wording's type in fewer classes."""
-    guessed = question_type(question, None, subsection)
-    low = F.lower(guessed)
     labels = [(kind == k, v) for k, v in fixed.KIND_LABEL.items()]
-    return _first([*labels, (low.contains("mcq"), "MCQ"), (low.contains("numerical"), "Integer"), (low.contains("match"), "Matching"), (low.contains("assertion"), "Assertion-Reason")], guessed)
+    fewer = lambda g: _first([(F.lower(g).contains(word), label) for word, label in (("mcq", "MCQ"), ("numerical", "Integer"), ("match", "Matching"), ("assertion", "Assertion-Reason"))], g)
+    return _first(labels, T.bind(question_type(question, None, subsection), fewer))
 
 
 def book_attributes(name: Column, boards: tuple[str, ...] = ()) -> Column:

@@ -85,7 +85,12 @@ def plain_text(c: Column) -> Column:
 
 def first_sentence(c: Column) -> Column:
     """Up to the first end of a sentence that white space follows, in lower case."""
-    return F.lower(F.element_at(F.split(plain(c), r"[.?!]\s+", 2), 1))
+    return first_of(plain(c))
+
+
+def first_of(plain: Column) -> Column:
+    """The same of a plain text."""
+    return F.lower(F.element_at(F.split(plain, r"[.?!]\s+", 2), 1))
 
 
 def truncate(c: Column, n: int, mark: str = "...") -> Column:

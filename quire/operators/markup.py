@@ -57,15 +57,19 @@ def readable(c: Column) -> Column:
 
 def without_formulas(c: Column) -> Column:
     """Text whose formulas between dollars are readable. Text without any stays as it is."""
-    s = T.text(c)
-    outside, inside = F.split(s, r"\$\$?[^$]+\$\$?"), F.regexp_extract_all(s, F.lit(r"\$\$?([^$]+)\$\$?"), F.lit(1))
-    return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.when(b.isNotNull(), readable(b)).otherwise(""))), "")
+
+    def shown(s: Column) -> Column:
+        outside, inside = F.split(s, r"\$\$?[^$]+\$\$?"), F.regexp_extract_all(s, F.lit(r"\$\$?([^$]+)\$\$?"), F.lit(1))
+        made = F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.when(b.isNotNull(), readable(b)).otherwise(""))), "")
+        return F.when(s.contains("$"), made).otherwise(s)
+
+    return T.bind(T.text(c), shown)
 
 
 def mathml_text(c: Column) -> Column:
     """MathML's own text, without its tags; text without MathML stays as it is."""
-    s = T.text(c)
-    return F.when(s.contains("<math"), T.collapse(T.unescape(F.regexp_replace(F.regexp_replace(s, r"</?m(?:frac|row)[^>]*>", " "), r"</?m[a-z]*[^>]*>|</?math[^>]*>", "")))).otherwise(s)
+    plain = lambda s: T.collapse(T.unescape(F.regexp_replace(F.regexp_replace(s, r"</?m(?:frac|row)[^>]*>", " "), r"</?m[a-z]*[^>]*>|</?math[^>]*>", "")))
+    return T.bind(T.text(c), lambda s: F.when(s.contains("<math"), plain(s)).otherwise(s))
 
 
 def table_html(lines: Column) -> Column:

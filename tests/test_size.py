@@ -50,3 +50,8 @@ def test_figures_are_looked_up_in_their_topic(spark):
 def test_merged_parts_are_dealt_out_once(spark):
     made = plan(spark, "merged_replies")
     assert "Broadcast" not in made and made.count("Exchange") == 3  # lines by order, orders, elements by topic
+
+
+def test_a_text_is_looked_at_once(spark):
+    assert plan(spark, "classify_rules").count("<[^>]+>") == 1
+    assert plan(spark, "readable_documents").count("mathrm") == 2  # a head and lines
