@@ -97,23 +97,19 @@ def practice_report(answers: DataFrame, attempt: str, dimensions: dict[str, str]
 
     ``correct`` is null where a question was skipped. dimensions: the report's names of what accuracy is broken down by, and
     their columns. The whole attempt is dimension "all". score_pct is the correct share of all questions, accuracy that of
-    the attempted ones, null if there are none; both of 100, to one place, halves up. Time goes by all questions. All of it
-    is one aggregation over grouping sets: an answer is read once, and its partial counts alone are dealt out.
+    the attempted ones, null if there are none; both of 100, to one place, halves up. Time goes by all questions. Answers
+    are counted once, by all dimensions together; an attempt's counts, a few rows whatever its answers, then meet and are
+    added up for each dimension where they are.
     """
     named = answers.select(F.col(attempt).alias("attempt"), *(F.col(c).cast("string").alias(name) for name, c in dimensions.items()), F.col(correct).alias("_ok"), F.coalesce(F.col(seconds), F.lit(0)).alias("_s"))
-    sets = [["attempt"], *(["attempt", name] for name in dimensions)]
     count = lambda c: F.count(F.when(c, 1))
-    counted = named.groupingSets(sets, "attempt", *dimensions).agg(
-        F.grouping_id().alias("_g"), F.count("*").alias("n_total"), F.count("_ok").alias("n_attempted"), count(F.col("_ok")).alias("n_correct"), F.sum("_s").alias("seconds")
-    )
-    # in the grouping id a column's bit is 0 where it is one of the set's
-    full = (1 << len(dimensions)) - 1
-    dimension, value = F.lit("all"), F.lit(None).cast("string")
-    for k, name in enumerate(dimensions):
-        own = F.col("_g") == full - (1 << (len(dimensions) - 1 - k))
-        dimension, value = F.when(own, name).otherwise(dimension), F.when(own, F.col(name)).otherwise(value)
+    base = named.groupBy("attempt", *dimensions).agg(F.count("*").alias("n_total"), F.count("_ok").alias("n_attempted"), count(F.col("_ok")).alias("n_correct"), F.sum("_s").alias("seconds"))
+    counts = ("n_total", "n_attempted", "n_correct", "seconds")
+    of = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
+    each = F.explode(F.array(of("all", F.lit(None).cast("string")), *(of(name, F.col(name)) for name in dimensions))).alias("_d")
+    counted = base.repartition("attempt").select("attempt", each, *counts).groupBy("attempt", F.col("_d.dimension").alias("dimension"), F.col("_d.value").alias("value")).agg(*(F.sum(c).alias(c) for c in counts))
     pct = lambda a, b: F.when(F.col(b) > 0, T.half_up(100.0 * F.col(a) / F.col(b), 10.0))
     return counted.select(
-        "attempt", dimension.alias("dimension"), value.alias("value"), "n_total", "n_attempted", "n_correct", (F.col("n_total") - F.col("n_attempted")).alias("n_skipped"),
+        "attempt", "dimension", "value", "n_total", "n_attempted", "n_correct", (F.col("n_total") - F.col("n_attempted")).alias("n_skipped"),
         pct("n_correct", "n_total").alias("score_pct"), pct("n_correct", "n_attempted").alias("accuracy"), "seconds", (F.col("seconds") / F.col("n_total")).alias("avg_seconds"),
     )

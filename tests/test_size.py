@@ -55,3 +55,8 @@ def test_merged_parts_are_dealt_out_once(spark):
 def test_a_text_is_looked_at_once(spark):
     assert plan(spark, "classify_rules").count("<[^>]+>") == 1
     assert plan(spark, "readable_documents").count("mathrm") == 2  # a head and lines
+
+
+def test_an_attempts_answers_are_not_multiplied_before_they_are_counted(spark):
+    made = plan(spark, "practice_report")
+    assert "Expand" not in made and made.count("Exchange") == 2
