@@ -47,21 +47,26 @@ def subparts(markdown: Column) -> Column:
 
 def is_candidate(paragraph: Column) -> Column:
     """Whether a paragraph can stand for its section: long enough, no picture, table, caption or list."""
-    p = T.strip(paragraph)
-    filled = F.filter(F.transform(T.lines(p), T.strip), lambda x: x != "")
-    listed = F.forall(filled, lambda x: x.rlike(r"(?U)^(?:[-*]|\(\w+\))"))
-    other = p.rlike(r"(?iU)^(?:!\[|\||- |\* |\(\w+\)|Fig\.\s|\[image:)") | p.rlike(fixed.PIPE_RULE)
-    return (F.length(p) >= fixed.PARAGRAPH_LEAST) & ~other & ~listed
+
+    def fit(p: Column) -> Column:
+        filled = F.filter(F.transform(T.lines(p), T.strip), lambda x: x != "")
+        listed = F.forall(filled, lambda x: x.rlike(r"(?U)^(?:[-*]|\(\w+\))"))
+        other = p.rlike(r"(?iU)^(?:!\[|\||- |\* |\(\w+\)|Fig\.\s|\[image:)") | p.rlike(fixed.PIPE_RULE)
+        return (F.length(p) >= fixed.PARAGRAPH_LEAST) & ~other & ~listed
+
+    return T.bind(T.strip(paragraph), fit)
 
 
 def excerpt(body: Column, most: int = fixed.SUMMARY_CHARS) -> Column:
     """A body's first paragraph that can stand for it, else its first line that isn't a heading or a picture, cut; empty if there is none."""
-    text = F.regexp_replace(F.regexp_replace(P.without_checks(T.text(body)), r"!\[[^\]]*\]\([^)]+\)", ""), r"(?i)<img\b[^>]*>", "")
+    text = T.bind(P.without_checks(T.text(body)), lambda s: F.regexp_replace(F.when(s.contains("!["), F.regexp_replace(s, r"!\[[^\]]*\]\([^)]+\)", "")).otherwise(s), r"(?i)<img\b[^>]*>", ""))
 
     def choose(t: Column) -> Column:
-        paragraphs = F.filter(F.transform(F.split(t, "\n\n"), T.compact), is_candidate)
+        # once one is found, what follows isn't looked at
+        first = lambda found, x: F.when(found.isNotNull(), found).otherwise(T.bind(T.compact(x), lambda p: F.when(is_candidate(p), p)))
+        paragraph = F.aggregate(F.split(t, "\n\n"), F.lit(None).cast("string"), first)
         plain = F.filter(F.transform(T.lines(t), T.strip), lambda x: (x != "") & ~x.rlike(r"^(?:#|!\[)"))
-        return T.strip(T.truncate(F.coalesce(F.get(paragraphs, F.lit(0)), F.get(plain, F.lit(0)), F.lit("")), most))
+        return T.strip(T.truncate(F.coalesce(paragraph, F.get(plain, F.lit(0)), F.lit("")), most))
 
     return T.bind(text, choose)
 

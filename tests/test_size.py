@@ -60,3 +60,7 @@ def test_a_text_is_looked_at_once(spark):
 def test_an_attempts_answers_are_not_multiplied_before_they_are_counted(spark):
     made = plan(spark, "practice_report")
     assert "Expand" not in made and made.count("Exchange") == 2
+
+
+def test_paragraphs_after_the_first_that_is_fit_are_not_looked_at(spark):
+    assert "aggregate(split(" in plan(spark, "excerpts")
