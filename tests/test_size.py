@@ -64,3 +64,8 @@ def test_an_attempts_answers_are_not_multiplied_before_they_are_counted(spark):
 
 def test_paragraphs_after_the_first_that_is_fit_are_not_looked_at(spark):
     assert "aggregate(split(" in plan(spark, "excerpts")
+
+
+@pytest.mark.parametrize("name", ["slim_topics", "export_payloads"])
+def test_topics_are_worked_out_once(spark, name):
+    assert ", true, [t#" in plan(spark, name)  # an outer explode
