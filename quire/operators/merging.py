@@ -39,8 +39,8 @@ def merge_parts(parts: DataFrame, keys: list[str], order: str, arrays: dict[str,
 
     Of elements with one key the first stays, by part and place; an element without a key stays for itself or goes, as the
     array says. Summaries that are filled are joined. A topic whose parts hold nothing has empty arrays; null arrays are
-    empty ones. All arrays are exploded at once and dealt out once, by topic: what sorts them comes after that, so that a
-    task's memory follows the exchange's partitions and not what its rows hold. Elements hold no maps.
+    empty ones. All arrays are exploded at once and dealt out once, by topic: what sorts them comes after that, in
+    partitions that are more by as much as the arrays multiply the rows. Elements hold no maps.
     """
     arrays = REPLY if arrays is None else arrays
     kinds = [(name, parts.schema[name].dataType.elementType, spec) for name, spec in arrays.items()]
@@ -59,7 +59,9 @@ def merge_parts(parts: DataFrame, keys: list[str], order: str, arrays: dict[str,
     dropped = [k for k, (_, _, spec) in enumerate(kinds) if not spec.keyless]
     kept = rows.where(~(F.coalesce(F.col("_kind"), F.lit(-1)).isin(dropped) & (F.col("_key") == ""))) if dropped else rows
     alone = F.concat_ws("/", F.lit("n"), F.col("_part").cast("string"), F.col("_at").cast("string"))
-    kept = first_wins(kept.repartition(*keys).withColumn("_key", F.when(F.col("_key") != "", F.concat(F.lit("k"), "_key")).otherwise(alone)), [*keys, "_kind", "_key"], ["_part", "_at"])
+    # as many rows as arrays come of a part, so there are as many times the partitions
+    dealt = len(kinds) * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = first_wins(kept.repartition(dealt, *keys).withColumn("_key", F.when(F.col("_key") != "", F.concat(F.lit("k"), "_key")).otherwise(alone)), [*keys, "_kind", "_key"], ["_part", "_at"])
     limits = {k: spec.most for k, (_, _, spec) in enumerate(kinds) if spec.most is not None}
     if limits:
         place = F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy("_part", "_at"))
