@@ -14,58 +14,123 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import read
-from quire.llm.pretokens import pieces, vocabulary
+from quire.llm.pretokens import SPACE, pieces, vocabulary
 from quire.llm.token_counts import byte_characters
 
 FILE = "byte_bpe_50k.json"
 WINDOW = 1024
 END = 0
-#: Pieces in one generation of a task's memory.
-MEMORY = 300_000
+#: Pieces in one generation of a process's memory, and characters of the longest piece that is remembered.
+MEMORY, LONG = 300_000, 64
+#: Bytes of the texts that are encoded together, and words of them in one step.
+SLICE, BLOCK = 1 << 23, 1 << 14
 
 #: (doc_id, start, ids as bytes, tokens of the document)
 Piece = tuple[int | None, int, bytes, int]
 
 
+class Memory(dict):
+    """Ids of pieces by piece, four bytes each, from the library's model when they are first asked for; what is in use stays."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.shown = {b: c for c, b in byte_characters().items()}
+        self.space = self.shown[32]
+        # two generations: when the young one, this dictionary, is full it becomes the old one
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            # the model takes each byte as the character that shows it; printable ASCII but the space shows itself
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", self.space)
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+            ids = _bytes([t.id for t in self.tokenize(shown)])
+        if len(piece) <= LONG:
+            if len(self) >= MEMORY:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts, four bytes each; the library's model encodes each distinct piece once, and pieces in use are remembered."""
+    """Ids of texts, four bytes each.
+
+    A space before anything but white space always begins a piece. So texts are cut there, each distinct word of many
+    texts is cut into pieces once, and the library's model encodes each distinct piece once. Texts with special tokens
+    go to the library; those with a space before white space or at their end are cut into pieces by themselves.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.shown = {b: c for c, b in byte_characters().items()}
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda _: None
-        # two generations: when the young one is full it becomes the old one, so that what is in use stays
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.special(t) else pieces(t) for t in texts]
-        if len(self.young) >= MEMORY:
-            self.old, self.young = self.young, {}
-        missing = {p for ps in cut if ps for p in ps}.difference(self.young)
-        if kept := missing & self.old.keys():
-            self.young.update((p, self.old[p]) for p in kept)
-        tokenize, shown = self.model.tokenize, self.shown
-        for p in missing - kept:
-            # the model takes each byte as the character that shows it
-            self.young[p] = _bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))])
-        return [self._whole(t) if ps is None else b"".join(map(self.young.__getitem__, ps)) for t, ps in zip(texts, cut)]
-
-    def _whole(self, text: str) -> bytes:
-        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)).search if special else lambda _: None
+        self.alone = "|".join([rf" (?:[{SPACE}]|\z)", *special])
+        self.memory = Memory(self.library.model)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "")
+        alone = pc.match_substring_regex(texts, self.alone)
+        parts = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        begins, parts = parts.offsets.to_numpy(), parts.flatten()
+        first = np.zeros(len(parts), dtype=bool)  # a text's first part has no space before it
+        first[begins[:-1]] = True
+        words = parts.filter(pa.array(~first)).dictionary_encode()
+        ids, ends = self._words(words.dictionary, words.indices.to_numpy())
+        bounds = np.concatenate([[0], ends])[begins - np.arange(len(begins))].tolist()
+        for k, (apart, part) in enumerate(zip(alone.to_pylist(), parts.filter(pa.array(first)).to_pylist())):
+            if apart:
+                yield self._alone(texts[k].as_py())
+            else:
+                yield b"".join((self._pieces(part), ids[4 * bounds[k] : 4 * bounds[k + 1]]))
+
+    def _words(self, distinct: pa.Array, index: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The ids of words one after another, a space before each, and how many there are up to each word's end."""
+        pool, lengths = [], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(distinct), BLOCK):
+            some = distinct.slice(k, BLOCK)
+            cut = pieces(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), pa.scalar(" ", some.type))[0].as_py())
+            found = [self.memory[p] for p in cut]
+            upto = np.cumsum(list(map(len, found))) // 4
+            last = np.searchsorted(np.cumsum(list(map(len, cut))), np.cumsum(pc.utf8_length(some).to_numpy() + 1))
+            lengths.append(np.diff(upto[last], prepend=0))
+            pool.append(b"".join(found))
+        ids, length = np.frombuffer(b"".join(pool), dtype="<u4"), np.concatenate(lengths)
+        at, out = np.cumsum(length) - length, []
+        for k in range(0, len(index), BLOCK):
+            some = index[k : k + BLOCK]
+            n = length[some]
+            out.append(ids[np.repeat(at[some] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+        return memoryview(b"".join(out)), np.cumsum(length[index])
+
+    def _alone(self, text: str) -> bytes:
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids) if self.special(text) else self._pieces(text)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.memory.__getitem__, pieces(text)))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python process, so that tasks which follow one another in it share what is remembered."""
+    return Encoder(path)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -81,26 +146,32 @@ class Packer:
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.counts = np.zeros(window + 1, dtype=np.int64)
+        # what the sum of squares changes by when a window comes to a level, and when one leaves it
+        self.coming = np.ones(window + 1, dtype=np.int64)
+        self.leaving = np.full(window + 1, np.iinfo(np.int64).max // 2)
+        self.coming[window] = self.leaving[0] = 0  # neither full nor new windows are counted
         self.open: list[list[list[Piece]]] = [[] for _ in range(window)]
 
     def level(self, size: int) -> int:
         """The fill level to put a piece of this size into; 0 for a new window. Of equals the fullest."""
-        n = self.counts
-        after = n[size:].copy()  # counts of the levels that windows at 0 .. window - size would reach
-        cost = 2 * after + 1
-        cost[-1] = 0  # a full window isn't counted
-        cost[1:] += 1 - 2 * n[1 : self.window - size + 1]
-        cost[1:][n[1 : self.window - size + 1] == 0] = np.iinfo(np.int64).max
+        cost = self.leaving[: self.window - size + 1] + self.coming[size:]
         return int(len(cost) - 1 - np.argmin(cost[::-1]))
 
+    def count(self, level: int, more: int) -> None:
+        n = self.counts[level] = self.counts[level] + more
+        self.coming[level] = 2 * n + 1
+        self.leaving[level] = 1 - 2 * n if n else np.iinfo(np.int64).max // 2
+
     def put(self, piece: Piece, size: int) -> list[Piece] | None:
         at = self.level(size)
-        held = self.open[at].pop() if at else []
-        self.counts[at] -= bool(at)
+        held = []
+        if at:
+            held = self.open[at].pop()
+            self.count(at, -1)
         held.append(piece)
         if at + size == self.window:
             return held
-        self.counts[at + size] += 1
+        self.count(at + size, 1)
         self.open[at + size].append(held)
         return None
 
@@ -129,6 +200,16 @@ class Packer:
             yield held
 
 
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, the second column, have so many bytes together, or a single row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for.
 
@@ -139,7 +220,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, doc_id: str = "doc_id
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, end = Encoder(path), Packer(window), _bytes([END])
+        ids_of, packer, end = encoder(path).encode, Packer(window), _bytes([END])
         sequence = TaskContext.get().partitionId() << 40
         held: list[Piece] = []
         places: list[tuple[int, int]] = []
@@ -163,9 +244,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, doc_id: str = "doc_id
             return out
 
         for whole in batches:
-            for k in range(0, len(whole), 500):
-                b = whole.slice(k, 500)
-                for d, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+            for b in slices(whole):
+                for d, ids in zip(b.column(0).to_pylist(), ids_of(b.column(1))):
                     for full in packer.document(d, ids + end):
                         take(full)
                 yield batch()

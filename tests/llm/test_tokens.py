@@ -150,6 +150,57 @@ def test_sum_of_squares_choice():
         packer.put((0, 0, b"\0\0\0\0" * size, size), size)
 
 
+def test_texts_are_encoded_by_distinct_words(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh,.é") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(200)) for _ in range(100)])
+    seen = []
+    monkeypatch.setattr(packing, "pieces", lambda text: seen.append(len(text)) or pieces(text))
+    encoder = packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert len(list(encoder.encode(texts))) == 100
+    assert sum(seen) < sum(map(len, texts.to_pylist())) / 10  # no word is cut as often as it occurs
+
+
+def test_tasks_share_an_encoder(spark):
+    """What one task has loaded and remembered serves the next one in its process."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        found = packing.encoder(P.path("byte_bpe_50k.json"))
+        for b in batches:
+            list(found.encode(b.column(1)))
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "address": [id(found)]})
+
+    made = {tuple(r) for r in rows(spark).repartition(12).mapInArrow(run, "pid long, address long").collect()}
+    assert len(made) == len({pid for pid, _ in made})
+
+
+def test_encoder_against_the_library(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "BLOCK", 7)  # many steps
+    monkeypatch.setattr(packing, "MEMORY", 50)  # and generations
+    rng = random.Random(11)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\u2028", "\x00", "\x1c", "a", "Wort", "naïve", "'s", "'", "'ll", "12", "½", ",", "!!", "日本", "😀", "e\u0301", "<|endoftext|>", "<|", "x" * 70, "\ufeff"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 25))) for _ in range(3000)] + [None, "", " ", "a ", " a", "\n", " \n a", "a\n b", "a \n b"] + TEXTS
+    expected = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    encoder = packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert list(encoder.encode(pa.array(texts))) == expected
+    assert list(encoder.encode(pa.array(texts, pa.large_string()).slice(1000, 500))) == expected[1000:1500]
+    for some in ([], [None], ["", None, "same", " "]):
+        assert list(encoder.encode(pa.array(some, pa.string()))) == [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in some]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    cut = list(packing.slices(batch, 60))
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
+    assert all(len(b) == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 60 for b in cut) and len(cut) < len(texts)
+    assert max(map(len, encoder.memory)) <= packing.LONG and len(encoder.memory) <= 50
+
+
 def test_pieces_match_the_pattern():
     import regex
 
