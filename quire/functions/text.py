@@ -222,9 +222,14 @@ def page_key(url: Column) -> Column:
     return F.element_at(F.split(text(url), r"\?", 2), 1)
 
 
+def with_newlines(c: Column) -> Column:
+    """Any line end as a newline."""
+    return F.regexp_replace(text(c), r"\R", "\n")
+
+
 def lines(c: Column) -> Column:
     """Lines as an array: any line end, and no empty line after the last one's end."""
-    parts = F.split(F.regexp_replace(text(c), r"\R", "\n"), "\n")
+    parts = F.split(with_newlines(c), "\n")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -1,23 +1,26 @@
 """Chapters' markdown to lines, sections, parts, illustrations and question blocks.
 
 A line's number is the coordinate of everything. What a line is, is said by built-in expressions; what it belongs to, by
-windows over its chapter's lines, or within the chapter's own row. Only the block machine, where a number seen before opens a new block, is a small Python
-step over one chapter's flagged lines. A chapter is the unit of work throughout; books may be of any size.
+windows over its chapter's lines, or by small Python steps over the lines of one chapter: where its parts begin, and the
+block machine, where a number seen before opens a new block. Chapters that a block of rows holds share the looks of their
+lines. A chapter is the unit of work throughout; books may be of any size.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import namedtuple
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, repeat
 from operator import attrgetter, itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quire.functions import classify as K
 from quire.functions import fixed
@@ -118,40 +121,6 @@ def parts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return early.withColumn("part", part).where(F.col("_banner").isNull() | (F.col("line_no") != F.col("_banner"))).drop("_bank", "_banner", "run")
 
 
-def parted(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
-    """What ``parts`` gives of chapters' flagged lines, worked out within each chapter's row: no line is dealt out.
-
-    The lines of a chapter follow one another in order, as ``blocks`` takes them with ``in_order``.
-    """
-    never = F.lit(2**31 - 1)
-    at = lambda rows: F.array_min(F.transform(rows, lambda x: x["line_no"]))
-    opens = lambda x: (x["f"]["exercise"] != "") | x["f"]["directions_range"] | x["f"]["kind"].isin(*fixed.BANK_KINDS)
-    rows = chapters.select(*keys, F.transform(T.lines(F.col(text)), lambda x, k: F.struct(k.alias("line_no"), x.alias("line"), flags(x).alias("f"))).alias("_x"))
-    rows = rows.withColumn("_bank", F.coalesce(at(F.filter("_x", opens)), never))
-    keyed = F.transform(
-        F.filter("_x", lambda x: (x["line_no"] >= F.col("_bank")) & x["line"].rlike(fixed.KEY_LINE)),
-        lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["line"], fixed.KEY_LINE, 1).try_cast("int").alias("n")),
-    )
-    rows = rows.withColumn("_banner", at(F.filter("_x", lambda x: (x["line_no"] >= F.col("_bank")) & x["f"]["solutions"]))).withColumn("_keyed", keyed)
-
-    def run(x: Column, k: Column) -> Column:
-        ahead = [F.get("_keyed", k + n) for n in range(fixed.KEY_RUN)]
-        good = ahead[-1]["line_no"] < x["line_no"] + fixed.KEY_WINDOW
-        for a, b in zip(ahead, ahead[1:]):
-            good = good & (a["n"] <= b["n"])
-        return F.when(good, x["line_no"])
-
-    rows = rows.withColumn("_run", F.array_min(F.transform("_keyed", run)))
-    above = F.when(F.col("_run").isNotNull(), F.element_at(F.filter("_x", lambda x: (x["line_no"] < F.col("_run")) & ~x["f"]["blank"]), -1))
-    rows = rows.withColumn("_above", F.try_element_at(F.array(above), F.lit(1)))
-    start = F.when(F.col("_above.f.is_heading"), F.col("_above.line_no")).otherwise(F.col("_run"))
-    rows = rows.withColumn("_split", F.coalesce("_banner", start, never))
-    part = F.when(F.col("_l.line_no") < F.col("_bank"), "theory").when(F.col("_l.line_no") < F.col("_split"), "bank").otherwise("solutions")
-    # an inner explode would have the flags worked out once more, for a filter on the array's size
-    rows = rows.select(*keys, "_bank", "_banner", "_split", F.explode_outer("_x").alias("_l")).where("_l is not null and (_banner is null or _l.line_no <> _banner)")
-    return rows.select(*keys, "_l.line_no", "_l.line", "_l.f.*", part.alias("part"))
-
-
 def resumes(keys: list[str]) -> Column:
     """Whether a chapter's prose starts again at a line."""
     order = Window.partitionBy(*keys).orderBy("line_no")
@@ -206,6 +175,8 @@ def knowledge_checks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def answer_pairs(line: str) -> list[tuple[str, str]]:
     """A key of several answers on one line, as (number, answer); nothing if prose stands between them."""
+    if line.count("(") < 2:
+        return []
     found = list(re.finditer(fixed.KEYED_ANSWER, line))
     if len(found) < 2 or any(b.start() - a.end() > fixed.KEY_GAP for a, b in zip(found, found[1:])):
         return []
@@ -213,22 +184,30 @@ def answer_pairs(line: str) -> list[tuple[str, str]]:
     return [(m[1], re.sub(r"^\d{1,3}\s*[.)]\s*", "", line[a:b].strip())) for m, a, b in zip(found, cuts, cuts[1:])]
 
 
+#: What the items of a block share, the different numbers among them, and the items' own values.
+_BLOCK = namedtuple("_BLOCK", "block exercise kind title held numbers line_nos passages texts")
+
+
 class _Blocks:
     """The state of one half of a chapter: the coordinates in force, the open block and the open item."""
 
-    def __init__(self, compressed: bool):
-        self.compressed = compressed
+    def __init__(self, part: str):
+        self.compressed = part == "solutions"
         self.exercise = self.kind = self.title = self.passage = ""
         self.collecting: list[str] | None = None
-        self.block, self.closed, self.item = -1, None, None
-        self.out: list[tuple] = []
+        self.closed, self.item = None, None
+        self.out: list[_BLOCK] = []
 
     def end_item(self) -> None:
         if self.item:
-            number, text, line, passage = self.item
-            self.out.append((self.block, self.exercise, self.kind, self.title, number, line, passage, "\n".join(text).strip()))
+            number, text, line_no, passage = self.item
+            block = self.out[-1]
             self.closed.add(number)
-        self.item = None
+            block.numbers.append(number)
+            block.line_nos.append(line_no)
+            block.passages.append(passage)
+            block.texts.append("\n".join(text).strip())
+            self.item = None
 
     def end_block(self) -> None:
         self.end_item()
@@ -236,47 +215,70 @@ class _Blocks:
 
     def open(self) -> None:
         if self.closed is None:
-            self.block, self.closed = self.block + 1, set()
-
-    def take(self, r) -> None:
-        if r.line.strip() == "":
-            if self.item:
-                self.item[1].append("")
-        elif r.rule:
-            pass
-        elif r.exercise:
+            self.closed = set()
+            self.out.append(_BLOCK(len(self.out), self.exercise, self.kind, self.title, self.closed, [], [], [], []))
+
+    # each takes the next line and its flags
+
+    def take_blank(self, line_no: int, line: str, f) -> None:
+        if self.item:
+            self.item[1].append("")
+
+    def take_rule(self, line_no: int, line: str, f) -> None:
+        pass
+
+    def take_exercise(self, line_no: int, line: str, f) -> None:
+        self.end_block()
+        self.exercise, self.kind, self.title, self.passage, self.collecting = f.exercise, "", "", "", None
+
+    def take_passage(self, line_no: int, line: str, f) -> None:
+        self.end_item()
+        self.collecting = []
+
+    def take_directions(self, line_no: int, line: str, f) -> None:
+        self.end_item()
+        if f.directions_kind and f.directions_kind != self.kind and (not self.kind or self.closed):
             self.end_block()
-            self.exercise, self.kind, self.title, self.passage, self.collecting = r.exercise, "", "", "", None
-        elif r.passage:
-            self.end_item()
-            self.collecting = []
-        elif r.directions:
+            self.kind, self.title = f.directions_kind, ""
+
+    def take_kind(self, line_no: int, line: str, f) -> None:
+        self.end_block()
+        self.kind, self.title, self.passage, self.collecting = f.kind, f.heading, "", None
+
+    def take_text(self, line_no: int, line: str, f) -> None:
+        if self.compressed and (pairs := answer_pairs(line)):
+            self.take_pairs(line_no, pairs)
+        elif f.number:
+            self.take_item(line_no, f.number, f.rest)
+        elif self.collecting is not None:
+            self.collecting.append(line)
+        elif self.item:
+            self.item[1].append(line)
+
+    def take_pairs(self, line_no: int, pairs: list[tuple[str, str]]) -> None:
+        self.end_item()
+        self.open()
+        for number, answer in pairs:
+            self.item = (number, [answer], line_no, "")
             self.end_item()
-            if r.directions_kind and r.directions_kind != self.kind and (not self.kind or self.closed):
-                self.end_block()
-                self.kind, self.title = r.directions_kind, ""
-        elif r.kind:
+
+    def take_item(self, line_no: int, number: str, rest: str) -> None:
+        if self.closed is None or number in self.closed:
             self.end_block()
-            self.kind, self.title, self.passage, self.collecting = r.kind, r.heading, "", None
-        elif self.compressed and (pairs := answer_pairs(r.line)):
-            self.end_item()
             self.open()
-            for number, answer in pairs:
-                self.item = (number, [answer], r.line_no, "")
-                self.end_item()
-        elif r.number:
-            self.open()
-            if r.number in self.closed:
-                self.end_block()
-                self.open()
-            if self.collecting is not None:
-                self.passage, self.collecting = "\n".join(self.collecting).strip(), None
+        else:
             self.end_item()
-            self.item = (r.number, [r.rest], r.line_no, self.passage)
-        elif self.collecting is not None:
-            self.collecting.append(r.line)
-        elif self.item:
-            self.item[1].append(r.line)
+        if self.collecting is not None:
+            self.passage, self.collecting = "\n".join(self.collecting).strip(), None
+        self.item = (number, [rest], line_no, self.passage)
+
+
+def _turn(line: str, f) -> Callable:
+    """What the block machine does with a line."""
+    if line.strip() == "":
+        return _Blocks.take_blank
+    turns = ((f.rule, _Blocks.take_rule), (f.exercise, _Blocks.take_exercise), (f.passage, _Blocks.take_passage), (f.directions, _Blocks.take_directions), (f.kind, _Blocks.take_kind))
+    return next((turn for holds, turn in turns if holds), _Blocks.take_text)
 
 
 def _by_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[list], Iterator[tuple]], schema: str, in_order: bool = False) -> DataFrame:
@@ -310,30 +312,154 @@ def _types(rows: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-_ITEM = namedtuple("_ITEM", "part block exercise kind title number line_no passage text")
+_ITEM_FIELDS = ("part", "block", "exercise", "kind", "title", "number", "line_no", "passage", "text")
 _ITEM_SCHEMA = "part string, block int, exercise string, kind string, title string, number string, line_no int, passage string, text string"
 
 
-def _items(group: list) -> Iterator[_ITEM]:
-    """The items of one half of a chapter."""
-    machine = _Blocks(group[0].part == "solutions")
-    for r in group:
-        machine.take(r)
-    machine.end_block()
-    return (_ITEM(group[0].part, *x) for x in machine.out)
+def _rows(part: str, b: _BLOCK, *more: list) -> Iterator[tuple]:
+    """A block's items as rows."""
+    return zip(repeat(part, len(b.numbers)), repeat(b.block), repeat(b.exercise), repeat(b.kind), repeat(b.title), b.numbers, b.line_nos, b.passages, b.texts, *more)
 
 
 def blocks(rows: DataFrame, keys: list[str], in_order: bool = False) -> DataFrame:
     """(keys, part, block, exercise, kind, title, number, line_no, passage, text): the items of the bank and of the solutions. in_order: the rows are those of ``parted``."""
 
     def work(group: list) -> Iterator[tuple]:
-        head = tuple(getattr(group[0], k) for k in keys)
-        return (head + x for x in _items(group))
+        head, part = tuple(getattr(group[0], k) for k in keys), group[0].part
+        machine = _Blocks(part)
+        for r in group:
+            _turn(r.line, r)(machine, r.line_no, r.line, r)
+        machine.end_block()
+        return (head + x for b in machine.out for x in _rows(part, b))
 
     kept = rows.where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS)
     return _by_group(kept, [*keys, "part"], ["line_no"], work, f"{_types(rows, keys)}, {_ITEM_SCHEMA}", in_order)
 
 
+_LOOK = namedtuple("_LOOK", [*_OF_HEADINGS, "number", "rest", "blank"])
+_LOOK_SCHEMA = "heading string, is_heading boolean, directions boolean, exercise string, kind string, directions_kind string, directions_range boolean, passage boolean, rule boolean, solutions boolean, number string, rest string, blank boolean"
+#: Bytes of a block of chapters, unless one chapter alone has more.
+BLOCK_BYTES = 4_000_000
+# white space and digits are ASCII's, as they are in Java's patterns
+_is_plain, _numbered, _keyed = (re.compile(p, re.ASCII).match for p in (fixed.PLAIN_ITEM, fixed.NUMBERED, fixed.KEY_LINE))
+
+
+def _texts(c: pa.Array) -> list[str]:
+    return c.to_numpy(zero_copy_only=False).tolist()  # ten times as fast as to_pylist
+
+
+def looks(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
+    """(keys as arrays, _texts, _looks array<string>): blocks of chapters, each with its different lines but for plain items.
+
+    Headings are the same in many chapters, and flags take many patterns, so they are worked out once in a block.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = pc.cumulative_sum(pc.add(pc.binary_length(whole.column("_texts")), 1).cast(pa.int64())).to_pylist()
+            start = 0
+            while start < len(ends):
+                stop = max(start + 1, bisect_right(ends, BLOCK_BYTES + (ends[start - 1] if start else 0)))
+                b = whole.slice(start, stop - start)
+                start = stop
+                different = pc.unique(pc.split_pattern(b.column("_texts"), "\n").flatten())
+                different = pa.array([[s for s in _texts(different) if not _is_plain(s)]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in b.columns), different], names=[*b.schema.names, "_looks"])
+
+    rows = chapters.select(*keys, T.with_newlines(F.col(text)).alias("_texts"))
+    kinds = [StructField(f.name, ArrayType(f.dataType)) for f in rows.schema]
+    return rows.mapInArrow(gather, StructType([*kinds, StructField("_looks", ArrayType(StringType()))]))
+
+
+class _Chapter:
+    """A chapter's lines, what they are, and the lines of each part as ``parts`` has them. A line that has no look is a plain item."""
+
+    def __init__(self, text: str, looked: dict[str, tuple]):
+        lines = text.split("\n")
+        self.lines = lines if lines[-1] else lines[:-1]
+        self.looks = looks = list(map(looked.get, self.lines))
+        end = len(looks)
+        bank = next((n for n, look in enumerate(looks) if look and look[2]), end)
+        banner = next((n for n in range(bank, end) if looks[n] and looks[n][0].solutions), None)
+        split = self.key_run(bank) if banner is None else banner
+        self.parts = {"theory": range(bank), "bank": range(bank, split), "solutions": range(split + (banner is not None), end)}
+
+    def key_run(self, bank: int) -> int:
+        """Where an answer key begins that no banner announces, as ``_with_key_run`` has it; else where the chapter ends."""
+        keyed = [(n, int(m[1])) for n in range(bank, len(self.lines)) if (m := _keyed(self.lines[n]))]
+        for run in zip(*(keyed[k:] for k in range(fixed.KEY_RUN))):
+            numbers = [number for _, number in run]
+            if run[-1][0] < run[0][0] + fixed.KEY_WINDOW and numbers == sorted(numbers):
+                start = run[0][0]
+                above = next((n for n in range(start - 1, -1, -1) if not (self.looks[n] and self.looks[n][0].blank)), None)
+                return above if above is not None and self.looks[above] and self.looks[above][0].is_heading else start
+        return len(self.lines)
+
+    def blocks(self, part: str) -> list[_BLOCK]:
+        """The items of one half."""
+        machine, held = _Blocks(part), self.parts[part]
+        for n, line, look in zip(held, self.lines[held.start :], self.looks[held.start :]):
+            if look:
+                look[1](machine, n, line, look[0])
+            elif machine.compressed and (pairs := answer_pairs(line)):
+                machine.take_pairs(n, pairs)
+            else:
+                number, rest = _numbered(line).groups()
+                machine.take_item(n, number, rest.rstrip(T.WHITE))
+        machine.end_block()
+        return machine.out
+
+
+def _opens(f: _LOOK) -> bool:
+    """Whether a bank begins at such a line."""
+    return f.exercise != "" or f.directions_range or f.kind in fixed.BANK_KINDS
+
+
+def _by_chapter(chapters: DataFrame, keys: list[str], text: str, work: Callable[[_Chapter], Iterable[tuple]], schema: str) -> DataFrame:
+    """The keys with what work gives of each chapter. No line is dealt out."""
+    kinds = StructType.fromDDL(schema)
+    made = to_arrow_schema(kinds)
+
+    def table(heads: list, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(c, f.type) for c, f in zip(zip(*out), made)]
+        return pa.RecordBatch.from_arrays([*(h.take(pa.array(at)) for h in heads), *own], names=[*keys, *made.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                heads = [b.column(name)[k].values for name in keys]
+                values = b.column("_looked")[k].values
+                found = map(_LOOK._make, zip(*(values.field(name).to_pylist() for name in _LOOK._fields)))
+                looked = {s: (f, _turn(s, f), _opens(f)) for s, f in zip(_texts(b.column("_looks")[k].values), found)}
+                at, out = [], []
+                for chapter, whole in enumerate(_texts(b.column("_texts")[k].values)):
+                    out += work(_Chapter(whole, looked))
+                    at += [chapter] * (len(out) - len(at))
+                    if len(out) > 10_000:
+                        yield table(heads, at, out)
+                        at, out = [], []
+                if out:
+                    yield table(heads, at, out)
+
+    rows = looks(chapters, keys, text).withColumn("_looked", F.transform("_looks", flags))
+    return rows.mapInArrow(run, StructType([*(StructField(k, chapters.schema[k].dataType) for k in keys), *kinds]))
+
+
+def parted(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
+    """What ``parts`` gives of chapters' flagged lines. The lines of a chapter follow one another in order, as ``blocks`` takes them with ``in_order``."""
+
+    def work(chapter: _Chapter) -> Iterator[tuple]:
+        item = dict.fromkeys(_LOOK._fields, False) | dict.fromkeys(("heading", "exercise", "kind", "directions_kind"), "")
+        for part, held in chapter.parts.items():
+            for n in held:
+                line, look = chapter.lines[n], chapter.looks[n]
+                if not look:
+                    number, rest = _numbered(line).groups()
+                yield n, line, *(look[0] if look else (item | {"number": number, "rest": rest.rstrip(T.WHITE)}).values()), part
+
+    return _by_chapter(chapters, keys, text, work, f"line_no int, line string, {_LOOK_SCHEMA}, part string")
+
+
 def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     """For each question block (exercise, kind, numbers) the place of its solution block, each used once.
 
@@ -344,7 +470,8 @@ def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     found: list[int | None] = []
     after = 0
     for exercise, kind, numbers in asked:
-        hit = min((j for j in free if free[j][1] == kind), key=lambda j: (j < after, free[j][0] != exercise, j), default=None)
+        # the one after the last is the best there is, where it is of this exercise and kind
+        hit = after if after in free and free[after][:2] == (exercise, kind) else min((j for j in free if free[j][1] == kind), key=lambda j: (j < after, free[j][0] != exercise, j), default=None)
         if hit is None and len(numbers) >= 3:
             shared = {j: len(numbers & held) for j, (name, its, held) in free.items() if not name and not its}
             best = max(shared, key=shared.get, default=None)
@@ -356,35 +483,40 @@ def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     return found
 
 
-def _answered(group: list) -> Iterator[tuple]:
-    """A chapter's question items, each with its answer."""
-    halves = {part: [list(b) for _, b in groupby((r for r in group if r.part == part), key=lambda r: r.block)] for part in ("bank", "solutions")}
-    shape = lambda bs: [(b[0].exercise, b[0].kind, {r.number for r in b}) for b in bs]
-    for b, j in zip(halves["bank"], pair_blocks(shape(halves["bank"]), shape(halves["solutions"]))):
-        answers = [""] * len(b)
-        if j is not None:
-            solved = halves["solutions"][j]
-            first = {r.number: r.text for r in reversed(solved)}
-            by_number = any(r.number in first for r in b)
-            answers = [first.get(r.number, "") for r in b] if by_number else [r.text for r in solved][: len(b)] + [""] * (len(b) - len(solved))
-        yield from (tuple(r) + (a,) for r, a in zip(b, answers))
+def _answers(bank: list[_BLOCK], solutions: list[_BLOCK]) -> Iterator[list[str]]:
+    """The answers to the items of each block of a chapter's bank."""
+    shape = lambda bs: [(b.exercise, b.kind, b.held) for b in bs]
+    for b, j in zip(bank, pair_blocks(shape(bank), shape(solutions))):
+        texts, size = [] if j is None else solutions[j].texts, len(b.numbers)
+        first = dict(zip(reversed(solutions[j].numbers), reversed(texts))) if texts else {}
+        # where no number agrees, the place does
+        yield texts[:size] + [""] * (size - len(texts)) if b.held.isdisjoint(first) else [first.get(number, "") for number in b.numbers]
 
 
 def aligned(items: DataFrame, keys: list[str]) -> DataFrame:
     """Question items with their answers. Blocks pair in order within a chapter; in a pair the first answer of a number counts, and where no number agrees, the place does."""
     schema = f"{_types(items, keys)}, {_ITEM_SCHEMA}, answer string"
-    return _by_group(items.select(*keys, *_ITEM._fields), keys, ["part", "block", "line_no"], _answered, schema).drop("part")
+
+    def of_rows(rows: list) -> _BLOCK:
+        numbers, line_nos, passages, texts = (list(map(attrgetter(name), rows)) for name in ("number", "line_no", "passage", "text"))
+        return _BLOCK(*(getattr(rows[0], name) for name in _BLOCK._fields[:4]), set(numbers), numbers, line_nos, passages, texts)
+
+    def work(group: list) -> Iterator[tuple]:
+        halves = {part: [r for r in group if r.part == part] for part in ("bank", "solutions")}
+        answers = _answers(*([of_rows(list(b)) for _, b in groupby(half, key=attrgetter("block"))] for half in halves.values()))
+        return (tuple(r) + (a,) for r, a in zip(halves["bank"], chain.from_iterable(answers)))
+
+    return _by_group(items.select(*keys, *_ITEM_FIELDS), keys, ["part", "block", "line_no"], work, schema).drop("part")
 
 
 def question_bank(chapters: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
     """Chapters' questions with their answers, in whole books at once: what ``aligned`` gives of ``blocks``, in one pass over a chapter's lines."""
 
-    def work(group: list) -> Iterator[tuple]:
-        head = tuple(getattr(group[0], k) for k in keys)
-        return (head + x for x in _answered([x for _, half in groupby(group, key=attrgetter("part")) for x in _items(list(half))]))
+    def work(chapter: _Chapter) -> Iterator[tuple]:
+        bank = chapter.blocks("bank")
+        return (x for b, answers in zip(bank, _answers(bank, chapter.blocks("solutions"))) for x in _rows("bank", b, answers))
 
-    rows = parted(chapters, keys, text).where("part <> 'theory'").select(*keys, "part", "line_no", "line", *FLAGS)
-    return _by_group(rows, keys, ["line_no"], work, f"{_types(rows, keys)}, {_ITEM_SCHEMA}, answer string", in_order=True).drop("part")
+    return _by_chapter(chapters, keys, text, work, f"{_ITEM_SCHEMA}, answer string").drop("part")
 
 
 def packed(rows: DataFrame, keys: list[str], order: str, size: str, limit: int) -> DataFrame:

@@ -231,3 +231,49 @@ def test_strip_takes_every_white_space(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
     assert df.where(~T.strip(F.col("t")).eqNullSafe(old)).count() == 0
+
+
+def test_a_line_that_chapters_share_is_looked_at_once(spark):
+    many = spark.createDataFrame([("b", n, CHAPTER) for n in range(50)], "book string, chapter int, markdown string").coalesce(1)
+    [block] = S.looks(many, KEYS).collect()
+    assert block.chapter == list(range(50)) and len(block._texts) == 50
+    assert sorted(block._looks) == sorted({x for x in CHAPTER.split("\n") if not x[:1].isdigit()} | {"１． (a) It is."} | {x for x in CHAPTER.split("\n") if x.startswith("1. (b)")})
+    assert S.question_bank(many, KEYS).count() == 50 * 7
+
+
+def test_chapters_of_any_size_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 3_000)
+    many = spark.createDataFrame([("b", n, "" if n == 3 else CHAPTER * (n % 4 + 1)) for n in range(12)], "book string, chapter int, markdown string").coalesce(1)
+    blocks = S.looks(many, KEYS).collect()
+    assert len(blocks) > 4 and [n for b in blocks for n in b.chapter] == list(range(12))
+    assert all(sum(map(len, b._texts)) <= 3_000 or len(b._texts) == 1 for b in blocks)
+    assert {r.chapter for r in S.question_bank(many, KEYS).collect()} == set(range(12)) - {3}
+
+
+def test_chapters_and_their_lines_give_the_same_items(spark):
+    """question_bank gives what aligned does of lines that are dealt out."""
+    key = "\n".join(f"{k}. ({c})" for k, c in enumerate("abcdef", 1))
+    odd = [
+        None, "", "\n", "1. no exercise", f"## Exercise 1\n1. ask\n2. ask\n\n## Key\n{key}", f"## Exercise 1\n1. ask\n{key}", f"Fill in the Blanks\r\n1. a \xa0\r\n2. b\x85　3.\xa0c  4. d\n1. again\n#　SOLUTIONS\n4. x\n1. (a) 2. (b)",
+        "DIRECTIONS (Qs. 1 to 3) : Match the following\n| :-- |\nPassage 1\nLong ago.\n\x1c\n1. ***\n１２．wide\n3：multiple choice\n1) one\nmore\n1) two\nSOLUTIONS\nLong Answer\n1. y", f"1. x\n## Exercise 2\n{key}\n9. (a) then\nsolutions",
+    ]
+    df = spark.createDataFrame([("b", n, text) for n, text in enumerate([CHAPTER, *odd])], "book string, chapter int, markdown string")
+    items = S.blocks(S.parts(S.flagged(S.lines(df, KEYS)), KEYS), KEYS)
+    rows = lambda made: sorted(map(tuple, made.collect()))
+    assert rows(S.question_bank(df, KEYS)) == rows(S.aligned(items, KEYS)) != []
+
+
+def test_long_keys_are_paired_block_by_block():
+    """Blocks that follow one another as their answers do aren't looked for among all."""
+
+    class Kind(str):
+        seen = 0
+
+        def __eq__(self, other):
+            Kind.seen += 1
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    shape = [("a", Kind("mcq"), {"1"}) for _ in range(300)]
+    assert S.pair_blocks(shape, list(shape)) == list(range(300)) and Kind.seen < 1_000
