@@ -460,6 +460,15 @@ def parted(chapters: DataFrame, keys: list[str], text: str = "markdown") -> Data
     return _by_chapter(chapters, keys, text, work, f"line_no int, line string, {_LOOK_SCHEMA}, part string")
 
 
+def chapter_blocks(chapters: DataFrame, keys: list[str], text: str = "markdown", of: tuple[str, ...] = ("bank", "solutions")) -> DataFrame:
+    """What ``blocks`` gives of ``parted``, in one pass over a chapter's lines; of: the halves."""
+
+    def work(chapter: _Chapter) -> Iterator[tuple]:
+        return (x for part in of for b in chapter.blocks(part) for x in _rows(part, b))
+
+    return _by_chapter(chapters, keys, text, work, _ITEM_SCHEMA)
+
+
 def pair_blocks(asked: list[tuple], solved: list[tuple]) -> list[int | None]:
     """For each question block (exercise, kind, numbers) the place of its solution block, each used once.
 

@@ -37,8 +37,7 @@ SELECT l_orderkey AS o_orderkey, CASE l_returnflag WHEN 'A' THEN 'single_option'
 """)
 def blocks_parse(spark, sf_dir):
     """The questions of every chapter by its headings."""
-    items = S.blocks(S.parted(order_chapters(spark, sf_dir), ["o_orderkey"]), ["o_orderkey"], in_order=True)
-    return items.where("part = 'bank'").select("o_orderkey", "kind", "number", "text")
+    return S.chapter_blocks(order_chapters(spark, sf_dir), ["o_orderkey"], of=("bank",)).select("o_orderkey", "kind", "number", "text")
 
 
 #: A number that repeats at once stays in its block, where its first answer counts; one more repeat opens a new block.

@@ -251,7 +251,7 @@ def test_chapters_of_any_size_go_in_blocks(spark, monkeypatch):
 
 
 def test_chapters_and_their_lines_give_the_same_items(spark):
-    """question_bank gives what aligned does of lines that are dealt out."""
+    """question_bank and chapter_blocks give what aligned and blocks do of lines that are dealt out."""
     key = "\n".join(f"{k}. ({c})" for k, c in enumerate("abcdef", 1))
     odd = [
         None, "", "\n", "1. no exercise", f"## Exercise 1\n1. ask\n2. ask\n\n## Key\n{key}", f"## Exercise 1\n1. ask\n{key}", f"Fill in the Blanks\r\n1. a \xa0\r\n2. b\x85　3.\xa0c  4. d\n1. again\n#　SOLUTIONS\n4. x\n1. (a) 2. (b)",
@@ -261,6 +261,7 @@ def test_chapters_and_their_lines_give_the_same_items(spark):
     items = S.blocks(S.parts(S.flagged(S.lines(df, KEYS)), KEYS), KEYS)
     rows = lambda made: sorted(map(tuple, made.collect()))
     assert rows(S.question_bank(df, KEYS)) == rows(S.aligned(items, KEYS)) != []
+    assert rows(S.chapter_blocks(df, KEYS)) == rows(items) and rows(S.chapter_blocks(df, KEYS, of=("bank",))) == rows(items.where("part = 'bank'"))
 
 
 def test_long_keys_are_paired_block_by_block():

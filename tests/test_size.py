@@ -71,7 +71,7 @@ def test_topics_are_worked_out_once(spark, name):
     assert ", true, [t#" in plan(spark, name)  # an outer explode
 
 
-@pytest.mark.parametrize("name", ["align_greedy", "question_bank"])
+@pytest.mark.parametrize("name", ["align_greedy", "question_bank", "blocks_parse"])
 def test_chapters_go_whole_and_their_lines_are_no_rows(spark, name):
     made = plan(spark, name)
     assert "Generate" not in made and made.count("MapInArrow") == 2
